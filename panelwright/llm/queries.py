@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, licenses, mixing, near_vectors, packing, quality
+from . import chat, jaccard, language, licenses, mixing, near_vectors, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(calls, results, chat.REPLY)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", *quality.BASE, "base_failed", "kept", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scans, op3_language_id, op4_embedding_near_dedup, op5_chat_formatting, op7_best_fit_packing, op9_mixing_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_license_scans, op3_language_id, op4_embedding_near_dedup, op5_chat_formatting, op6_ngram_jaccard_join, op7_best_fit_packing, op9_mixing_sources, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
