@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, language, licenses, mixing, near_vectors, packing, quality
+from . import chat, jaccard, language, licenses, mixing, near_vectors, packing, quality, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_table(spark, sf_dir, "documents"))
     labels = lambda *cols: F.array_join(F.array_sort(F.array_distinct(F.transform(F.concat(*cols), lambda d: d["label"]))), ",")
@@ -51,5 +56,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", *quality.BASE, "base_failed", "kept", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scans, op3_language_id, op4_embedding_near_dedup, op5_chat_formatting, op6_ngram_jaccard_join, op7_best_fit_packing, op9_mixing_sources, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_scans, op3_language_id, op4_embedding_near_dedup, op5_chat_formatting, op6_ngram_jaccard_join, op7_best_fit_packing, op9_mixing_sources, op10_quality_rules)}
+
+OP1 = r"""
+with docs as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+words as (select r, doc_id, unnest(range(len(w))) as i, unnest(w) as word from docs),
+runs as (select r, doc_id, i, count(*) over f as n, string_agg(word, ' ') over f as run from words
+  window f as (partition by r order by i rows between current row and 12 following)),
+firsts as (select run, min(doc_id) as first from runs where n = 13 group by run),
+hits as (select r, i from runs join firsts using (run) where n = 13 and doc_id > first),
+gone as (select r, i, max(h) over (partition by r order by i rows between 12 preceding and current row) as gone
+  from (select w.r, w.i, (h.i is not null)::int as h from words w left join hits h on h.r = w.r and h.i = w.i)),
+kept as (select r, string_agg(word, ' ' order by i) filter (gone = 0) as kept, sum(gone) as n_removed from words join gone using (r, i) group by r)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(k.n_removed, 0)::bigint as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from docs d left join kept k using (r)
+"""
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1}
