@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, language, licenses, mixing, near_vectors, packing, quality, substrings
+from . import chat, jaccard, language, licenses, mixing, near_vectors, packing, quality, substrings, suffix_arrays
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_arrays.dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -56,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", *quality.BASE, "base_failed", "kept", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_scans, op3_language_id, op4_embedding_near_dedup, op5_chat_formatting, op6_ngram_jaccard_join, op7_best_fit_packing, op9_mixing_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_license_scans, op3_language_id, op4_embedding_near_dedup, op5_chat_formatting, op6_ngram_jaccard_join, op7_best_fit_packing, op8_suffix_array_dedup, op9_mixing_sources, op10_quality_rules)}
 
 OP1 = r"""
 with docs as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
