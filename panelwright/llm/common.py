@@ -31,12 +31,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # so that Spark's cleaner drops the shuffle files of finished jobs
+    out.folder = path
     return out
 
 
+def done_with(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more and lets Spark's cleaner drop the shuffle files of finished jobs."""
+    jvm = spark.sparkContext._jvm
+    for table in tables:
+        where = jvm.org.apache.hadoop.fs.Path(table.folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut by rows so that a piece holds about `limit` bytes of text, or one longer row."""
     for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import done_with, pieces, written
 from .tokens import hashes, inner, mix, spans, texts
 
 HOT, BLOCK_UNITS = 500, 1 << 19
@@ -185,6 +185,8 @@ def repeated(docs: DataFrame, search: Search, matcher: Callable, earlier: bool)
     lists = lists.join(known.where("head").select("doc_id", "th").distinct(), "doc_id")
     heads = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     moved = written(search.travelling(heads, lists), "stretches")
+    del several, lists, heads
+    done_with(docs.sparkSession, places, rows)
     near = moved.where("not hot").repartition("h").sortWithinPartitions("h", "doc_id", "th", "start").select("h", "doc_id", "th", "start", "n", "body")
     found = near.mapInArrow(lambda batches: matcher(batches, search), "doc_id long, th long, lo long, hi long")
     far = moved.where("hot").select("h", "h2", "doc_id", "th", "start")

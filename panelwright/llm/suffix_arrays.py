@@ -179,6 +179,20 @@ def repeated_places(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     return flags, base
 
 
+def _undecided(bodies: list[bytes], length: int) -> list[bytes]:
+    """The bodies that hold a window whose hash stands twice among them: all that sorting could find."""
+    size = np.array([len(b) for b in bodies])
+    units = passages._BYTE[np.frombuffer(b"".join(bodies), np.uint8)]
+    code = passages.run_hashes(units, length)
+    at = np.flatnonzero(passages.inner(np.append(0, np.cumsum(size)), length))
+    order = at[np.argsort(code[at], kind="stable")]
+    same = code[order][1:] == code[order][:-1]
+    some = np.zeros(len(code) + 1, bool)
+    some[order[1:][same]] = some[order[:-1][same]] = True
+    base = np.cumsum(size) - size
+    return [b for b, k in zip(bodies, np.logical_or.reduceat(some, np.minimum(base, len(code))).tolist(), strict=True) if k]
+
+
 def _match(batches: Iterator[pa.RecordBatch], search: passages.Search) -> Iterator[pa.RecordBatch]:
     for batch in passages.groups(batches):
         h = batch.column("h").to_numpy()
@@ -190,7 +204,9 @@ def _match(batches: Iterator[pa.RecordBatch], search: passages.Search) -> Iterat
         held = 0
 
         def close(shard=shard, out=out, ids=ids, th=th, start=start, n=n) -> None:
-            bodies = list(shard)
+            bodies = _undecided(list(shard), search.length)
+            if not bodies:
+                return shard.clear()
             flags, base = repeated_places(bodies, search.length)
             for b, o in zip(bodies, base.tolist(), strict=True):
                 for i in shard[b]:
