@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,8 +42,10 @@ def done_with(spark: SparkSession, *tables: DataFrame) -> None:
     for table in tables:
         where = jvm.org.apache.hadoop.fs.Path(table.folder)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):  # Spark's listeners hold the last plan for a moment
+        time.sleep(0.5)
+        gc.collect()
+        jvm.System.gc()
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
