@@ -56,7 +56,7 @@ where b.code is null and (x.k * 31 + year(c.date) * 372 + month(c.date) * 31 + d
     "corp_events_raw": """
 with o as (
   select c.k, c.code as std, cast(o_orderdate as date) as date, o_orderkey as ok, o_totalprice as tp
-  from orders join codes c on c.k = o_custkey % (select count(*) from supplier) where o_orderkey % 40 in (0, 5))
+  from orders cross join (select count(*) as n from supplier) z join codes c on c.k = o_custkey % z.n where o_orderkey % 40 in (0, 5))
 select case right(std, 2) when 'SZ' then 0 when 'SH' then 1 else 2 end as market, substring(std, 1, 6) as code, date,
   case when ok % 40 = 0 then 1 else 5 end as category,
   cast(ok % 7 as double) as f1, round(tp / 100000, 2) as f2,
@@ -68,7 +68,7 @@ from o
 select c.code, case when c_mktsegment = 'MACHINERY' then concat('ST N', cast(c_custkey as varchar(10)))
     else concat('N', cast(c_custkey as varchar(10))) end as name,
   cast('1995-01-01' as date) + cast(c_custkey * 37 % 2400 as int) as change_date, c_custkey as seq
-from customer join codes c on c.k = c_custkey % (select count(*) from supplier) where c_custkey % 5 < 3
+from customer cross join (select count(*) as n from supplier) z join codes c on c.k = c_custkey % z.n where c_custkey % 5 < 3
 """,
     "securities": """
 select code, case when k % 11 = 0 then concat('*ST', name) else name end as name,
@@ -119,7 +119,7 @@ def needed(sql: str) -> list[str]:
 
     def walk(text: str) -> None:
         for name in VIEWS:
-            if name not in seen and re.search(rf"\b{name}\b", text):
+            if name not in seen and re.search(rf"\b(from|join)\s+{name}\b", text):
                 walk(VIEWS[name])
                 seen.add(name)
 
@@ -127,11 +127,15 @@ def needed(sql: str) -> list[str]:
     return [n for n in VIEWS if n in seen]
 
 
-def oracle(sql: str, doubles: str = "") -> str:
-    """DuckDB's form of a query over the views, with the named double columns rounded to six places."""
+#: Added before rounding down instead of a half: prices over quantities often end in an exact half.
+HALF = 0.4871
+
+
+def oracle(sql: str, doubles: str = "", places: int = 6) -> str:
+    """DuckDB's form of a query over the views, with the named double columns rounded."""
     names = needed(sql)
     head = "with " + ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in names) + "\n" if names else ""
-    rounded = ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in doubles.split())
+    rounded = ", ".join(f"floor({c} * 1e{places} + {HALF}) / 1e{places} as {c}" for c in doubles.split())
     return f"{head}select *{f' replace ({rounded})' if rounded else ''} from ({sql.strip()}) as result"
 
 
@@ -145,8 +149,11 @@ class Views:
     def __call__(self, name: str) -> DataFrame:
         if name not in self._known:
             if name in VIEWS:
-                args = {n: self(n) for n in [*TABLES, *VIEWS] if n != name and re.search(rf"\b{n}\b", VIEWS[name])}
-                text = re.sub(r"\b(" + "|".join(args) + r")\b(?!\.)(?=[\s)]|$)", lambda m: "{" + m[1] + "}" if m[1] in args else m[1], VIEWS[name]) if args else VIEWS[name]
+                text = re.sub(r"\b(from|join)\s+(\w+)\b", r"\1 {\2}", VIEWS[name])
+                own = set(re.findall(r"\{(\w+)\}", text)) - set(TABLES) - set(VIEWS)
+                for n in own:  # the view's own subqueries
+                    text = text.replace(f"{{{n}}}", n)
+                args = {n: self(n) for n in set(re.findall(r"\{(\w+)\}", text))}
                 self._known[name] = self.spark.sql(text, **args)
             else:
                 self._known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

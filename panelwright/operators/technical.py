@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql.window import WindowSpec
 from pyspark.sql import functions as F
 
 from .asof import affine_scan
 
-BY = W.partitionBy("code").orderBy("date")
+def _by() -> WindowSpec:
+    return W.partitionBy("code").orderBy("date")
+
 
 
 def _rolling(c: Column, n: int, how: Callable = F.avg) -> Column:
-    w = BY.rowsBetween(-n + 1, 0)
+    w = _by().rowsBetween(-n + 1, 0)
     return F.when(F.count(c).over(w) == n, how(c).over(w))
 
 
@@ -25,7 +28,7 @@ def sma(bars: DataFrame, period: int = 20, of: str = "close") -> DataFrame:
 def ema(bars: DataFrame, period: int = 20, of: str = "close") -> DataFrame:
     """Seeded with the mean of the first `period` rows."""
     a = 2 / (period + 1)
-    rows = bars.where(F.col(of).isNotNull()).select("code", "date", F.col(of).alias("_x"), F.row_number().over(BY).alias("_k"), _rolling(F.col(of), period).alias("_m")).where(F.col("_k") >= period)
+    rows = bars.where(F.col(of).isNotNull()).select("code", "date", F.col(of).alias("_x"), F.row_number().over(_by()).alias("_k"), _rolling(F.col(of), period).alias("_m")).where(F.col("_k") >= period)
     seeded = affine_scan(rows, "code", "date", F.when(F.col("_k") == period, F.col("_m")).otherwise(F.col("_x") * a), 1 - a, "value").select("code", "date", "value")
     return bars.select("code", "date").join(seeded, ["code", "date"], "left")
 
@@ -33,14 +36,14 @@ def ema(bars: DataFrame, period: int = 20, of: str = "close") -> DataFrame:
 def wilder(rows: DataFrame, of: str, period: int) -> DataFrame:
     """Wilder's mean with its early weights summing to 1; null until `period` values."""
     a = 1 / period
-    used = rows.where(F.col(of).isNotNull()).select("code", "date", F.col(of).alias("_x"), F.row_number().over(BY).alias("_k"))
-    y = affine_scan(used, "code", "date", F.col("_x") * a, 1 - a, "_y")
-    value = F.when(F.col("_k") >= period, F.col("_y") / (1 - F.pow(F.lit(1 - a), F.col("_k"))))
+    used = rows.where(F.col(of).isNotNull()).select("code", "date", F.col(of).alias("_x"), F.row_number().over(_by()).alias("_k"))
+    y = affine_scan(used, "code", "date", F.col("_x") * a, 1 - a, "_w")
+    value = F.when(F.col("_k") >= period, F.col("_w") / (1 - F.pow(F.lit(1 - a), F.col("_k"))))
     return y.select("code", "date", value.alias("value"))
 
 
 def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
-    change = bars.select("code", "date", (F.col("close") - F.lag("close").over(BY)).alias("c"))
+    change = bars.select("code", "date", (F.col("close") - F.lag("close").over(_by())).alias("c"))
     up = wilder(change.select("code", "date", F.greatest("c", F.lit(0.0)).alias("g")).where(F.col("g").isNotNull()).join(change.where("c is not null").select("code", "date"), ["code", "date"]), "g", period)
     down = wilder(change.where("c is not null").select("code", "date", F.greatest(-F.col("c"), F.lit(0.0)).alias("l")), "l", period)
     both = up.select("code", "date", F.col("value").alias("g")).join(down.select("code", "date", F.col("value").alias("l")), ["code", "date"])
@@ -48,7 +51,7 @@ def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
 
 
 def atr(bars: DataFrame, period: int = 14) -> DataFrame:
-    pc = F.lag("close").over(BY)
+    pc = F.lag("close").over(_by())
     true_range = F.when(pc.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(pc - F.col("low"))))
     found = wilder(bars.select("code", "date", true_range.alias("r")), "r", period)
     return bars.select("code", "date").join(found, ["code", "date"], "left")
@@ -79,7 +82,7 @@ def bollinger(bars: DataFrame, period: int = 20, width: float = 2.0) -> DataFram
 
 
 def lagged(factor: DataFrame, n: int = 1) -> DataFrame:
-    return factor.select("code", "date", F.lag("value", n).over(BY).alias("value"))
+    return factor.select("code", "date", F.lag("value", n).over(_by()).alias("value"))
 
 
 FACTORS: dict[str, Callable[..., DataFrame]] = {"sma": sma, "ema": ema, "rsi": rsi, "atr": atr, "volume_ma": volume_ma, "macd": macd}
