@@ -5,7 +5,7 @@ depends on its content alone, so equal windows share it.  Consecutive windows of
 stretch; only stretches whose minimizer stands in several places travel, to the shard that their
 minimizer names, where a matcher (a suffix automaton or a suffix array) decides.
 
-Minimizers of more than `HOT` texts would make a shard unbounded.  Their stretches are cut into single
+Minimizers of more texts than a search's `hot` would make a shard unbounded.  Their stretches are cut into single
 windows, known by a 128-bit hash, and resolved by an aggregate with partial sums and a join, which Spark
 splits when a key is skewed.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import done_with, pieces, written
 from .tokens import hashes, inner, mix, spans, texts
 
-HOT, BLOCK_UNITS = 500, 1 << 19
+BLOCK_UNITS = 1 << 19
 
 #: (units, hash of each unit, first unit of each text, byte where each unit starts and ends)
 Units = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -102,8 +102,8 @@ def stretches(units: np.ndarray, first: np.ndarray, length: int, gram: int, twin
 class Search:
     """One kind of units with its window length."""
 
-    def __init__(self, units: Callable, length: int, gram: int, join: bytes, twins: bool):
-        self.units, self.length, self.gram, self.join, self.twins = units, length, gram, join, twins
+    def __init__(self, units: Callable, length: int, gram: int, join: bytes, twins: bool, hot: int):
+        self.units, self.length, self.gram, self.join, self.twins, self.hot = units, length, gram, join, twins, hot
 
     def minimizers(self, docs: DataFrame) -> DataFrame:
         """(h, doc_id, n): each text's minimizers and how often they stand in it (1 or 2 and more)."""
@@ -180,7 +180,7 @@ def repeated(docs: DataFrame, search: Search, matcher: Callable, earlier: bool)
     known = written(rows.join(copies, ["sum", "size"]).select("doc_id", "th", whole.alias("whole"), (F.col("doc_id") == F.col("first")).alias("head")), "known")
     places = written(search.minimizers(docs), "minimizers")
     count = F.count("*") if earlier else F.sum("n")
-    several = places.groupBy("h").agg(count.alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("busy"))
+    several = places.groupBy("h").agg(count.alias("n")).where("n > 1").select("h", (F.col("n") > search.hot).alias("busy"))
     lists = places.join(several, "h").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("busy"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("busy"), F.col("h"))).alias("hot"))
     lists = lists.join(known.where("head").select("doc_id", "th").distinct(), "doc_id")
     heads = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))

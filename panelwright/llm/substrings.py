@@ -25,6 +25,8 @@ from . import passages
 from .common import per_piece
 
 LENGTH, GRAM, MAX_REFERENCE_WORDS = 13, 5, 2_000_000
+#: At most so many stretches of some 120 bytes meet in one shard.
+HOT = 20_000
 
 
 class Automaton:
@@ -138,7 +140,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
     The columns of docs stay; those of the same names are replaced.
     """
-    search = passages.Search(passages.words, length, gram, b" ", False)
+    search = passages.Search(passages.words, length, gram, b" ", False, HOT)
     rows, ranges = passages.repeated(docs.select("doc_id", "text"), search, _match, True)
     new = ["n_words", "n_removed", "spans", "kept"]
     docs = docs.drop(*new)

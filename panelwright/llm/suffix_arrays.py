@@ -26,6 +26,9 @@ from .tokens import mix
 
 LENGTH, GRAM, SHARD_BYTES, WIDE_ALPHABET = 200, 64, 1 << 19, 1024
 
+#: At most so many stretches of some 280 bytes meet in one shard.
+HOT = 500
+
 
 def _smaller(t: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than their successor; the last one counts as smaller."""
@@ -238,7 +241,7 @@ def _match(batches: Iterator[pa.RecordBatch], search: passages.Search) -> Iterat
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed bytes, [from, to)) and kept (the remaining bytes) for each row."""
-    search = passages.Search(passages.single_bytes, length, gram, b"", True)
+    search = passages.Search(passages.single_bytes, length, gram, b"", True, HOT)
     rows, ranges = passages.repeated(docs, search, _match, False)
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
