@@ -20,7 +20,6 @@ from .common import per_piece, written
 
 CALL = "conv_id long, turn long, call_id string, name string, arguments string, waits_for array<string>"
 RESULT = "conv_id long, turn long, call_id string, content string"
-ROUNDS = 1000
 
 
 def valid(arguments: str | None, schema: dict | None) -> tuple[str | None, str]:
@@ -55,20 +54,25 @@ def valid(arguments: str | None, schema: dict | None) -> tuple[str | None, str]:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, cyclic) for the calls whose waits_for names a later call; others have level 0."""
+    """(conv_id, call_id, level, cyclic) for conversations in which a call waits for a later one; others need no search.
+
+    Each round settles the calls all of whose waited-for calls are settled; what remains is held by a cycle.
+    """
     first = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"), F.min_by("waits_for", "turn").alias("waits_for"))
     edges = first.select("conv_id", "call_id", "turn", F.explode("waits_for").alias("on")).join(first.select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("on_turn")), ["conv_id", "on"])
-    late = written(edges.where("on_turn >= turn").select("conv_id", "call_id", "on").distinct(), "waits")
-    level = late.select("conv_id", "call_id").union(late.select("conv_id", F.col("on").alias("call_id"))).distinct().withColumn("level", F.lit(0))
-    rounds = 0
-    n = level.count()
-    while n and rounds <= min(n, ROUNDS):
-        step = late.join(level.withColumnRenamed("call_id", "on"), ["conv_id", "on"]).groupBy("conv_id", "call_id").agg((F.max("level") + 1).alias("to"))
-        now = written(level.join(step, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.greatest("level", F.coalesce("to", F.lit(0))).alias("level"), (F.coalesce("to", F.lit(0)) > F.col("level")).alias("moved")), "levels")
-        level, rounds = now.drop("moved"), rounds + 1
-        if not now.where("moved").limit(1).count():
-            break
-    return level.withColumn("cyclic", F.col("level") >= min(n, ROUNDS))
+    late = edges.where("on_turn >= turn").select("conv_id").distinct()
+    edges = written(edges.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "on").distinct(), "waits")
+    state = edges.select("conv_id", "call_id").union(edges.select("conv_id", F.col("on").alias("call_id"))).distinct().withColumn("level", F.lit(None).cast("int"))
+    level = 0
+    while True:
+        unsettled = state.where("level is null").select("conv_id", F.col("call_id").alias("on"))
+        held = edges.join(unsettled, ["conv_id", "on"]).select("conv_id", "call_id").distinct().withColumn("held", F.lit(True))
+        ready = F.col("level").isNull() & F.col("held").isNull()
+        now = written(state.join(held, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.when(ready, level).otherwise(F.col("level")).alias("level"), ready.alias("moved")), "levels")
+        state, moved = now.drop("moved"), now.where("moved").limit(1).count()
+        if not moved:
+            return state.select("conv_id", "call_id", F.coalesce("level", F.lit(level)).alias("level"), F.col("level").isNull().alias("cyclic"))
+        level += 1
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

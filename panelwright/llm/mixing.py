@@ -98,7 +98,8 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     A text taken whole is unchanged; of one cut by a block's end the taken words are joined by a space.
     Rows of one doc_id and size share their copies when they repeat a document.
     """
-    plan = mix(docs, seed).where("taken > 0").select("doc_id", F.col("size").alias("_size"), "source", F.explode("copies").alias("_c"), F.row_number().over(W.partitionBy("doc_id", "size", "source").orderBy("start")).alias("_nth"))
+    plan = mix(docs, seed).select("doc_id", F.col("size").alias("_size"), "source", "copies", F.row_number().over(W.partitionBy("doc_id", "size", "source").orderBy("start")).alias("_nth"))
+    plan = plan.select("doc_id", "_size", "source", "_nth", F.explode("copies").alias("_c"))
     at = W.partitionBy("doc_id", "_size", "source").orderBy(F.xxhash64("text"))
     own = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_nth", F.row_number().over(at))
     p, d = plan.alias("p"), own.alias("d")
