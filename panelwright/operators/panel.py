@@ -116,3 +116,9 @@ def schema_findings(df: DataFrame, expected: dict[str, str]) -> list[tuple[str,
 def wide(bars: DataFrame, codes: list[str], field: str = "close") -> DataFrame:
     """One column for each listed code on a common date index; the last row of a date counts."""
     return bars.groupBy("date").pivot("code", codes).agg(F.max_by(field, "date"))
+
+
+def minute_schema(raw: DataFrame, source: str) -> DataFrame:
+    """Minute rows in the fixed schema: tolerant casts, missing columns null, the source stamped."""
+    have = {c: F.expr(f"try_cast(`{c}` as double)") if c in raw.columns else F.lit(None).cast("double") for c in [*PRICES, "volume", "amount"]}
+    return raw.select(F.expr("try_cast(datetime as timestamp)").alias("datetime"), F.col("code").cast("string").alias("code"), *(e.alias(c) for c, e in have.items()), F.lit(source).alias("source"))

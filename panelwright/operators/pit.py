@@ -105,3 +105,14 @@ def stale(last_event: DataFrame, stored: DataFrame, codes: DataFrame) -> DataFra
     e, s = last_event.groupBy("code").agg(F.max("date").alias("e")), stored.groupBy("code").agg(F.max("date").alias("s"))
     rows = codes.select("code").distinct().join(e, "code", "left").join(s, "code", "left")
     return rows.select("code", (F.col("s").isNull() | F.coalesce(F.col("e") > F.col("s"), F.lit(False))).alias("refresh"))
+
+
+def load(bars: DataFrame, factors: DataFrame, start: str, end: str, mode: str = "none") -> DataFrame:
+    """Adjusted bars of a closed range; without adjustment they carry cum_factor."""
+    return adjust(bars, factors, mode).where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def rename_history(renames: DataFrame) -> DataFrame:
+    """(code, change_date, name, nth): each code's names in order; dates before 1990 or after 2100 go."""
+    rows = renames.where((F.year("change_date") >= 1990) & (F.year("change_date") <= 2100))
+    return rows.select("code", "change_date", "name", F.row_number().over(W.partitionBy("code").orderBy("change_date", "name")).alias("nth"))

@@ -30,3 +30,22 @@ def minutes(bars: DataFrame, target: int, base: int = 1) -> DataFrame:
     rn = F.row_number().over(W.partitionBy("code", day).orderBy("datetime"))
     rows = bars.withColumn("_day", day).withColumn("_bin", F.floor((rn - 1) / k))
     return rows.groupBy("code", "_day", "_bin").agg(F.max("datetime").alias("datetime"), *_bars("datetime")).drop("_day", "_bin")
+
+
+def from_base(min1: DataFrame, min5: DataFrame, target: int) -> DataFrame:
+    """Multiples of 5 come from five-minute rows for the codes that have any, all else from one-minute rows."""
+    if target % 5:
+        return minutes(min1, target)
+    has = min5.select("code").distinct()
+    return minutes(min5, target, 5).unionByName(minutes(min1.join(F.broadcast(has), "code", "left_anti"), target))
+
+
+def sliced(bars: DataFrame, unit: str, start: str, end: str) -> DataFrame:
+    """daily() over a closed range; bars stamped outside it go."""
+    inside = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    return daily(bars.where(inside), unit).where(inside)
+
+
+def with_daily(minute_rows: DataFrame, days: DataFrame, cols: list[str]) -> DataFrame:
+    """Minute rows with the given columns of their code's day; null where the day is absent."""
+    return minute_rows.withColumn("date", F.to_date("datetime")).join(days.select("code", "date", *cols), ["code", "date"], "left")

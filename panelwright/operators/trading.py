@@ -153,3 +153,15 @@ def force_close(held: DataFrame, bars: DataFrame, days: DataFrame) -> DataFrame:
 def order_size(value: Column, weight: float, price: Column) -> Column:
     """Shares, in lots, for a share of a portfolio's value; 0 below one lot."""
     return lots(value * weight / price)
+
+
+def intents(held: DataFrame) -> DataFrame:
+    """(date, code, side, place): the orders of each day, sells before buys, from positions()."""
+    side = F.when(F.col("event") == "exit", -1).when(F.col("event") == "entry", 1)
+    rows = held.where("event is not null").select("date", "code", side.alias("side"))
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("date").orderBy("side", "code")))
+
+
+def equity_curve(days: DataFrame, capital: float) -> DataFrame:
+    """(date, equity) from account(): the total over the capital."""
+    return days.select("date", (F.col("total") / capital).alias("equity"))

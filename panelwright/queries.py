@@ -722,3 +722,214 @@ def _(t: Views) -> DataFrame:
 @query("inc2_next_start", "select c.code, (select min(date) from calendar k where k.date > b.d) as start from securities c join (select code, max(date) as d from bars group by code) b using (code) where delist_date is null union all select code, date '1990-12-19' from securities where code not in (select code from bars)")
 def _(t: Views) -> DataFrame:
     return master.next_start(t("bars"), t("securities").select("code", "delist_date"), t("calendar"))
+
+
+# --- limits, suspension, resampling and loading: variants ------------------------------------------
+
+ST_ROWS = f"(select code, date, contains(upper(replace(name, ' ', '')), 'ST') as st from ({NAMES}))"
+
+
+@query("lim1_ratios", f"select code, date, {RATIO} as limit_ratio from {ST_ROWS}", "limit_ratio")
+def _(t: Views) -> DataFrame:
+    return limits.ratios(t("bars"), t("renames"), t("securities")).select("code", "date", "limit_ratio")
+
+
+def _given_limits(t: Views) -> DataFrame:
+    given = F.dayofmonth("date") % 3 != 0
+    rows = limits.ratios(t("bars"), t("renames"), t("securities"))
+    return rows.withColumns({"limit_up": F.when(given, F.col("close") * 1.5), "limit_down": F.when(given, F.col("close") * 0.5)})
+
+
+GIVEN = {"up": "case when day(date) % 3 <> 0 then close * 1.5 end", "down": "case when day(date) % 3 <> 0 then close * 0.5 end"}
+
+
+@query("lim3_fill", f"select code, date, coalesce({GIVEN['up']}, limit_up) as limit_up, coalesce({GIVEN['down']}, limit_down) as limit_down from ({LIMITS})", "limit_up limit_down")
+def _(t: Views) -> DataFrame:
+    return limits.fill_limits(_given_limits(t)).select("code", "date", "limit_up", "limit_down")
+
+
+@query("lim4_recompute", f"select code, date, coalesce(limit_up, {GIVEN['up']}) as limit_up, coalesce(limit_down, {GIVEN['down']}) as limit_down from ({LIMITS})", "limit_up limit_down")
+def _(t: Views) -> DataFrame:
+    return limits.recompute_limits(_given_limits(t)).select("code", "date", "limit_up", "limit_down")
+
+
+@query("lim5_new_listings", f"""select code, date, n as days_listed, case when n <= (case when code like '%.BJ' then 1 else 5 end) and n >= 1 then null else {RATIO} end as limit_ratio from (
+  select b.code, b.date, contains(upper(replace(s.name, ' ', '')), 'ST') as st, (select count(*) from calendar c where c.date between s.list_date and b.date) as n from bars b join securities s using (code))""", "limit_ratio")
+def _(t: Views) -> DataFrame:
+    rows = limits.days_listed(t("bars").select("code", "date"), t("securities"), t("calendar"))
+    return rows.select("code", "date", "days_listed", C.limit_ratio(F.col("code"), C.special_treatment(F.col("name")), F.col("days_listed")).alias("limit_ratio"))
+
+
+@query("sus1_by_day", "select date, string_agg(distinct code, ',' order by code) as codes from suspensions group by date")
+def _(t: Views) -> DataFrame:
+    return limits.suspended_by_day(t("suspensions"))
+
+
+@query("sus2_confirmed", f"select a.code, a.date, a.close is null and s.code is not null as confirmed from ({ALIGN}) a left join suspensions s using (code, date)")
+def _(t: Views) -> DataFrame:
+    return limits.confirmed(panel.align(t("bars"), t("calendar")), F.col("close").isNull(), t("suspensions")).select("code", "date", "confirmed")
+
+
+TEN = """select code, max(datetime) as datetime, min_by(open, datetime) as open, max(high) as high, min(low) as low, max_by(close, datetime) as close, sum(volume) as volume, sum(amount) as amount
+  from (select *, (row_number() over (partition by code, cast(datetime as date) order by datetime) - 1) // 10 as bin from minute_bars) group by code, cast(datetime as date), bin"""
+
+
+@query("rsm3_from_base", TEN, P)
+def _(t: Views) -> DataFrame:
+    five = resample.minutes(t("minute_bars"), 5).where(F.length("code") % 2 == 0)
+    return resample.from_base(t("minute_bars"), five, 10)
+
+
+@query("rsm4_sliced", f"select code, {BARS_OF} from bars where date between date '1994-02-03' and date '1997-10-15' group by code, date_trunc('month', date)", P)
+def _(t: Views) -> DataFrame:
+    return resample.sliced(t("bars"), "month", "1994-02-03", "1997-10-15")
+
+
+MINUTE_DAYS = "(select code, cast(datetime as date) as date, max(high) as limit_up, min(low) as limit_down from minute_bars where day(datetime) % 2 = 0 group by all)"
+
+
+@query("rsm5_with_daily", f"select m.code, m.datetime, m.close, d.limit_up, d.limit_down from minute_bars m left join {MINUTE_DAYS} d on d.code = m.code and d.date = cast(m.datetime as date)", "close limit_up limit_down")
+def _(t: Views) -> DataFrame:
+    m = t("minute_bars")
+    days = m.where(F.dayofmonth("datetime") % 2 == 0).groupBy("code", F.to_date("datetime").alias("date")).agg(F.max("high").alias("limit_up"), F.min("low").alias("limit_down"))
+    return resample.with_daily(m, days, ["limit_up", "limit_down"]).select("code", "datetime", "close", "limit_up", "limit_down")
+
+
+@query("cln2_coerce", "select code, date, case when day(date) % 5 <> 0 then close end as close, volume, day(date) % 2 = 0 and volume > 2000 as is_suspended from bars", "close volume")
+def _(t: Views) -> DataFrame:
+    day = F.dayofmonth("date")
+    raw = t("bars").select("code", "date", F.when(day % 5 == 0, "n/a").otherwise(F.col("close").cast("string")).alias("close"), F.col("volume").cast("string").alias("volume"), F.when(day % 2 == 0, (F.col("volume") > 2000).cast("string")).alias("is_suspended"))
+    return panel.coerce(raw, ["close", "volume"], ["is_suspended"])
+
+
+@query("cln4_mask", f"select code, date, {', '.join(f'case when not is_suspended then {c} end as {c}' for c in P.split())}, is_suspended, ingest_seq from bars_dirty", P)
+def _(t: Views) -> DataFrame:
+    return panel.mask_suspended(t("bars_dirty"))
+
+
+@query("cln8_minute_schema", f"select datetime, code, {', '.join(P.split())}, 'feed' as source from minute_bars", P)
+def _(t: Views) -> DataFrame:
+    return panel.minute_schema(t("minute_bars"), "feed")
+
+
+@query("pit4_load", f"select code, date, close, cum_factor from ({ALIGNED}) where date between date '1994-02-03' and date '1997-10-15'", "close cum_factor")
+def _(t: Views) -> DataFrame:
+    return pit.load(t("bars"), _factors(t), "1994-02-03", "1997-10-15").select("code", "date", "close", "cum_factor")
+
+
+@query("pit14_rename_history", "select code, change_date, name, row_number() over (partition by code order by change_date, name) as nth from renames where year(change_date) between 1990 and 2100")
+def _(t: Views) -> DataFrame:
+    return pit.rename_history(t("renames")).withColumn("nth", F.col("nth").cast("long"))
+
+
+@query("tec9_panel", f"""select date, max(value) filter (code = '600005.SH') as a, max(value) filter (code = '000001.SZ') as b from (
+  select code, date, case when n >= 20 then avg(close) over (partition by code order by date rows between 19 preceding and current row) end as value from ({NUM})) group by date""", "a b")
+def _(t: Views) -> DataFrame:
+    return panel.wide(technical.sma(t("bars")), ["600005.SH", "000001.SZ"], "value").toDF("date", "a", "b")
+
+
+ROE = "(select code, pub_date as date, roe as value from fundamentals)"
+
+
+@query("nrm6_composite", f"""select date, code, value, row_number() over (partition by date order by value desc nulls last, code) as place from (
+  select date, code, avg(value) as value from (select code, date, {NORMS['rank']} as value from {EY} window w as (partition by date) union all select code, date, {NORMS['rank']} from {ROE} window w as (partition by date)) group by date, code) qualify place <= 20""", "value")
+def _(t: Views) -> DataFrame:
+    parts = [fundamental.normalise(fundamental.value_of(t("fundamentals"), name), "rank") for name in ("earnings_yield", "roe")]
+    return fundamental.composite(parts, 20).select("date", "code", "value", F.col("place").cast("long").alias("place"))
+
+
+# --- orders, positions, risk: variants ---------------------------------------------------------------
+
+
+@query("ord1_tradable", f"select code, date, coalesce(not is_suspended and open > 0, false) as tradable from ({LAST})")
+def _(t: Views) -> DataFrame:
+    rows = panel.last_arrived(t("bars_dirty"), ["code", "date"], "ingest_seq")
+    return rows.select("code", "date", C.tradable(F.col("is_suspended"), F.col("open")).alias("tradable"))
+
+
+@query("ord2_locked", f"""select code, date, coalesce(abs(b.high - b.low) <= greatest(0.005, b.high * 0.001) and abs(b.high - limit_up) <= greatest(0.005, limit_up * 0.001), false) as up,
+  coalesce(abs(b.high - b.low) <= greatest(0.005, b.high * 0.001) and abs(b.low - limit_down) <= greatest(0.005, limit_down * 0.001), false) as down from bars b join ({LIMITS}) using (code, date)""")
+def _(t: Views) -> DataFrame:
+    rows = limits.limit_prices(limits.ratios(t("bars"), t("renames"), t("securities")))
+    flag = lambda limit, reach: C.locked(F.col("high"), F.col("low"), F.col(limit), F.col(reach))
+    return rows.select("code", "date", flag("limit_up", "high").alias("up"), flag("limit_down", "low").alias("down"))
+
+
+@query("ord4_volume_cap", "select code, date, case when volume > 0 then cast(floor(volume * 0.1) as bigint) end as cap from bars_dirty")
+def _(t: Views) -> DataFrame:
+    return t("bars_dirty").select("code", "date", C.volume_cap(F.col("volume"), 0.1).alias("cap"))
+
+
+@query("ord9_intents", f"select date, code, side, row_number() over (partition by date order by side, code) as place from (select date, code, case event when 'exit' then -1 else 1 end as side from ({HELD}) where event is not null)")
+def _(t: Views) -> DataFrame:
+    s = signals.executable(signals.align(signals.close_vs_means(t("bars")), t("bars"), t("bars")))
+    return trading.intents(trading.positions(s, t("bars"))).withColumn("place", F.col("place").cast("long"))
+
+
+@query("pos2_force_close", """select code, (select min(date) from calendar c where c.date > e.last) as date, shares, price from (select code, max(date) as last, max_by(close, date) as price from bars group by code) e
+  join (select code, cast(sum(side * shares) as bigint) as shares from fills group by code) using (code) where shares > 0 and e.last < (select max(date) from calendar)""", "price")
+def _(t: Views) -> DataFrame:
+    return trading.force_close(trading.holdings(t("fills"), t("bars")), t("bars"), t("calendar"))
+
+
+@query("pos8_daily_positions", f"select g.code, g.date, cast(coalesce(sum(net) over (partition by g.code order by g.date), 0) as bigint) as shares from {GRID} g left join ({DAYNET}) using (code, date)")
+def _(t: Views) -> DataFrame:
+    grid = signals.align(t("bars").select("code", "date", F.lit(0).alias("signal")), t("bars"), t("bars"))
+    return trading.holdings(t("fills"), grid).withColumn("shares", F.col("shares").cast("long"))
+
+
+@query("pos9_equity_curve", f"""select date, (1e9 + sum(coalesce(flow, 0)) over (order by date) + value) / 1e9 as equity from (select date, sum(value) as value from ({VALUE}) group by date)
+  left join (select date, sum(-side * shares * price) as flow from fills group by date) using (date)""", "equity")
+def _(t: Views) -> DataFrame:
+    values = trading.market_value(trading.holdings(t("fills"), t("bars")), t("bars"))
+    return trading.equity_curve(trading.account(t("fills"), values, 1e9), 1e9)
+
+
+RATIOS = f"(select code, date, case when r > 1.001 then r else 1.0 end as ratio from (select code, date, cum_factor / lag(cum_factor) over (partition by code order by date) as r from ({ALIGNED})))"
+
+
+@query("pos11_apply_splits", f"select v.code, v.date, cast(floor(v.shares * r.ratio + 1e-9) as bigint) as shares from ({VALUE}) v join {RATIOS} r using (code, date)")
+def _(t: Views) -> DataFrame:
+    ratios = trading.split_ratio(pit.align_factors(t("bars"), _factors(t)))
+    return trading.apply_splits(trading.holdings(t("fills"), t("bars")), ratios)
+
+
+@query("pos12_dividends", f"select v.code, v.date, v.shares * r.dividend / 10 as credit from ({VALUE}) v join ({RIGHTS}) r using (code, date)", "credit")
+def _(t: Views) -> DataFrame:
+    return trading.dividends(trading.holdings(t("fills"), t("bars")), pit.ex_rights(t("corp_events_raw")))
+
+
+@query("pos13_unadjustable", "select code, count(*) filter (day(date) % 2 = 0 and k % 3 > 0) as n from bars group by code having n > 0")
+def _(t: Views) -> DataFrame:
+    rows = t("bars").select("code", F.when(F.dayofmonth("date") % 2 == 1, 1.0).alias("cum_factor"), (1.0 + F.col("k") % 3).alias("adj_factor"))
+    return trading.unadjustable(rows)
+
+
+@query("rsk3_admit", f"""select f.code, f.date, f.side, not h.halted and not (s.stopped and f.side > 0) as admitted from fills f join (select date, max(case when drawdown <= -0.15 + 1e-9 then 1 else 0 end) over (order by date) = 1 as halted from {DD}) h using (date)
+  join (select date, coalesce(equity / lag(equity) over (order by date) - 1 <= -0.05 + 1e-9, false) as stopped from equity) s using (date)""")
+def _(t: Views) -> DataFrame:
+    e = t("equity").withColumn("id", F.lit(1))
+    flags = performance.drawdown(e, ["id"], 0.15).join(performance.day_stop(e, ["id"], 0.05).select("date", "stopped"), "date")
+    return performance.admit(t("fills"), flags).select("code", "date", "side", "admitted")
+
+
+@query("rsk4_clip", """with p as (select code, max_by(close, date) as price from bars group by code), h as (select code, sum(side * shares) * p.price as value from fills join p using (code) group by code, p.price),
+  r as (select p.code, p.price, least(1e6 - coalesce(h.value, 0), 3e6 - coalesce(i.value, 0)) as room from p join codes c using (code) left join h using (code) left join (select industry, sum(value) as value from h join codes using (code) group by industry) i using (industry))
+  select code, cast(least(5000, case when room <= 100 * price then 0 else floor(room / (100 * price)) * 100 end) as bigint) as allowed from r""")
+def _(t: Views) -> DataFrame:
+    last = t("bars").groupBy("code").agg(F.max_by("close", "date").alias("price"))
+    held = t("fills").groupBy("code").agg(F.sum(F.col("side") * F.col("shares")).alias("n")).join(last, "code").select("code", (F.col("n") * F.col("price")).alias("value"))
+    orders = last.select("code", F.lit(5000).alias("shares"), "price")
+    return performance.clip(orders, held, t("codes").select("code", "industry"), 1e7, 0.1, 0.3).select("code", "allowed")
+
+
+@query("prf1_returns", "select date, equity, equity / lag(equity) over (order by date) - 1 as ret from equity", "equity ret")
+def _(t: Views) -> DataFrame:
+    return performance.returns(t("equity").withColumn("id", F.lit(1)), ["id"]).drop("id")
+
+
+@query("prf6_trade_statistics", f"""select year(entry_date) as year, count(*) as n_trades, count(*) filter (pnl > 0) * 1.0 / count(*) as win_rate,
+  coalesce(avg(pnl) filter (pnl > 0) / abs(avg(pnl) filter (pnl < 0)), 0.0) as profit_loss, avg(days) as mean_days from ({TRADES}) group by 1""", "win_rate profit_loss mean_days")
+def _(t: Views) -> DataFrame:
+    trades = backtest.sleeves(t("bars"), signals.close_vs_means(t("bars")))
+    return performance.trade_statistics(trades.withColumn("year", F.year("entry_date").cast("long")), ["year"])
