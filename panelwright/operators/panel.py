@@ -86,6 +86,14 @@ def continuity(bars: DataFrame, calendar: DataFrame, most: int = 60) -> DataFram
     return found.withColumn("flagged", F.col("longest_gap") > most)
 
 
+def scan_summary(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(check, codes, passed, findings) of the null audit, the price rules and the continuity of daily bars."""
+    nulls = null_audit(bars).select(F.lit("nulls").alias("check"), sum((F.col(f"{c}_nulls") for c in [*PRICES, "volume", "amount"]), F.lit(0)).alias("n"))
+    logic = price_logic(bars).select(F.lit("price logic").alias("check"), (F.col("high_low") + F.col("low_high") + F.col("negative")).alias("n"))
+    gaps = continuity(bars, calendar).select(F.lit("continuity").alias("check"), (F.col("off_calendar") + F.col("flagged").cast("int")).alias("n"))
+    return nulls.union(logic).union(gaps).groupBy("check").agg(F.count("*").alias("codes"), F.count_if(F.col("n") == 0).alias("passed"), F.sum("n").alias("findings"))
+
+
 def session_check(minutes: DataFrame) -> DataFrame:
     """Rows outside the two trading sessions, by code."""
     t = F.date_format("datetime", "HH:mm")

@@ -50,15 +50,16 @@ def returns(equity: DataFrame, key: list[str]) -> DataFrame:
     return equity.withColumn("ret", F.col("equity") / F.lag("equity").over(_by(key)) - 1)
 
 
-def summary(equity: DataFrame, key: list[str], risk_free: float = 0.0, year: float = YEAR) -> DataFrame:
+def summary(equity: DataFrame, key: list[str], risk_free: float = 0.0, year: float = YEAR, sharpe_year: float | None = None) -> DataFrame:
     """total and annual return, sharpe, max_drawdown and calmar of each scenario; its first equity stands for 1."""
+    often = sharpe_year or year
     rows = drawdown(returns(equity, key), key)
     agg = rows.groupBy(*key).agg(
         (F.max_by("equity", "date") / F.min_by("equity", "date")).alias("growth"), F.count("*").alias("n"),
-        F.avg(F.col("ret") - risk_free / year).alias("_m"), F.stddev_samp(F.col("ret") - risk_free / year).alias("_s"), F.min("drawdown").alias("max_drawdown"),
+        F.avg(F.col("ret") - risk_free / often).alias("_m"), F.stddev_samp(F.col("ret") - risk_free / often).alias("_s"), F.min("drawdown").alias("max_drawdown"),
     )
     annual = F.when(F.col("growth") <= 0, -1.0).when(F.col("n") > 1, F.pow("growth", year / (F.col("n") - 1)) - 1).otherwise(0.0)
-    sharpe = F.when((F.col("n") > 2) & (F.col("_s") >= 1e-12), F.col("_m") / F.col("_s") * F.sqrt(F.lit(float(year)))).otherwise(0.0)
+    sharpe = F.when((F.col("n") > 2) & (F.col("_s") >= 1e-12), F.col("_m") / F.col("_s") * F.sqrt(F.lit(float(often)))).otherwise(0.0)
     out = agg.select(*key, "n", (F.col("growth") - 1).alias("total_return"), annual.alias("annual_return"), sharpe.alias("sharpe"), "max_drawdown")
     return out.withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("annual_return") / F.abs("max_drawdown")).otherwise(0.0))
 
@@ -94,6 +95,12 @@ def bars_per_year(stamps: DataFrame) -> DataFrame:
     return one.select(F.greatest(F.lit(1.0), F.when(F.col("span") >= 365, F.col("yearly")).otherwise(F.col("daily"))).alias("bars_per_year"))
 
 
+def intraday_summary(equity: DataFrame, key: list[str]) -> DataFrame:
+    """summary() of equity by `datetime`, annualised by its own bars a year (a whole number for the Sharpe ratio)."""
+    year = bars_per_year(equity.select("datetime").distinct()).first()[0]
+    return summary(equity.withColumnRenamed("datetime", "date"), key, year=year, sharpe_year=round(year))
+
+
 def folds(calendar: DataFrame, n: int) -> DataFrame:
     """(fold, train_start, train_end, test_start, test_end): growing training spans, equal tests, the last takes the rest."""
     days = calendar.select("date").distinct().withColumn("i", F.row_number().over(W.orderBy("date")) - 1)
@@ -112,3 +119,12 @@ def best_by_fold(train: DataFrame, test: DataFrame, metric: str = "sharpe") -> D
     w = W.partitionBy("fold").orderBy(F.desc_nulls_last(metric), "param_id")
     best = train.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("fold", "param_id", F.col(metric).alias("train_metric"))
     return best.join(test.select("fold", "param_id", F.col(metric).alias("test_metric")), ["fold", "param_id"], "left")
+
+
+def walk_forward(train: DataFrame, test: DataFrame, metric: str = "sharpe") -> DataFrame:
+    """best_by_fold() with the mean test metric of all folds and a warning where a fold's test had no trade.
+
+    A row for each fold: the window over all of them has one task.
+    """
+    best = best_by_fold(train, test, metric)
+    return best.withColumns({"mean_test": F.avg("test_metric").over(W.partitionBy()), "no_trades": F.col("test_metric").isNull()})

@@ -682,8 +682,11 @@ def _(t: Views) -> DataFrame:
     return performance.bars_per_year(t("minute_bars").select("datetime").distinct())
 
 
-@query("opt1_folds", """with d as (select date, row_number() over (order by date) - 1 as i, count(*) over () as n from calendar), p as (select least(i // (n // 5), 4) as fold, min(date) as lo, max(date) as hi from d group by 1)
-  select cast(fold as int) as fold, min(lo) over (order by fold) as train_start, lag(hi) over (order by fold) as train_end, lo as test_start, hi as test_end from p qualify fold > 0""")
+FOLDS = """with d as (select date, row_number() over (order by date) - 1 as i, count(*) over () as n from calendar), p as (select least(i // (n // 5), 4) as fold, min(date) as lo, max(date) as hi from d group by 1)
+  select cast(fold as int) as fold, min(lo) over (order by fold) as train_start, lag(hi) over (order by fold) as train_end, lo as test_start, hi as test_end from p qualify fold > 0"""
+
+
+@query("opt1_folds", FOLDS)
 def _(t: Views) -> DataFrame:
     return performance.folds(t("calendar"), 4)
 
@@ -933,3 +936,76 @@ def _(t: Views) -> DataFrame:
 def _(t: Views) -> DataFrame:
     trades = backtest.sleeves(t("bars"), signals.close_vs_means(t("bars")))
     return performance.trade_statistics(trades.withColumn("year", F.year("entry_date").cast("long")), ["year"])
+
+
+# --- reading, terms of orders, intraday measures and selection --------------------------------------
+
+
+@query("src1_sourced", "select code, date, case when day(date) % 2 = 0 then 'feed' else 'legacy' end as source from bars")
+def _(t: Views) -> DataFrame:
+    return store.sourced(t("bars").select("code", "date", F.when(F.dayofmonth("date") % 2 == 0, "feed").alias("source")))
+
+
+@query("src3_tidy_factors", "select code, date, close as cum_factor from bars where day(date) not in (13, 14)", "cum_factor")
+def _(t: Views) -> DataFrame:
+    day = F.dayofmonth("date")
+    return store.tidy_factors(t("bars").select("code", F.when(day != 14, F.col("date").cast("string")).alias("date"), F.when(day == 13, "n/a").otherwise(F.col("close").cast("string")).alias("cum_factor")))
+
+
+@query("src7_security_class", """select file, case when ex = 'bj' then 'BJ_A_STOCK' when ex = 'sz' and h in ('00', '30') then 'SZ_A_STOCK' when ex = 'sz' and h = '20' then 'SZ_B_STOCK' when ex = 'sz' and h = '39' then 'SZ_INDEX' when ex = 'sz' and h in ('15', '16') then 'SZ_FUND'
+    when ex = 'sz' and h between '10' and '14' then 'SZ_BOND' when ex = 'sh' and h in ('60', '68') then 'SH_A_STOCK' when ex = 'sh' and h = '90' then 'SH_B_STOCK' when ex = 'sh' and h in ('00', '88', '99') then 'SH_INDEX' when ex = 'sh' and h in ('50', '51') then 'SH_FUND'
+    when ex = 'sh' and (h = '01' or h between '10' and '14') then 'SH_BOND' end as class
+  from (select *, left(file, 2) as ex, substring(file, 3, 2) as h from (select concat(lower(right(code, 2)), lpad(cast(k % 100 as varchar(10)), 2, '0'), substring(code, 3, 4), '.day') as file from codes))""")
+def _(t: Views) -> DataFrame:
+    file = F.concat(F.lower(F.right("code", F.lit(2))), F.lpad((F.col("k") % 100).cast("string"), 2, "0"), F.substring("code", 3, 4), F.lit(".day"))
+    return t("codes").select(file.alias("file")).withColumn("class", store.security_class(F.col("file")))
+
+
+@query("ord3_clamped_price", f"""select code, date, greatest(least(ceil((b.open + greatest(b.open * 0.001, 0.01)) / 0.01 - 1e-9) * 0.01, coalesce(limit_up, 1e18)), coalesce(limit_down, 0)) as buy,
+  greatest(least(greatest(floor((b.open - greatest(b.open * 0.001, 0.01)) / 0.01 + 1e-9) * 0.01, 0.01), coalesce(limit_up, 1e18)), coalesce(limit_down, 0)) as sell, greatest(least(b.open, coalesce(limit_up, 1e18)), coalesce(limit_down, 0)) as gap from bars b join ({LIMITS}) using (code, date)""", "buy sell gap")
+def _(t: Views) -> DataFrame:
+    rows = limits.limit_prices(limits.ratios(t("bars"), t("renames"), t("securities")))
+    price = lambda side, **more: C.fill_price(F.col("open"), F.lit(side), limit_up=F.col("limit_up"), limit_down=F.col("limit_down"), **more)
+    return rows.select("code", "date", price(1).alias("buy"), price(-1).alias("sell"), price(1, gap=True).alias("gap"))
+
+
+@query("ord5_fee", "select code, seq, side, greatest(shares * price * 0.0003 + case when side < 0 then shares * price * 0.001 else 0.0 end, 5.0) as fee from fills", "fee")
+def _(t: Views) -> DataFrame:
+    return t("fills").select("code", "seq", "side", C.fee(F.col("shares") * F.col("price"), F.col("side")).alias("fee"))
+
+
+@query("ord7_affordable", "select code, date, cast(greatest(0, least(floor((5000 + volume) / (100 * close * 1.0003)), floor((5000 + volume - 5) / (100 * close)))) * 100 as bigint) as shares from bars")
+def _(t: Views) -> DataFrame:
+    return t("bars").select("code", "date", C.affordable(5000 + F.col("volume"), F.col("close")).alias("shares"))
+
+
+@query("dq8_scan_summary", f"""select "check", count(*) as codes, count(*) filter (n = 0) as passed, cast(sum(n) as bigint) as findings from (
+  select 'nulls' as "check", {' + '.join(f'count(*) filter ({c} is null)' for c in P.split())} as n from bars_dirty group by code
+  union all select 'price logic', count(*) filter (high < greatest(low, open, close)) + count(*) filter (low > least(high, open, close)) + count(*) filter (volume < 0 or amount < 0) from bars_dirty group by code
+  union all select 'continuity', count(*) filter (r is null) + case when coalesce(max(gap), 0) > 60 then 1 else 0 end from (
+    select b.code, c.r, c.r - lag(c.r) over (partition by b.code, c.r is null order by b.date) - 1 as gap from (select distinct code, date from bars_dirty) b left join (select date, row_number() over (order by date) as r from calendar) c using (date)) group by code) group by 1""")
+def _(t: Views) -> DataFrame:
+    return panel.scan_summary(t("bars_dirty"), t("calendar"))
+
+
+MINUTE_EQUITY = "(select datetime, 1.0 + cast(cast(sum(volume) as bigint) // 100 % 7 as double) / 400 as equity from minute_bars group by datetime)"
+
+
+@query("prf9_intraday", f"""select n, g - 1 as total_return, pow(g, y / (n - 1)) - 1 as annual_return, m / s * sqrt(round(y)) as sharpe, mdd as max_drawdown, (pow(g, y / (n - 1)) - 1) / abs(mdd) as calmar from (
+  select count(*) as n, max_by(equity, datetime) / min_by(equity, datetime) as g, avg(r) as m, stddev_samp(r) as s, min(equity / peak - 1) as mdd from (select *, max(equity) over (order by datetime) as peak, equity / lag(equity) over (order by datetime) - 1 as r from {MINUTE_EQUITY})),
+  (select greatest(1.0, quantile_cont(c, 0.5) * 252) as y from (select count(*) as c from {MINUTE_EQUITY} group by cast(datetime as date)))""", "total_return annual_return sharpe max_drawdown calmar")
+def _(t: Views) -> DataFrame:
+    equity = t("minute_bars").groupBy("datetime").agg((1.0 + (F.sum("volume").cast("long") / 100 % 7) / 400).alias("equity"))
+    return performance.intraday_summary(equity.withColumn("id", F.lit(1)), ["id"]).drop("id")
+
+
+SCORES = f"select fold, cast(substring(code, 6, 1) as int) % 4 as param_id, avg(pnl_pct) as score from ({TRADES}) join ({FOLDS}) on entry_date between {{0}}_start and {{0}}_end group by 1, 2"
+
+
+@query("opt3_selection", f"""select fold, param_id, train_metric, test_metric, avg(test_metric) over () as mean_test, test_metric is null as no_trades from (
+  select a.fold, a.param_id, a.score as train_metric, b.score as test_metric from ({SCORES.format('train')} qualify row_number() over (partition by fold order by score desc nulls last, param_id) = 1) a left join ({SCORES.format('test')}) b on a.fold = b.fold and a.param_id = b.param_id)""", "train_metric test_metric mean_test")
+def _(t: Views) -> DataFrame:
+    trades = backtest.sleeves(t("bars"), signals.close_vs_means(t("bars"))).select("entry_date", "pnl_pct", (F.substring("code", 6, 1).cast("int") % 4).alias("param_id"))
+    spans = F.broadcast(performance.folds(t("calendar"), 4))
+    score = lambda k: trades.join(spans, F.col("entry_date").between(F.col(f"{k}_start"), F.col(f"{k}_end"))).groupBy("fold", "param_id").agg(F.avg("pnl_pct").alias("score"))
+    return performance.walk_forward(score("train"), score("test"), "score")

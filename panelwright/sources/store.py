@@ -23,9 +23,13 @@ CLASSES = {
 }
 
 
+def sourced(bars: DataFrame) -> DataFrame:
+    """Rows without a source, or all where the column is absent, are `legacy`."""
+    return bars.withColumn("source", F.coalesce("source", F.lit("legacy")) if "source" in bars.columns else F.lit("legacy"))
+
+
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Stored bars; rows without a source are `legacy`."""
-    return spark.read.parquet(path).withColumn("source", F.coalesce("source", F.lit("legacy")))
+    return sourced(spark.read.parquet(path))
 
 
 def write_bars(bars: DataFrame, path: str, mode: str = "append") -> None:
