@@ -5,7 +5,9 @@ longest way over the calls they wait for: a call that only waits for earlier tur
 others are settled in rounds, each round one join; what a cycle holds back is marked.  Arguments are
 checked against a schema for each tool.  Of several results for one call the first by turn counts and
 the rest are marked; of several calls with one identifier likewise.  Nulls: a call without conversation
-or identifier is kept and marked `unlinked`.  No group is gathered; an order is given by level and turn.
+or identifier is kept and marked `unlinked`.  Every turn has a row: calls, results, and the turns that are
+neither (system turns, those without a role, tool turns without an identifier, turns that hold inline
+calls), which have a status of their own.  No group is gathered; an order is given by level and turn.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from .common import per_piece, written
 
 CALL = "conv_id long, turn long, call_id string, name string, arguments string, waits_for array<string>"
 RESULT = "conv_id long, turn long, call_id string, content string"
+OTHER = "conv_id long, turn long, role string, status string, content string"
 
 
 def valid(arguments: str | None, schema: dict | None) -> tuple[str | None, str]:
@@ -75,8 +78,12 @@ def levels(calls: DataFrame) -> DataFrame:
         level += 1
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """A row for each call and each result without a call: conv_id, level, turn, call_id, status, problem, json."""
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], others: DataFrame | None = None) -> DataFrame:
+    """A row for each call, each result and each other turn: conv_id, level, turn, call_id, status, problem, json.
+
+    A call's row holds its first result too.  That result's own row has the status `result`, a later one's
+    `repeated result`; of equal results one is the first.
+    """
     calls = calls.select("conv_id", "turn", "call_id", "name", "arguments", "waits_for")
     results = results.select("conv_id", "turn", "call_id", "content")
     key = ["conv_id", "call_id"]
@@ -85,22 +92,47 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     owner = calls.where(named).groupBy(*key).agg(F.min("turn").alias("first_turn"))
     linked = calls.join(owner, key, "left").join(answer, key, "left").join(levels(calls), key, "left")
     status = F.when(~named, "unlinked").when(F.col("turn") > F.col("first_turn"), "repeated call").when(F.col("cyclic"), "cyclic").when(F.col("r").isNull(), "unanswered").when(F.col("r.turn") < F.col("turn"), "answered early").when(F.col("n_results") > 1, "answered again").otherwise("linked")
-    rows = linked.select("conv_id", F.coalesce("level", F.lit(0)).alias("level"), "turn", "call_id", status.alias("status"), "name", "arguments", F.col("r.content").alias("content"))
-    orphans = results.join(owner, key, "left_anti").select("conv_id", F.lit(0).alias("level"), "turn", "call_id", F.lit("orphan result").alias("status"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), "content")
+    null = lambda c: F.lit(None).cast("string").alias(c)
+    rows = linked.select("conv_id", F.coalesce("level", F.lit(0)).alias("level"), "turn", "call_id", status.alias("status"), F.lit("call").alias("kind"), null("role"), "name", "arguments", F.col("r.content").alias("content"))
+    copies = results.groupBy("conv_id", "turn", "call_id", "content").count().withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
+    first = (F.col("nth") == 1) & F.col("turn").eqNullSafe(F.col("r.turn")) & F.col("content").eqNullSafe(F.col("r.content"))
+    rank = F.when(F.col("owned").isNull(), "orphan result").when(first, "result").otherwise("repeated result")
+    told = copies.join(owner.select(*key, F.lit(True).alias("owned")), key, "left").join(answer, key, "left").select("conv_id", F.lit(0).alias("level"), "turn", "call_id", rank.alias("status"), F.lit("result").alias("kind"), null("role"), null("name"), null("arguments"), "content")
+    rows = rows.unionByName(told)
+    if others is not None:
+        rows = rows.unionByName(others.select("conv_id", F.lit(0).alias("level"), "turn", null("call_id"), "status", F.lit("turn").alias("kind"), "role", null("name"), null("arguments"), "content"))
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         problems, lines = [], []
         for r in piece.to_pylist():
-            args, wrong = (None, "") if r["status"] == "orphan result" else valid(r["arguments"], schemas.get(r["name"]))
-            entry = {"id": r["call_id"], "result": r["content"], "status": r["status"], "turn": r["turn"]}
-            if r["status"] != "orphan result":
+            args, wrong = valid(r["arguments"], schemas.get(r["name"])) if r["kind"] == "call" else (None, "")
+            entry = {"status": r["status"], "turn": r["turn"]} | ({"role": r["role"], "text": r["content"]} if r["kind"] == "turn" else {"id": r["call_id"], "result": r["content"]})
+            if r["kind"] == "call":
                 entry |= {"arguments": json.loads(args) if args is not None else r["arguments"], "name": r["name"]}
             problems.append(wrong)
             lines.append(json.dumps(entry, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
         keep = ["conv_id", "level", "turn", "call_id", "status"]
         return pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(problems, pa.string()), pa.array(lines, pa.string())], [*keep, "problem", "json"])
 
-    return per_piece(rows.unionByName(orphans), work, "conv_id long, level int, turn long, call_id string, status string, problem string, json string", "content")
+    return per_piece(rows, work, "conv_id long, level int, turn long, call_id string, status string, problem string, json string", "content")
+
+
+def _read(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text and `m`, what the text holds of inline calls or a result."""
+    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    made = F.from_json(F.when(F.contains("text", F.lit("tool_call")), F.col("text")), "tool_calls array<struct<id:string,name:string,arguments:string,waits_for:array<string>>>, tool_call_id string, content string")
+    return t.withColumn("m", made)
+
+
+def other_turns(turns: DataFrame) -> DataFrame:
+    """The turns of a conversation table that from_turns() takes neither as a call nor as a result.
+
+    A turn that holds inline calls is one, with its whole text; its calls have rows of their own.
+    """
+    role = F.col("role")
+    status = F.when(F.col("m.tool_calls").isNotNull(), "turn with calls").when(role.isNull(), "no role").when(role == "system", "system turn").when(role == "tool", "tool turn without id").otherwise("other role")
+    plain = F.coalesce(role.isin("user", "assistant"), F.lit(False)) & F.col("m.tool_calls").isNull()
+    return _read(turns).where(F.col("m.tool_call_id").isNull() & ~plain).select("conv_id", "turn", "role", status.alias("status"), F.col("text").alias("content"))
 
 
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,11 +142,9 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     read as such.  Otherwise a user's turn is a call of the tool `reply` with its text as argument, waiting
     for the user's turn two before, and an assistant's turn answers the turn before it.
     """
-    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    made = F.from_json(F.when(F.contains("text", F.lit("tool_call")), F.col("text")), "tool_calls array<struct<id:string,name:string,arguments:string,waits_for:array<string>>>, tool_call_id string, content string")
-    t = t.withColumn("m", made)
+    t = _read(turns)
     ident = lambda n: F.concat_ws("-", F.lit("t"), F.col("conv_id"), n)
-    said = t.where((F.col("role") == "user") & F.col("m.tool_calls").isNull()).select("conv_id", "turn", F.when(F.col("turn").isNotNull() & F.col("conv_id").isNotNull(), ident(F.col("turn"))).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("text")).alias("arguments"), F.array(ident(F.col("turn") - 2)).alias("waits_for"))
+    said = t.where((F.col("role") == "user") & F.col("m.tool_calls").isNull() & F.col("m.tool_call_id").isNull()).select("conv_id", "turn", F.when(F.col("turn").isNotNull() & F.col("conv_id").isNotNull(), ident(F.col("turn"))).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("text")).alias("arguments"), F.array(ident(F.col("turn") - 2)).alias("waits_for"))
     inline = t.where(F.col("m.tool_calls").isNotNull()).select("conv_id", "turn", F.explode("m.tool_calls").alias("c")).select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.coalesce("c.waits_for", F.array().cast("array<string>")).alias("waits_for"))
     replies = t.where((F.col("role") == "assistant") & F.col("m.tool_calls").isNull() & F.col("m.tool_call_id").isNull()).select("conv_id", "turn", F.when(F.col("turn").isNotNull() & F.col("conv_id").isNotNull(), ident(F.col("turn") - 1)).alias("call_id"), F.col("text").alias("content"))
     tool = t.where(F.col("m.tool_call_id").isNotNull()).select("conv_id", "turn", F.col("m.tool_call_id").alias("call_id"), F.coalesce("m.content", "text").alias("content"))

@@ -35,8 +35,8 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat.from_turns(_table(spark, sf_dir, "conversations"))
-    return chat.link(calls, results, chat.REPLY)
+    turns = _table(spark, sf_dir, "conversations")
+    return chat.link(*chat.from_turns(turns), chat.REPLY, chat.other_turns(turns))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.llm import chat, jaccard, language, licenses, mixing, near_vectors, packing, quality, substrings, suffix_arrays
+from panelwright.llm import chat, jaccard, language, licenses, mixing, near_vectors, packing, quality, queries, substrings, suffix_arrays
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, n long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -183,3 +183,26 @@ def test_chat(spark):
     got = {(r.call_id, r.turn): r for r in chat.link(calls, results, {"f": {"required": ["a"], "properties": {"a": {"type": "string"}}}}).collect()}
     assert got["a", 0].level == 1 and got["a", 0].status == "answered again" and got["a", 0].problem == "" and '"arguments":{"a":"é","x":1}' in got["a", 0].json
     assert got["b", 1].problem == "a is not string" and got["c", 2].status == "cyclic" and got["e", 4].status == "unlinked" and got["zz", 11].status == "orphan result" and got["b", 5].status == "repeated call"
+
+
+def test_chat_keeps_every_turn(spark):
+    inline = '{"content":"wait","tool_calls":[{"id":"x","name":"f","arguments":"{}"},{"id":"y","name":"f","arguments":"{}"}]}'
+    rows = [
+        (1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "ho"), (1, 3, None, "who?"), (1, 4, "assistant", inline), (1, 5, "tool", '{"tool_call_id":"x","content":"one"}'),
+        (1, 6, "tool", '{"tool_call_id":"x","content":"two"}'), (1, 6, "tool", '{"tool_call_id":"x","content":"two"}'), (1, 7, "tool", "no id"), (1, 8, "judge", None), (1, 9, "assistant", '{"tool_calls":[]}'), (None, None, "system", "lost"), (1, 10, "user", '{"tool_call_id":"y","content":"three"}'),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.link(*chat.from_turns(turns), chat.REPLY, chat.other_turns(turns)).collect()
+    assert len(got) == len(rows) + 2
+    seen = sorted((r.turn if r.turn is not None else -1, r.status) for r in got)
+    assert seen == [
+        (-1, "system turn"), (0, "system turn"), (1, "linked"), (2, "result"), (3, "no role"), (4, "answered again"), (4, "linked"), (4, "turn with calls"), (5, "result"),
+        (6, "repeated result"), (6, "repeated result"), (7, "tool turn without id"), (8, "other role"), (9, "turn with calls"), (10, "result"),
+    ]
+    assert next(r.json for r in got if r.turn == 0) == '{"role":"system","status":"system turn","text":"be kind","turn":0}'
+    assert all('"result":"two"' in r.json for r in got if r.turn == 6) and any('\\"content\\":\\"wait\\"' in r.json for r in got if r.turn == 4)
+
+
+def test_chat_query_keeps_every_turn(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    assert queries.op5_chat_formatting(spark, "/root/testdata/sf0.01").count() == turns.count()
