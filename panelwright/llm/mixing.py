@@ -2,9 +2,10 @@
 
 Each source's documents, shuffled by a hash, form a stream of words cut into blocks of equal size; the
 stream may be read twice.  Van der Corput points, mapped through the cumulative targets, name the
-source of each slot; the slot's rank within its source names the block that fills it.  The schedule
-has at most about 2^18 slots whatever the size of the input, and running sums are taken per source and
-hash bucket, so that no source is gathered in one task.  Windows over the sources alone hold one row
+source of each slot; the slot's rank within its source names the block that fills it.  A block has at
+most 1,024 words, so slots grow with the input; as points can miss a source smaller than a block, each
+source is completed or cut to its target, to the word.  Running sums are taken per source and hash
+bucket, so that no source is gathered in one task.  Windows over the sources alone hold one row
 for each source.  Null texts have size 0; nulls are a source of their own, ordered last.  An empty
 table gives an empty result.  Rows that repeat a doc_id are separate documents.
 """
@@ -15,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
-SHARE, EPOCHS, SLOTS, LEAST_BLOCK, BUCKETS, SEED = 1.5, 2, 1 << 18, 16, 512, 11
+SHARE, EPOCHS, SLOTS, LEAST_BLOCK, MOST_BLOCK, BUCKETS, SEED = 1.5, 2, 1 << 18, 16, 1024, 512, 11
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -44,11 +47,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return found.select("sid", "source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("w")), "cap").alias("target"))
 
 
-def schedule(target: DataFrame, slots: int = SLOTS, least_block: int = LEAST_BLOCK) -> tuple[DataFrame, int]:
-    """(sid, block) for each slot, and the words of a block."""
+def schedule(target: DataFrame, slots: int = SLOTS, least_block: int = LEAST_BLOCK, most_block: int = MOST_BLOCK) -> tuple[DataFrame, int]:
+    """(sid, block) for each slot, and the words of a block; beyond slots * most_block words there are more slots."""
     spark = target.sparkSession
     total = target.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
-    size = max(least_block, -int(-total // slots))
+    size = min(max(least_block, -int(-total // slots)), max(least_block, most_block))
     n = round(total / size)
     share = W.orderBy("sid")
     top = F.sum("target").over(share) / F.lit(max(total, 1e-9))
@@ -65,6 +68,15 @@ def schedule(target: DataFrame, slots: int = SLOTS, least_block: int = LEAST_BLO
     return ranked.join(before, ["sid", "part"]).select("sid", (F.col("before") + F.col("own")).alias("block")), size
 
 
+def completed(slots: DataFrame, target: DataFrame, size: int) -> DataFrame:
+    """(sid, block, limit): the slots' blocks, those that a source lacks and none beyond its target; limit is the target in words."""
+    whole = target.select("sid", F.round("target").cast("long").alias("limit"))
+    kept = slots.join(F.broadcast(whole), "sid").where(F.col("block") * size < F.col("limit"))
+    need = F.ceil(F.col("limit") / size)
+    lacks = whole.join(slots.groupBy("sid").count(), "sid", "left").select("sid", F.coalesce("count", F.lit(0)).cast("long").alias("has"), "limit").where(F.col("has") < need)
+    return kept.select("sid", "block", "limit").union(lacks.select("sid", F.explode(F.sequence("has", need - 1)).alias("block"), "limit"))
+
+
 def mix(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, **how) -> DataFrame:
     """A row for each document: doc_id, size, source, source_size, target, taken, sid, start, and copies.
 
@@ -72,8 +84,9 @@ def mix(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, **how) -> DataF
     taken and the one after the last, from 0.  `start` is the document's place in its source's stream.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    target = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), epochs=epochs, **how)
+    target = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), epochs=epochs, **how), "targets")
     slots, block = schedule(target)
+    slots = completed(slots, target, block)
     named = target.withColumnRenamed("source", "name")
     mixed = sized.join(named, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "size", "source", "sid", "source_size", "target")
     keyed = mixed.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("key", F.lit(BUCKETS)))
@@ -81,10 +94,11 @@ def mix(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, **how) -> DataF
     sums = sums.select("sid", "bucket", (F.sum("all").over(W.partitionBy("sid").orderBy("bucket")) - F.col("all")).alias("before"))
     run = W.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = keyed.withColumn("own", F.sum("size").over(run) - F.col("size")).join(sums, ["sid", "bucket"]).withColumn("start", F.col("before") + F.col("own")).drop("key", "bucket", "own", "before")
-    read = placed.where("size > 0").select("sid", "start", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: F.struct(e.alias("epoch"), (e * F.col("source_size") + F.col("start")).alias("lo")))).alias("e")).select("sid", "start", "size", "e.epoch", "e.lo")
+    read = placed.where("size > 0").select("sid", "start", "size", "source_size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: F.struct(e.alias("epoch"), (e * F.col("source_size") + F.col("start")).alias("lo")))).alias("e")).select("sid", "start", "size", "source_size", "e.epoch", "e.lo")
     parts = read.select("*", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("lo") + F.col("size") - 1) / block))).alias("block"))
-    parts = parts.select("sid", "start", "epoch", "block", (F.greatest("lo", F.col("block") * block) - F.col("lo")).alias("from"), (F.least(F.col("lo") + F.col("size"), (F.col("block") + 1) * block) - F.col("lo")).alias("to"))
-    taken = parts.join(slots, ["sid", "block"]).groupBy("sid", "start", "epoch").agg(F.sum(F.col("to") - F.col("from")).alias("n"), F.min("from").alias("from"), F.max("to").alias("to"))
+    parts = parts.select("sid", "start", "source_size", "epoch", "block", (F.greatest("lo", F.col("block") * block) - F.col("lo")).alias("from"), (F.least(F.col("lo") + F.col("size"), (F.col("block") + 1) * block) - F.col("lo")).alias("to"))
+    filled = parts.join(slots, ["sid", "block"]).withColumn("to", F.least("to", F.col("limit") - F.col("epoch") * F.col("source_size") - F.col("start"))).where("to > from")
+    taken = filled.groupBy("sid", "start", "epoch").agg(F.sum(F.col("to") - F.col("from")).alias("n"), F.min("from").alias("from"), F.max("to").alias("to"))
     taken = taken.groupBy("sid", "start").agg(F.sum("n").alias("taken"), F.sort_array(F.collect_list(F.struct("epoch", "from", "to"))).alias("copies"))
     some = placed.where("size > 0").join(taken, ["sid", "start"], "left")
     none = placed.where("size = 0").select("*", F.lit(0).cast("long").alias("taken"), F.array().cast(dict(some.dtypes)["copies"]).alias("copies"))

@@ -159,6 +159,25 @@ def test_mixing(docs, none):
     assert sum(len(WORD.findall(r.text)) for r in mixing.mixed_documents(docs).collect()) == sum(r.taken for r in rows if r.doc_id is not None) + sum(r.taken for r in rows if r.doc_id is None)
 
 
+def test_mixing_of_tiny_sources(spark):
+    huge = [(i, "w " * 4000, "huge") for i in range(30)]
+    tiny = [(100 + i, "a b c" if i % 2 else "a b c d e f g h i j k l", f"tiny{i}") for i in range(40)]
+    rows = mixing.mix(spark.createDataFrame(huge + tiny, "doc_id long, text string, source string")).collect()
+    assert len(rows) == 70
+    for s in {r.source for r in rows}:
+        own = [r for r in rows if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.5 and own[0].target > 0
+        assert all(r.taken == sum(c["to"] - c["from"] for c in r.copies) for r in own)
+
+
+def test_mixing_blocks_stop_growing(spark):
+    big = spark.createDataFrame([(0, "a", 6e8, 6e8), (1, "b", 40.0, 40.0)], "sid int, source string, source_size double, target double")
+    slots, size = mixing.schedule(big)
+    done = mixing.completed(slots, big, size)
+    assert size == mixing.MOST_BLOCK and slots.count() > mixing.SLOTS
+    assert [(r.block, r["limit"]) for r in done.where("sid = 1").collect()] == [(0, 40)] and done.where("sid = 0").count() == -(-600_000_000 // size)
+
+
 def test_packing(docs, none):
     rows = [r for r in packing.pack(docs, capacities=(64, 128, 512)).collect()]
     bins: dict = {}
