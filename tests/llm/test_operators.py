@@ -196,6 +196,25 @@ def test_quality(spark, docs, none):
     assert quality.judge(none, quality.fit(none, labels)).count() == 0
 
 
+def test_quality_of_documents_odd_in_one_statistic(spark):
+    rng = np.random.default_rng(3)
+    words = lambda n, k=5: ["".join(rng.choice(list("abcdefghij"), k + int(i % 3) - 1)) for i in range(n)]
+    lines = lambda w, per: "\n".join(" ".join(w[i : i + per]) for i in range(0, len(w), per))
+    good = [(i, lines(words(int(rng.integers(80, 600))), int(rng.integers(15, 50)))) for i in range(300)]
+    run = words(19)
+    odd = {
+        "plain": lines(words(200), 30), "many equal short lines": "\n".join(f"see the next\n{lines(words(9), 9)}" for _ in range(25)), "repeats just below the base rule": lines(words(80) + run + words(5) + run + words(80), 30),
+        "a word a line": lines(words(200), 1), "one long line": lines(words(5000), 5000), "very long": lines(words(60000), 30), "long words": lines(words(200, 9), 30), "symbols": lines(words(200), 30).replace("a", "#", 60),
+    }
+    docs = spark.createDataFrame(good + list(enumerate(odd.values(), 1000)), "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, 1) for i, _ in good], "doc_id long, quality int"))
+    rows = {r.doc_id: r for r in quality.judge(docs, model).collect()}
+    assert not any(rows[1000 + i].base_failed for i in range(len(odd)))
+    assert [name for i, name in enumerate(odd) if rows[1000 + i].kept] == ["plain"]
+    assert sum(not rows[i].kept for i, _ in good) <= 3
+    assert {r.doc_id for r in quality.keep_good(docs, model).collect()} == {i for i, r in rows.items() if r.kept}
+
+
 def test_chat(spark):
     calls = spark.createDataFrame([(1, 0, "a", "f", '{"x": 1, "a": "é"}', ["b"]), (1, 1, "b", "f", '{"a": 2}', []), (1, 2, "c", "g", "{", ["d"]), (1, 3, "d", "f", '{"a":"z"}', ["c"]), (None, 4, "e", "f", None, []), (1, 5, "b", "f", '{"a":"z"}', None)], chat.CALL)
     results = spark.createDataFrame([(1, 9, "a", "r"), (1, 10, "a", "s"), (1, 11, "zz", "?")], chat.RESULT)
