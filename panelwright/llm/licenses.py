@@ -4,7 +4,8 @@ A text's words are joined by one space, so that a rule sees words and not punctu
 label, a keyword that must stand in the text before its regex is tried, a priority and the regex.
 Detections are intervals of words; one that lies within another of at least its priority (and is not
 that other) is suppressed.  Base phrases are counted apart and their labels are always kept.  A null
-text has no words.  Everything happens in one row's projection: no shuffle, no group.
+text has no words.  A family's rules name it in full, by its short form, glued to its version or after it,
+and by sentences of its body or notice.  Everything happens in one row's projection: no shuffle, no group.
 """
 
 from __future__ import annotations
@@ -18,17 +19,57 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Families of licenses: label, what names it, and its versions ("" for none).
+LIC = "licen[cs]e"
+#: Families of licenses: label, its names as (keyword, regex, kind) and its versions ("" for none).
+#: A `full` name needs no further "license"; a `short` one may also be glued to its version; a `plain` one is a word
+#: of its own that names a license only before "license", before a version or after "licensed under".
 FAMILIES = [
-    ("mit", "mit", ("",)), ("apache", "apache", ("1 0", "1 1", "2", "2 0")), ("gpl", "(?:gnu )?(?:gpl|general public license)", ("1", "2", "3", "2 0", "3 0")),
-    ("lgpl", "(?:gnu )?(?:lgpl|lesser general public license)", ("2", "2 1", "3", "3 0")), ("agpl", "(?:gnu )?(?:agpl|affero general public license)", ("1", "3", "3 0")),
-    ("mpl", "(?:mpl|mozilla public license)", ("1 0", "1 1", "2 0")), ("epl", "(?:epl|eclipse public license)", ("1 0", "2 0")), ("cddl", "(?:cddl|common development and distribution license)", ("1 0", "1 1")),
-    ("bsd", "bsd", ("2 clause", "3 clause", "4 clause", "")), ("isc", "isc", ("",)), ("zlib", "zlib", ("",)), ("artistic", "artistic", ("1 0", "2 0")), ("bsl", "boost software", ("1 0",)),
-    ("unlicense", "unlicense", ("",)), ("wtfpl", "wtfpl", ("2",)), ("psf", "python software foundation", ("2",)), ("ofl", "(?:ofl|open font license)", ("1 0", "1 1")), ("eupl", "(?:eupl|european union public licen[cs]e)", ("1 1", "1 2")),
-    ("odbl", "(?:odbl|open database license)", ("1 0",)), ("cecill", "cecill", ("2 0", "2 1")), ("ms-pl", "microsoft public", ("",)), ("upl", "universal permissive", ("1 0",)),
+    ("mit", [("mit", "mit", "plain")], ("",)),
+    ("apache", [("apache", "apache(?: software)?", "plain"), ("asl", "asl", "short")], ("", "1 0", "1 1", "2", "2 0")),
+    ("gpl", [("gpl", "(?:gnu )?gpl", "short"), ("general public", f"(?:gnu )?general public {LIC}", "full")], ("", "1", "2", "3", "2 0", "3 0")),
+    ("lgpl", [("lgpl", "(?:gnu )?lgpl", "short"), ("general public", f"(?:gnu )?(?:lesser|library) general public {LIC}", "full")], ("", "2", "2 0", "2 1", "3", "3 0")),
+    ("agpl", [("agpl", "(?:gnu )?agpl", "short"), ("affero", f"(?:gnu )?affero general public {LIC}", "full")], ("", "1", "3", "3 0")),
+    ("mpl", [("mpl", "mpl", "short"), ("mozilla public", f"mozilla public {LIC}", "full")], ("", "1 0", "1 1", "2", "2 0")),
+    ("epl", [("epl", "epl", "short"), ("eclipse public", f"eclipse public {LIC}", "full")], ("", "1 0", "2", "2 0")),
+    ("cddl", [("cddl", "cddl", "short"), ("common development and", f"common development and distribution {LIC}", "full")], ("", "1 0", "1 1")),
+    ("bsd", [("bsd", "bsd", "plain")], ("2 clause", "3 clause", "4 clause", "")),
+    ("isc", [("isc", "isc", "plain")], ("",)),
+    ("zlib", [("zlib", "zlib(?: libpng)?", "plain")], ("",)),
+    ("artistic", [("artistic", "artistic", "plain")], ("", "1 0", "2", "2 0")),
+    ("bsl", [("boost", "boost(?: software)?", "plain"), ("bsl", "bsl", "short")], ("", "1 0")),
+    ("unlicense", [("unlicense", "unlicense", "full")], ("",)),
+    ("wtfpl", [("wtfpl", "wtfpl", "short")], ("", "2")),
+    ("psf", [("python software foundation", "python software foundation", "plain"), ("psf", "psf", "plain")], ("", "2", "2 0")),
+    ("ofl", [("ofl", "(?:sil )?ofl", "short"), ("open font", f"(?:sil )?open font {LIC}", "full")], ("", "1 0", "1 1")),
+    ("eupl", [("eupl", "eupl", "short"), ("european union public", f"european union public {LIC}", "full")], ("", "1 1", "1 2")),
+    ("odbl", [("odbl", "(?:odc )?odbl", "short"), ("open database", f"open database {LIC}", "full")], ("", "1 0")),
+    ("cecill", [("cecill", "cecill", "short")], ("", "2 0", "2 1")),
+    ("ms-pl", [("microsoft public", f"microsoft public {LIC}", "full"), ("ms pl", "ms pl", "short")], ("",)),
+    ("upl", [("universal permissive", f"universal permissive {LIC}", "full"), ("upl", "upl", "plain")], ("", "1 0")),
 ]
-#: How a license is named in running text; {n} is its name and {v} its version.
-FORMS = [("under the {n} license{v}", 30), ("{n} license{v}", 20), ("licensed under (?:the )?{n}(?: license)?{v}", 30), ("spdx license identifier {n}{v}", 40)]
+#: Sentences of bodies and notices: label, keyword, regex.
+BODIES = [
+    ("mit", "obtaining a copy", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("bsl-1", "person or organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("isc", "purpose with or without fee", "permission to use copy modify (?:and or|and|or) distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3.clause", "endorse or promote products", "nor the names? of (?:its|the|any) (?:copyright holders? (?:n?or|and) )?(?:the )?(?:names? of its )?contributors may be used to endorse or promote products"),
+    ("bsd-4.clause", "advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("zlib", "origin of this software", "the origin of this software must not be misrepresented"),
+    ("apache-2", "agreed to in writing", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("gpl", "verbatim copies of this", f"everyone is permitted to copy and distribute verbatim copies of this {LIC} document"),
+    ("mpl-2", "covered software", f"covered software is provided under this {LIC} on an as is basis"),
+    ("epl", "accompanying materials", "this program and the accompanying materials are made available under the terms of (?:the )?eclipse public license"),
+    ("unlicense", "unencumbered software", "this is free and unencumbered software(?: released into the public domain)?"),
+    ("wtfpl", "you want to", "do what the f[a-z]* you want to(?: public license)?"),
+    ("psf", "python software foundation", "this license agreement is between the python software foundation"),
+    ("artistic", "standard version of", "you may copy and distribute verbatim copies of the standard version of this package"),
+    ("ofl-1.1", "font software", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("cc0", "creative commons", "creative commons (?:cc0|zero)(?: 1 0)?(?: universal)?"),
+    ("cc0", "dedicated the work", "has dedicated the work to the public domain"),
+]
+#: The parts of Creative Commons licenses in words.
+CC_WORDS = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative|ativ)?(?:e?s)?(?: works)?"}
 #: Creative Commons: label by its parts and version.
 CC_PARTS, CC_VERSIONS = ["by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"], ["", "1 0", "2 0", "2 5", "3 0", "4 0"]
 
@@ -36,15 +77,31 @@ CC_PARTS, CC_VERSIONS = ["by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"
 def rules() -> list[tuple[str, str, str, int]]:
     """(label, keyword, regex over spaced words, priority), the more specific first."""
     out = []
-    for label, name, versions in FAMILIES:
-        key = name.split(")")[-1].split(" ")[0] if "(" not in name else "licen" if "licen" in name else name.strip("(?:)").split("|")[0]
-        for v in versions:
-            tail = f" (?:version |v )?{v}" if v else ""
-            own = f"{label}-{v.replace(' 0', '').replace(' ', '.')}" if v else label
-            out += [(own, key, f" {form.format(n=name, v=tail)}(?= )", rank + 5 * len(v.split())) for form, rank in FORMS]
+    for label, names, versions in FAMILIES:
+        for key, name, kind in names:
+            for v in versions:
+                own = f"{label}-{v.replace(' 0', '').replace(' ', '.')}" if v else label
+                lic, mark = f"(?: {LIC})?", "(?:version|ver|v)"
+                numbered = f"{name}{lic}(?: {mark})? {v}|{name}{lic} v{v}|(?:{mark} ?)?{v} (?:of (?:the )?)?{name}"
+                if v and kind == "short":
+                    numbered += f"|{name}v?{v}"
+                if v and "public" in name:
+                    numbered += f"|{name} as published by the free software foundation(?: inc)? (?:either )?version {v}"
+                loose = f"(?:{numbered}){lic}" if v else f"{name}{lic}"
+                sure = loose if v or kind != "plain" else f"{name} {LIC}"
+                terms, more = "(?:the )?(?:terms (?:and conditions )?of (?:the )?)?", 5 * len(v.split())
+                out += [
+                    (own, key, f" {sure}(?= )", 20 + more),
+                    (own, key, f" (?:(?:licensed|released|distributed|available) under {terms}{loose}|(?:under|subject to) {terms}{sure})(?= )", 30 + more),
+                    (own, key, f" spdx license identifier {loose}(?= )", 40 + more),
+                ]
+    out += [("bsd-2.clause", "bsd", f" (?:simplified|freebsd) bsd(?: {LIC})?(?= )", 25), ("bsd-3.clause", "bsd", f" (?:new|modified|revised) bsd(?: {LIC})?(?= )", 25), ("bsd-4.clause", "bsd", f" (?:original|old) bsd(?: {LIC})?(?= )", 25)]
+    out += [(label, key, f" {regex}(?= )", 30) for label, key, regex in BODIES]
     for parts in CC_PARTS:
         for v in CC_VERSIONS:
             out.append((f"cc-{parts.replace(' ', '-')}", " cc by", f" cc {parts}{' ' + v if v else ''}(?= )", 20 + 5 * len(parts.split()) + 5 * len(v.split())))
+            named = " ".join(CC_WORDS[x] for x in parts.split())
+            out.append((f"cc-{parts.replace(' ', '-')}", "creative commons", f" creative commons {named}{f'(?: {LIC})?(?: (?:version|v))? {v}' if v else ''}(?: (?:international|unported|generic))?(?: {LIC})?(?= )", 20 + 5 * len(parts.split()) + 5 * len(v.split())))
     out += [("cc0", " cc0", r" cc0(?: 1 0)?(?= )", 20), ("public-domain", "public domain", " (?:in|into|to) the public domain(?= )", 20), ("proprietary", "all rights reserved", " all rights reserved(?= )", 10)]
     return sorted(out, key=lambda r: (-r[3], r[0], r[2]))
 

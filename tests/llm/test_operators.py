@@ -137,6 +137,30 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0 and len(licenses.rules()) > 200
 
 
+REAL = [
+    ("under the terms of the GNU General Public License version 3", "gpl-3"), ("GNU General Public License version 2", "gpl-2"), ("GPLv3", "gpl-3"), ("version 2 of the GNU General Public License", "gpl-2"),
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "gpl-3"), ("GNU Lesser General Public License, version 2.1", "lgpl-2.1"), ("LGPL-2.1-or-later", "lgpl-2.1"),
+    ("GNU Affero General Public License v3.0", "agpl-3"), ("subject to the terms of the Mozilla Public License, v. 2.0", "mpl-2"), ("Eclipse Public License - v 2.0", "epl-2"), ("Common Development and Distribution License (CDDL) Version 1.0", "cddl-1"),
+    ("Licensed under the Apache License, Version 2.0", "apache-2"), ("Apache-2.0", "apache-2"), ("BSD 3-Clause License", "bsd-3.clause"), ("the 2-clause BSD license", "bsd-2.clause"), ("Modified BSD License", "bsd-3.clause"), ("BSD license", "bsd"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and", "mit"), ("The MIT License", "mit"), ("released under MIT", "mit"), ("ISC License", "isc"), ("zlib License", "zlib"), ("The origin of this software must not be misrepresented;", "zlib"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"), ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
+    ("All advertising materials mentioning features or use of this software must display the following acknowledgement", "bsd-4.clause"), ("The Artistic License 2.0", "artistic-2"), ("Boost Software License - Version 1.0", "bsl-1"), ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("The Unlicense", "unlicense"), ("WTFPL version 2", "wtfpl-2"), ("Python Software Foundation License Version 2", "psf-2"), ("SIL Open Font License, Version 1.1", "ofl-1.1"), ("European Union Public Licence v. 1.2", "eupl-1.2"), ("Open Database License v1.0", "odbl-1"),
+    ("CeCILL v2.1", "cecill-2.1"), ("Microsoft Public License (Ms-PL)", "ms-pl"), ("Universal Permissive License v 1.0", "upl-1"), ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc-sa"), ("CC BY-SA 3.0", "cc-by-sa"), ("CC0 1.0 Universal", "cc0"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2"), ("All rights reserved.", "proprietary"), ("dedicated to the public domain", "public-domain"),
+]
+
+
+def test_licenses_in_real_wordings(spark):
+    plain = ["the apache helicopter and the mit campus", "an artistic boost of zlib", "the general public and a commit limit"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate([t for t, _ in REAL] + plain)), "doc_id long, text string")).collect()
+    got = {r.doc_id: {d.label for d in r.detections} for r in rows}
+    assert [(t, want, got[i]) for i, (t, want) in enumerate(REAL) if want not in got[i]] == []
+    assert all(not got[len(REAL) + i] for i in range(len(plain)))
+    assert {"gpl-3"} == got[0] and {"lgpl-2.1"} == got[5] and {"agpl-3"} == got[7]
+    assert {x[0] for x in licenses.rules()} >= {w for _, w in REAL}
+
+
 def test_language(docs, none):
     found = language.identify(docs, language.fit(docs)).collect()
     assert len(found) == len(ROWS) and {r.lang_pred for r in found if r.doc_id in (6, 7, 12)} == {"und"}
