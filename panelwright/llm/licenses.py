@@ -1,7 +1,7 @@
 """License scans: ordered signature rules over a text's words, with DataFrame functions only.
 
 A text's words are joined by one space, so that a rule sees words and not punctuation.  A rule has a
-label, a keyword that must stand in the text before its regex is tried, a priority and the regex.
+label, a keyword that must begin a word of the text before its regex is tried, a priority and the regex.
 Detections are intervals of words; one that lies within another of at least its priority (and is not
 that other) is suppressed.  Base phrases are counted apart and their labels are always kept.  A null
 text has no words.  A family's rules name it in full, by its short form, glued to its version or after it,
@@ -10,6 +10,8 @@ and by sentences of its body or notice.  Everything happens in one row's project
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +110,8 @@ def rules() -> list[tuple[str, str, str, int]]:
 
 def spaced(text: Column) -> Column:
     """' w1 w2 ... ': the text's words, each between single spaces; one space without words."""
-    low = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
+    # lower() also folds letters beyond ASCII: no word's bounds and no base phrase depend on these.
+    low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, WORD_GAP, " ")), F.lit(" "))
 
 
@@ -117,18 +120,23 @@ def _spaces(s: Column) -> Column:
 
 
 def places(s: Column, regex: Column) -> Column:
-    """Array of (first, last): the words, from 0, that each match of a rule covers; its regex starts with the space before the first."""
-    gaps, hits = F.split(s, regex), F.regexp_extract_all(s, regex, F.lit(0))
-    empty = F.array().cast("array<struct<first:long,last:long>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("got"))
+    """Array of (first, last): the words, from 0, that each match of a rule covers; its regex starts with the space before the first.
+
+    A mark is put before and after each match, on the word before its first one and on its last one (both
+    marks are gaps, which no word holds), so one pass over the words finds all places.
+    """
+    tokens = F.split(F.regexp_replace(s, regex, F.lit("\u0001$0\u0002")), " ")
+    at = lambda mark, shift: F.filter(F.transform(tokens, lambda w, i: F.when(F.contains(w, F.lit(mark)), i.cast("long") + shift)), lambda i: i.isNotNull())
+    return F.zip_with(at("\u0001", 0), at("\u0002", -1), lambda a, b: F.struct(a.alias("first"), b.alias("last")))
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + _spaces(x["gap"])
-        n = _spaces(x["hit"])
-        return F.struct((first + n).alias("at"), F.concat(acc["got"], F.array(F.struct(first.alias("first"), (first + n - 1).alias("last")))).alias("got"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda a, b: F.struct(a.alias("gap"), b.alias("hit")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["got"])
+def _detected(s: Column, groups: list[tuple[str, list[tuple[str, str, int]]]]) -> Column:
+    """All detections of (keyword, its rules as (label, regex, priority)); each keyword is looked for once."""
+    table = json.dumps([{"key": f" {k}", "rules": [{"label": a, "regex": x, "priority": p} for a, x, p in own]} for k, own in groups])
+    literal = F.from_json(F.lit(table), "array<struct<key:string,rules:array<struct<label:string,regex:string,priority:int>>>>")
+    hit = F.filter(F.flatten(F.transform(F.filter(literal, lambda g: F.contains(s, g["key"])), lambda g: g["rules"])), lambda r: F.rlike(s, r["regex"]))
+    found = F.transform(hit, lambda r: F.transform(places(s, r["regex"]), lambda x: F.struct(r["label"].alias("label"), x["first"].alias("first"), x["last"].alias("last"), r["priority"].alias("priority"))))
+    return F.flatten(found)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -138,22 +146,16 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     table = rules()
     top = float(table[0][3])
-    rule_type = "array<struct<label:string,keyword:string,regex:string,priority:int>>"
-    detection = "array<struct<label:string,first:long,last:long,priority:int>>"
-    s = F.col("_s")
+    s, none = F.col("_s"), F.array().cast("array<struct<label:string,first:long,last:long,priority:int>>")
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spaced(F.col("text")).alias("_s"))
     words = words.withColumn("n_words", F.when(F.length(F.trim(s)) == 0, F.lit(0).cast("long")).otherwise(_spaces(s) - 1))
-    gates = sorted({r[1].strip() for r in table} | {"mit"})
-    gate = F.lit(False)
-    for g in gates:
-        gate = gate | F.contains(s, F.lit(g))
-    as_detection = lambda label, rank: lambda x: F.struct(label.alias("label"), x["first"].alias("first"), x["last"].alias("last"), rank.alias("priority"))
-    none = F.array().cast(detection)
-    base = F.concat(*(F.when(F.contains(s, F.lit(f" {p} ")), F.transform(places(s, F.lit(f" {p}(?= )")), as_detection(F.lit(label), F.lit(int(top))))).otherwise(none) for p, label in BASE.items()))
-    literal = F.array(*(F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(x).alias("regex"), F.lit(p).alias("priority")) for a, k, x, p in table)).cast(rule_type)
-    hit = F.filter(literal, lambda r: F.contains(s, r["keyword"]))
-    found = F.flatten(F.transform(hit, lambda r: F.transform(places(s, r["regex"]), as_detection(r["label"], r["priority"]))))
-    rows = words.withColumn("base", F.when(gate, base).otherwise(none)).withColumn("found", F.when(gate, F.array_distinct(found)).otherwise(none))
+    keys = sorted({r[1].strip() for r in table})
+    groups = [(key, [(label, regex, priority) for label, k, regex, priority in table if k.strip() == key]) for key in keys]
+    base = _detected(s, [(p, [(label, f" {p}(?= )", int(top))]) for p, label in BASE.items()])
+    # One look for any keyword decides for most texts; each base phrase begins with one or follows "under the".
+    any_key = s.rlike(" (?:" + "|".join(f"{c}(?:{'|'.join(k[1:] for k in keys if k[0] == c)})" for c in sorted({k[0] for k in keys})) + ")")
+    both = F.when(any_key, F.struct(base.alias("base"), F.array_distinct(_detected(s, groups)).alias("found"))).otherwise(F.struct(none.alias("base"), none.alias("found")))
+    rows = words.withColumn("_f", both).select("doc_id", "n_words", "_f.base", "_f.found")
     within = lambda d, e: (e["first"] <= d["first"]) & (e["last"] >= d["last"]) & (e["priority"] >= d["priority"]) & ((e["last"] - e["first"] > d["last"] - d["first"]) | (e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (e["label"] < d["label"])))
     rows = rows.withColumn("detections", F.filter("found", lambda d: ~F.exists(F.col("found"), lambda e: within(d, e))))
     best = F.coalesce(F.array_max(F.transform(F.concat("detections", "base"), lambda d: d["priority"])), F.lit(0)) / top
