@@ -5,9 +5,10 @@ depends on its content alone, so equal windows share it.  Consecutive windows of
 stretch; only stretches whose minimizer stands in several places travel, to the shard that their
 minimizer names, where a matcher (a suffix automaton or a suffix array) decides.
 
-Minimizers of more texts than a search's `hot` would make a shard unbounded.  Their stretches are cut into single
-windows, known by a 128-bit hash, and resolved by an aggregate with partial sums and a join, which Spark
-splits when a key is skewed.
+A shard holds at most `most` stretches.  Those of a minimizer that has more are first collapsed: equal
+stretches become one row with their number and first place, by an aggregate with partial sums.  Where more
+than `most` different ones are left, they are cut again by a longer minimizer, which names smaller shards,
+and so on up to minimizers as long as a window, whose shards hold one stretch.
 """
 
 from __future__ import annotations
@@ -100,69 +101,111 @@ def stretches(units: np.ndarray, first: np.ndarray, length: int, gram: int, twin
 
 
 class Search:
-    """One kind of units with its window length."""
+    """One kind of units with its window length, the lengths of its minimizers and the most stretches of a shard."""
 
-    def __init__(self, units: Callable, length: int, gram: int, join: bytes, twins: bool, hot: int):
-        self.units, self.length, self.gram, self.join, self.twins, self.hot = units, length, gram, join, twins, hot
+    def __init__(self, units: Callable, length: int, grams: tuple[int, ...], join: bytes, twins: bool, most: int):
+        self.units, self.length, self.grams, self.join, self.twins, self.most = units, length, (*grams, length), join, twins, most
+
+    def bodies(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """The units that the windows at..at+n-1 cover."""
+        last = (at + n + self.length - 2).tolist()
+        if self.join:
+            return [self.join.join([data[lo[j] : hi[j]].tobytes() for j in range(x, y + 1)]) for x, y in zip(at.tolist(), last, strict=True)]
+        raw = data.tobytes()
+        return [raw[x : y + 1] for x, y in zip(at.tolist(), last, strict=True)]
 
     def minimizers(self, docs: DataFrame) -> DataFrame:
-        """(h, doc_id, n): each text's minimizers and how often they stand in it (1 or 2 and more)."""
+        """(h, doc_id, n): each text's minimizers and how many stretches, or places within one, each has in it."""
         me = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for piece in pieces(batches, limit=1 << 20):
                 _, (units, first, _, _) = me.units(piece.column("text"))
                 ids = piece.column("doc_id").to_numpy()
-                for at, _, m, twin in stretches(units, first, me.length, me.gram, me.twins):
+                for at, _, m, twin in stretches(units, first, me.length, me.grams[0], me.twins):
                     of = np.searchsorted(first, at, side="right") - 1
                     order = np.lexsort((m, of))
                     m, of, twin = m[order], of[order], twin[order]
                     head = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (of[1:] != of[:-1])]))
                     n = np.diff(np.append(head, len(m))) + np.add.reduceat(twin.astype(int), head)
-                    yield pa.RecordBatch.from_arrays([pa.array(m[head].view(np.int64)), pa.array(ids[of[head]]), pa.array(np.minimum(n, 2).astype(np.int8))], ["h", "doc_id", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(m[head].view(np.int64)), pa.array(ids[of[head]]), pa.array(n.astype(np.int32))], ["h", "doc_id", "n"])
 
-        return docs.mapInArrow(run, "h long, doc_id long, n byte")
+        return docs.mapInArrow(run, "h long, doc_id long, n int")
 
     def travelling(self, docs: DataFrame, lists: DataFrame) -> DataFrame:
-        """The stretches of docs whose minimizers are listed, hot ones cut into windows; lists: (doc_id, cold, hot)."""
+        """The stretches of docs whose minimizers are listed, by (doc_id, few, many): `crowded` ones are in `many`."""
         me = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ["hot", "h", "h2", "doc_id", "th", "start", "n", "body"]
             for piece in pieces(batches, limit=1 << 20):
                 data, (units, first, lo, hi) = me.units(piece.column("text"))
                 ids, th = (piece.column(c).to_numpy() for c in ("doc_id", "th"))
-                listed = {}
-                for c in ("cold", "hot"):
-                    col = piece.column(c)
-                    listed[c] = (np.asarray(col.flatten().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(ids)), np.asarray(col.value_lengths().to_numpy(zero_copy_only=False)).astype(int)))
                 salt = np.arange(1, len(ids) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                key = {c: mix(v ^ salt[o]) for c, (v, o) in listed.items()}
-                for at, n, m, _ in stretches(units, first, me.length, me.gram, False):
+                key = []
+                for c in ("few", "many"):
+                    col = piece.column(c)
+                    owner = np.repeat(np.arange(len(ids)), np.asarray(col.value_lengths().to_numpy(zero_copy_only=False)).astype(int))
+                    key.append(mix(np.asarray(col.flatten().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64) ^ salt[owner]))
+                for at, n, m, _ in stretches(units, first, me.length, me.grams[0], False):
                     of = np.searchsorted(first, at, side="right") - 1
                     mine = mix(m ^ salt[of])
-                    cold = np.flatnonzero(np.isin(mine, key["cold"]))
-                    if len(cold):
-                        a, o = at[cold], of[cold]
-                        last = a + n[cold] + me.length - 2
-                        if me.join:
-                            body = [me.join.join([data[lo[j] : hi[j]].tobytes() for j in range(x, y + 1)]) for x, y in zip(a.tolist(), last.tolist(), strict=True)]
-                        else:
-                            raw = data.tobytes()
-                            body = [raw[x : y + 1] for x, y in zip(a.tolist(), last.tolist(), strict=True)]
-                        zero = np.zeros(len(cold), np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(zero.astype(bool)), pa.array(m[cold].view(np.int64)), pa.array(zero), pa.array(ids[o]), pa.array(th[o]), pa.array(a - first[o]), pa.array(n[cold].astype(np.int64)), pa.array(body, pa.binary())], names)
-                    hot = np.flatnonzero(np.isin(mine, key["hot"]))
-                    if len(hot):
-                        size = n[hot]
-                        a = np.repeat(at[hot], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                        o = np.repeat(of[hot], size)
-                        base, top = int(a.min()), int(a.max()) + me.length
-                        h, h2 = (run_hashes(units[base:top], me.length, k)[a - base].view(np.int64) for k in (1, 2))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), bool)), pa.array(h), pa.array(h2), pa.array(ids[o]), pa.array(th[o]), pa.array(a - first[o]), pa.array(np.ones(len(a), np.int64)), pa.nulls(len(a), pa.binary())], names)
-
-        joined = docs.join(lists, ["doc_id", "th"])
-        return joined.mapInArrow(run, "hot boolean, h long, h2 long, doc_id long, th long, start long, n long, body binary")
+                    crowded = np.isin(mine, key[1])
+                    go = np.flatnonzero(crowded | np.isin(mine, key[0]))
+                    if len(go):
+                        a, o = at[go], of[go]
+                        arrays = (pa.array(crowded[go]), pa.array(m[go].view(np.int64)), pa.array(ids[o]), pa.array(th[o]), pa.array(a - first[o]), pa.array(n[go].astype(np.int64)), pa.array(me.bodies(data, lo, hi, a, n[go]), pa.binary()))
+                        yield pa.RecordBatch.from_arrays(list(arrays), ["crowded", "h", "doc_id", "th", "start", "n", "body"])
+
+        return docs.join(lists, ["doc_id", "th"]).mapInArrow(run, "crowded boolean, h long, doc_id long, th long, start long, n long, body binary")
+
+    def cut_again(self, rows: DataFrame, gram: int) -> DataFrame:
+        """The stretches of rows cut by their minimizers of `gram` units; h names the old and the new minimizer."""
+        me = self
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, (units, first, lo, hi) = me.units(batch.column("body"))
+                h = batch.column("h").to_numpy().view(np.uint64)
+                starts, w = batch.column("starts").to_pylist(), batch.column("w").to_numpy()
+                ids, th = (batch.column(c).to_numpy() for c in ("doc_id", "th"))
+                for at, n, m, _ in stretches(units, first, me.length, gram, False):
+                    of = np.searchsorted(first, at, side="right") - 1
+                    off = (at - first[of]).tolist()
+                    moved = [[x + k for x in starts[o]] for o, k in zip(of.tolist(), off, strict=True)]
+                    arrays = (pa.array(mix(m ^ mix(h[of])).view(np.int64)), pa.array(ids[of]), pa.array(th[of]), pa.array(moved, pa.list_(pa.int64())), pa.array(n.astype(np.int64)), pa.array(me.bodies(data, lo, hi, at, n), pa.binary()), pa.array(w[of]))
+                    yield pa.RecordBatch.from_arrays(list(arrays), SHARD)
+
+        return rows.select(*SHARD).mapInArrow(run, "h long, doc_id long, th long, starts array<long>, n long, body binary, w long")
+
+
+#: The columns of a shard's rows: a stretch that stands at `starts` of one text and at `w` places in all.
+SHARD = ["h", "doc_id", "th", "starts", "n", "body", "w"]
+
+
+def bounded(crowded: DataFrame, search: Search, earlier: bool) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(shards, ranges) of the stretches of crowded minimizers: collapsed and cut again until no shard has more than `most`.
+
+    ranges are those of stretches that, as a whole, stand elsewhere (with `earlier`: in a text of a smaller doc_id).
+    """
+    shards: list[DataFrame] = []
+    ranges: list[DataFrame] = []
+    rows = crowded
+    for gram in [*search.grams[1:], None]:
+        printed = rows.withColumn("p", F.unhex(F.md5("body")))
+        own = printed.groupBy("h", "p", "doc_id", "th").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.sum("w").alias("w"), F.min("n").alias("n"), F.min("body").alias("body"))
+        own = written(own, "own")
+        one = own.groupBy("h", "p").agg(F.min(F.struct("doc_id", "th", "starts")).alias("r"), F.sum("w").alias("w"), F.min("n").alias("n"), F.min("body").alias("body"))
+        one = written(one.select("h", "p", "r.doc_id", "r.th", "r.starts", "n", "body", "w"), "one")
+        known = one.select("h", "p", F.col("doc_id").alias("first"), F.col("w").alias("all"))
+        again = own.select("h", "p", "doc_id", "th", "starts", "n").join(known, ["h", "p"]).where("doc_id > first" if earlier else "all > 1")
+        ranges.append(again.select("doc_id", "th", F.explode("starts").alias("lo"), "n").select("doc_id", "th", "lo", (F.col("lo") + F.col("n")).alias("hi")))
+        busy = written(one.groupBy("h").count().where(F.col("count") > search.most).select("h"), "busy")
+        if gram is None or busy.isEmpty():
+            shards.append(one.select(*SHARD))
+            break
+        shards.append(one.join(busy, "h", "left_anti").select(*SHARD))
+        rows = search.cut_again(one.join(busy, "h", "left_semi"), gram)
+    return shards, ranges
 
 
 def repeated(docs: DataFrame, search: Search, matcher: Callable, earlier: bool) -> tuple[DataFrame, DataFrame]:
@@ -179,22 +222,27 @@ def repeated(docs: DataFrame, search: Search, matcher: Callable, earlier: bool)
     whole = (F.col("doc_id") > F.col("first")) if earlier else (F.col("copies") > 1)
     known = written(rows.join(copies, ["sum", "size"]).select("doc_id", "th", whole.alias("whole"), (F.col("doc_id") == F.col("first")).alias("head")), "known")
     places = written(search.minimizers(docs), "minimizers")
-    count = F.count("*") if earlier else F.sum("n")
-    several = places.groupBy("h").agg(count.alias("n")).where("n > 1").select("h", (F.col("n") > search.hot).alias("busy"))
-    lists = places.join(several, "h").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("busy"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("busy"), F.col("h"))).alias("hot"))
+    several = places.groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where("texts > 1" if earlier else "n > 1").select("h", (F.col("n") > search.most).alias("busy"))
+    lists = places.join(several, "h").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("busy"), F.col("h"))).alias("few"), F.collect_set(F.when(F.col("busy"), F.col("h"))).alias("many"))
     lists = lists.join(known.where("head").select("doc_id", "th").distinct(), "doc_id")
     heads = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     moved = written(search.travelling(heads, lists), "stretches")
     del several, lists, heads
     done_with(docs.sparkSession, places, rows)
-    near = moved.where("not hot").repartition("h").sortWithinPartitions("h", "doc_id", "th", "start").select("h", "doc_id", "th", "start", "n", "body")
+    single = moved.select("crowded", "h", "doc_id", "th", F.array("start").alias("starts"), "n", "body", F.lit(1).cast("long").alias("w"))
+    shards, ranges = [single.where("not crowded").select(*SHARD)], []
+    crowded = single.where("crowded").select(*SHARD)
+    if not crowded.isEmpty():
+        more, ranges = bounded(crowded, search, earlier)
+        shards += more
+    near = shards[0]
+    for other in shards[1:]:
+        near = near.union(other)
+    near = near.repartition("h").sortWithinPartitions("h", "doc_id", "th")
     found = near.mapInArrow(lambda batches: matcher(batches, search), "doc_id long, th long, lo long, hi long")
-    far = moved.where("hot").select("h", "h2", "doc_id", "th", "start")
-    first = far.groupBy("h", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = far.join(first, ["h", "h2"])
-    again = again.where("doc_id > first") if earlier else again
-    ranges = found.union(again.select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + 1).alias("hi")))
-    return known.select("doc_id", "th", "whole").groupBy("doc_id", "th").agg(F.max("whole").alias("whole")), ranges
+    for other in ranges:
+        found = found.union(other)
+    return known.select("doc_id", "th", "whole").groupBy("doc_id", "th").agg(F.max("whole").alias("whole")), found
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from . import passages
 from .common import per_piece
 
-LENGTH, GRAM, MAX_REFERENCE_WORDS = 13, 5, 2_000_000
+LENGTH, MAX_REFERENCE_WORDS = 13, 2_000_000
+#: The words of a shard's minimizer, and of the longer ones that split a crowded shard.
+GRAMS = (5, 8, 11)
 #: At most so many stretches of some 120 bytes meet in one shard.
-HOT = 20_000
+MOST = 4_000
 
 
 class Automaton:
@@ -94,7 +96,7 @@ def _match(batches: Iterator[pa.RecordBatch], search: passages.Search) -> Iterat
     for batch in passages.groups(batches):
         h = batch.column("h").to_numpy()
         cuts = np.flatnonzero(h[1:] != h[:-1]) + 1
-        ids, th, start, n = (batch.column(c).to_pylist() for c in ("doc_id", "th", "start", "n"))
+        ids, th, starts, n = (batch.column(c).to_pylist() for c in ("doc_id", "th", "starts", "n"))
         body = batch.column("body").to_pylist()
         out: list[tuple[int, int, int, int]] = []
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)], strict=True):
@@ -102,45 +104,42 @@ def _match(batches: Iterator[pa.RecordBatch], search: passages.Search) -> Iterat
                 continue
             shard, first, fresh, told = None, {}, [], []
             for i in range(lo, hi):
-                b = body[i]
+                b, hits = body[i], []
                 if fresh and ids[i] != ids[i - 1]:
                     told, fresh = told + fresh, []
                 if (f := first.get(b)) is None:
                     first[b] = ids[i]
                     if told and shard is None:
                         shard = Automaton()
-                    if told:
-                        for t in told:
-                            shard.add(t)
-                        told = []
+                    for t in told:
+                        shard.add(t)
+                    told = []
                     words = b.split(b" ")
                     fresh.append(words)
-                    if shard is not None:
-                        run = -1
-                        for k, m in enumerate(shard.statistics(words)[length - 1 :]):
-                            if m >= length:
-                                run = k if run < 0 else run
-                            elif run >= 0:
-                                out.append((ids[i], th[i], start[i] + run, start[i] + k))
-                                run = -1
-                        if run >= 0:
-                            out.append((ids[i], th[i], start[i] + run, start[i] + n[i]))
                 elif f < ids[i]:
-                    out.append((ids[i], th[i], start[i], start[i] + n[i]))
-                elif shard is not None:
-                    stats = shard.statistics(b.split(b" "))[length - 1 :]
-                    out += [(ids[i], th[i], start[i] + k, start[i] + k + 1) for k, m in enumerate(stats) if m >= length]
+                    hits = [(0, n[i])]
+                if shard is not None and not hits:
+                    run = -1
+                    for k, m in enumerate(shard.statistics(b.split(b" "))[length - 1 :]):
+                        if m >= length:
+                            run = k if run < 0 else run
+                        elif run >= 0:
+                            hits.append((run, k))
+                            run = -1
+                    if run >= 0:
+                        hits.append((run, n[i]))
+                out += [(ids[i], th[i], x + a, x + e) for a, e in hits for x in starts[i]]
         if out:
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "th", "lo", "hi"])
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, most: int = MOST) -> DataFrame:
     """docs with n_words, n_removed, spans (removed words, [from, to)), kept (the rest, one space between).
 
     The columns of docs stay; those of the same names are replaced.
     """
-    search = passages.Search(passages.words, length, gram, b" ", False, HOT)
+    search = passages.Search(passages.words, length, grams, b" ", False, most)
     rows, ranges = passages.repeated(docs.select("doc_id", "text"), search, _match, True)
     new = ["n_words", "n_removed", "spans", "kept"]
     docs = docs.drop(*new)

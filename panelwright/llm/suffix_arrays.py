@@ -24,10 +24,11 @@ from . import passages
 from .common import per_piece
 from .tokens import mix
 
-LENGTH, GRAM, SHARD_BYTES, WIDE_ALPHABET = 200, 64, 1 << 19, 1024
-
+LENGTH, SHARD_BYTES, WIDE_ALPHABET = 200, 1 << 19, 1024
+#: The bytes of a shard's minimizer, and of the longer ones that split a crowded shard.
+GRAMS = (64, 120, 170)
 #: At most so many stretches of some 280 bytes meet in one shard.
-HOT = 500
+MOST = 500
 
 
 def _smaller(t: np.ndarray) -> np.ndarray:
@@ -200,13 +201,13 @@ def _match(batches: Iterator[pa.RecordBatch], search: passages.Search) -> Iterat
     for batch in passages.groups(batches):
         h = batch.column("h").to_numpy()
         cuts = np.flatnonzero(h[1:] != h[:-1]) + 1
-        ids, th, start, n = (batch.column(c).to_pylist() for c in ("doc_id", "th", "start", "n"))
-        body = batch.column("body").to_pylist()
+        ids, th, starts, n = (batch.column(c).to_pylist() for c in ("doc_id", "th", "starts", "n"))
+        body, w = batch.column("body").to_pylist(), batch.column("w").to_pylist()
         out: list[tuple[int, int, int, int]] = []
         shard: dict[bytes, list[int]] = {}
         held = 0
 
-        def close(shard=shard, out=out, ids=ids, th=th, start=start, n=n) -> None:
+        def close(shard=shard, out=out, ids=ids, th=th, starts=starts, n=n) -> None:
             bodies = _undecided(list(shard), search.length)
             if not bodies:
                 return shard.clear()
@@ -215,7 +216,7 @@ def _match(batches: Iterator[pa.RecordBatch], search: passages.Search) -> Iterat
                 for i in shard[b]:
                     on = flags[o : o + n[i]]
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]]))).tolist()
-                    out.extend((ids[i], th[i], start[i] + x, start[i] + y) for x, y in zip(edge[::2], edge[1::2], strict=True))
+                    out.extend((ids[i], th[i], s + x, s + y) for x, y in zip(edge[::2], edge[1::2], strict=True) for s in starts[i])
             shard.clear()
 
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)], strict=True):
@@ -224,10 +225,11 @@ def _match(batches: Iterator[pa.RecordBatch], search: passages.Search) -> Iterat
                 rows.setdefault(body[i], []).append(i)
             alone = len(rows) == 1
             for b, own in rows.items():
-                if len(own) > 1:
-                    out += [(ids[i], th[i], start[i], start[i] + n[i]) for i in own]
-                if not alone or len(own) == 1:
-                    shard.setdefault(b, []).extend(own if len(own) == 1 else [])
+                several = sum(w[i] for i in own) > 1
+                if several:
+                    out += [(ids[i], th[i], s, s + n[i]) for i in own for s in starts[i]]
+                if not alone or not several:
+                    shard.setdefault(b, []).extend([] if several else own)
                     held += len(b)
             if held >= SHARD_BYTES:
                 close()
@@ -239,9 +241,9 @@ def _match(batches: Iterator[pa.RecordBatch], search: passages.Search) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "th", "lo", "hi"])
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (removed bytes, [from, to)) and kept (the remaining bytes) for each row."""
-    search = passages.Search(passages.single_bytes, length, gram, b"", True, HOT)
+    search = passages.Search(passages.single_bytes, length, grams, b"", True, most)
     rows, ranges = passages.repeated(docs, search, _match, False)
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.llm import chat, jaccard, language, licenses, mixing, near_vectors, packing, quality, queries, substrings, suffix_arrays
+from panelwright.llm import chat, jaccard, language, licenses, mixing, near_vectors, packing, passages, quality, queries, substrings, suffix_arrays
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, n long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,22 +36,34 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_substrings(docs, none):
-    runs = [[tuple(w[i : i + 13]) for i in range(len(w) - 12)] for w in (WORD.findall(r[1] or "") for r in ROWS)]
+PHRASE = sentence(7, 7) + " "
+#: Texts that repeat one phrase: many stretches of few minimizers.
+CROWD = [(20, PHRASE * 60 + sentence(8, 20)), (21, sentence(9, 5) + " " + PHRASE * 50), (22, PHRASE * 40 + "end"), *((30 + i, sentence(40 + i, 30) + " " + SHARED + " " + sentence(70 + i, 20)) for i in range(9)), (31, sentence(41, 30))]
+
+
+@pytest.fixture(scope="module")
+def crowd(spark, docs):
+    return docs.union(spark.createDataFrame([(i, t, "en", "a", len(t), 1, 2) for i, t in CROWD], SCHEMA)), [(r[0], r[1]) for r in ROWS] + CROWD
+
+
+@pytest.mark.parametrize("most", [substrings.MOST, 2])
+def test_substrings(crowd, none, most):
+    table, rows = crowd
+    runs = [[tuple(w[i : i + 13]) for i in range(len(w) - 12)] for w in (WORD.findall(t or "") for _, t in rows)]
     first: dict = {}
-    for r, own in zip(ROWS, runs, strict=True):
+    for (i, _), own in zip(rows, runs, strict=True):
         for w in own:
-            if r[0] is not None:
-                first[w] = min(first.get(w, r[0]), r[0])
+            if i is not None:
+                first[w] = min(first.get(w, i), i)
     want = []
-    for r, own in zip(ROWS, runs, strict=True):
-        words = WORD.findall(r[1] or "")
-        gone = {i + k for i, w in enumerate(own) if r[0] is not None and first[w] < r[0] for k in range(13)}
-        want.append((r[0], len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone)))
-    got = [tuple(r) for r in substrings.dedup(docs).select("doc_id", "n_words", "n_removed", "kept").collect()]
+    for (d, text), own in zip(rows, runs, strict=True):
+        words = WORD.findall(text or "")
+        gone = {i + k for i, w in enumerate(own) if d is not None and first[w] < d for k in range(13)}
+        want.append((d, len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone)))
+    got = [tuple(r) for r in substrings.dedup(table, most=most).select("doc_id", "n_words", "n_removed", "kept").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert substrings.dedup(none).count() == 0
-    assert substrings.deduplicated(docs).columns == docs.columns
+    assert substrings.deduplicated(table).columns == table.columns
 
 
 def test_reference_automaton(docs):
@@ -61,8 +73,10 @@ def test_reference_automaton(docs):
         substrings.against(docs, docs, most_words=10)
 
 
-def test_suffix_arrays(docs, none):
-    raw = [(r[0], (r[1] or "").encode()) for r in ROWS]
+@pytest.mark.parametrize("most", [suffix_arrays.MOST, 2])
+def test_suffix_arrays(crowd, none, most):
+    table, rows = crowd
+    raw = [(i, (t or "").encode()) for i, t in rows]
     seen: dict = {}
     for i, b in raw:
         for k in range(len(b) - 199) if i is not None else ():
@@ -71,11 +85,24 @@ def test_suffix_arrays(docs, none):
     for i, b in raw:
         gone = {k + j for k in range(len(b) - 199) if i is not None and seen[b[k : k + 200]] > 1 for j in range(200)}
         want.append((i, len(b), len(gone), hashlib.sha256(bytes(x for k, x in enumerate(b) if k not in gone)).hexdigest()))
-    got = [tuple(r) for r in suffix_arrays.dedup(docs).select("doc_id", "n_bytes", "n_removed", F.sha2("kept", 256)).collect()]
+    got = [tuple(r) for r in suffix_arrays.dedup(table, most=most).select("doc_id", "n_bytes", "n_removed", F.sha2("kept", 256)).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert suffix_arrays.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("search", [passages.Search(passages.words, 13, substrings.GRAMS, b" ", False, 3), passages.Search(passages.single_bytes, 200, suffix_arrays.GRAMS, b"", True, 3)])
+def test_shards_are_bounded(spark, search):
+    """No shard holds more than `most` different stretches, whatever a text repeats."""
+    texts = [(i, sentence(100 + i, 40) + " " + SHARED + " " + sentence(200 + i, 40), i) for i in range(12)] + [(20 + i, PHRASE * 300 + "x" * i, 1) for i in range(3)]
+    table = spark.createDataFrame(texts, "doc_id long, text string, th long")
+    every = search.minimizers(table).groupBy("doc_id").agg(F.collect_set("h").alias("many")).withColumn("few", F.array().cast("array<long>")).join(table.select("doc_id", "th"), "doc_id")
+    rows = search.travelling(table, every).select("h", "doc_id", "th", F.array("start").alias("starts"), "n", "body", F.lit(1).cast("long").alias("w"))
+    shards, _ = passages.bounded(rows, search, True)
+    sizes = [r["count"] for s in shards for r in s.groupBy("h").count().collect()]
+    assert len(shards) > 1 and max(sizes) <= search.most
+    assert rows.groupBy("h").count().agg(F.max("count")).first()[0] > 100
+
+
 def test_induced_sorting():
     rng = np.random.default_rng(0)
     for n in (1, 2, 5, 40, 3000):
@@ -131,6 +158,13 @@ def test_vectors(spark):
     assert sorted(tuple(r) for r in near_vectors.near_duplicates(table).collect()) == want
 
 
+def test_vectors_of_any_size(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [2e-200, 4.1e-200]), (3, [1e200, -1e200]), (4, [2e200, -2.1e200]), (5, [-1.0, 0.5]), (5, [-1.0, 0.5]), (6, [1e308, -1e-308])]
+    got = {r.vec_id: r for r in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0} and got[2].component_id == 1 and got[4].component_id == 3
+    assert near_vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
 def test_licenses(docs, none):
     got = {r.doc_id: r for r in licenses.scan(docs).collect() if r.doc_id in (6, 13)}
     assert [(d.label, d.first, d.last) for d in got[13].base] == [("mit", 6, 9), ("apache-2", 1, 4), ("cc-by-nc", 10, 12), ("cc-by-nc", 15, 17)] and got[6].n_words == 0
@@ -210,6 +244,19 @@ def test_packing(docs, none):
             bins.setdefault((r.bin_id, r.capacity), []).append(r.length)
     assert all(sum(v) <= c and not any(sum(v) <= k < c for k in (64, 128)) for (_, c), v in bins.items())
     assert sum(r.length for r in rows) == sum(len(WORD.findall(r[1] or "")) for r in ROWS) and packing.pack(none).count() == 0
+    laid: dict = {}
+    for r in sorted((r for r in rows if r.bin_id is not None), key=lambda r: r["place"]):
+        assert r["place"] == laid.get(r.bin_id, 0)
+        laid[r.bin_id] = r["place"] + r.length
+
+
+def test_packing_splits_equal_rows(spark):
+    table = spark.range(600).selectExpr("cast(1 as long) as doc_id", "'a b c' as text")
+    rows = packing.pack(table, capacities=(8, 16), shard_items=50).collect()
+    shards: dict = {}
+    for r in rows:
+        shards[r.bin_id >> 32] = shards.get(r.bin_id >> 32, 0) + 1
+    assert len(rows) == 600 and len(shards) == 12 and max(shards.values()) < 100
 
 
 def test_quality(spark, docs, none):
@@ -240,13 +287,37 @@ def test_quality_of_documents_odd_in_one_statistic(spark):
 
 
 def test_chat(spark):
-    calls = spark.createDataFrame([(1, 0, "a", "f", '{"x": 1, "a": "é"}', ["b"]), (1, 1, "b", "f", '{"a": 2}', []), (1, 2, "c", "g", "{", ["d"]), (1, 3, "d", "f", '{"a":"z"}', ["c"]), (None, 4, "e", "f", None, []), (1, 5, "b", "f", '{"a":"z"}', None)], chat.CALL)
+    calls = spark.createDataFrame([(9, 0, "s", "f", '{"a":"\\ud800"}', []), (1, 0, "a", "f", '{"x": 1, "a": "é"}', ["b"]), (1, 1, "b", "f", '{"a": 2}', []), (1, 2, "c", "g", "{", ["d"]), (1, 3, "d", "f", '{"a":"z"}', ["c"]), (None, 4, "e", "f", None, []), (1, 5, "b", "f", '{"a":"z"}', None)], chat.CALL)
     results = spark.createDataFrame([(1, 9, "a", "r"), (1, 10, "a", "s"), (1, 11, "zz", "?")], chat.RESULT)
     got = {(r.call_id, r.turn): r for r in chat.link(calls, results, {"f": {"required": ["a"], "properties": {"a": {"type": "string"}}}}).collect()}
     assert got["a", 0].level == 1 and got["a", 0].status == "answered again" and got["a", 0].problem == "" and '"arguments":{"a":"é","x":1}' in got["a", 0].json
     assert got["b", 1].problem == "a is not string" and got["c", 2].status == "cyclic" and got["e", 4].status == "unlinked" and got["zz", 11].status == "orphan result" and got["b", 5].status == "repeated call"
 
 
+def test_chat_levels_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    waits = {(1, f"c{i}"): [f"c{i - 1}"] if i else [] for i in range(70)}  # one long chain
+    waits |= {(2, f"c{i}"): sorted({f"c{j}" for j in rng.integers(0, 40, int(rng.integers(0, 3))) if j < i}) for i in range(40)}
+    waits |= {(3, f"c{i}"): sorted({f"c{j}" for j in rng.integers(0, 40, int(rng.integers(0, 3)))}) for i in range(40)}  # with cycles
+    waits |= {(4, "a"): ["a"], (4, "b"): ["a"], (4, "c"): ["gone"], (4, "d"): ["c", "gone"], (4, "e"): ["d", "b"]}
+    level = {k: None for k in waits}
+    for _ in waits:
+        for (conv, call), on in waits.items():
+            own = [level[conv, x] for x in on if (conv, x) in waits]
+            if None not in own:
+                level[conv, call] = max(own, default=-1) + 1
+    rows = [(conv, i, call, "f", "{}", on) for i, ((conv, call), on) in enumerate(waits.items())]
+    got = {(r.conv_id, r.call_id): r for r in chat.link(spark.createDataFrame(rows, chat.CALL), spark.createDataFrame([], chat.RESULT), {"f": {}}).collect()}
+    assert {k: r.level for k, r in got.items()} == level
+    assert {k for k, r in got.items() if r.status == "cyclic"} == {k for k, v in level.items() if v is None} and max(v for v in level.values() if v is not None) == 69
+
+
+def test_chat_arguments():
+    schema = {"properties": {"a": {"type": ["string", "null"]}, "b": {"type": "null"}, "c": {"type": "odd"}}}
+    assert chat.valid('{"a":null,"b":null,"c":1}', schema)[1] == "" and chat.valid('{"a":1}', schema)[1] == "a is not string or null"
+    assert chat.valid('{"a":"\\ud800é"}', schema) == ('{"a":"\\ud800é"}', "") and chat.valid("NaN", schema) == (None, "not JSON") and chat.valid(None, schema)[1] == "not an object"
+
+
 def test_chat_keeps_every_turn(spark):
     inline = '{"content":"wait","tool_calls":[{"id":"x","name":"f","arguments":"{}"},{"id":"y","name":"f","arguments":"{}"}]}'
     rows = [
