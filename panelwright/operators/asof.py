@@ -9,11 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time: str, cols: list[str], direction: str = "backward", strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time: str, cols: list[str], direction: str = "backward", strict: bool = False, else_first: bool = False) -> DataFrame:
     """left with `cols` of the last row of right at or before its time (the first at or after it, going forward).
 
     `right` should hold one row for each key and time.  Rows of left keep their number; without a match the
-    columns are null.  A column may itself be null in the matched row.
+    columns are null, or with `else_first` those of the key's first row of right.  A column may itself be
+    null in the matched row.
     """
     forward = direction == "forward"
     packed = F.struct(*(F.col(c).alias(c) for c in cols))
@@ -21,28 +22,31 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time
     r = right.select(*by, F.col(right_time).alias("_t"), F.lit(2 if strict else 0).alias("_side"), packed.alias("_p"))
     order = [F.desc("_t") if forward else F.asc("_t"), F.asc("_side")]
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = l.unionByName(r, allowMissingColumns=True).withColumn("_m", F.last("_p", ignorenulls=True).over(w))
+    match = F.last("_p", ignorenulls=True).over(w)
+    if else_first:
+        match = F.coalesce(match, F.first("_p", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_m", match)
     return both.where("_side = 1").select(*left.columns, *(F.col(f"_m.{c}").alias(c) for c in cols))
 
 
-def affine_scan(df: DataFrame, by: str, order: str, b: Column, k: float, out: str) -> DataFrame:
-    """y = k * previous y + b along each key, from the first row; b is never null and 0 < k < 1.
+def affine_scan(df: DataFrame, by: str, order: str, steps: dict[str, Column], k: float) -> DataFrame:
+    """For each column y of `steps` and its b: y = k * previous y + b along each key, from the first row; b is never null and 0 < k < 1.
 
     In blocks of 64 rows y is k^i * sum(b_j * k^-j); what a block inherits is a short sum over the ends of
     the blocks before it, back to where k^(64 n) vanishes.
     """
     block = 64
-    numbered = df.withColumn("_b", b).withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(order)) - 1)
+    numbered = df.withColumns({f"_b_{c}": b for c, b in steps.items()}).withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(order)) - 1)
     numbered = numbered.withColumn("_block", F.floor(F.col("_n") / block)).withColumn("_i", F.col("_n") % block)
     inside = W.partitionBy(by, "_block").orderBy("_i")
-    partial = numbered.withColumn("_y", F.pow(F.lit(k), F.col("_i")) * F.sum(F.col("_b") * F.pow(F.lit(k), -F.col("_i"))).over(inside))
+    partial = numbered.withColumns({f"_y_{c}": F.pow(F.lit(k), F.col("_i")) * F.sum(F.col(f"_b_{c}") * F.pow(F.lit(k), -F.col("_i"))).over(inside) for c in steps})
     reach = max(1, math.ceil(math.log(1e-18) / (block * math.log(k))))
-    ends = partial.where(F.col("_i") == block - 1).select(F.col(by).alias("_by"), (F.col("_block") + 1).alias("_at"), F.col("_y").alias("_end"))
+    ends = partial.where(F.col("_i") == block - 1).select(F.col(by).alias("_by"), (F.col("_block") + 1).alias("_at"), *(F.col(f"_y_{c}").alias(f"_end_{c}") for c in steps))
     w = W.partitionBy("_by").orderBy("_at").rowsBetween(-reach + 1, 0)
-    carry = ends.select("_by", "_at", F.aggregate(F.collect_list("_end").over(w), F.lit(0.0), lambda a, x: a * (k**block) + x).alias("_carry"))
-    joined = partial.join(carry, (F.col(by) == F.col("_by")) & (F.col("_block") == F.col("_at")), "left")
-    y = F.col("_y") + F.coalesce(F.col("_carry"), F.lit(0.0)) * F.pow(F.lit(k), F.col("_i") + 1)
-    return joined.withColumn(out, y).drop("_b", "_n", "_block", "_i", "_y", "_by", "_at", "_carry")
+    carry = ends.select("_by", "_at", *(F.aggregate(F.collect_list(f"_end_{c}").over(w), F.lit(0.0), lambda a, x: a * (k**block) + x).alias(f"_c_{c}") for c in steps))
+    joined = partial.join(carry, (F.col(by) == F.col("_by")) & (F.col("_block") == F.col("_at")), "left").drop("_by", "_at")
+    joined = joined.withColumns({c: F.col(f"_y_{c}") + F.coalesce(F.col(f"_c_{c}"), F.lit(0.0)) * F.pow(F.lit(k), F.col("_i") + 1) for c in steps})
+    return joined.select(*df.columns, *steps)
 
 
 def running_product(ratio: Column, w) -> Column:

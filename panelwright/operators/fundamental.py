@@ -31,7 +31,18 @@ def factors() -> dict[str, tuple[Column, bool]]:
     return FACTORS
 
 
+def register(name: str, value: Column, higher_is_better: bool = True) -> None:
+    """Adds a user's factor: a column expression over the fundamentals' columns, and nothing else."""
+    if not isinstance(value, Column):
+        raise TypeError(f"{name} is no column expression")
+    if name in ("code", "date", "pub_date", "value"):
+        raise ValueError(f"{name} is reserved")
+    factors()[name] = (value, higher_is_better)
+
+
 def value_of(table: DataFrame, name: str) -> DataFrame:
+    if name not in factors():
+        raise KeyError(f"unknown factor {name}; known: {', '.join(sorted(factors()))}")
     c, _ = factors()[name]
     return table.select("code", F.col("pub_date").alias("date"), c.alias("value"))
 

@@ -38,14 +38,45 @@ def clean(df: DataFrame) -> DataFrame:
     return mask_suspended(sanitise(coerce(df, [*PRICES, "volume", "amount"], ["is_suspended"])))
 
 
-def align(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Each code's bars on every trading day between its first and last; days without a close are suspended rows."""
-    ends = bars.groupBy("code").agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
-    days = calendar.select("date").distinct()
-    grid = ends.join(F.broadcast(days), (F.col("date") >= F.col("_lo")) & (F.col("date") <= F.col("_hi"))).select("code", "date")
+def align(bars: DataFrame, calendar: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Each code's bars on every trading day between its first and last (or the given bounds); days without a close are suspended rows.
+
+    Real rows keep their source (`feed` where there is none); a name, if there is such a column, is filled forward and then back.
+    """
+    lo = F.min("date") if start is None else F.lit(start).cast("date")
+    hi = F.max("date") if end is None else F.lit(end).cast("date")
+    ends = bars.groupBy("code").agg(lo.alias("_lo"), hi.alias("_hi")).where("_lo <= _hi")
+    grid = ends.select("code", F.explode(F.sequence("_lo", "_hi")).alias("date")).join(calendar.select("date").distinct(), "date", "left_semi")
     rows = grid.join(bars, ["code", "date"], "left")
     missing = F.col("close").isNull()
-    return rows.select("code", "date", *PRICES, "volume", "amount", (missing | F.coalesce("is_suspended", F.lit(False))).alias("is_suspended"), F.when(missing, "aligned").otherwise("feed").alias("source"))
+    source = F.coalesce("source", F.lit("feed")) if "source" in bars.columns else F.lit("feed")
+    w = W.partitionBy("code").orderBy("date")
+    before, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    name = [F.coalesce(F.last("name", ignorenulls=True).over(before), F.first("name", ignorenulls=True).over(after)).alias("name")] if "name" in bars.columns else []
+    return rows.select("code", "date", *name, *PRICES, "volume", "amount", (missing | F.coalesce("is_suspended", F.lit(False))).alias("is_suspended"), F.when(missing, "aligned").otherwise(source).alias("source"))
+
+
+def tidy_calendar(raw: DataFrame) -> DataFrame:
+    """Distinct trading days from dates, stamps or text; what is no date goes."""
+    return raw.select(F.expr("try_cast(date as date)").alias("date")).where("date is not null").distinct()
+
+
+def with_open_day(rows: DataFrame, calendar: DataFrame) -> DataFrame:
+    """rows with whether their date is a trading day."""
+    days = calendar.select("date", F.lit(True).alias("_open")).distinct()
+    return rows.join(days, "date", "left").select(*rows.columns, F.coalesce("_open", F.lit(False)).alias("open_day"))
+
+
+def trading_range(calendar: DataFrame, start: str, end: str) -> DataFrame:
+    """The trading days of a closed range."""
+    if start > end:
+        raise ValueError(f"{start} is after {end}")
+    return calendar.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select("date").distinct()
+
+
+def calendar_of(bars: DataFrame, time: str = "date") -> DataFrame:
+    """The distinct days of a table of daily or minute rows."""
+    return bars.select(F.col(time).cast("date").alias("date")).where("date is not null").distinct()
 
 
 def ranked(calendar: DataFrame) -> DataFrame:
@@ -75,30 +106,52 @@ def price_logic(bars: DataFrame) -> DataFrame:
 
 
 def null_audit(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("code").agg(*(F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in [*PRICES, "volume", "amount"]))
+    """Nulls of each column by code, and adjustment factors that are not above 0 where there are any."""
+    factor = [F.count_if(F.col("adj_factor") <= 0).alias("bad_factors")] if "adj_factor" in bars.columns else []
+    return bars.groupBy("code").agg(*(F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in [*PRICES, "volume", "amount"]), *factor)
+
+
+def code_consistency(rows: DataFrame) -> DataFrame:
+    """(file, n_codes, consistent): whether all codes of a file are the one that its name begins with; nulls don't count."""
+    stem = F.regexp_extract("file", r"([^/]+?)\.[A-Za-z]+$", 1)
+    named = rows.groupBy("file").agg(F.count_distinct("code").alias("n_codes"), F.min("code").alias("_code"))
+    return named.select("file", "n_codes", ((F.col("n_codes") == 1) & F.coalesce(F.col("_code") == stem, F.lit(False))).alias("consistent"))
 
 
 def continuity(bars: DataFrame, calendar: DataFrame, most: int = 60) -> DataFrame:
     """Days off the calendar and the longest run of missing trading days within each code's span."""
-    rows = bars.select("code", "date").distinct().join(F.broadcast(ranked(calendar)), "date", "left")
+    rows = bars.select("code", "date").distinct().join(ranked(calendar), "date", "left")
     gap = F.col("rank") - F.lag("rank").over(W.partitionBy("code", F.col("rank").isNull()).orderBy("date")) - 1
     found = rows.withColumn("gap", gap).groupBy("code").agg(F.count_if(F.col("rank").isNull()).alias("off_calendar"), F.coalesce(F.max("gap"), F.lit(0)).alias("longest_gap"))
     return found.withColumn("flagged", F.col("longest_gap") > most)
 
 
 def scan_summary(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(check, codes, passed, findings) of the null audit, the price rules and the continuity of daily bars."""
+    """(check, codes, passed, findings) of the null audit, the price rules, repeated keys and the continuity of daily bars."""
+    twice = bars.groupBy("code").agg((F.count("*") - F.count_distinct("date")).alias("n")).select(F.lit("repeats").alias("check"), "n")
     nulls = null_audit(bars).select(F.lit("nulls").alias("check"), sum((F.col(f"{c}_nulls") for c in [*PRICES, "volume", "amount"]), F.lit(0)).alias("n"))
     logic = price_logic(bars).select(F.lit("price logic").alias("check"), (F.col("high_low") + F.col("low_high") + F.col("negative")).alias("n"))
     gaps = continuity(bars, calendar).select(F.lit("continuity").alias("check"), (F.col("off_calendar") + F.col("flagged").cast("int")).alias("n"))
-    return nulls.union(logic).union(gaps).groupBy("check").agg(F.count("*").alias("codes"), F.count_if(F.col("n") == 0).alias("passed"), F.sum("n").alias("findings"))
+    return nulls.union(logic).union(twice).union(gaps).groupBy("check").agg(F.count("*").alias("codes"), F.count_if(F.col("n") == 0).alias("passed"), F.sum("n").alias("findings"))
+
 
+def minute_scan_summary(minutes: DataFrame) -> DataFrame:
+    """scan_summary() for minute bars: nulls, price rules, sessions, repeats and order."""
+    found = session_check(minutes).select("code", "outside", "repeats", "inversions").join(null_audit(minutes), "code").join(price_logic(minutes), "code")
+    nulls = sum((F.col(f"{c}_nulls") for c in [*PRICES, "volume", "amount"]), F.lit(0))
+    checks = {"nulls": nulls, "price logic": F.col("high_low") + F.col("low_high") + F.col("negative"), "sessions": F.col("outside"), "repeats": F.col("repeats"), "order": F.col("inversions")}
+    rows = found.select(F.explode(F.array(*(F.struct(F.lit(k).alias("check"), c.cast("long").alias("n")) for k, c in checks.items()))).alias("f")).select("f.*")
+    return rows.groupBy("check").agg(F.count("*").alias("codes"), F.count_if(F.col("n") == 0).alias("passed"), F.sum("n").alias("findings"))
 
-def session_check(minutes: DataFrame) -> DataFrame:
-    """Rows outside the two trading sessions, by code."""
+
+def session_check(minutes: DataFrame, seq: str | None = None) -> DataFrame:
+    """Rows outside the two trading sessions, repeated stamps and, by arrival number, stamps before the one that arrived last, by code."""
+    arrival = F.col(seq) if seq else F.col("datetime")
+    earlier = F.col("datetime") < F.lag("datetime").over(W.partitionBy("code").orderBy(arrival))
+    minutes = minutes.withColumn("_back", F.coalesce(earlier, F.lit(False)))
     t = F.date_format("datetime", "HH:mm")
     inside = t.between("09:30", "11:30") | t.between("13:00", "15:00")
-    return minutes.groupBy("code").agg(F.count_if(~inside).alias("outside"), (F.count("*") - F.count_distinct("datetime")).alias("repeats"))
+    return minutes.groupBy("code").agg(F.count_if(~inside).alias("outside"), (F.count("*") - F.count_distinct("datetime")).alias("repeats"), F.count_if("_back").alias("inversions"))
 
 
 def minute_grades(minutes: DataFrame, period: int = 1) -> DataFrame:
@@ -122,8 +175,14 @@ def schema_findings(df: DataFrame, expected: dict[str, str]) -> list[tuple[str,
 
 
 def wide(bars: DataFrame, codes: list[str], field: str = "close") -> DataFrame:
-    """One column for each listed code on a common date index; the last row of a date counts."""
-    return bars.groupBy("date").pivot("code", codes).agg(F.max_by(field, "date"))
+    """One column for each listed code on a common date index; of rows that repeat a key one counts."""
+    return bars.groupBy("date").pivot("code", codes).agg(F.max(field))
+
+
+def panel(bars: DataFrame, field: str = "close") -> DataFrame:
+    """(date, values): for each date a map from every code with a row to its value; a map, since a market's codes are too many for columns."""
+    one = bars.groupBy("date", "code").agg(F.max(field).alias("v"))
+    return one.groupBy("date").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("code", "v")))).alias("values"))
 
 
 def minute_schema(raw: DataFrame, source: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import annualised_return, annualised_volatility
+
 YEAR = 252
 
 
@@ -31,7 +33,7 @@ def day_stop(equity: DataFrame, key: list[str], limit: float) -> DataFrame:
 
 def admit(orders: DataFrame, flags: DataFrame) -> DataFrame:
     """orders (date, side) with whether risk flags (date, halted, stopped) admit them."""
-    rows = orders.join(F.broadcast(flags.select("date", "halted", "stopped")), "date", "left")
+    rows = orders.join(flags.select("date", "halted", "stopped"), "date", "left")
     return rows.withColumn("admitted", ~F.coalesce("halted", F.lit(False)) & ~(F.coalesce("stopped", F.lit(False)) & (F.col("side") > 0))).drop("halted", "stopped")
 
 
@@ -50,18 +52,22 @@ def returns(equity: DataFrame, key: list[str]) -> DataFrame:
     return equity.withColumn("ret", F.col("equity") / F.lag("equity").over(_by(key)) - 1)
 
 
-def summary(equity: DataFrame, key: list[str], risk_free: float = 0.0, year: float = YEAR, sharpe_year: float | None = None) -> DataFrame:
-    """total and annual return, sharpe, max_drawdown and calmar of each scenario; its first equity stands for 1."""
-    often = sharpe_year or year
+def summary(equity: DataFrame, key: list[str], risk_free: float = 0.0, year: float | str = YEAR) -> DataFrame:
+    """total and annual return, sharpe, max_drawdown and calmar of each scenario; its first equity stands for 1.
+
+    `year` is the number of rows a year, or a column of equity that holds it (rounded for the Sharpe ratio).
+    """
+    year = F.lit(float(year)) if not isinstance(year, str) else F.first(year)
+    often = F.rint(year)
     rows = drawdown(returns(equity, key), key)
     agg = rows.groupBy(*key).agg(
         (F.max_by("equity", "date") / F.min_by("equity", "date")).alias("growth"), F.count("*").alias("n"),
-        F.avg(F.col("ret") - risk_free / often).alias("_m"), F.stddev_samp(F.col("ret") - risk_free / often).alias("_s"), F.min("drawdown").alias("max_drawdown"),
+        F.avg("ret").alias("_r"), F.stddev_samp("ret").alias("_s"), F.min("drawdown").alias("max_drawdown"), year.alias("_year"), often.alias("_often"),
     )
-    annual = F.when(F.col("growth") <= 0, -1.0).when(F.col("n") > 1, F.pow("growth", year / (F.col("n") - 1)) - 1).otherwise(0.0)
-    sharpe = F.when((F.col("n") > 2) & (F.col("_s") >= 1e-12), F.col("_m") / F.col("_s") * F.sqrt(F.lit(float(often)))).otherwise(0.0)
+    annual = F.when(F.col("growth") <= 0, -1.0).when(F.col("n") > 1, F.pow("growth", F.col("_year") / (F.col("n") - 1)) - 1).otherwise(0.0)
+    sharpe = F.when((F.col("n") > 2) & (F.col("_s") >= 1e-12), (F.col("_r") - risk_free / F.col("_often")) / F.col("_s") * F.sqrt("_often")).otherwise(0.0)
     out = agg.select(*key, "n", (F.col("growth") - 1).alias("total_return"), annual.alias("annual_return"), sharpe.alias("sharpe"), "max_drawdown")
-    return out.withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("annual_return") / F.abs("max_drawdown")).otherwise(0.0))
+    return out.withColumn("calmar", F.when(F.col("max_drawdown") < -1e-12, F.col("annual_return") / F.abs("max_drawdown")).otherwise(0.0))
 
 
 def trade_statistics(trades: DataFrame, key: list[str]) -> DataFrame:
@@ -89,7 +95,7 @@ def bars_per_year(stamps: DataFrame) -> DataFrame:
     span = stamps.agg(F.datediff(F.max("datetime"), F.min("datetime")).alias("span"))
     years = stamps.groupBy(F.year("datetime").alias("y")).agg(F.count("*").alias("n"))
     most = years.agg(F.max("n").alias("most"))
-    yearly = years.crossJoin(F.broadcast(most)).where("n >= 0.5 * most").agg(F.percentile("n", F.lit(0.5)).alias("yearly"))
+    yearly = years.crossJoin(most).where("n >= 0.5 * most").agg(F.percentile("n", F.lit(0.5)).alias("yearly"))
     daily = stamps.groupBy(F.to_date("datetime")).agg(F.count("*").alias("n")).agg((F.percentile("n", F.lit(0.5)) * YEAR).alias("daily"))
     one = span.crossJoin(yearly).crossJoin(daily)
     return one.select(F.greatest(F.lit(1.0), F.when(F.col("span") >= 365, F.col("yearly")).otherwise(F.col("daily"))).alias("bars_per_year"))
@@ -97,17 +103,15 @@ def bars_per_year(stamps: DataFrame) -> DataFrame:
 
 def intraday_summary(equity: DataFrame, key: list[str]) -> DataFrame:
     """summary() of equity by `datetime`, annualised by its own bars a year (a whole number for the Sharpe ratio)."""
-    year = bars_per_year(equity.select("datetime").distinct()).first()[0]
-    return summary(equity.withColumnRenamed("datetime", "date"), key, year=year, sharpe_year=round(year))
+    rows = equity.withColumnRenamed("datetime", "date").crossJoin(bars_per_year(equity.select("datetime").distinct()))  # one row
+    return summary(rows, key, year="bars_per_year")
 
 
 def folds(calendar: DataFrame, n: int) -> DataFrame:
     """(fold, train_start, train_end, test_start, test_end): growing training spans, equal tests, the last takes the rest."""
-    days = calendar.select("date").distinct().withColumn("i", F.row_number().over(W.orderBy("date")) - 1)
-    total = days.count()
-    if total < 2 * (n + 1):
-        raise ValueError(f"{total} days are too few for {n} folds")
-    chunk = total // (n + 1)
+    days = calendar.select("date").distinct().select("date", (F.row_number().over(W.orderBy("date")) - 1).alias("i"), F.count("*").over(W.partitionBy()).alias("total"))
+    few = F.raise_error(F.concat("total", F.lit(f" days are too few for {n} folds"))).cast("long")
+    chunk = F.when(F.col("total") < 2 * (n + 1), few).otherwise(F.floor(F.col("total") / (n + 1)))
     part = F.least(F.floor(F.col("i") / chunk), F.lit(n)).cast("int")
     spans = days.groupBy(part.alias("part")).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     w = W.orderBy("part")
@@ -115,8 +119,8 @@ def folds(calendar: DataFrame, n: int) -> DataFrame:
 
 
 def best_by_fold(train: DataFrame, test: DataFrame, metric: str = "sharpe") -> DataFrame:
-    """For each fold the parameters of best training metric (the first of equal ones) with their test metric."""
-    w = W.partitionBy("fold").orderBy(F.desc_nulls_last(metric), "param_id")
+    """For each fold the parameters of best training metric (the first of those equal to nine places) with their test metric."""
+    w = W.partitionBy("fold").orderBy(F.desc_nulls_last(F.round(metric, 9)), "param_id")
     best = train.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("fold", "param_id", F.col(metric).alias("train_metric"))
     return best.join(test.select("fold", "param_id", F.col(metric).alias("test_metric")), ["fold", "param_id"], "left")
 
@@ -128,3 +132,29 @@ def walk_forward(train: DataFrame, test: DataFrame, metric: str = "sharpe") -> D
     """
     best = best_by_fold(train, test, metric)
     return best.withColumns({"mean_test": F.avg("test_metric").over(W.partitionBy()), "no_trades": F.col("test_metric").isNull()})
+
+
+def checked(**parameters: float) -> dict[str, float]:
+    """Rates, shares and stops, each between 0 and 1, and least fees (`least_...`), 0 or more, as given; others are refused."""
+    for name, v in parameters.items():
+        if not (v >= 0 if name.startswith("least_") else 0 <= v <= 1):
+            raise ValueError(f"{name} = {v} is out of bounds")
+    return parameters
+
+
+def annualised(daily: DataFrame, days: int = YEAR) -> DataFrame:
+    """daily (ret, volatility) with both over a year."""
+    return daily.withColumns({"annual_return": annualised_return(F.col("ret"), days), "annual_volatility": annualised_volatility(F.col("volatility"), days)})
+
+
+def realised_equity(trades: DataFrame, days: DataFrame, key: list[str], capital: DataFrame) -> DataFrame:
+    """(*key, date, equity): 1 plus the profit of trades closed up to each day over the capital; `capital` has a row for each key.
+
+    Days and keys are all combined: both are small tables (a calendar, parameters and folds).  `days` should
+    hold every day on which a trade closes.
+    """
+    closed = trades.groupBy(*key, F.col("exit_date").alias("date")).agg(F.sum("pnl").alias("_p"))
+    grid = capital.join(days, key) if set(key) <= set(days.columns) else capital.crossJoin(days.select("date").distinct())
+    rows = grid.join(closed, [*key, "date"], "left")
+    w = W.partitionBy(*key).orderBy("date").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.select(*key, "date", (1 + F.sum(F.coalesce("_p", F.lit(0.0))).over(w) / F.col("capital")).alias("equity"))

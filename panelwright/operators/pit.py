@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import special_treatment
+from ..functions.columns import parse_date, special_treatment
 from .asof import asof, running_product
 from .panel import PRICES
 
 
 def events(raw: DataFrame) -> DataFrame:
-    """Raw corporate events with a date and a standard code; rows without market, category or date go."""
+    """Raw corporate events with a date (a date, text or a yyyymmdd number) and a standard code; rows without market, category or date go."""
+    if dict(raw.dtypes)["date"] != "date":
+        raw = raw.withColumn("date", parse_date(F.col("date").cast("string")))
     suffix = F.when(F.col("market") == 0, "SZ").when(F.col("market") == 1, "SH").when(F.col("market") == 2, "BJ")
     code = F.concat(F.substring(F.trim("code"), 1, 6), F.lit("."), suffix)
     return raw.where("market is not null and category is not null and date is not null").withColumn("code", code).where("code is not null")
@@ -46,9 +48,7 @@ def cumulative_factors(bars: DataFrame, rights: DataFrame) -> DataFrame:
 def align_factors(rows: DataFrame, factors: DataFrame, out: str = "cum_factor") -> DataFrame:
     """Each row with the latest factor at or before it, else the code's earliest, else 1."""
     f = factors.select("code", F.col("date").alias("_d"), F.col("cum_factor").alias(out))
-    first = factors.groupBy("code").agg(F.min_by("cum_factor", "date").alias("_first"))
-    at = asof(rows, f, ["code"], "date", "_d", [out]).join(first, "code", "left")
-    return at.withColumn(out, F.coalesce(out, "_first", F.lit(1.0))).drop("_first")
+    return asof(rows, f, ["code"], "date", "_d", [out], else_first=True).withColumn(out, F.coalesce(out, F.lit(1.0)))
 
 
 def factor_at(factors: DataFrame, anchor: Column | None = None) -> DataFrame:
@@ -88,7 +88,11 @@ def names_at(rows: DataFrame, renames: DataFrame, current: DataFrame) -> DataFra
 
 def universe_at(dates: DataFrame, master: DataFrame, renames: DataFrame, window: int = 365, drop_st: bool = True) -> DataFrame:
     """(date, code): listed for at least `window` days, not delisted, and without special treatment then."""
-    listed = F.broadcast(dates).join(master, (F.col("list_date") <= F.date_sub("date", window)) & (F.col("delist_date").isNull() | (F.col("delist_date") > F.col("date")))).select("date", "code")
+    days = dates.select("date").distinct()
+    span = days.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))  # one row
+    lo, hi = F.greatest(F.date_add("list_date", window), "_lo"), F.least(F.coalesce(F.date_sub("delist_date", 1), "_hi"), "_hi")
+    spans = master.where("list_date is not null").crossJoin(span).select("code", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    listed = spans.select("code", F.explode(F.sequence("lo", "hi")).alias("date")).join(days, "date", "left_semi").select("date", "code")
     if not drop_st:
         return listed
     return names_at(listed, renames, master).where(~special_treatment(F.col("name"))).select("date", "code")
@@ -97,19 +101,51 @@ def universe_at(dates: DataFrame, master: DataFrame, renames: DataFrame, window:
 def members_at(members: DataFrame, date: Column) -> DataFrame:
     """The whole latest snapshot of each index at or before the date."""
     latest = members.where(F.col("snapshot_date") <= date).groupBy("index_code").agg(F.max("snapshot_date").alias("snapshot_date"))
-    return members.join(F.broadcast(latest), ["index_code", "snapshot_date"])
+    return members.join(latest, ["index_code", "snapshot_date"])
 
 
-def stale(last_event: DataFrame, stored: DataFrame, codes: DataFrame) -> DataFrame:
-    """codes with whether their stored factors are older than the last event, or missing."""
+def stale(last_event: DataFrame, stored: DataFrame, codes: DataFrame, refresh_without: bool = False) -> DataFrame:
+    """codes with whether their stored factors are older than the last event, or missing.
+
+    For factors of an external table give the bars as `last_event`: `refresh_without` then says what codes without any need.
+    """
     e, s = last_event.groupBy("code").agg(F.max("date").alias("e")), stored.groupBy("code").agg(F.max("date").alias("s"))
     rows = codes.select("code").distinct().join(e, "code", "left").join(s, "code", "left")
-    return rows.select("code", (F.col("s").isNull() | F.coalesce(F.col("e") > F.col("s"), F.lit(False))).alias("refresh"))
+    return rows.select("code", (F.col("s").isNull() | F.coalesce(F.col("e") > F.col("s"), F.lit(refresh_without))).alias("refresh"))
 
 
 def load(bars: DataFrame, factors: DataFrame, start: str, end: str, mode: str = "none") -> DataFrame:
-    """Adjusted bars of a closed range; without adjustment they carry cum_factor."""
-    return adjust(bars, factors, mode).where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    """Adjusted bars of a closed range; without adjustment they carry cum_factor.  Minute bars (`datetime`) take the factor of their date."""
+    inside = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    if "datetime" in bars.columns:
+        return adjust(bars.withColumn("date", F.to_date("datetime")).where(inside), factors, mode).drop("date")
+    return adjust(bars.where(inside), factors, mode)
+
+
+def ratio_factors(raw: DataFrame, adjusted: DataFrame) -> DataFrame:
+    """(code, date, factor): adjusted over unadjusted close, 1 where the latter is not above 0; days in both tables only."""
+    both = raw.select("code", "date", F.col("close").alias("_r")).join(adjusted.select("code", "date", F.col("close").alias("_a")), ["code", "date"])
+    return both.select("code", "date", F.when(F.col("_r") > 0, F.col("_a") / F.col("_r")).otherwise(1.0).alias("factor"))
+
+
+def last_events(rows: DataFrame) -> DataFrame:
+    """(code, date): each code's last event, from events()."""
+    return rows.groupBy("code").agg(F.max("date").alias("date"))
+
+
+EVENT_KEY = ["market", "code", "date", "category"]
+
+
+def new_events(now: DataFrame, before: DataFrame) -> DataFrame:
+    """The event keys of a snapshot that the one before lacks, each with the net change in rows of the whole snapshot."""
+    net = now.agg(F.count("*").alias("_n")).crossJoin(before.agg(F.count("*").alias("_b"))).select((F.col("_n") - F.col("_b")).alias("net_rows"))
+    return now.select(*EVENT_KEY).distinct().join(before.select(*EVENT_KEY), EVENT_KEY, "left_anti").crossJoin(net)
+
+
+def uncovered(codes: DataFrame, bars: DataFrame, since: str) -> DataFrame:
+    """Codes without a bar on or after a date."""
+    last = bars.groupBy("code").agg(F.max("date").alias("_d"))
+    return codes.select("code").join(last, "code", "left").where(F.col("_d").isNull() | (F.col("_d") < F.lit(since).cast("date"))).select("code")
 
 
 def rename_history(renames: DataFrame) -> DataFrame:

@@ -14,10 +14,15 @@ def _bars(time: str) -> list:
     return [F.min_by("open", seen("open")).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", seen("close")).alias("close"), F.sum("volume").alias("volume"), F.sum("amount").alias("amount")]
 
 
+def _carried(bars: DataFrame, time: str) -> list:
+    """The last factors of a bin, where the bars have any."""
+    return [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(time))).alias(c) for c in ("adj_factor", "cum_factor") if c in bars.columns]
+
+
 def daily(bars: DataFrame, unit: str) -> DataFrame:
-    """Weeks (ending Friday), months, quarters or years; the date is the last real one; bins without a close go."""
+    """Weeks (ending Friday), months, quarters or years; the date is the last real one, factors are its; bins without a close go."""
     bin_ = F.next_day(F.date_sub("date", 1), "FRI") if unit == "week" else F.date_trunc(UNITS[unit], "date").cast("date")
-    rows = bars.groupBy("code", bin_.alias("_bin")).agg(F.max("date").alias("date"), *_bars("date"))
+    rows = bars.groupBy("code", bin_.alias("_bin")).agg(F.max("date").alias("date"), *_bars("date"), *_carried(bars, "date"))
     return rows.where("close is not null").drop("_bin")
 
 
@@ -37,7 +42,7 @@ def from_base(min1: DataFrame, min5: DataFrame, target: int) -> DataFrame:
     if target % 5:
         return minutes(min1, target)
     has = min5.select("code").distinct()
-    return minutes(min5, target, 5).unionByName(minutes(min1.join(F.broadcast(has), "code", "left_anti"), target))
+    return minutes(min5, target, 5).unionByName(minutes(min1.join(has, "code", "left_anti"), target))
 
 
 def sliced(bars: DataFrame, unit: str, start: str, end: str) -> DataFrame:

@@ -24,11 +24,11 @@ def ma_rsi(bars: DataFrame, fast: int = 10, slow: int = 30, rsi_period: int = 14
     return m.select("code", "date", F.when(sell, -1).when(buy, 1).otherwise(0).alias("signal"))
 
 
-def close_vs_means(bars: DataFrame, fast: int = 10, slow: int = 30) -> DataFrame:
-    """Buy above the fast mean; selling below the slow one overrides."""
+def close_vs_means(bars: DataFrame, fast: int = 10, slow: int = 30, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Buy above the fast mean; selling below the slow one overrides.  Columns of bars named in `keep` stay."""
     mean = lambda n: F.when(F.count("close").over(_by().rowsBetween(-n + 1, 0)) == n, F.avg("close").over(_by().rowsBetween(-n + 1, 0)))
     yes = lambda c: F.coalesce(c, F.lit(False))
-    return bars.select("code", "date", F.when(yes(F.col("close") < mean(slow)), -1).when(yes(F.col("close") > mean(fast)), 1).otherwise(0).alias("signal"))
+    return bars.select("code", "date", *keep, F.when(yes(F.col("close") < mean(slow)), -1).when(yes(F.col("close") > mean(fast)), 1).otherwise(0).alias("signal"))
 
 
 def invalid(signals: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def invalid(signals: DataFrame) -> DataFrame:
 
 def align(signals: DataFrame, days: DataFrame, codes: DataFrame) -> DataFrame:
     """Signals on every (day, code), hold where there is none; others go."""
-    grid = days.select("date").distinct().crossJoin(F.broadcast(codes.select("code").distinct()))
+    grid = days.select("date").distinct().crossJoin(codes.select("code").distinct())  # the result itself is every day and code
     return grid.join(signals.select("code", "date", "signal"), ["code", "date"], "left").select("code", "date", F.coalesce("signal", F.lit(0)).alias("signal"))
 
 
@@ -49,3 +49,8 @@ def executable(aligned: DataFrame) -> DataFrame:
 
 def counts(signals: DataFrame) -> DataFrame:
     return signals.groupBy("code", "signal").agg(F.count("*").alias("n"))
+
+
+def combined(rows: DataFrame) -> DataFrame:
+    """One signal for each code and date from several rows: any sale overrides any purchase."""
+    return rows.groupBy("code", "date").agg(F.when(F.min("signal") < 0, -1).when(F.max("signal") > 0, 1).otherwise(0).alias("signal"))

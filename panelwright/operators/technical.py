@@ -29,7 +29,7 @@ def ema(bars: DataFrame, period: int = 20, of: str = "close") -> DataFrame:
     """Seeded with the mean of the first `period` rows."""
     a = 2 / (period + 1)
     rows = bars.where(F.col(of).isNotNull()).select("code", "date", F.col(of).alias("_x"), F.row_number().over(_by()).alias("_k"), _rolling(F.col(of), period).alias("_m")).where(F.col("_k") >= period)
-    seeded = affine_scan(rows, "code", "date", F.when(F.col("_k") == period, F.col("_m")).otherwise(F.col("_x") * a), 1 - a, "value").select("code", "date", "value")
+    seeded = affine_scan(rows, "code", "date", {"value": F.when(F.col("_k") == period, F.col("_m")).otherwise(F.col("_x") * a)}, 1 - a).select("code", "date", "value")
     return bars.select("code", "date").join(seeded, ["code", "date"], "left")
 
 
@@ -37,17 +37,18 @@ def wilder(rows: DataFrame, of: str, period: int) -> DataFrame:
     """Wilder's mean with its early weights summing to 1; null until `period` values."""
     a = 1 / period
     used = rows.where(F.col(of).isNotNull()).select("code", "date", F.col(of).alias("_x"), F.row_number().over(_by()).alias("_k"))
-    y = affine_scan(used, "code", "date", F.col("_x") * a, 1 - a, "_w")
+    y = affine_scan(used, "code", "date", {"_w": F.col("_x") * a}, 1 - a)
     value = F.when(F.col("_k") >= period, F.col("_w") / (1 - F.pow(F.lit(1 - a), F.col("_k"))))
     return y.select("code", "date", value.alias("value"))
 
 
 def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
-    change = bars.select("code", "date", (F.col("close") - F.lag("close").over(_by())).alias("c"))
-    up = wilder(change.select("code", "date", F.greatest("c", F.lit(0.0)).alias("g")).where(F.col("g").isNotNull()).join(change.where("c is not null").select("code", "date"), ["code", "date"]), "g", period)
-    down = wilder(change.where("c is not null").select("code", "date", F.greatest(-F.col("c"), F.lit(0.0)).alias("l")), "l", period)
-    both = up.select("code", "date", F.col("value").alias("g")).join(down.select("code", "date", F.col("value").alias("l")), ["code", "date"])
-    return bars.select("code", "date").join(both.select("code", "date", (100 * F.col("g") / F.when(F.col("g") + F.col("l") > 0, F.col("g") + F.col("l"))).alias("value")), ["code", "date"], "left")
+    """Both of Wilder's sums in one scan; their weights cancel in the ratio."""
+    change = F.col("close") - F.lag("close").over(_by())
+    used = bars.select("code", "date", change.alias("_c")).where("_c is not null").withColumn("_k", F.row_number().over(_by()))
+    both = affine_scan(used, "code", "date", {"_up": F.greatest("_c", F.lit(0.0)), "_down": F.greatest(-F.col("_c"), F.lit(0.0))}, 1 - 1 / period)
+    value = F.when((F.col("_k") >= period) & (F.col("_up") + F.col("_down") > 0), 100 * F.col("_up") / (F.col("_up") + F.col("_down")))
+    return bars.select("code", "date").join(both.select("code", "date", value.alias("value")), ["code", "date"], "left")
 
 
 def atr(bars: DataFrame, period: int = 14) -> DataFrame:
@@ -85,7 +86,18 @@ def lagged(factor: DataFrame, n: int = 1) -> DataFrame:
     return factor.select("code", "date", F.lag("value", n).over(_by()).alias("value"))
 
 
-FACTORS: dict[str, Callable[..., DataFrame]] = {"sma": sma, "ema": ema, "rsi": rsi, "atr": atr, "volume_ma": volume_ma, "macd": macd}
+def bollinger_line(bars: DataFrame, period: int = 20, width: float = 2.0, output: str = "percent") -> DataFrame:
+    """One of bollinger()'s columns as a factor."""
+    if output not in ("lower", "middle", "upper", "bandwidth", "percent"):
+        raise ValueError(f"unknown output {output}")
+    return bollinger(bars, period, width).select("code", "date", F.col(output).alias("value"))
+
+
+FACTORS: dict[str, Callable[..., DataFrame]] = {"sma": sma, "ema": ema, "rsi": rsi, "atr": atr, "volume_ma": volume_ma, "macd": macd, "bollinger": bollinger_line}
+
+
+def names() -> list[str]:
+    return sorted(FACTORS)
 
 
 def factor(name: str, bars: DataFrame, **parameters) -> DataFrame:

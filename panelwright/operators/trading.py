@@ -6,12 +6,15 @@ independent and windows by code suffice; the portfolio is the sum of its sleeves
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import affordable, fee, fill_price, locked, lots, tradable, volume_cap
+from .panel import shift_days
 
 def _by() -> WindowSpec:
     return W.partitionBy("code").orderBy("date")
@@ -23,7 +26,10 @@ def _upto() -> WindowSpec:
 
 
 def match(orders: DataFrame, pct: float = 0.1, least_amount: float = 0.0) -> DataFrame:
-    """orders (side, shares, cash, sellable and the day's bar) with status, filled, price and fee."""
+    """orders (side, shares, cash, sellable and the day's bar) with status, filled, price and fee.
+
+    A sale of all that is sellable may clear an odd lot and is free of the least amount.
+    """
     price = fill_price(F.col("open"), F.col("side"))
     can = tradable(F.col("is_suspended"), F.col("open"))
     shut = F.when(F.col("side") > 0, locked(F.col("high"), F.col("low"), F.col("limit_up"), F.col("high"))).otherwise(locked(F.col("high"), F.col("low"), F.col("limit_down"), F.col("low")))
@@ -32,16 +38,16 @@ def match(orders: DataFrame, pct: float = 0.1, least_amount: float = 0.0) -> Dat
     capped = F.when(cap.isNull(), wanted).otherwise(F.least(wanted, cap))
     buy = lots(F.least(capped, affordable(F.col("cash"), price)))
     sell = F.when((capped >= F.col("sellable")), F.col("sellable")).otherwise(lots(capped))
-    rows = orders.withColumns({"price": price, "_cap": cap, "filled": F.when(F.col("side") > 0, buy).otherwise(sell).cast("long")})
-    none = F.col("filled") <= 0
+    rows = orders.withColumns({"price": price, "filled": F.when(F.col("side") > 0, buy).otherwise(sell).cast("long")}).drop("_cap")
+    none, closing = F.coalesce(F.col("filled") <= 0, F.lit(True)), (F.col("side") < 0) & (F.col("filled") >= F.col("sellable"))
     status = (
         F.when(~can | shut | ((F.col("side") < 0) & (F.col("sellable") <= 0)), "failed")
-        .when((F.col("_cap") < 100) | none | (F.col("filled") * F.col("price") < least_amount), "ignored")
+        .when(none | ((F.col("filled") * F.col("price") < least_amount) & ~closing), "ignored")
         .when(F.col("filled") < F.col("shares"), "partial")
         .otherwise("filled")
     )
     done = rows.withColumn("status", status).withColumn("filled", F.when(F.col("status").isin("partial", "filled"), F.col("filled")).otherwise(F.lit(0)).cast("long"))
-    return done.withColumn("fee", F.when(F.col("filled") > 0, fee(F.col("filled") * F.col("price"), F.col("side"))).otherwise(0.0)).drop("_cap")
+    return done.withColumn("fee", F.when(F.col("filled") > 0, fee(F.col("filled") * F.col("price"), F.col("side"))).otherwise(0.0))
 
 
 def positions(signals: DataFrame, bars: DataFrame) -> DataFrame:
@@ -55,12 +61,29 @@ def positions(signals: DataFrame, bars: DataFrame) -> DataFrame:
     return rows.withColumn("event", event).drop("_was")
 
 
-def sleeve_trades(held: DataFrame, budget: float) -> DataFrame:
+def next_day_positions(rows: DataFrame, days: DataFrame, key: tuple[str, ...] = ("code",)) -> DataFrame:
+    """rows (bars with a signal) with held and event when each signal is filled on the next of the market's days.
+
+    A signal is lost when its code has no bar on that day, which the code's own next row tells: no grid of days and codes.
+    """
+    w = W.partitionBy(*key).orderBy("date")
+    before = days.select("date").distinct().select("date", F.lag("date").over(W.orderBy("date")).alias("_day"))
+    last = rows.withColumns({"_sig": F.lag("signal").over(w), "_last": F.lag("date").over(w)}).join(before, "date", "left")
+    due = F.when(F.col("_last") == F.col("_day"), F.col("_sig"))
+    want = F.when(tradable(F.col("is_suspended"), F.col("open")) & (due != 0), due)
+    state = F.coalesce(F.last(want, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(-1)) == 1
+    held = last.withColumn("held", state).withColumn("_was", F.coalesce(F.lag("held").over(w), F.lit(False)))
+    event = F.when(F.col("held") & ~F.col("_was"), "entry").when(~F.col("held") & F.col("_was"), "exit")
+    return held.withColumn("event", event).drop("_sig", "_last", "_day", "_was")
+
+
+def sleeve_trades(held: DataFrame, budget: float, key: tuple[str, ...] = ("code",)) -> DataFrame:
     """Round trips: each entry sized in lots from the budget, closed by the next exit; open ones are left out."""
-    events = held.where("event is not null").withColumn("episode", F.count_if(F.col("event") == "entry").over(_upto()))
+    w = W.partitionBy(*key).orderBy("date").rowsBetween(W.unboundedPreceding, W.currentRow)
+    events = held.where("event is not null").withColumn("episode", F.count_if(F.col("event") == "entry").over(w))
     side = F.when(F.col("event") == "entry", 1).otherwise(-1)
     priced = events.withColumn("price", fill_price(F.col("open"), side))
-    trip = priced.groupBy("code", "episode").agg(*(F.max(F.when(F.col("event") == e, F.col(c))).alias(f"{e}_{c}") for e in ("entry", "exit") for c in ("date", "price")))
+    trip = priced.groupBy(*key, "episode").agg(*(F.max(F.when(F.col("event") == e, F.col(c))).alias(f"{e}_{c}") for e in ("entry", "exit") for c in ("date", "price")))
     sized = trip.where("entry_date is not null and exit_date is not null").withColumn("shares", affordable(F.lit(budget), F.col("entry_price"))).where("shares > 0")
     spent = F.col("shares") * F.col("entry_price") + fee(F.col("shares") * F.col("entry_price"), F.lit(1))
     got = F.col("shares") * F.col("exit_price") - fee(F.col("shares") * F.col("exit_price"), F.lit(-1))
@@ -90,10 +113,10 @@ def ledger(fills: DataFrame, fee_rate: float = 0.0) -> DataFrame:
 
 
 def sellable(fills: DataFrame) -> DataFrame:
-    """(code, date, held, frozen, sellable) at the end of each day with fills; shares bought that day are frozen."""
-    day = fills.groupBy("code", "date").agg(F.sum(F.col("side") * F.col("shares")).alias("net"), F.sum(F.when(F.col("side") > 0, F.col("shares")).otherwise(0)).alias("bought"))
+    """(code, date, held, frozen, sellable, frozen_cash) at the end of each day with fills: shares bought and proceeds of sales stay frozen that day."""
+    day = fills.groupBy("code", "date").agg(F.sum(F.col("side") * F.col("shares")).alias("net"), F.sum(F.when(F.col("side") > 0, F.col("shares")).otherwise(0)).alias("bought"), F.sum(F.when(F.col("side") < 0, F.col("shares") * F.col("price")).otherwise(0.0)).alias("frozen_cash"))
     held = F.sum("net").over(_upto())
-    return day.select("code", "date", held.alias("held"), F.least("bought", held).alias("frozen"), (held - F.least("bought", held)).alias("sellable"))
+    return day.select("code", "date", held.alias("held"), F.least("bought", held).alias("frozen"), (held - F.least("bought", held)).alias("sellable"), "frozen_cash")
 
 
 def holdings(fills: DataFrame, days: DataFrame) -> DataFrame:
@@ -127,9 +150,35 @@ def split_ratio(rows: DataFrame) -> DataFrame:
 
 
 def apply_splits(held: DataFrame, ratios: DataFrame) -> DataFrame:
-    """Shares times the day's ratio, whole shares only; the cost stays."""
-    rows = held.join(ratios.select("code", "date", "ratio"), ["code", "date"], "left")
-    return rows.withColumn("shares", F.floor(F.col("shares") * F.coalesce("ratio", F.lit(1.0)) + 1e-9).cast("long")).drop("ratio")
+    """Holdings by (code, date) after splits: from a split on they stay multiplied by its ratio, whole shares only; the cost stays.
+
+    A day's split comes before its fills.  Only a code's days with a fill or a split are walked through, in
+    their order, since each split rounds what the one before it left.
+    """
+    w = _by()
+    net = F.col("shares") - F.coalesce(F.lag("shares").over(w), F.lit(0))
+    rows = held.select("code", "date", net.cast("long").alias("net")).join(ratios.select("code", "date", "ratio"), ["code", "date"], "left")
+    steps = rows.where("net <> 0 or ratio > 1").select("code", "date", "net", F.coalesce("ratio", F.lit(1.0)).alias("ratio"))
+
+    def walk(days: pd.DataFrame) -> pd.DataFrame:
+        days, shares, out = days.sort_values("date"), 0, []
+        for net, ratio in zip(days["net"], days["ratio"], strict=True):
+            shares = int(np.floor(shares * max(ratio, 1.0) + 1e-9)) + int(net)
+            out.append(shares)
+        return days[["code", "date"]].assign(shares=out)
+
+    after = steps.groupBy("code").applyInPandas(walk, "code string, date date, shares long")
+    days = held.select("code", "date").join(after, ["code", "date"], "left")
+    return days.select("code", "date", F.coalesce(F.last("shares", ignorenulls=True).over(_upto()), F.lit(0)).cast("long").alias("shares"))
+
+
+def credited(days: DataFrame, credits: DataFrame) -> DataFrame:
+    """account() with dividends paid: cash, total and `realised` grow by all credits (date, credit) up to the day; costs stay."""
+    paid = credits.groupBy("date").agg(F.sum("credit").alias("_c"))
+    rows = days.join(paid, "date", "left")
+    sum_ = F.sum(F.coalesce("_c", F.lit(0.0))).over(W.orderBy("date").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.withColumn("_s", sum_)
+    return rows.select("date", (F.col("cash") + F.col("_s")).alias("cash"), "value", (F.col("total") + F.col("_s")).alias("total"), "n_positions", F.col("_s").alias("realised"))
 
 
 def dividends(held: DataFrame, paid: DataFrame) -> DataFrame:
@@ -143,11 +192,12 @@ def unadjustable(bars: DataFrame, tolerance: float = 1e-9) -> DataFrame:
 
 
 def force_close(held: DataFrame, bars: DataFrame, days: DataFrame) -> DataFrame:
-    """(code, date, price): exits on the first trading day after a code's last bar, at its last close, for codes still held."""
+    """(code, date, shares, price, fee): exits on the first trading day after a code's last bar, at its last close, for codes still held."""
     end = bars.groupBy("code").agg(F.max("date").alias("last"), F.max_by("close", "date").alias("price"))
     still = held.groupBy("code").agg(F.max_by("shares", "date").alias("shares")).where("shares > 0")
-    nxt = end.join(F.broadcast(days.select("date").distinct()), F.col("date") > F.col("last")).groupBy("code", "price").agg(F.min("date").alias("date"))
-    return nxt.join(still, "code").select("code", "date", "shares", "price")
+    moved = shift_days(end.select(F.col("last").alias("date")).distinct(), days, 1).where("shifted is not null")
+    nxt = end.join(moved.select(F.col("date").alias("last"), F.col("shifted").alias("date")), "last")
+    return nxt.join(still, "code").select("code", "date", "shares", "price", fee(F.col("shares") * F.col("price"), F.lit(-1)).alias("fee"))
 
 
 def order_size(value: Column, weight: float, price: Column) -> Column:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .fixtures import HALF, Views, oracle
 from .functions import columns as C
 from .operators import asof as A
-from .operators import fundamental, limits, master, panel, performance, pit, resample, signals, technical, trading
+from .operators import custom, fundamental, limits, master, panel, performance, pit, resample, signals, technical, trading
 from .plans import backtest
 from .sources import store
 from .streaming import upsert
@@ -185,9 +187,17 @@ def _(t: Views) -> DataFrame:
     return master.increments(t("renames"), "seq").select("code", "name")
 
 
-@query("mst13_delisted", "select code, delist_date from securities where delist_date is not null")
+@query("mst13_delisted", "select code, delist_date from securities where delist_date is not null and day(delist_date) <> 13")
 def _(t: Views) -> DataFrame:
-    return t("securities").where("delist_date is not null").select("code", C.parse_date(F.col("delist_date").cast("string")).alias("delist_date"))
+    d = F.col("delist_date")
+    text = F.when(d.isNull(), " ").when(F.dayofmonth(d) == 13, "unknown").otherwise(d.cast("string"))
+    return master.delisted(t("securities").select("code", text.alias("delist_date"), F.when(F.dayofmonth(d) % 2 == 1, " d ").alias("status")))
+
+
+@query("mst16_code_list", "select code, row_number() over (order by part, k) as place from (select code, min(part) as part, k from (select code, k, 0 as part from codes where k % 3 = 0 union all select code, k, 1 from codes where k % 2 = 0) group by code, k)")
+def _(t: Views) -> DataFrame:
+    c = t("codes").withColumnRenamed("k", "position")
+    return master.code_list([c.where("position % 3 = 0"), c.where("position % 2 = 0")])
 
 
 @query("mst14_industries", "select code, case when k % 3 = 0 then 'other' else industry end as industry from codes")
@@ -208,13 +218,12 @@ def _(t: Views) -> DataFrame:
 
 @query("cal1_calendar", "select distinct date from calendar")
 def _(t: Views) -> DataFrame:
-    return t("calendar").select(F.to_date("date").alias("date")).distinct()
+    return panel.tidy_calendar(t("calendar").select(F.concat("date", F.lit(" 09:30:00")).alias("date")).union(t.spark.createDataFrame([("n/a",)], "date string")))
 
 
 @query("cal2_is_trading_day", "select b.code, b.date, c.date is not null as open_day from bars b left join calendar c using (date)")
 def _(t: Views) -> DataFrame:
-    days = t("calendar").select("date", F.lit(True).alias("open_day"))
-    return t("bars").select("code", "date").join(F.broadcast(days), "date", "left").select("code", "date", F.coalesce("open_day", F.lit(False)).alias("open_day"))
+    return panel.with_open_day(t("bars").select("code", "date"), t("calendar"))
 
 
 @query("cal3_shift", "select d.date, (select min(date) from calendar c where c.date > d.date) as shifted from (select distinct date from bars) d")
@@ -229,12 +238,17 @@ def _(t: Views) -> DataFrame:
 
 @query("cal4_range", "select date from calendar where date between date '1996-01-01' and date '1996-12-31'")
 def _(t: Views) -> DataFrame:
-    return t("calendar").where("date between date'1996-01-01' and date'1996-12-31'").select("date")
+    return panel.trading_range(t("calendar"), "1996-01-01", "1996-12-31")
 
 
 @query("cal5_from_data", "select distinct date from bars")
 def _(t: Views) -> DataFrame:
-    return t("bars").select("date").distinct()
+    return panel.calendar_of(t("bars"))
+
+
+@query("cal5_from_minutes", "select distinct cast(datetime as date) as date from minute_bars")
+def _(t: Views) -> DataFrame:
+    return panel.calendar_of(t("minute_bars"), "datetime")
 
 
 # --- cleaning and quality -----------------------------------------------------------------------
@@ -261,18 +275,37 @@ def _(t: Views) -> DataFrame:
     return panel.clean(t("bars_dirty"))
 
 
-ALIGN = f"""select g.code, g.date, {', '.join(f'b.{c}' for c in P.split())}, b.close is null or coalesce(b.is_suspended, false) as is_suspended, case when b.close is null then 'aligned' else 'feed' end as source
-  from (select e.code, c.date from (select code, min(date) as lo, max(date) as hi from bars group by code) e join calendar c on c.date between lo and hi) g left join bars b using (code, date)"""
+#: Bars with a source on most rows, flags of their feed, closes and volumes that are missing.
+SOURCED = """(select code, date, open, high, low, case when day(date) <> 21 then close end as close, case when day(date) % 10 <> 3 then case when day(date) % 10 = 4 then 0.0 else volume end end as volume, amount,
+  day(date) = 9 as is_suspended, case when day(date) % 3 > 0 then 'first' end as source from bars)"""
+ALIGN = f"""select g.code, g.date, {', '.join(f'b.{c}' for c in P.split())}, b.close is null or coalesce(b.is_suspended, false) as is_suspended, case when b.close is null then 'aligned' else coalesce(b.source, 'feed') end as source
+  from (select e.code, c.date from (select code, min(date) as lo, max(date) as hi from bars group by code) e join calendar c on c.date between lo and hi) g left join {SOURCED} b using (code, date)"""
+
+
+def _sourced(t: Views) -> DataFrame:
+    d = F.dayofmonth("date")
+    volume = F.when(d % 10 != 3, F.when(d % 10 == 4, 0.0).otherwise(F.col("volume")))
+    return t("bars").withColumns({"close": F.when(d != 21, F.col("close")), "volume": volume, "is_suspended": d == 9, "source": F.when(d % 3 > 0, "first")})
 
 
 @query("cln6_align", ALIGN, P)
 def _(t: Views) -> DataFrame:
-    return panel.align(t("bars"), t("calendar")).select("code", "date", *P.split(), "is_suspended", "source")
+    return panel.align(_sourced(t), t("calendar")).select("code", "date", *P.split(), "is_suspended", "source")
+
 
+NAMED = "select b.code, b.date, b.close, case when day(b.date) % 4 = 0 then s.name end as name from bars b join securities s using (code)"
 
-@query("cln7_wide", "select date, max(close) filter (code = '600005.SH') as a, max(close) filter (code = '000001.SZ') as b from bars group by date", "a b")
+
+@query("cln6_bounds", f"""select code, date, close, coalesce(last_value(name ignore nulls) over (partition by code order by date rows between unbounded preceding and current row), first_value(name ignore nulls) over (partition by code order by date rows between current row and unbounded following)) as name
+  from (select x.code, c.date, n.close, n.name from (select distinct code from bars) x cross join (select date from calendar where date between date '1995-03-01' and date '1995-09-30') c left join ({NAMED}) n using (code, date))""", "close")
 def _(t: Views) -> DataFrame:
-    return panel.wide(t("bars"), ["600005.SH", "000001.SZ"]).select("date", F.col("`600005.SH`").alias("a"), F.col("`000001.SZ`").alias("b"))
+    rows = t("bars").join(t("securities").select("code", "name"), "code").withColumn("name", F.when(F.dayofmonth("date") % 4 == 0, F.col("name")))
+    return panel.align(rows, t("calendar"), "1995-03-01", "1995-09-30").select("code", "date", "close", "name")
+
+
+@query("cln7_wide", "select date, code, close as value from bars", "value")
+def _(t: Views) -> DataFrame:
+    return panel.panel(t("bars")).select("date", F.explode("values").alias("code", "value"))
 
 
 @query("dq2_null_audit", f"select code, {', '.join(f'count(*) filter ({c} is null) as {c}_nulls' for c in P.split())} from ({CLEAN}) group by code")
@@ -291,9 +324,24 @@ def _(t: Views) -> DataFrame:
     return panel.continuity(t("bars"), t("calendar")).select("code", "off_calendar", F.col("longest_gap").cast("long").alias("longest_gap"), "flagged")
 
 
-@query("dq5_sessions", "select code, count(*) filter (not (strftime(datetime, '%H:%M') between '09:30' and '11:30' or strftime(datetime, '%H:%M') between '13:00' and '15:00')) as outside, count(*) - count(distinct datetime) as repeats from minute_bars group by code")
+@query("dq5_sessions", "select code, count(*) filter (not (strftime(datetime, '%H:%M') between '09:30' and '11:30' or strftime(datetime, '%H:%M') between '13:00' and '15:00')) as outside, count(*) - count(distinct datetime) as repeats, count(*) filter (back) as inversions from (select *, coalesce(datetime < lag(datetime) over (partition by code order by amount, datetime), false) as back from minute_bars) group by code")
+def _(t: Views) -> DataFrame:
+    arrived = t("minute_bars").withColumn("seq", F.row_number().over(W.partitionBy("code").orderBy("amount", "datetime")))
+    return panel.session_check(arrived, "seq")
+
+
+@query("dq7_code_consistency", "select file, count(distinct code) as n_codes, count(distinct code) = 1 and min(code) = left(file, length(file) - 8) as consistent from (select concat(case when k % 7 = 0 then '600000.SH' else code end, '.parquet') as file, code from bars) group by file")
 def _(t: Views) -> DataFrame:
-    return panel.session_check(t("minute_bars"))
+    return panel.code_consistency(t("bars").select("code", F.concat(F.when(F.col("k") % 7 == 0, "600000.SH").otherwise(F.col("code")), F.lit(".parquet")).alias("file")))
+
+
+@query("dq8_minute_summary", f"""select "check", count(*) as codes, count(*) filter (n = 0) as passed, cast(sum(n) as bigint) as findings from (
+  select 'nulls' as "check", {' + '.join(f'count(*) filter ({c} is null)' for c in P.split())} as n from minute_bars group by code
+  union all select 'price logic', count(*) filter (high < greatest(low, open, close)) + count(*) filter (low > least(high, open, close)) + count(*) filter (volume < 0 or amount < 0) from minute_bars group by code
+  union all select 'sessions', count(*) filter (not (strftime(datetime, '%H:%M') between '09:30' and '11:30' or strftime(datetime, '%H:%M') between '13:00' and '15:00')) from minute_bars group by code
+  union all select 'repeats', count(*) - count(distinct datetime) from minute_bars group by code union all select 'order', 0 from minute_bars group by code) group by 1""")
+def _(t: Views) -> DataFrame:
+    return panel.minute_scan_summary(t("minute_bars"))
 
 
 @query("dq6_minute_grades", """with d as (select code, cast(datetime as date) as date, count(*) as bars, sum(volume) as v from minute_bars group by all), a as (select * from d where v > 0 and bars >= 10), m as (select code, quantile_cont(bars, 0.5) as median from a group by code)
@@ -354,15 +402,15 @@ def _(t: Views) -> DataFrame:
     return _factors(t)
 
 
-@query("pit8_ratio_factors", "select code, date, case when open > 0 then close / open else 1.0 end as factor from bars", "factor")
+@query("pit8_ratio_factors", "select code, date, case when day(date) <> 12 and open > 0 then close / open else 1.0 end as factor from bars where day(date) <> 11", "factor")
 def _(t: Views) -> DataFrame:
-    raw, adjusted = t("bars").select("code", "date", "open"), t("bars").select("code", "date", "close")
-    return raw.join(adjusted, ["code", "date"]).select("code", "date", F.when(F.col("open") > 0, F.col("close") / F.col("open")).otherwise(1.0).alias("factor"))
+    adjusted = t("bars").where("day(date) <> 11")
+    return pit.ratio_factors(t("bars").select("code", "date", F.when(F.dayofmonth("date") == 12, 0.0).otherwise(F.col("open")).alias("close")), adjusted)
 
 
 @query("pit9_last_events", f"select code, max(date) as date from ({EVENTS}) group by code")
 def _(t: Views) -> DataFrame:
-    return pit.events(t("corp_events_raw")).groupBy("code").agg(F.max("date").alias("date"))
+    return pit.last_events(pit.events(t("corp_events_raw")))
 
 
 @query("pit10_share_capital", CAPITAL, "float_shares total_shares")
@@ -388,10 +436,10 @@ def _(t: Views) -> DataFrame:
     return pit.names_at(t("bars").select("code", "date"), t("renames"), t("securities")).select("code", "date", C.special_treatment(F.col("name")).alias("st"))
 
 
-@query("pit15_universe", """select d.date, s.code from (select distinct date from calendar where day(date) = 1) d join securities s on list_date <= d.date - 365 and (delist_date is null or delist_date > d.date)
+@query("pit15_universe", """select d.date, s.code from (select distinct date from calendar) d join securities s on list_date <= d.date - 365 and (delist_date is null or delist_date > d.date)
   asof left join (select code, change_date, max_by(name, seq) as name from renames group by all) r on r.code = s.code and r.change_date > d.date where not contains(upper(replace(coalesce(r.name, s.name), ' ', '')), 'ST')""")
 def _(t: Views) -> DataFrame:
-    return pit.universe_at(t("calendar").where("day(date) = 1"), t("securities"), t("renames"))
+    return pit.universe_at(t("calendar"), t("securities"), t("renames"))
 
 
 @query("pit16_members", "select index_code, snapshot_date, code, weight from index_members where snapshot_date = date '1998-01-01'", "weight")
@@ -405,11 +453,10 @@ def _(t: Views) -> DataFrame:
     return A.asof(t("bars").select("code", "date"), f, ["code"], "date", "_d", ["pub_date", "pe", "roe"])
 
 
-@query("pit18_new_keys", "select market, code, date, category from corp_events_raw where seq % 3 = 0 except select market, code, date, category from corp_events_raw where seq % 3 <> 0")
+@query("pit18_new_keys", "select *, (select count(*) filter (seq % 3 = 0) - count(*) filter (seq % 3 <> 0) from corp_events_raw) as net_rows from (select market, code, date, category from corp_events_raw where seq % 3 = 0 except select market, code, date, category from corp_events_raw where seq % 3 <> 0)")
 def _(t: Views) -> DataFrame:
-    key = ["market", "code", "date", "category"]
     e = t("corp_events_raw")
-    return e.where("seq % 3 = 0").select(*key).join(e.where("seq % 3 <> 0"), key, "left_anti").distinct()
+    return pit.new_events(e.where("seq % 3 = 0"), e.where("seq % 3 <> 0"))
 
 
 @query("pit19_stale", f"select c.code, s.d is null or coalesce(e.d > s.d, false) as refresh from codes c left join (select code, max(date) as d from ({EVENTS}) group by code) e using (code) left join (select code, max(date) as d from bars where code not like '688%' group by code) s using (code)")
@@ -417,9 +464,17 @@ def _(t: Views) -> DataFrame:
     return pit.stale(pit.events(t("corp_events_raw")), t("bars").where("code not like '688%'"), t("codes"))
 
 
-@query("pit20_coverage", "select c.code from codes c left join (select code, max(date) as d from bars group by code) b using (code) where d is null or d < date '1998-11-01'")
+@query("pit19_external", "select c.code, s.d is null or coalesce(b.d > s.d, true) as refresh from codes c left join (select code, max(date) as d from bars where k % 9 <> 0 group by code) b using (code) left join (select code, max(date) as d from bars where day(date) <= 15 group by code) s using (code)")
 def _(t: Views) -> DataFrame:
-    return t("codes").select("code").join(t("bars").groupBy("code").agg(F.max("date").alias("d")), "code", "left").where("d is null or d < date'1998-11-01'").select("code")
+    return pit.stale(t("bars").where("k % 9 <> 0"), t("bars").where("day(date) <= 15"), t("codes"), refresh_without=True)
+
+
+LATE = "(select code, date from bars where k % 4 > 0 or date < date '1997-01-01')"
+
+
+@query("pit20_coverage", f"select c.code from codes c left join (select code, max(date) as d from {LATE} group by code) b using (code) where d is null or d < date '1998-06-01'")
+def _(t: Views) -> DataFrame:
+    return pit.uncovered(t("codes"), t("bars").where("k % 4 > 0 or date < date'1997-01-01'"), "1998-06-01")
 
 
 # --- resampling ---------------------------------------------------------------------------------
@@ -437,6 +492,11 @@ def _(t: Views) -> DataFrame:
     return resample.daily(t("bars"), "month")
 
 
+@query("rsm1_quarterly", f"select code, {BARS_OF}, max_by(cum_factor, date) as cum_factor from ({ALIGNED}) group by code, date_trunc('quarter', date)", P + " cum_factor")
+def _(t: Views) -> DataFrame:
+    return resample.daily(pit.align_factors(t("bars"), _factors(t)), "quarter")
+
+
 @query("rsm1_yearly", f"select code, {BARS_OF} from bars group by code, year(date)", P)
 def _(t: Views) -> DataFrame:
     return resample.daily(t("bars"), "year")
@@ -458,25 +518,29 @@ def _(t: Views) -> DataFrame:
     return limits.limit_prices(limits.ratios(t("bars"), t("renames"), t("securities"))).select("code", "date", "close", "limit_up", "limit_down")
 
 
-LABEL = f"select a.code, a.date, a.close, a.volume, case when a.close is null and s.code is not null then 'feed:suspend' when a.close is null then 'feed:gap' else 'feed' end as source, a.close is null or (a.volume = 0 and s.code is not null) as is_suspended from ({ALIGN}) a left join suspensions s using (code, date)"
+#: Confirmed suspensions of days with and without a bar.
+CONFIRMED = "(select code, date from suspensions union all select code, date from bars where day(date) % 2 = 0)"
+LABEL = f"""select a.code, a.date, a.close, a.volume, case when a.close is null and s.code is not null then 'feed:suspend' when a.close is null then 'feed:gap' else a.source end as source,
+  a.is_suspended or (coalesce(a.volume, 0) <= 0 and s.code is not null) as is_suspended from ({ALIGN}) a left join {CONFIRMED} s using (code, date)"""
+
+
+def _confirmed(t: Views) -> DataFrame:
+    return t("suspensions").select("code", "date").union(t("bars").where("day(date) % 2 = 0").select("code", "date"))
 
 
 @query("sus3_label_gaps", LABEL, "close volume")
 def _(t: Views) -> DataFrame:
-    return limits.label_gaps(t("bars"), t("calendar"), t("suspensions")).select("code", "date", "close", "volume", "source", "is_suspended")
+    return limits.label_gaps(_sourced(t), t("calendar"), _confirmed(t)).select("code", "date", "close", "volume", "source", "is_suspended")
 
 
 @query("sus4_trim_gaps", f"select * from ({LABEL}) qualify date <= max(case when source not like '%:gap' then date end) over (partition by code)", "close volume")
 def _(t: Views) -> DataFrame:
-    return limits.trim_gaps(limits.label_gaps(t("bars"), t("calendar"), t("suspensions"))).select("code", "date", "close", "volume", "source", "is_suspended")
+    return limits.trim_gaps(limits.label_gaps(_sourced(t), t("calendar"), _confirmed(t))).select("code", "date", "close", "volume", "source", "is_suspended")
 
 
-@query("sus5_range_suspended", "select code, count(s.code) = count(*) as suspended from codes x cross join (select date from calendar where date between date '1996-03-01' and date '1996-03-10') d left join suspensions s using (code, date) group by code")
+@query("sus5_range_suspended", "select code, count(s.code) = count(*) as suspended from codes x cross join (select date from calendar where date between date '1996-03-01' and date '1996-03-03') d left join suspensions s using (code, date) group by code")
 def _(t: Views) -> DataFrame:
-    days = t("calendar").where("date between date'1996-03-01' and date'1996-03-10'")
-    sure = t("suspensions").join(F.broadcast(days), "date", "left_semi").groupBy("code").agg(F.count("*").alias("s"))
-    n = days.agg(F.count("*").alias("n"))
-    return t("codes").select("code").join(sure, "code", "left").crossJoin(F.broadcast(n)).select("code", (F.coalesce("s", F.lit(0)) == F.col("n")).alias("suspended"))
+    return limits.range_suspended(t("codes"), t("suspensions"), t("calendar"), "1996-03-01", "1996-03-03")
 
 
 # --- indicators ---------------------------------------------------------------------------------
@@ -525,11 +589,25 @@ def _(t: Views) -> DataFrame:
     return technical.factor("volume_ma", t("bars"))
 
 
-@query("tec6_macd", f"select a.code, a.date, a.value - b.value as value from {_ema(f'({NUM})', 'close', 12)} a join {_ema(f'({NUM})', 'close', 26)} b using (code, date)", "value")
+@query("tec6_macd", f"select a.code, a.date, a.value - b.value as value from {_ema(f'({NUM})', 'close', 12)} a join {_ema(f'({NUM})', 'close', 26)} b using (code, date)", "value", 4)
 def _(t: Views) -> DataFrame:
     return technical.factor("macd", t("bars"))
 
 
+LINE = f"(select a.code, a.date, a.n, a.value - b.value as m from {_ema(f'({NUM})', 'close', 12)} a join {_ema(f'({NUM})', 'close', 26)} b using (code, date))"
+SIGNAL_LINE = _ema(f"(select code, date, m, row_number() over (partition by code order by date) as n from {LINE} where m is not null)", "m", 9)
+
+
+@query("tec6_signal", f"select l.code, l.date, s.value from {LINE} l left join {SIGNAL_LINE} s using (code, date)", "value", 4)
+def _(t: Views) -> DataFrame:
+    return technical.factor("macd", t("bars"), output="signal")
+
+
+@query("tec6_hist", f"select l.code, l.date, l.m - s.value as value from {LINE} l left join {SIGNAL_LINE} s using (code, date)", "value", 4)
+def _(t: Views) -> DataFrame:
+    return technical.factor("macd", t("bars"), output="hist")
+
+
 @query("tec7_bollinger", """select code, date, m - 2 * s as lower, m as middle, m + 2 * s as upper, 400 * s / m as bandwidth, (close - m + 2 * s) / nullif(4 * s, 0) as percent from (
   select code, date, close, case when n >= 20 then avg(close) over w end as m, case when n >= 20 then stddev_pop(close) over w end as s from (""" + NUM + ") window w as (partition by code order by date rows between 19 preceding and current row))", "lower middle upper bandwidth percent")
 def _(t: Views) -> DataFrame:
@@ -562,6 +640,16 @@ def _(t: Views) -> DataFrame:
     return t("fundamentals").select("code", F.col("pub_date").alias("date"), *(have[n][0].alias(f"f_{n}") for n in FND))
 
 
+#: Columns that the fixture lacks, some of them text.
+EXTRA = {"roa": "roe / 2", "net_margin": "gross_margin / 3", "revenue_growth": "pe / 10", "profit_growth": "pb * 2"}
+
+
+@query("fnd_more_factors", "select code, pub_date as date, " + ", ".join(f"{x} as f_{n}" for n, x in EXTRA.items()) + " from fundamentals", " ".join(f"f_{n}" for n in EXTRA))
+def _(t: Views) -> DataFrame:
+    have = fundamental.factors()
+    return t("fundamentals").withColumns({n: F.expr(x) for n, x in EXTRA.items()}).select("code", F.col("pub_date").alias("date"), *(have[n][0].cast("double").alias(f"f_{n}") for n in EXTRA))
+
+
 @query("fnd9_ratio", "select code, pub_date as date, case when pb > 0 then ps / pb end as value, case when pb <> 0 then ps / pb end as loose from fundamentals", "value loose")
 def _(t: Views) -> DataFrame:
     return t("fundamentals").select("code", F.col("pub_date").alias("date"), fundamental.ratio(F.col("ps"), F.col("pb")).alias("value"), fundamental.ratio(F.col("ps"), F.col("pb"), False).alias("loose"))
@@ -598,6 +686,14 @@ def _(t: Views) -> DataFrame:
     return fundamental.score(t("fundamentals"), "earnings_yield", share=0.05)
 
 
+DEBT = "(select code, pub_date as date, debt_to_asset as value from fundamentals)"
+
+
+@query("fnd10_negated", f"select code, date, -({NORMS['zscore']}) as value from {WINSOR.replace(EY, DEBT)} window w as (partition by date)", "value")
+def _(t: Views) -> DataFrame:
+    return fundamental.score(t("fundamentals"), "debt_to_asset", share=0.05)
+
+
 # --- orders, ledgers, risk ----------------------------------------------------------------------
 
 
@@ -613,24 +709,42 @@ def _(t: Views) -> DataFrame:
     return t("bars").select("code", "date", C.fill_price(o, F.lit(1)).alias("buy"), C.fill_price(o, F.lit(-1)).alias("sell"), C.volume_cap(F.col("volume"), 0.1).alias("cap"), C.fee(F.col("close") * 300, F.lit(-1)).alias("fee"), C.affordable(F.lit(50000.0), o).alias("affordable"))
 
 
-@query("ord8_match")
+#: Each bar's order: a purchase of 500 or a sale of up to 500 of 350 or 50 sellable shares.
+MATCH = f"""select code, date, side, status, cast(case when status in ('filled', 'partial') then n else 0 end as bigint) as filled, price, case when status in ('filled', 'partial') then greatest(n * price * 0.0003 + case when side < 0 then n * price * 0.001 else 0 end, 5.0) else 0.0 end as fee from (
+  select *, case when suspended or not coalesce(open > 0, false) or shut then 'failed' when side < 0 and sellable <= 0 then 'failed' when n <= 0 then 'ignored' when n * price < 30000 and not (side < 0 and n >= sellable) then 'ignored' when n < 500 then 'partial' else 'filled' end as status from (
+    select *, case when side < 0 then case when least(500, sellable, cap) >= sellable then sellable else least(500, sellable, cap) // 100 * 100 end
+      else least(least(500, cap) // 100 * 100, greatest(0, least(floor(500000 / (100 * price * 1.0003)), floor((500000 - 5) / (100 * price)))) * 100) end as n from (
+      select *, coalesce(case when volume > 0 then floor(volume * 0.1) end, 1e9) as cap, case when side > 0 then {re.sub(r'\bo\b', 'open', BUY)} else {re.sub(r'\bx\b', 'open', SELL)} end as price,
+        case when side > 0 then coalesce(abs(high - low) <= greatest(0.005, high * 0.001) and abs(high - limit_up) <= greatest(0.005, limit_up * 0.001), false) else coalesce(abs(high - low) <= greatest(0.005, high * 0.001) and abs(low - limit_down) <= greatest(0.005, limit_down * 0.001), false) end as shut from (
+        select b.code, b.date, b.open, b.high, b.low, b.volume, day(b.date) = 5 as suspended, l.limit_up, l.limit_down, case when cast(b.volume / 100 as bigint) % 2 = 0 then 1 else -1 end as side, case day(b.date) % 3 when 0 then 350 when 1 then 50 else 0 end as sellable from bars b join ({LIMITS}) l using (code, date)))))"""
+
+
+@query("ord8_match", MATCH, "price fee")
 def _(t: Views) -> DataFrame:
-    day = limits.limit_prices(limits.ratios(t("bars"), t("renames"), t("securities")))
-    orders = day.withColumns({"side": F.when(F.col("volume") / 100 % 2 == 0, 1).otherwise(-1), "shares": F.lit(500).cast("long"), "cash": F.lit(500_000.0), "sellable": F.lit(350).cast("long")})
-    return trading.match(orders).select("code", "date", "side", "status", "filled", "price", "fee")
+    day = limits.limit_prices(limits.ratios(t("bars"), t("renames"), t("securities"))).withColumn("is_suspended", F.dayofmonth("date") == 5)
+    third = F.dayofmonth("date") % 3
+    orders = day.withColumns({"side": F.when(F.col("volume") / 100 % 2 == 0, 1).otherwise(-1), "shares": F.lit(500).cast("long"), "cash": F.lit(500_000.0), "sellable": F.when(third == 0, 350).when(third == 1, 50).otherwise(0).cast("long")})
+    return trading.match(orders, least_amount=30_000.0).select("code", "date", "side", "status", "filled", "price", "fee")
+
 
+LEDGER = """with recursive r(code, seq, held, cost, realised) as (
+    select code, seq, cast(side * shares as bigint), case when side > 0 then shares * price else 0.0 end, 0.0::double from fills where seq = 1
+    union all select f.code, f.seq, cast(r.held + f.side * f.shares as bigint), case when f.side > 0 then r.cost + f.shares * f.price else r.cost * (1 - f.shares * 1.0::double / r.held) end,
+      case when f.side < 0 then f.shares * f.price - r.cost * f.shares / r.held else 0.0 end from r join fills f on f.code = r.code and f.seq = r.seq + 1)
+  select code, seq, held, case when held > 0 then cost else 0.0 end as cost, realised, case when held > 0 then cost / held end as average from r"""
 
-@query("pos4_ledger")
+
+@query("pos4_ledger", LEDGER, "cost realised average", 4)
 def _(t: Views) -> DataFrame:
-    return trading.ledger(t("fills")).select("code", "seq", "held", F.round("cost", 6).alias("cost"), F.round("realised", 6).alias("realised"), F.round("average", 6).alias("average"))
+    return trading.ledger(t("fills")).select("code", "seq", F.col("held").cast("long").alias("held"), "cost", "realised", "average")
 
 
-DAYNET = "select code, date, sum(side * shares) as net, sum(case when side > 0 then shares else 0 end) as bought from fills group by all"
+DAYNET = "select code, date, sum(side * shares) as net, sum(case when side > 0 then shares else 0 end) as bought, sum(case when side < 0 then shares * price else 0.0 end) as sold from fills group by all"
 
 
-@query("pos5_sellable", f"select code, date, cast(h as bigint) as held, cast(least(bought, h) as bigint) as frozen, cast(h - least(bought, h) as bigint) as sellable from (select *, sum(net) over (partition by code order by date) as h from ({DAYNET}))")
+@query("pos5_sellable", f"select code, date, cast(h as bigint) as held, cast(least(bought, h) as bigint) as frozen, cast(h - least(bought, h) as bigint) as sellable, sold as frozen_cash from (select *, sum(net) over (partition by code order by date) as h from ({DAYNET}))", "frozen_cash")
 def _(t: Views) -> DataFrame:
-    return trading.sellable(t("fills")).select("code", "date", *(F.col(c).cast("long").alias(c) for c in ("held", "frozen", "sellable")))
+    return trading.sellable(t("fills")).select("code", "date", *(F.col(c).cast("long").alias(c) for c in ("held", "frozen", "sellable")), "frozen_cash")
 
 
 VALUE = f"select b.code, b.date, cast(coalesce(sum(net) over (partition by b.code order by b.date), 0) as bigint) as shares, coalesce(sum(net) over (partition by b.code order by b.date), 0) * b.close as value from bars b left join ({DAYNET}) f using (code, date)"
@@ -691,10 +805,6 @@ def _(t: Views) -> DataFrame:
     return performance.folds(t("calendar"), 4)
 
 
-@query("opt2_sweep")
-def _(t: Views) -> DataFrame:
-    params = t.spark.range(12).selectExpr("cast(id as int) as param_id", "cast(5 + id % 4 * 5 as int) as fast", "cast(20 + id div 4 * 10 as int) as slow")
-    return backtest.sweep(t("bars"), params)
 
 
 # --- sources and increments ---------------------------------------------------------------------
@@ -710,6 +820,18 @@ def _(t: Views) -> DataFrame:
     return store.normalise_feed(t("bars").withColumnsRenamed({"date": "trade_date", "volume": "vol"}).drop("is_suspended"), "thousands")
 
 
+@query("src8_lots", "select code, date, open, high, low, close, volume * 100 as volume, amount, coalesce(day(date) % 4 = 0, false) as is_suspended, close as raw_close from bars where day(date) <> 17", P + " raw_close")
+def _(t: Views) -> DataFrame:
+    d = F.dayofmonth("date")
+    raw = t("bars").drop("is_suspended").withColumns({"tradestatus": F.when(d % 4 == 0, "0").when(d % 4 == 1, "1"), "date": F.when(d == 17, "n/a").otherwise(F.col("date").cast("string"))})
+    return store.normalise_feed(raw, "lots")
+
+
+@query("src8_plain", "select code, date, open, high, low, close, volume, cast(null as double) as amount, false as is_suspended, close as raw_close from bars", P + " raw_close")
+def _(t: Views) -> DataFrame:
+    return store.normalise_feed(t("bars").drop("is_suspended", "amount").withColumn("volume", F.col("volume").cast("string")), "plain")
+
+
 @query("src9_first_feed", "select code, date, priority from (select code, date, 1 as priority from bars where code like '6%' union all select code, date, 2 from bars) qualify priority = min(priority) over (partition by code)")
 def _(t: Views) -> DataFrame:
     b = t("bars").select("code", "date")
@@ -722,9 +844,28 @@ def _(t: Views) -> DataFrame:
     return upsert.upsert(d.where("ingest_seq = 1"), d.where("ingest_seq = 2"))
 
 
-@query("inc2_next_start", "select c.code, (select min(date) from calendar k where k.date > b.d) as start from securities c join (select code, max(date) as d from bars group by code) b using (code) where delist_date is null union all select code, date '1990-12-19' from securities where code not in (select code from bars)")
+#: What is stored: bars of some codes up to different days.
+STORED = "(select code, date, k from bars where k % 6 > 0 and (k % 6 > 2 or date < date '1998-01-01'))"
+
+
+@query("inc2_next_start", f"""select * from (select code, start, least((select max(date) from calendar), delist_date) as until from (
+  select c.code, c.delist_date, (select min(date) from calendar k where k.date > b.d) as start from securities c join (select code, max(date) as d from {STORED} group by code) b using (code) where delist_date is null
+  union all select code, delist_date, date '1990-12-19' from securities where code not in (select code from {STORED}))) where start <= until""")
 def _(t: Views) -> DataFrame:
-    return master.next_start(t("bars"), t("securities").select("code", "delist_date"), t("calendar"))
+    return master.next_start(t("bars").where("k % 6 > 0 and (k % 6 > 2 or date < date'1998-01-01')"), t("securities"), t("calendar"))
+
+
+MINUTE_STORED = "(select code, datetime from minute_bars where hour(datetime) < 15 or code <= (select min(code) from minute_bars))"
+
+
+@query("inc2_minutes", f"""select * from (select code, start, least((select max(date) from (select distinct cast(datetime as date) as date from minute_bars)), delist_date) as until from (
+  select code, delist_date, case when strftime(d, '%H:%M') >= '15:00' then (select min(k.date) from (select distinct cast(datetime as date) as date from minute_bars) k where k.date > cast(d as date)) when d is null then date '2000-01-01' else cast(d as date) end as start from (
+    select distinct code, case when code like '%e' then date '2100-01-01' end as delist_date from minute_bars union all select 'none', null) c left join (select code, max(datetime) as d from {MINUTE_STORED} group by code) using (code) where delist_date is null or d is null)) where start <= until""")
+def _(t: Views) -> DataFrame:
+    m = t("minute_bars")
+    kept = m.join(m.agg(F.min("code").alias("_first"))).where("hour(datetime) < 15 or code <= _first").drop("_first")
+    codes = m.select("code").distinct().withColumn("delist_date", F.when(F.col("code").endswith("e"), F.lit("2100-01-01").cast("date"))).union(t.spark.createDataFrame([("none", None)], "code string, delist_date date"))
+    return master.next_start(kept, codes, panel.calendar_of(m, "datetime"), minute=True)
 
 
 # --- limits, suspension, resampling and loading: variants ------------------------------------------
@@ -825,10 +966,24 @@ def _(t: Views) -> DataFrame:
     return pit.rename_history(t("renames")).withColumn("nth", F.col("nth").cast("long"))
 
 
-@query("tec9_panel", f"""select date, max(value) filter (code = '600005.SH') as a, max(value) filter (code = '000001.SZ') as b from (
-  select code, date, case when n >= 20 then avg(close) over (partition by code order by date rows between 19 preceding and current row) end as value from ({NUM})) group by date""", "a b")
+@query("tec9_panel", f"select date, code, case when n >= 20 then avg(close) over (partition by code order by date rows between 19 preceding and current row) end as value from ({NUM})", "value")
 def _(t: Views) -> DataFrame:
-    return panel.wide(technical.sma(t("bars")), ["600005.SH", "000001.SZ"], "value").toDF("date", "a", "b")
+    return panel.panel(technical.sma(t("bars")), "value").select("date", F.explode("values").alias("code", "value"))
+
+
+@query("ext1_by_code", "select code, date, max(high) over (partition by code order by date rows between 4 preceding and current row) as value, null as error from bars where k % 5 > 0 union all select distinct code, cast(null as date), null, 'ValueError: no' from bars where k % 5 = 0", "value")
+def _(t: Views) -> DataFrame:
+    def highest(part):
+        if part["k"].iloc[0] % 5 == 0:
+            raise ValueError("no")
+        return part["high"].rolling(5, min_periods=1).max()
+
+    return custom.by_code(t("bars").select("code", "date", "k", "high"), highest)
+
+
+@query("ext2_by_date", "select code, date, close - avg(close) over (partition by date) as value, cast(null as varchar) as error from bars", "value")
+def _(t: Views) -> DataFrame:
+    return custom.by_date(t("bars").select("code", "date", "close"), lambda part: part["close"] - part["close"].mean())
 
 
 ROE = "(select code, pub_date as date, roe as value from fundamentals)"
@@ -869,8 +1024,8 @@ def _(t: Views) -> DataFrame:
     return trading.intents(trading.positions(s, t("bars"))).withColumn("place", F.col("place").cast("long"))
 
 
-@query("pos2_force_close", """select code, (select min(date) from calendar c where c.date > e.last) as date, shares, price from (select code, max(date) as last, max_by(close, date) as price from bars group by code) e
-  join (select code, cast(sum(side * shares) as bigint) as shares from fills group by code) using (code) where shares > 0 and e.last < (select max(date) from calendar)""", "price")
+@query("pos2_force_close", """select code, (select min(date) from calendar c where c.date > e.last) as date, shares, price, greatest(shares * price * 0.0013, 5.0) as fee from (select code, max(date) as last, max_by(close, date) as price from bars group by code) e
+  join (select code, cast(sum(side * shares) as bigint) as shares from fills group by code) using (code) where shares > 0 and e.last < (select max(date) from calendar)""", "price fee")
 def _(t: Views) -> DataFrame:
     return trading.force_close(trading.holdings(t("fills"), t("bars")), t("bars"), t("calendar"))
 
@@ -891,7 +1046,14 @@ def _(t: Views) -> DataFrame:
 RATIOS = f"(select code, date, case when r > 1.001 then r else 1.0 end as ratio from (select code, date, cum_factor / lag(cum_factor) over (partition by code order by date) as r from ({ALIGNED})))"
 
 
-@query("pos11_apply_splits", f"select v.code, v.date, cast(floor(v.shares * r.ratio + 1e-9) as bigint) as shares from ({VALUE}) v join {RATIOS} r using (code, date)")
+SPLITS = f"""with recursive v as ({VALUE}), e as (select *, row_number() over (partition by code order by date) as i from (
+    select v.code, v.date, v.shares - coalesce(lag(v.shares) over (partition by v.code order by v.date), 0) as net, r.ratio from v join {RATIOS} r using (code, date)) where net <> 0 or ratio > 1),
+  s(code, date, i, shares) as (select code, date, i, cast(net as double) from e where i = 1 union all
+    select e.code, e.date, e.i, floor(s.shares * e.ratio + 1e-9) + e.net from s join e on e.code = s.code and e.i = s.i + 1)
+  select v.code, v.date, cast(coalesce(last_value(s.shares ignore nulls) over (partition by v.code order by v.date rows between unbounded preceding and current row), 0) as bigint) as shares from v left join s using (code, date)"""
+
+
+@query("pos11_apply_splits", SPLITS)
 def _(t: Views) -> DataFrame:
     ratios = trading.split_ratio(pit.align_factors(t("bars"), _factors(t)))
     return trading.apply_splits(trading.holdings(t("fills"), t("bars")), ratios)
@@ -926,6 +1088,12 @@ def _(t: Views) -> DataFrame:
     return performance.clip(orders, held, t("codes").select("code", "industry"), 1e7, 0.1, 0.3).select("code", "allowed")
 
 
+@query("prf10_annualised", "select year, ret, volatility, pow(1 + ret, 252) - 1 as annual_return, volatility * sqrt(252.0) as annual_volatility from (select year(date) as year, avg(r) as ret, stddev_samp(r) as volatility from (select date, equity / lag(equity) over (order by date) - 1 as r from equity) group by 1)", "ret volatility annual_return annual_volatility")
+def _(t: Views) -> DataFrame:
+    rows = performance.returns(t("equity").withColumn("id", F.lit(1)), ["id"])
+    return performance.annualised(rows.groupBy(F.year("date").cast("long").alias("year")).agg(F.avg("ret").alias("ret"), F.stddev_samp("ret").alias("volatility")))
+
+
 @query("prf1_returns", "select date, equity, equity / lag(equity) over (order by date) - 1 as ret from equity", "equity ret")
 def _(t: Views) -> DataFrame:
     return performance.returns(t("equity").withColumn("id", F.lit(1)), ["id"]).drop("id")
@@ -982,6 +1150,7 @@ def _(t: Views) -> DataFrame:
 @query("dq8_scan_summary", f"""select "check", count(*) as codes, count(*) filter (n = 0) as passed, cast(sum(n) as bigint) as findings from (
   select 'nulls' as "check", {' + '.join(f'count(*) filter ({c} is null)' for c in P.split())} as n from bars_dirty group by code
   union all select 'price logic', count(*) filter (high < greatest(low, open, close)) + count(*) filter (low > least(high, open, close)) + count(*) filter (volume < 0 or amount < 0) from bars_dirty group by code
+  union all select 'repeats', count(*) - count(distinct date) from bars_dirty group by code
   union all select 'continuity', count(*) filter (r is null) + case when coalesce(max(gap), 0) > 60 then 1 else 0 end from (
     select b.code, c.r, c.r - lag(c.r) over (partition by b.code, c.r is null order by b.date) - 1 as gap from (select distinct code, date from bars_dirty) b left join (select date, row_number() over (order by date) as r from calendar) c using (date)) group by code) group by 1""")
 def _(t: Views) -> DataFrame:
@@ -999,13 +1168,50 @@ def _(t: Views) -> DataFrame:
     return performance.intraday_summary(equity.withColumn("id", F.lit(1)), ["id"]).drop("id")
 
 
-SCORES = f"select fold, cast(substring(code, 6, 1) as int) % 4 as param_id, avg(pnl_pct) as score from ({TRADES}) join ({FOLDS}) on entry_date between {{0}}_start and {{0}}_end group by 1, 2"
+SETTINGS = [(i, f, s, u) for i, (f, s, u) in enumerate((f, s, u) for f in (5, 10, 20) for s in (30, 60) for u in (65.0, 80.0))]
+MEANS = (5, 10, 20, 30, 60)
+#: Trades of every setting: crossings of two means under a strength bound, filled at the open of the market's next day.
+SWEPT = f"""with x as materialized {RSI},
+  m as (select code, date, {', '.join(f'case when n >= {p} then avg(close) over (partition by code order by date rows between {p - 1} preceding and current row) end as m{p}' for p in MEANS)} from ({NUM})),
+  l as materialized (select m.*, x.value as x, {', '.join(f'lag(m{p}) over (partition by m.code order by m.date) as p{p}' for p in MEANS)} from m join x using (code, date)),
+  sig as ({' union all '.join(f"select {i} as param_id, code, date, case when coalesce(m{f} < m{s} and p{f} > p{s}, false) or coalesce(x > {u}, false) then -1 when coalesce(m{f} > m{s} and p{f} < p{s} and x < {u}, false) then 1 else 0 end as signal from l" for i, f, s, u in SETTINGS)}),
+  following as (select date, lead(date) over (order by date) as next from (select distinct date from bars)),
+  told as (select g.param_id, g.code, n.next as date, b.open, g.signal, lag(g.signal) over (partition by g.param_id, g.code order by n.next) as old from sig g join following n using (date) join bars b on b.code = g.code and b.date = n.next where g.signal <> 0 and b.open > 0 and not b.is_suspended),
+  turns as (select *, lead(date) over (partition by param_id, code order by date) as exit_date, lead(open) over (partition by param_id, code order by date) as x from told where signal = 1 and coalesce(old, -1) = -1 or signal = -1 and old = 1),
+  priced as (select param_id, code, date as entry_date, exit_date, {BUY} as ep, {SELL} as xp from (select *, open as o from turns) where signal = 1 and exit_date is not null),
+  sized as (select *, cast(greatest(0, least(floor(100000.0 / (100 * ep * 1.0003)), floor((100000.0 - 5) / (100 * ep)))) * 100 as bigint) as shares from priced),
+  swept as materialized (select param_id, code, entry_date, exit_date, shares * xp - greatest(shares * xp * 0.0013, 5.0) - shares * ep - greatest(shares * ep * 0.0003, 5.0) as pnl from sized where shares > 0)"""
+
+
+def _scored(key: str, days: str, trades: str) -> str:
+    """Performance by key of the equity that the trades leave on the days (key, date)."""
+    return f"""select {key}, g - 1 as total_return, a as annual_return, case when n > 2 and s >= 1e-12 then m / s * sqrt(252.0) else 0.0 end as sharpe, mdd as max_drawdown, case when mdd < -1e-12 then a / abs(mdd) else 0.0 end as calmar, coalesce(n_trades, 0) as n_trades, coalesce(pnl, 0.0) as pnl from (
+      select *, case when g <= 0 then -1.0 when n > 1 then pow(g, 252.0 / (n - 1)) - 1 else 0.0 end as a from (
+        select {key}, count(*) as n, max_by(equity, date) / min_by(equity, date) as g, avg(r) as m, stddev_samp(r) as s, min(equity / peak - 1) as mdd from (
+          select *, equity / lag(equity) over w - 1 as r, max(equity) over w as peak from (
+            select {key}, date, 1 + sum(coalesce(p, 0.0)) over (partition by {key} order by date) / (select count(distinct code) * 100000.0 from bars) as equity
+            from {days} left join (select {key}, exit_date as date, sum(pnl) as p from {trades} group by all) using ({key}, date)) window w as (partition by {key} order by date)) group by {key})) left join (select {key}, count(*) as n_trades, sum(pnl) as pnl from {trades} group by {key}) using ({key})"""
+
+
+OPT2 = f"{SWEPT} {_scored('param_id', '(select * from (select distinct param_id from sig) cross join (select distinct date from bars))', 'swept')}"
+MEASURES = "total_return annual_return sharpe max_drawdown calmar"
+
+
+@query("opt2_sweep", OPT2, MEASURES + " pnl", 5)
+def _(t: Views) -> DataFrame:
+    return backtest.sweep(t("bars"), custom.strategy("ma_rsi").settings(t.spark))
+
+
+def _span(kind: str) -> str:
+    days = f"(select f.fold, p.param_id, d.date from folded f join (select distinct date from bars) d on d.date between f.{kind}_start and f.{kind}_end cross join (select distinct param_id from sig) p)"
+    return _scored("fold, param_id", days, f"(select fold, w.* from swept w join folded f on w.entry_date >= f.{kind}_start and w.exit_date <= f.{kind}_end)")
+
+
+OPT3 = f"""{SWEPT}, folded as ({FOLDS.replace('from calendar', 'from (select distinct date from bars)')}), train as ({_span('train')}), test as ({_span('test')}),
+  best as (select * from train qualify row_number() over (partition by fold order by round(sharpe, 9) desc nulls last, param_id) = 1)
+  select b.fold, b.param_id, b.sharpe as train_metric, t.sharpe as test_metric, avg(t.sharpe) over () as mean_test, t.n_trades = 0 as no_trades from best b join test t using (fold, param_id)"""
 
 
-@query("opt3_selection", f"""select fold, param_id, train_metric, test_metric, avg(test_metric) over () as mean_test, test_metric is null as no_trades from (
-  select a.fold, a.param_id, a.score as train_metric, b.score as test_metric from ({SCORES.format('train')} qualify row_number() over (partition by fold order by score desc nulls last, param_id) = 1) a left join ({SCORES.format('test')}) b on a.fold = b.fold and a.param_id = b.param_id)""", "train_metric test_metric mean_test")
+@query("opt3_selection", OPT3, "train_metric test_metric mean_test", 5)
 def _(t: Views) -> DataFrame:
-    trades = backtest.sleeves(t("bars"), signals.close_vs_means(t("bars"))).select("entry_date", "pnl_pct", (F.substring("code", 6, 1).cast("int") % 4).alias("param_id"))
-    spans = F.broadcast(performance.folds(t("calendar"), 4))
-    score = lambda k: trades.join(spans, F.col("entry_date").between(F.col(f"{k}_start"), F.col(f"{k}_end"))).groupBy("fold", "param_id").agg(F.avg("pnl_pct").alias("score"))
-    return performance.walk_forward(score("train"), score("test"), "score")
+    return backtest.walk_forward(t("bars"), custom.strategy("ma_rsi").settings(t.spark), panel.calendar_of(t("bars")), 4)

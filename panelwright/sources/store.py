@@ -38,7 +38,16 @@ def write_bars(bars: DataFrame, path: str, mode: str = "append") -> None:
 
 def tidy_factors(raw: DataFrame) -> DataFrame:
     """Factor rows with date and number; others go."""
-    return raw.select("code", F.to_date("date").alias("date"), F.expr("try_cast(cum_factor as double)").alias("cum_factor")).dropna(subset=["date", "cum_factor"])
+    return raw.select("code", F.expr("try_cast(date as date)").alias("date"), F.expr("try_cast(cum_factor as double)").alias("cum_factor")).dropna(subset=["date", "cum_factor"])
+
+
+def write_factors(raw: DataFrame, path: str) -> bool:
+    """Writes tidy_factors() of the rows and says whether there were any: without one nothing is written."""
+    rows = tidy_factors(raw)
+    if rows.isEmpty():
+        return False
+    rows.write.mode("overwrite").parquet(path)
+    return True
 
 
 def effective_factors(own: DataFrame, external: DataFrame) -> DataFrame:
@@ -62,10 +71,8 @@ def security_class(file_name: Column) -> Column:
     return out
 
 
-def _rate(name: str) -> tuple[float, float]:
-    """Price and volume units of a class: stocks and indices count cents and single shares."""
-    kind = name[3:]
-    return (0.01, 1.0 if kind == "INDEX" else 0.01) if kind in ("A_STOCK", "INDEX") else (0.001, 1.0 if kind in ("FUND", "BOND") else 0.01)
+#: Price and volume units by class; classes not named have the first.
+UNITS = {"": (0.01, 1.0), "SH_B_STOCK": (0.001, 1.0), "SH_FUND": (0.001, 1.0), "SH_BOND": (0.001, 1.0), "SZ_FUND": (0.001, 0.01), "SZ_BOND": (0.001, 0.01)}
 
 
 def read_binary(spark: SparkSession, path: str, rates: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -78,7 +85,7 @@ def read_binary(spark: SparkSession, path: str, rates: dict[str, tuple[float, fl
         for batch in batches:
             for name, kind, raw in zip(*(batch.column(c).to_pylist() for c in ("file", "class", "content")), strict=True):
                 a = np.frombuffer(raw[: len(raw) // 32 * 32], DAY)
-                price, volume = (rates or {}).get(kind) or _rate(kind)
+                price, volume = (rates or {}).get(kind) or UNITS.get(kind, UNITS[""])
                 cols = [a[c].astype(float) * price for c in ("open", "high", "low", "close")] + [a["amount"].astype(float), a["volume"].astype(float) * volume]
                 yield pa.RecordBatch.from_arrays([pa.array([name[:8]] * len(a), pa.string()), pa.array(a["date"].astype(np.int32)), *(pa.array(c) for c in cols)], ["raw_code", "ymd", "open", "high", "low", "close", "amount", "volume"])
 
@@ -86,9 +93,21 @@ def read_binary(spark: SparkSession, path: str, rates: dict[str, tuple[float, fl
     return rows.select(standard_code(F.col("raw_code")).alias("code"), F.try_to_timestamp(F.col("ymd").cast("string"), F.lit("yyyyMMdd")).cast("date").alias("date"), "open", "high", "low", "close", "amount", "volume").where("date is not null")
 
 
-def packed_date(d: Column) -> Column:
-    """The date of a minute record's packed day."""
-    return F.make_date((F.floor(d / 2048) + 2004).cast("int"), F.floor(d % 2048 / 100).cast("int"), (d % 2048 % 100).cast("int"))
+def read_binary_minutes(spark: SparkSession, path: str) -> DataFrame:
+    """Minute bars of all `.lc1` and `.lc5` files under a path, in real prices and shares; stamps that are no date go."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lc[15]").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    fields = ["open", "high", "low", "close", "amount", "volume"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                a = np.frombuffer(raw[: len(raw) // 32 * 32], MINUTE)
+                yield pa.RecordBatch.from_arrays([pa.array([name[:8]] * len(a), pa.string()), pa.array(a["date"].astype(np.int32)), pa.array(a["time"].astype(np.int32)), *(pa.array(a[c].astype(float)) for c in fields)], ["raw_code", "d", "t", *fields])
+
+    rows = files.mapInArrow(run, "raw_code string, d int, t int, " + ", ".join(f"{c} double" for c in fields))
+    stamp = F.expr("try_to_timestamp(concat(year_, '-', month_, '-', day_, ' ', t div 60, ':', t % 60), 'y-M-d H:m')")
+    parts = rows.withColumns({"year_": F.floor(F.col("d") / 2048) + 2004, "month_": F.floor(F.col("d") % 2048 / 100), "day_": F.col("d") % 2048 % 100})
+    return parts.select(standard_code(F.col("raw_code")).alias("code"), stamp.alias("datetime"), *fields).where("datetime is not null")
 
 
 #: A feed's columns by ours, and its units.
@@ -105,7 +124,7 @@ def normalise_feed(raw: DataFrame, feed: str) -> DataFrame:
     scale = {"volume": volume, "amount": amount}
     number = lambda c: F.expr(f"try_cast(`{names[c]}` as double)") * scale.get(c, 1.0) if names[c] in raw.columns else F.lit(None).cast("double")
     halted = F.coalesce(F.col("tradestatus") == "0", F.lit(False)) if "tradestatus" in raw.columns else F.lit(False)
-    rows = raw.select("code", F.to_date(names["date"]).alias("date"), *(number(c).alias(c) for c in names if c != "date"), halted.alias("is_suspended"))
+    rows = raw.select("code", F.expr(f"try_cast(`{names['date']}` as date)").alias("date"), *(number(c).alias(c) for c in names if c != "date"), halted.alias("is_suspended"))
     return rows.where("date is not null").withColumn("raw_close", F.col("close"))
 
 

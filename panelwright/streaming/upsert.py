@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.panel import last_arrived
 
@@ -14,16 +15,36 @@ def upsert(stored: DataFrame, arrived: DataFrame, keys: tuple[str, ...] = ("code
     return last_arrived(stored.unionByName(arrived), list(keys), seq)
 
 
-def stream_upsert(spark: SparkSession, source: str, store: str, checkpoint: str, schema, files_per_batch: int = 1) -> str:
-    """Upserts all files of `source` into versions below `store`, one micro-batch at a time; gives the last version's path."""
-    state = {"path": None}
+def current(spark: SparkSession, store: str, schema) -> DataFrame:
+    """The store's rows as its manifest names them: for each part (a month of bars) the files of its last version; empty before the first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/manifest")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    last = spark.read.parquet(f"{store}/manifest").groupBy("part").agg(F.max_by("folder", "number").alias("folder"))
+    folders = [f"{store}/data/{r.folder}/part={r.part}" for r in last.collect()]  # one row for each month
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def stream_upsert(spark: SparkSession, source: str, store: str, checkpoint: str, schema, files_per_batch: int = 1) -> DataFrame:
+    """Upserts all new files of `source` into `store`, one micro-batch at a time, and gives the store's rows.
+
+    Only the months that a micro-batch touches are written anew.  The manifest in the store, not the driver,
+    knows the versions, so that a restart goes on where the last run stopped; a micro-batch that runs
+    again writes its rows again and replaces nothing else.
+    """
 
     def batch(new: DataFrame, number: int) -> None:
-        old = new.sparkSession.read.parquet(state["path"]) if state["path"] else new.limit(0)
-        path = f"{store}/v{number}-{uuid.uuid4().hex}"
-        upsert(old, new).write.parquet(path)
-        state["path"] = path
+        month = F.date_format("date", "yyyy-MM")
+        touched = [r.part for r in new.select(month.alias("part")).distinct().collect()]
+        if not touched:
+            return
+        folder = f"{number}-{uuid.uuid4().hex}"
+        old = current(new.sparkSession, store, schema).where(month.isin(touched))
+        rows = upsert(old, new).withColumn("part", month)
+        rows.repartition("part").write.partitionBy("part").parquet(f"{store}/data/{folder}")
+        names = new.sparkSession.createDataFrame([(p, folder, number) for p in touched], "part string, folder string, number long")
+        names.coalesce(1).write.mode("append").parquet(f"{store}/manifest")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return state["path"]
+    return current(spark, store, schema)

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions import columns as C
-from panelwright.operators import limits, panel, performance, pit, resample, technical, trading
+from panelwright.operators import custom, fundamental, limits, master, panel, performance, pit, resample, technical, trading
+from panelwright.plans import backtest
 from panelwright.sources import store
 from panelwright.streaming import upsert
 
@@ -107,7 +108,41 @@ def test_binary_records(spark, tmp_path):
     a["date"], a["close"], a["open"], a["high"], a["low"], a["volume"] = [20240102, 20240103], 1234, 1200, 1300, 1100, 500
     (tmp_path / "sz000001.day").write_bytes(a.tobytes())
     rows = store.read_binary(spark, str(tmp_path)).orderBy("date").collect()
-    assert [(r.code, r.date, round(r.close, 2)) for r in rows] == [("000001.SZ", dt.date(2024, 1, 2), 12.34), ("000001.SZ", dt.date(2024, 1, 3), 12.34)]
+    assert [(r.code, r.date, round(r.close, 2), r.volume) for r in rows] == [("000001.SZ", dt.date(2024, 1, 2), 12.34, 500.0), ("000001.SZ", dt.date(2024, 1, 3), 12.34, 500.0)]
+    a["volume"] = 500
+    for name in ("sh900901.day", "sz200002.day", "sz159915.day", "sh510300.day", "sh000001.day", "bj430047.day"):
+        (tmp_path / name).write_bytes(a.tobytes())
+    got = {r.code: (round(r.close, 3), r.volume) for r in store.read_binary(spark, str(tmp_path)).where("date = date'2024-01-02'").collect()}
+    assert got == {"000001.SZ": (12.34, 500.0), "900901.SH": (1.234, 500.0), "200002.SZ": (12.34, 500.0), "159915.SZ": (1.234, 5.0), "510300.SH": (1.234, 500.0), "000001.SH": (12.34, 500.0), "430047.BJ": (12.34, 500.0)}
+
+
+def test_binary_minutes(spark, tmp_path):
+    import numpy as np
+
+    a = np.zeros(3, store.MINUTE)
+    a["date"], a["time"], a["close"], a["volume"] = [(2024 - 2004) * 2048 + 102, (2024 - 2004) * 2048 + 102, 5], [571, 900, 600], [10.5, 11.0, 1.0], [7, 8, 9]
+    (tmp_path / "sh600000.lc1").write_bytes(a.tobytes())
+    rows = store.read_binary_minutes(spark, str(tmp_path)).orderBy("datetime").collect()
+    assert [(r.code, r.datetime, r.close, r.volume) for r in rows] == [("600000.SH", dt.datetime(2024, 1, 2, 9, 31), 10.5, 7.0), ("600000.SH", dt.datetime(2024, 1, 2, 15, 0), 11.0, 8.0)]
+
+
+def test_files(spark, tmp_path):
+    bars = spark.createDataFrame([("A", dt.date(2023, 5, 1), 1.0), ("A", dt.date(2024, 5, 1), 2.0)], "code string, date date, close double")
+    store.write_bars(bars, str(tmp_path / "bars"))
+    back = store.read_bars(spark, str(tmp_path / "bars")).orderBy("date").collect()
+    assert [(r.close, r.year, r.source) for r in back] == [(1.0, 2023, "legacy"), (2.0, 2024, "legacy")]
+    raw = spark.createDataFrame([("A", "2024-01-02", "1.5"), ("A", "n/a", "2"), ("A", "2024-01-03", "x")], "code string, date string, cum_factor string")
+    assert store.write_factors(raw, str(tmp_path / "f")) and spark.read.parquet(str(tmp_path / "f")).count() == 1
+    assert not store.write_factors(raw.limit(0), str(tmp_path / "none")) and not (tmp_path / "none").exists()
+    members = spark.createDataFrame([("600000.SH",)], "code string")
+    for name in ("20240102", "20240103", "notes"):
+        members.coalesce(1).write.parquet(str(tmp_path / "part"), mode="overwrite")
+        (tmp_path / "members").mkdir(exist_ok=True)
+        next((tmp_path / "part").glob("part-*.parquet")).rename(tmp_path / "members" / f"{name}.parquet")
+    assert sorted(r.snapshot_date for r in store.index_members(spark, str(tmp_path / "members")).collect()) == [dt.date(2024, 1, 2), dt.date(2024, 1, 3)]
+    store.write_equity(spark.createDataFrame([(DAY, 1.5)], "date date, equity double"), str(tmp_path / "equity"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "equity")).collect()] == [("2024-01-01", "1.5")]
+    assert panel.schema_findings(bars, {"code": "string", "close": "string", "open": "double"}) == [("close", "double instead of string"), ("open", "missing")]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -116,8 +151,99 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame(rows[3 * k : 3 * k + 3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     df = spark.createDataFrame(rows, schema)
-    path = upsert.stream_upsert(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), df.schema)
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == sorted(map(tuple, upsert.upsert(df.limit(0), df).collect()))
+    run = lambda: sorted(map(tuple, upsert.stream_upsert(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), df.schema).collect()))
+    want = lambda d: sorted(map(tuple, upsert.upsert(d.limit(0), d).collect()))
+    assert run() == want(df)
+    # A restart keeps what is stored, and a file of one month leaves the other month's files alone.
+    more = spark.createDataFrame([("B", dt.date(2024, 2, 1), 1.0, 0), ("A", days(3)[0], 99.0, 50)], schema)
+    more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == want(df.union(more)) and run() == want(df.union(more))
+
+
+def test_suspensions(spark):
+    cal = spark.createDataFrame([(d,) for d in days(6)], "date date")
+    row = lambda i, close, volume, flag: ("A", days(6)[i], close, close, close, close, volume, 1.0, flag)
+    bars = spark.createDataFrame([row(0, 1.0, 5.0, False), row(1, 1.0, 0.0, False), row(2, 1.0, None, False), row(3, 1.0, 5.0, True), row(5, 1.0, 0.0, False)], "code string, date date, open double, high double, low double, close double, volume double, amount double, is_suspended boolean")
+    sure = spark.createDataFrame([("A", days(6)[i]) for i in (0, 1, 2, 4)], "code string, date date")
+    got = [(r.source, r.is_suspended) for r in limits.label_gaps(bars, cal, sure).orderBy("date").collect()]
+    assert got == [("feed", False), ("feed", True), ("feed", True), ("feed", True), ("feed:suspend", True), ("feed", False)]
+    codes = spark.createDataFrame([("A",), ("B",)], "code string")
+    told = lambda a, b: {r.code: r.suspended for r in limits.range_suspended(codes, sure, cal, a, b).collect()}
+    assert told("2024-01-01", "2024-01-03") == {"A": True, "B": False} and told("2024-01-01", "2024-01-04") == {"A": False, "B": False}
+    assert told("2030-01-01", "2030-01-04") == {"A": False, "B": False}
+    with pytest.raises(ValueError):
+        panel.trading_range(cal, "2024-01-04", "2024-01-01")
+
+
+def test_splits_last(spark):
+    held = spark.createDataFrame([("A", d, n) for d, n in zip(days(5), (100, 100, 100, 250, 250))], "code string, date date, shares long")
+    ratios = spark.createDataFrame([("A", days(5)[1], 2.0), ("A", days(5)[4], 1.5), ("A", days(5)[2], 1.0)], "code string, date date, ratio double")
+    assert [r.shares for r in trading.apply_splits(held, ratios).orderBy("date").collect()] == [100, 200, 200, 350, 525]
+    paid = trading.dividends(held, spark.createDataFrame([("A", days(5)[2], 5.0)], "code string, date date, dividend double"))
+    account = spark.createDataFrame([(d, 10.0, 0.0, 10.0, 1) for d in days(4)], "date date, cash double, value double, total double, n_positions int")
+    assert [(r.cash, r.total, r.realised) for r in trading.credited(account, paid).orderBy("date").collect()] == [(10.0, 10.0, 0.0)] * 2 + [(60.0, 60.0, 50.0)] * 2
+
+
+def test_order_status(spark):
+    row = lambda side, shares, sellable, volume, cash=1e6: ("A", DAY, side, shares, cash, sellable, 10.0, 11.0, 9.0, volume, False, 12.0, 8.0)
+    rows = [row(-1, 50, 50, 900.0), row(-1, 500, 50, 0.0), row(-1, 120, 300, 0.0), row(-1, 50, 300, 0.0), row(1, 500, 0, 900.0), row(1, 500, 0, 2500.0), row(1, 100, 0, 0.0), row(1, 300, 0, 0.0, 500.0), row(-1, 100, 0, 0.0)]
+    schema = "code string, date date, side int, shares long, cash double, sellable long, open double, high double, low double, volume double, is_suspended boolean, limit_up double, limit_down double"
+    orders = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema + ", id int")
+    got = [(r.status, r.filled) for r in trading.match(orders, least_amount=1500.0).orderBy("id").collect()]
+    assert got == [("filled", 50), ("partial", 50), ("ignored", 0), ("ignored", 0), ("ignored", 0), ("partial", 200), ("ignored", 0), ("ignored", 0), ("failed", 0)]
+
+
+def test_master_tables(spark):
+    rows = spark.createDataFrame([("A", "N1", None), ("A", "N2", "2020-01-02"), ("A", "N3", "2019-01-02"), ("B", "N4", None)], "code string, name string, delist_date string")
+    parsed = rows.withColumn("delist_date", F.to_date("delist_date"))
+    assert {(r.code, r.name) for r in master.merge(parsed, parsed.where("delist_date is not null")).collect()} == {("A", "N2"), ("B", "N4")}
+    lists = [spark.createDataFrame(r, "code string, position int") for r in ([("x", 1), ("y", 2)], [("z", 1), ("x", 2)])]
+    assert [(r.code, r.place) for r in master.code_list(lists).orderBy("place").collect()] == [("x", 1), ("y", 2), ("z", 3)]
+
+
+def test_user_factors(spark):
+    bars = spark.createDataFrame([(c, d, float(i)) for c in "AB" for i, d in enumerate(days(3))], "code string, date date, close double")
+
+    def odd(part):
+        if part["code"].iloc[0] == "B":
+            raise ValueError("no")
+        return part["close"] * 2
+
+    got = custom.by_code(bars, odd).collect()
+    assert sorted(r.value for r in got if r.code == "A") == [0.0, 2.0, 4.0] and [(r.value, r.error) for r in got if r.code == "B"] == [(None, "ValueError: no")]
+    assert all(r.error.startswith("ValueError: 1 values for 2") for r in custom.by_date(bars, lambda part: [1.0]).collect())
+    fundamental.register("cheap", 1 / F.col("pe"), True)
+    try:
+        assert fundamental.value_of(spark.createDataFrame([("A", DAY, 4.0)], "code string, pub_date date, pe double"), "cheap").first().value == 0.25
+    finally:
+        fundamental.FACTORS.pop("cheap")
+    with pytest.raises(TypeError):
+        fundamental.register("bad", lambda t: t)
+    with pytest.raises(ValueError):
+        technical.register("code", technical.sma)
+    assert "bollinger" in technical.names() and technical.factor("bollinger", bars, period=2, output="middle").where("value is not null").count() == 4
+    s = custom.strategy("ma_rsi")
+    assert s.settings(spark).count() == 12 and s.settings(spark).agg(F.max("param_id")).first()[0] == 11
+    with pytest.raises(KeyError):
+        s.run(bars, speed=1)
+    with pytest.raises(KeyError):
+        custom.strategy("none")
+
+
+def test_parameter_bounds():
+    assert performance.checked(commission=0.0, stop=1.0, least_fee=5.0) == {"commission": 0.0, "stop": 1.0, "least_fee": 5.0}
+    for bad in ({"commission": -0.1}, {"stop": 1.2}, {"least_fee": -1.0}, {"stop": float("nan")}):
+        with pytest.raises(ValueError):
+            performance.checked(**bad)
+
+
+def test_signals_lost_without_a_bar_on_the_next_day(spark):
+    # A's sale of day 2 is due on day 3, on which only B has a bar; it is lost, and the next sale counts.
+    rows = spark.createDataFrame([("A", days(8)[i], 10.0 + i, 10.0, False, g) for i, g in ((0, 1), (1, 0), (2, -1), (4, 0), (5, -1), (6, 0))] + [("B", d, 1.0, 1.0, False, 0) for d in days(8)], "code string, date date, open double, close double, is_suspended boolean, signal int")
+    got = [(r.date.day, r.event) for r in trading.next_day_positions(rows, rows).where("code = 'A' and event is not null").orderBy("date").collect()]
+    assert got == [(2, "entry"), (7, "exit")]
+    trades = backtest.sleeves(rows.drop("signal"), rows.select("code", "date", "signal")).collect()
+    assert [(r.code, r.entry_date.day, r.exit_date.day) for r in trades] == [("A", 2, 7)]
 
 
 def test_unknown_factor():
