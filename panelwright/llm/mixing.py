@@ -83,7 +83,7 @@ def mix(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, **how) -> DataF
     copies: for each reading of the stream that takes words of the document, (from, to): the first word
     taken and the one after the last, from 0.  `start` is the document's place in its source's stream.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     target = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), epochs=epochs, **how), "targets")
     slots, block = schedule(target)
     slots = completed(slots, target, block)
