@@ -18,7 +18,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return license_digest(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
+def license_digest(found: DataFrame) -> DataFrame:
+    """The query's columns from a scan's detections."""
     labels = lambda *cols: F.array_join(F.array_sort(F.array_distinct(F.transform(F.concat(*cols), lambda d: d["label"]))), ",")
     first = F.transform("base", lambda d: d["first"])
     return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(first).alias("first_word"), F.array_max(first).alias("last_word"), labels("base").alias("base_labels"), labels("base", "detections").alias("labels"), "score")

@@ -135,12 +135,20 @@ def test_jaccard(spark, docs, none, size, percent, monkeypatch):
                 x, y = sorted((top(a), top(b)), key=lambda k: k[0])
                 root[y] = x
     want = [(k[0], len(sets[k]), None if k[0] is None else min(j[0] for j in sets if j[0] is not None and top(j) == top(k))) for k in rows]
-    got = [tuple(r) for r in jaccard.near_duplicates(table, size, percent).collect()]
+    got = [tuple(r)[:3] for r in jaccard.near_duplicates(table, size, percent).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     if size == 3:
         assert jaccard.near_duplicates(none, size, percent).count() == 0
 
 
+def test_representatives(spark):
+    near = BASE.rsplit(" ", 2)[0]
+    rows = [(5, BASE, "b"), (5, BASE, "a"), (5, SHARED, "a"), (2, near, None), (7, SHARED, "a"), (8, None, "x"), (8, None, "x"), (None, BASE, "n"), (None, BASE, "n"), (9, "one two", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _th string")
+    got = sorted((tuple(r) for r in jaccard.representatives(docs).collect()), key=repr)
+    assert got == sorted([(2, near, None), (8, None, "x"), (None, BASE, "n"), (None, BASE, "n"), (9, "one two", "q")], key=repr)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(60, 32))
@@ -171,6 +179,32 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0 and len(licenses.rules()) > 200
 
 
+def test_license_places_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["under", "the", "MIT", "License", "apache", "version", "2", "CC", "by", "nc", "é", "x", "Kit"]
+    gaps = [" ", "-", ",  ", "\n", "/", "\x01"]
+    texts = ["".join(w + str(rng.choice(gaps)) for w in rng.choice(vocabulary, int(rng.integers(0, 60)))) for _ in range(150)] + [None, "", "under the mit license " * 400, "no license here"]
+    rows = {r.doc_id: r for r in queries_of(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        hits = [(k, label) for p, label in licenses.BASE.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        r = rows[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(hits), min((k for k, _ in hits), default=None), max((k for k, _ in hits), default=None), ",".join(sorted({a for _, a in hits})))
+        assert set(r.base_labels.split(",")) <= set(r["labels"].split(",")) | {""} and 0 <= r.score <= 1
+
+
+def queries_of(found):
+    return queries.license_digest(found)
+
+
+def test_license_priority_and_containment(spark):
+    texts = ["licensed under the apache license version 2 0", "apache license version 2 0 and mit license", "gpl version 3 gpl"]
+    got = {r.doc_id: [(d.label, d.first, d.last) for d in r.detections] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert set(got[0]) == {("apache-2", 0, 7)}  # what lies within it is suppressed
+    assert ("mit", 6, 7) in got[1] and ("apache-2", 0, 4) in got[1] and not any(a == "apache" for a, _, _ in got[1])
+    assert ("gpl-3", 0, 2) in got[2] and ("gpl", 3, 3) in got[2] and ("gpl", 0, 0) not in got[2]
+
+
 REAL = [
     ("under the terms of the GNU General Public License version 3", "gpl-3"), ("GNU General Public License version 2", "gpl-2"), ("GPLv3", "gpl-3"), ("version 2 of the GNU General Public License", "gpl-2"),
     ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "gpl-3"), ("GNU Lesser General Public License, version 2.1", "lgpl-2.1"), ("LGPL-2.1-or-later", "lgpl-2.1"),
@@ -201,6 +235,31 @@ def test_language(docs, none):
     assert all(r.lang_pred == "und" for r in language.identify(docs, language.fit(none)).collect())
 
 
+def test_language_against_brute_force(spark, docs):
+    train = [(100 + i, t, a) for i in range(12) for t, a in (("the cat and the dog went home", "en"), ("der hund und die katze gehen heim", "de"), ("le chat et le chien", "fr"))]
+    model = language.fit(spark.createDataFrame([(i, t, a) for k, (i, t, a) in enumerate(train)], "doc_id long, text string, lang string"))
+    texts = ["The dog, und the katze!", "hundert chatons", "gehend", "zzz qqq", "É é", "42", "", None, "der der the"]
+    got = [(r.lang_pred, r.score) for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    known = {w: model["words_log"][i] for i, w in enumerate(model["words"])}
+    grams = {g: model["grams_log"][i] for i, g in enumerate(model["grams"])}
+    for text, (pred, score) in zip(texts, got, strict=True):
+        if not re.search(r"[^\W\d_]", text or ""):
+            assert (pred, score) == ("und", 0.0)
+            continue
+        total = np.zeros(len(model["langs"]))
+        for w in re.findall(r"[a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)):
+            if w in known:
+                total += known[w]
+                continue
+            rest, found = f"^{w}$", []
+            while rest:
+                n = next((n for n in range(min(language.MAX_N, len(rest)), 0, -1) if rest[:n] in grams), 0)
+                found += [grams[rest[:n]]] if n else []
+                rest = rest[max(n, 1) :]
+            total += np.mean(found, 0) if found else 0
+        assert pred == model["langs"][int(total.argmax())] and abs(score - 1 / np.exp(total - total.max()).sum()) < 1e-4
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.identify(docs, language.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where(language.held_out(F.col("doc_id")))
@@ -217,6 +276,28 @@ def test_mixing(docs, none):
     assert sum(len(WORD.findall(r.text)) for r in mixing.mixed_documents(docs).collect()) == sum(r.taken for r in rows if r.doc_id is not None) + sum(r.taken for r in rows if r.doc_id is None)
 
 
+def test_mixing_targets_against_brute_force(docs):
+    rows = mixing.mix(docs).collect()
+    size = {}
+    for r in ROWS:
+        size[r[3]] = size.get(r[3], 0) + len(WORD.findall(r[1] or ""))
+    order = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    total, target, open_ = 1.5 * sum(size.values()), {}, set(order)
+    while open_:
+        share = (total - sum(target.values())) / sum(weight[s] for s in open_)
+        full = {s for s in open_ if share * weight[s] > 2 * size[s]}
+        if not full:
+            target |= {s: share * weight[s] for s in open_}
+            break
+        target |= {s: 2.0 * size[s] for s in full}
+        open_ -= full
+    for r in rows:
+        assert r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6
+    assert sorted((r.doc_id or -1, r.size) for r in rows) == sorted((r[0] or -1, len(WORD.findall(r[1] or ""))) for r in ROWS)
+    assert sorted(map(repr, mixing.mix(docs).collect())) == sorted(map(repr, rows))
+
+
 def test_mixing_of_tiny_sources(spark):
     huge = [(i, "w " * 4000, "huge") for i in range(30)]
     tiny = [(100 + i, "a b c" if i % 2 else "a b c d e f g h i j k l", f"tiny{i}") for i in range(40)]
@@ -267,6 +348,21 @@ def test_quality(spark, docs, none):
     assert quality.judge(none, quality.fit(none, labels)).count() == 0
 
 
+def test_quality_counts_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    texts = ["".join(str(w) + str(rng.choice([" ", "\n", "  ", "\t", "\n\n"])) for w in rng.choice(["a", "bb", "é#", "$", "c|d", "\u3000"], int(rng.integers(0, 80)))) for _ in range(120)] + [t for _, t, _, _ in ROWS] + ["\n\n", "a\na\na\n a\n"]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {"forest": [], "threshold": 2.0}).collect()}
+    for i, text in enumerate(texts):
+        words = WORD.findall(text or "")
+        runs = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        twice = {k + j for k, run in enumerate(runs) if runs.count(run) > 1 for j in range(5)} if len(words) < 1000 else set(range(len(words)))
+        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+        want = (len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(twice))
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (len(words) < 10 or 100 * len(twice) > 20 * len(words)) and r.kept != r.base_failed
+
+
 def test_quality_of_documents_odd_in_one_statistic(spark):
     rng = np.random.default_rng(3)
     words = lambda n, k=5: ["".join(rng.choice(list("abcdefghij"), k + int(i % 3) - 1)) for i in range(n)]
