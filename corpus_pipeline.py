@@ -18,9 +18,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document of smallest id; rows without id stay."""
-    first = jaccard.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").union(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document of smallest id.
+
+    Rows of one doc_id are one document; those that repeat its text too become one.  Rows without id stay.
+    """
+    return jaccard.representatives(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best-fit packing", best_fit),
 ]
 
-#: The forest, the components and the packing can't be written in SQL; tests compare with brute force.
+#: The forest, the components and the packing can't be written in SQL; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 
