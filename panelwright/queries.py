@@ -712,8 +712,8 @@ def _(t: Views) -> DataFrame:
 #: Each bar's order: a purchase of 500 or a sale of up to 500 of 350 or 50 sellable shares.
 MATCH = f"""select code, date, side, status, cast(case when status in ('filled', 'partial') then n else 0 end as bigint) as filled, price, case when status in ('filled', 'partial') then greatest(n * price * 0.0003 + case when side < 0 then n * price * 0.001 else 0 end, 5.0) else 0.0 end as fee from (
   select *, case when suspended or not coalesce(open > 0, false) or shut then 'failed' when side < 0 and sellable <= 0 then 'failed' when n <= 0 then 'ignored' when n * price < 30000 and not (side < 0 and n >= sellable) then 'ignored' when n < 500 then 'partial' else 'filled' end as status from (
-    select *, case when side < 0 then case when least(500, sellable, cap) >= sellable then sellable else least(500, sellable, cap) // 100 * 100 end
-      else least(least(500, cap) // 100 * 100, greatest(0, least(floor(500000 / (100 * price * 1.0003)), floor((500000 - 5) / (100 * price)))) * 100) end as n from (
+    select *, case when side < 0 then case when least(500, sellable, cap) >= sellable then sellable else floor(least(500, sellable, cap) / 100) * 100 end
+      else least(floor(least(500, cap) / 100) * 100, greatest(0, least(floor(500000 / (100 * price * 1.0003)), floor((500000 - 5) / (100 * price)))) * 100) end as n from (
       select *, coalesce(case when volume > 0 then floor(volume * 0.1) end, 1e9) as cap, case when side > 0 then {re.sub(r'\bo\b', 'open', BUY)} else {re.sub(r'\bx\b', 'open', SELL)} end as price,
         case when side > 0 then coalesce(abs(high - low) <= greatest(0.005, high * 0.001) and abs(high - limit_up) <= greatest(0.005, limit_up * 0.001), false) else coalesce(abs(high - low) <= greatest(0.005, high * 0.001) and abs(low - limit_down) <= greatest(0.005, limit_down * 0.001), false) end as shut from (
         select b.code, b.date, b.open, b.high, b.low, b.volume, day(b.date) = 5 as suspended, l.limit_up, l.limit_down, case when cast(b.volume / 100 as bigint) % 2 = 0 then 1 else -1 end as side, case day(b.date) % 3 when 0 then 350 when 1 then 50 else 0 end as sellable from bars b join ({LIMITS}) l using (code, date)))))"""
