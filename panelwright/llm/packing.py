@@ -1,10 +1,12 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Items are documents' words, documents longer than the largest length being cut into pieces.  Items are
-dealt by hash into shards of bounded size, each packed by itself: items in falling length go to the
+dealt by hash into shards of bounded size (equal rows are counted and each copy dealt by its own number),
+each packed by itself: items in falling length go to the
 open bin with least room left that holds them; where none does, the bin size of least expected cost a
 word is opened; in the end each bin shrinks to the smallest permitted length that holds its contents.
-All permitted opening policies are tried on each shard and the cheapest is kept.  A document without
+All permitted opening policies are tried on each shard and the cheapest is kept.  `place` is where a
+piece starts in its bin, so that a sequence can be laid out again.  A document without
 words (or a null text) gets one row with no bin.  Repeated rows are packed as separate items.
 """
 
@@ -17,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .mixing import WORD
 
 CAPACITIES, OVERHEAD, SHARD_ITEMS = (256, 512, 1024, 2048, 4096), 16, 20_000
-SCHEMA = "doc_id long, piece int, start long, length long, bin_id long, capacity long"
+SCHEMA = "doc_id long, piece int, start long, length long, bin_id long, capacity long, place long"
 
 
 def best_fit(lengths: list[int], capacities: tuple[int, ...], openings: tuple[int, ...], overhead: int) -> tuple[list[int], list[int]]:
@@ -67,14 +70,17 @@ def pack_shard(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, ove
 
 
 def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """A row for each piece of each document: doc_id, piece, start, length, bin_id, capacity."""
+    """A row for each piece of each document: doc_id, piece, start, length, bin_id, capacity, place."""
     capacities = tuple(sorted(capacities))
     most = capacities[-1]
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n"))
-    cut = sized.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(most).cast("long"))).alias("piece", "start"))
-    items = cut.select("doc_id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(most)).alias("length"))
-    shards = max(1, -(-items.count() // shard_items))
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece")
+    same = written(sized.groupBy("doc_id", "n").agg(F.count("*").alias("copies")), "sizes")
+    pieces = F.greatest(F.ceil(F.col("n") / most), F.lit(1))
+    shards = max(1, -(-(same.agg(F.sum(F.col("copies") * pieces)).first()[0] or 0) // shard_items))
+    each = same.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    cut = each.select("doc_id", "n", "nth", F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(most).cast("long"))).alias("piece", "start"))
+    items = cut.select("doc_id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(most)).alias("length"), "nth")
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length", "nth"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "nth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(shard: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -84,7 +90,13 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: in
             bins, ends = pack_shard(length[:n], capacities, overhead)
             ids = [(shard << 32) + b for b in bins] + [None] * (len(length) - n)
             caps = [ends[b] for b in bins] + [None] * (len(length) - n)
-            return pa.RecordBatch.from_arrays([*(t.column(c) for c in ("doc_id", "piece", "start", "length")), pa.array(ids, pa.int64()), pa.array(caps, pa.int64())], ["doc_id", "piece", "start", "length", "bin_id", "capacity"])
+            full, place = [0] * len(ends), []
+            for b, x in zip(bins, length, strict=False):
+                place.append(full[b])
+                full[b] += x
+            place += [None] * (len(length) - n)
+            own = [pa.array(v, pa.int64()) for v in (ids, caps, place)]
+            return pa.RecordBatch.from_arrays([*(t.column(c) for c in ("doc_id", "piece", "start", "length")), *own], ["doc_id", "piece", "start", "length", "bin_id", "capacity", "place"])
 
         held, now = [], None
         for batch in batches:
