@@ -1,18 +1,21 @@
 """Chat formatting: tool calls linked to their results, checked and written as canonical JSON.
 
 Calls and results meet in a hash join on (conversation, identifier).  Calls are ordered by level, the
-longest way over the calls they wait for: a call that only waits for earlier turns needs no search, the
-others are settled in rounds, each round one join; what a cycle holds back is marked.  Arguments are
+longest way over the calls they wait for: chains of calls that wait for one other each are shortened by
+pointer doubling, so rounds grow with the logarithm of their length, and calls that wait for several are
+settled in rounds over these alone; what a cycle holds back is marked and has no level.  Arguments are
 checked against a schema for each tool.  Of several results for one call the first by turn counts and
 the rest are marked; of several calls with one identifier likewise.  Nulls: a call without conversation
 or identifier is kept and marked `unlinked`.  Every turn has a row: calls, results, and the turns that are
 neither (system turns, those without a role, tool turns without an identifier, turns that hold inline
-calls), which have a status of their own.  No group is gathered; an order is given by level and turn.
+calls), which have a status of their own.  No group is gathered; an order is given by level and turn.  Canonical JSON has sorted keys, no spaces and plain characters; half a
+surrogate pair, which UTF-8 can't hold, is escaped.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,16 +28,29 @@ RESULT = "conv_id long, turn long, call_id string, content string"
 OTHER = "conv_id long, turn long, role string, status string, content string"
 
 
+#: The kinds of JSON Schema and Python's.
+KINDS = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "array": list, "object": dict, "null": type(None)}
+
+
+def canonical(value) -> str:
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _is(value, kind: str) -> bool:
+    """Whether a value is of a kind; a kind that is not known permits everything, and a truth value is no number."""
+    return kind not in KINDS or isinstance(value, KINDS[kind]) and not (isinstance(value, bool) and kind in ("number", "integer"))
+
+
 def valid(arguments: str | None, schema: dict | None) -> tuple[str | None, str]:
     """(canonical JSON, what is wrong) of a call's arguments; both sides follow a small part of JSON Schema."""
     try:
         value = json.loads(arguments) if arguments is not None else None
-        text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+        text = canonical(value)
     except (ValueError, RecursionError):
         return None, "not JSON"
     if schema is None:
         return text, "unknown tool"
-    kinds = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "array": list, "object": dict}
     if not isinstance(value, dict):
         return text, "not an object"
     for key in schema.get("required", []):
@@ -46,36 +62,49 @@ def valid(arguments: str | None, schema: dict | None) -> tuple[str | None, str]:
             if not schema.get("additionalProperties", True):
                 return text, f"unknown {key}"
             continue
-        kind = rule.get("type")
-        if kind and (not isinstance(v, kinds[kind]) or isinstance(v, bool) and kind in ("number", "integer")):
-            return text, f"{key} is not {kind}"
+        kinds = rule.get("type") or []
+        kinds = [kinds] if isinstance(kinds, str) else kinds
+        if kinds and not any(_is(v, k) for k in kinds):
+            return text, f"{key} is not {' or '.join(kinds)}"
         if "enum" in rule and v not in rule["enum"]:
             return text, f"{key} is not permitted"
-        if len(v) < rule["minLength"] if "minLength" in rule and isinstance(v, str) else False:
+        if isinstance(v, str) and len(v) < rule.get("minLength", 0):
             return text, f"{key} is too short"
     return text, ""
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, cyclic) for conversations in which a call waits for a later one; others need no search.
-
-    Each round settles the calls all of whose waited-for calls are settled; what remains is held by a cycle.
-    """
-    first = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"), F.min_by("waits_for", "turn").alias("waits_for"))
-    edges = first.select("conv_id", "call_id", "turn", F.explode("waits_for").alias("on")).join(first.select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("on_turn")), ["conv_id", "on"])
-    late = edges.where("on_turn >= turn").select("conv_id").distinct()
-    edges = written(edges.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "on").distinct(), "waits")
-    state = edges.select("conv_id", "call_id").union(edges.select("conv_id", F.col("on").alias("call_id"))).distinct().withColumn("level", F.lit(None).cast("int"))
-    level = 0
-    while True:
-        unsettled = state.where("level is null").select("conv_id", F.col("call_id").alias("on"))
-        held = edges.join(unsettled, ["conv_id", "on"]).select("conv_id", "call_id").distinct().withColumn("held", F.lit(True))
-        ready = F.col("level").isNull() & F.col("held").isNull()
-        now = written(state.join(held, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.when(ready, level).otherwise(F.col("level")).alias("level"), ready.alias("moved")), "levels")
-        state, moved = now.drop("moved"), now.where("moved").limit(1).count()
-        if not moved:
-            return state.select("conv_id", "call_id", F.coalesce("level", F.lit(level)).alias("level"), F.col("level").isNull().alias("cyclic"))
-        level += 1
+    """(conv_id, call_id, level, cyclic) of the calls that wait for another or are waited for; level is null where a cycle holds a call."""
+    key = ["conv_id", "call_id"]
+    first = calls.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.min("turn").alias("turn"), F.min_by("waits_for", "turn").alias("waits_for"))
+    edges = first.select(*key, F.explode("waits_for").alias("on")).join(first.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"]).select(*key, "on").distinct()
+    edges = written(edges, "waits")
+    degree = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("on").alias("on"))
+    # A chain's links point to the call waited for; each round doubles how far they reach, until they point to a call of no or several ones.
+    chain = written(degree.where("n = 1").select(*key, F.col("on").alias("to"), F.lit(1).cast("long").alias("far")), "chain")
+    open_links, before = chain.count(), -1
+    while open_links and open_links != before:
+        next_ = chain.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"))
+        chain = written(chain.join(next_, ["conv_id", "to"], "left").select(*key, F.coalesce("to2", "to").alias("to"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("to2").isNotNull().alias("open")), "chain")
+        before, open_links = open_links, chain.where("open").count()
+    ends = chain.select("conv_id", F.col("call_id").alias("on"), F.col("to").alias("end"), "far")
+    many = degree.where("n > 1").select(*key)
+    known = written(edges.select("conv_id", F.col("on").alias("call_id")).distinct().join(edges, key, "left_anti").select(*key, F.lit(0).cast("long").alias("level")), "levels")
+    reach = edges.join(many, key, "left_semi").join(ends, ["conv_id", "on"], "left").select(*key, F.coalesce("end", "on").alias("end"), F.coalesce("far", F.lit(0)).alias("far"))
+    reach = written(reach, "reach")
+    waiting = reach.select(*key).distinct()
+    while not reach.isEmpty():
+        # A call of several is settled once all ends of its chains are.
+        got = reach.join(known.select("conv_id", F.col("call_id").alias("end"), "level"), ["conv_id", "end"], "left")
+        ready = got.groupBy(*key).agg(F.count("*").alias("n"), F.count("level").alias("has"), (F.max(F.col("level") + F.col("far")) + 1).alias("level")).where("n = has").select(*key, "level")
+        ready = written(ready.join(known, key, "left_anti"), "levels")
+        if ready.isEmpty():
+            break
+        known = known.union(ready)
+        reach = reach.join(ready, key, "left_anti")
+    told = chain.join(known.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"], "left").select(*key, (F.col("level") + F.col("far")).alias("level"))
+    every = known.union(told).union(waiting.join(known, key, "left_anti").select(*key, F.lit(None).cast("long").alias("level")))
+    return every.select(*key, F.col("level").cast("int").alias("level"), F.col("level").isNull().alias("cyclic"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], others: DataFrame | None = None) -> DataFrame:
@@ -93,7 +122,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], others:
     linked = calls.join(owner, key, "left").join(answer, key, "left").join(levels(calls), key, "left")
     status = F.when(~named, "unlinked").when(F.col("turn") > F.col("first_turn"), "repeated call").when(F.col("cyclic"), "cyclic").when(F.col("r").isNull(), "unanswered").when(F.col("r.turn") < F.col("turn"), "answered early").when(F.col("n_results") > 1, "answered again").otherwise("linked")
     null = lambda c: F.lit(None).cast("string").alias(c)
-    rows = linked.select("conv_id", F.coalesce("level", F.lit(0)).alias("level"), "turn", "call_id", status.alias("status"), F.lit("call").alias("kind"), null("role"), "name", "arguments", F.col("r.content").alias("content"))
+    rows = linked.select("conv_id", F.when(~F.coalesce("cyclic", F.lit(False)), F.coalesce("level", F.lit(0))).alias("level"), "turn", "call_id", status.alias("status"), F.lit("call").alias("kind"), null("role"), "name", "arguments", F.col("r.content").alias("content"))
     copies = results.groupBy("conv_id", "turn", "call_id", "content").count().withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
     first = (F.col("nth") == 1) & F.col("turn").eqNullSafe(F.col("r.turn")) & F.col("content").eqNullSafe(F.col("r.content"))
     rank = F.when(F.col("owned").isNull(), "orphan result").when(first, "result").otherwise("repeated result")
@@ -110,7 +139,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], others:
             if r["kind"] == "call":
                 entry |= {"arguments": json.loads(args) if args is not None else r["arguments"], "name": r["name"]}
             problems.append(wrong)
-            lines.append(json.dumps(entry, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+            lines.append(canonical(entry))
         keep = ["conv_id", "level", "turn", "call_id", "status"]
         return pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(problems, pa.string()), pa.array(lines, pa.string())], [*keep, "problem", "json"])
 
