@@ -961,6 +961,17 @@ def _(t: Views) -> DataFrame:
     return pit.load(t("bars"), _factors(t), "1994-02-03", "1997-10-15").select("code", "date", "close", "cum_factor")
 
 
+MINUTE_FACTORS = "(select distinct code, cast(datetime as date) as date, 1.0 + day(datetime) % 5 as cum_factor from minute_bars where day(datetime) % 3 = 0)"
+
+
+@query("pit4_minutes", f"""select m.code, m.datetime, m.close * coalesce(f.cum_factor, e.first, 1.0) as close, coalesce(f.cum_factor, e.first, 1.0) as adj_factor from minute_bars m asof left join {MINUTE_FACTORS} f on f.code = m.code and f.date <= cast(m.datetime as date)
+  left join (select code, min_by(cum_factor, date) as first from {MINUTE_FACTORS} group by code) e on e.code = m.code where cast(m.datetime as date) between date '2024-01-02' and date '2024-01-20'""", "close adj_factor")
+def _(t: Views) -> DataFrame:
+    day = F.dayofmonth("datetime")
+    factors = t("minute_bars").where(day % 3 == 0).select("code", F.to_date("datetime").alias("date"), (1.0 + day % 5).alias("cum_factor")).distinct()
+    return pit.load(t("minute_bars"), factors, "2024-01-02", "2024-01-20", "backward").select("code", "datetime", "close", "adj_factor")
+
+
 @query("pit14_rename_history", "select code, change_date, name, row_number() over (partition by code order by change_date, name) as nth from renames where year(change_date) between 1990 and 2100")
 def _(t: Views) -> DataFrame:
     return pit.rename_history(t("renames")).withColumn("nth", F.col("nth").cast("long"))

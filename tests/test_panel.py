@@ -175,6 +175,13 @@ def test_suspensions(spark):
         panel.trading_range(cal, "2024-01-04", "2024-01-01")
 
 
+def test_cleaning_twice_changes_nothing(spark):
+    rows = [("A", days(3)[0], "10", "9", "8", "-1", "5", "x", None, 1), ("A", days(3)[0], "10", "12", "8", "11", "5", "7", "true", 2), ("A", days(3)[1], "10", "12", "8", "11", "-5", "7", "false", 1), ("B", days(3)[1], "3", "1", "2", None, "1", "1", None, 1)]
+    names = ["open", "high", "low", "close", "volume", "amount", "is_suspended"]
+    once = panel.clean(spark.createDataFrame(rows, "code string, date date, " + ", ".join(f"{c} string" for c in names) + ", ingest_seq int"))
+    assert sorted(map(repr, panel.clean(once).collect())) == sorted(map(repr, once.collect())) and once.count() == 3
+
+
 def test_splits_last(spark):
     held = spark.createDataFrame([("A", d, n) for d, n in zip(days(5), (100, 100, 100, 250, 250))], "code string, date date, shares long")
     ratios = spark.createDataFrame([("A", days(5)[1], 2.0), ("A", days(5)[4], 1.5), ("A", days(5)[2], 1.0)], "code string, date date, ratio double")
