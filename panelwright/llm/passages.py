@@ -42,24 +42,27 @@ def single_bytes(column) -> tuple[np.ndarray, Units]:
     return data, (_BYTE[data], off, at, at + 1)
 
 
-def run_hashes(units: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
-    """The hash of each run of `size` units, by doubling."""
+def run_hashes(units: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of `size` units, a polynomial in them by doubling.
+
+    Equal runs have equal hashes; where different ones do, only more is compared.
+    """
     n = len(units) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     power, width, done, out = units, 1, 0, None
-    factor = np.uint64((0xD1342543DE82EF95 + 2 * salt) % 2**64)
-    rest = size
+    factor, rest = 0xD1342543DE82EF95, size
     while rest:
+        shift = np.uint64(factor)
         if rest & 1:
             part = power[done : done + n]
-            out = part.copy() if out is None else mix(out * factor + part)
+            out = part.copy() if out is None else out * shift + part
             done += width
         rest >>= 1
         if rest:
-            power = mix(power[: len(power) - width] * factor + power[width:])
-            width *= 2
-    return mix(out + np.uint64(salt))
+            power = power[: len(power) - width] * shift + power[width:]
+            width, factor = 2 * width, factor * factor % 2**64
+    return mix(out)
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:

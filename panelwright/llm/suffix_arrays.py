@@ -101,17 +101,20 @@ def _induce_wide(t: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndar
     for p in seeds.tolist()[::-1]:
         tails[s[p]] -= 1
         sa[tails[s[p]]] = p
-    for k in range(len(sa)):
-        j = sa[k] - 1
+    for p in sa:  # the list grows under the loop
+        j = p - 1
         if j >= 0 and not tiny[j]:
-            sa[heads[s[j]]] = j
-            heads[s[j]] += 1
+            c = s[j]
+            k = heads[c]
+            sa[k] = j
+            heads[c] = k + 1
     tails = ends.tolist()
-    for k in range(len(sa) - 1, -1, -1):
-        j = sa[k] - 1
+    for p in reversed(sa):
+        j = p - 1
         if j >= 0 and tiny[j]:
-            tails[s[j]] -= 1
-            sa[tails[s[j]]] = j
+            c = s[j]
+            tails[c] = k = tails[c] - 1
+            sa[k] = j
     sa[0] = len(s) - 1
     return np.array(sa)
 
