@@ -33,6 +33,12 @@ def rotation(dims: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def _scaled(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The vectors laid end to end in `flat`, each with its largest component brought between 0.5 and 1."""
+    top = np.frexp(np.maximum.reduceat(np.abs(flat), start))[1]
+    return np.ldexp(flat, -np.repeat(top, size))
+
+
 def _blocks(vectors: DataFrame, cosine: float, block_dims: int) -> DataFrame:
     """(id, dims, block, x, y, sub): the cell and the rotated part of each vector in each block."""
 
@@ -44,9 +50,8 @@ def _blocks(vectors: DataFrame, cosine: float, block_dims: int) -> DataFrame:
         rows: dict[str, list] = {k: [] for k in ("id", "dims", "block", "x", "y", "sub")}
         for d in np.unique(size):
             at = np.flatnonzero(size == d)
-            u = flat[off[at][:, None] + np.arange(d)]
-            u = u / np.linalg.norm(u / np.abs(u).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(u).max(1, keepdims=True)
-            u = u @ rotation(int(d))
+            u = _scaled(flat[off[at][:, None] + np.arange(d)].ravel(), np.arange(len(at)) * d, np.full(len(at), d)).reshape(-1, d)
+            u = u / np.linalg.norm(u, axis=1, keepdims=True) @ rotation(int(d))
             m = max(1, int(d) // block_dims)
             wide = max(np.sqrt((2 - 2 * cosine) / m) + SLACK, 1e-3)
             for b, part in enumerate(np.array_split(u, m, axis=1)):
@@ -68,7 +73,7 @@ def candidates(vectors: DataFrame, cosine: float = COSINE, block_dims: int = BLO
     parts = _blocks(vectors, cosine, block_dims)
     n_chunks = parts.groupBy(*cell).count().select(*cell, F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
     chunks = parts.join(n_chunks, cell).withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    chunks = chunks.groupBy(*cell, "c").agg(F.collect_list(F.struct("id", "sub")).alias("rows"))
+    chunks = chunks.repartition(*cell, "c").groupBy(*cell, "c").agg(F.collect_list(F.struct("id", "sub")).alias("rows"))
     near = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i as dx, j as dy))))"))
     half = chunks.select("*", near.alias("d")).where("d.dx > 0 or (d.dx = 0 and d.dy >= 0)")
     asks = half.withColumn("x2", F.col("x") + F.col("d.dx")).withColumn("y2", F.col("y") + F.col("d.dy"))
@@ -114,9 +119,10 @@ def links(table: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFram
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         va, vb = (piece.column(c) for c in ("va", "vb"))
-        fa, fb = (np.asarray(v.flatten().to_numpy(zero_copy_only=False), float) for v in (va, vb))
         size = np.asarray(va.value_lengths().to_numpy(zero_copy_only=False))
         start = np.cumsum(size) - size
+        # Each vector is scaled by a power of two, which changes no digit of its cosine and keeps its squares from overflow and underflow.
+        fa, fb = (_scaled(np.asarray(v.flatten().to_numpy(zero_copy_only=False), float), start, size) for v in (va, vb))
         dot, aa, bb = (np.add.reduceat(x, start) for x in (fa * fb, fa * fa, fb * fb))
         ok = dot / (np.sqrt(aa) * np.sqrt(bb)) >= cosine
         return pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b")], ["a", "b"]).filter(pa.array(ok))
