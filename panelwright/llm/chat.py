@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_piece, written
+from .common import drop, per_piece, written
 
 CALL = "conv_id long, turn long, call_id string, name string, arguments string, waits_for array<string>"
 RESULT = "conv_id long, turn long, call_id string, content string"
@@ -85,7 +85,9 @@ def levels(calls: DataFrame) -> DataFrame:
     open_links, before = chain.count(), -1
     while open_links and open_links != before:
         next_ = chain.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"))
-        chain = written(chain.join(next_, ["conv_id", "to"], "left").select(*key, F.coalesce("to2", "to").alias("to"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("to2").isNotNull().alias("open")), "chain")
+        far = chain.join(next_, ["conv_id", "to"], "left").select(*key, F.coalesce("to2", "to").alias("to"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("to2").isNotNull().alias("open"))
+        last, chain = chain, written(far, "chain")
+        drop(last)
         before, open_links = open_links, chain.where("open").count()
     ends = chain.select("conv_id", F.col("call_id").alias("on"), F.col("to").alias("end"), "far")
     many = degree.where("n > 1").select(*key)

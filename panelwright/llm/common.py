@@ -37,12 +37,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(table.folder)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def done_with(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more and lets Spark's cleaner drop the shuffle files of finished jobs."""
+    """drop(), and Spark's cleaner is let drop the shuffle files of finished jobs."""
+    drop(*tables)
     jvm = spark.sparkContext._jvm
-    for table in tables:
-        where = jvm.org.apache.hadoop.fs.Path(table.folder)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     for _ in range(2):  # Spark's listeners hold the last plan for a moment
         time.sleep(0.5)
         gc.collect()
