@@ -69,6 +69,66 @@ BODIES = [
     ("ofl-1.1", "font software", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
     ("cc0", "creative commons", "creative commons (?:cc0|zero)(?: 1 0)?(?: universal)?"),
     ("cc0", "dedicated the work", "has dedicated the work to the public domain"),
+    ("mit", "the above copyright notice and this", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "in no event shall the authors", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("x11", "except as contained in this", "except as contained in this notice the names? of the (?:x consortium|copyright holders?) shall not be used in advertising"),
+    ("hpnd", "this software and its documentation", "permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose (?:is hereby granted )?(?:with or )?without fee"),
+    ("isc", "the author disclaims", "the author disclaims all warranties with regard to this software"),
+    ("bsd", "redistributions of source code", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "this software is provided by the", "this software is provided by the (?:copyright holders and contributors|regents and contributors|authors?) as is"),
+    ("zlib", "without any express or implied", "this software is provided as is without any express or implied warranty"),
+    ("zlib", "altered source versions", "altered source versions must be plainly marked as such"),
+    ("bsl-1", "execute and transmit", "to use reproduce display distribute execute and transmit the software"),
+    ("apache-2", "except in compliance", "you may not use this file except in compliance with the license"),
+    ("apache-2", "grant of patent license", "grant of patent license subject to the terms and conditions of this license"),
+    ("apache-1.1", "developed by the apache", "this product includes software developed by the apache software foundation"),
+    ("gpl", "redistribute it and or modify", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is distributed", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "received a copy of the gnu general", "you should have received a copy of the gnu general public license"),
+    ("gpl-2", "the licenses for most software are", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3", "other practical works", "the licenses for most software and other practical works are designed to take away your freedom to share and change the works"),
+    ("lgpl", "redistribute it and or modify", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "this library is distributed", "this library is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl", "received a copy of the gnu lesser", "you should have received a copy of the gnu lesser general public license"),
+    ("lgpl-2.1", "specially designated", "this license the lesser general public license applies to some specially designated software packages"),
+    ("agpl", "received a copy of the gnu affero", "you should have received a copy of the gnu affero general public license"),
+    ("agpl-3", "interacting with it remotely", "all users interacting with it remotely through a computer network"),
+    ("gfdl", "gnu free documentation", f"gnu free documentation {LIC}(?: version 1 [0-3])?"),
+    ("gfdl", "modify this document under", "permission is granted to copy distribute and or modify this document under the terms"),
+    ("mpl-2", "this source code form is subject", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl-1.1", "the contents of this file are subject", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl", "the mpl was not distributed", "if a copy of the mpl was not distributed with this file"),
+    ("epl-1", "org legal epl", "eclipse org legal epl v10"),
+    ("epl-2", "org legal epl", "eclipse org legal epl (?:2 0|v20)"),
+    ("cddl", "subject to the terms of the common", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("unlicense", "anyone is free to copy", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense", "jurisdictions that recognize", "in jurisdictions that recognize copyright laws the authors? (?:or authors )?of this software dedicate"),
+    ("wtfpl", "verbatim or modified", "everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
+    ("psf-2", "psf hereby grants", "psf hereby grants licensee a non ?exclusive royalty free world wide license"),
+    ("artistic", "the intent of this document", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("ofl-1.1", "reserved font name", "no modified version of the font software may use the reserved font names?"),
+    ("ofl", "this font software is licensed", "this font software is licensed under the sil open font license"),
+    ("eupl", "licensed under the eupl", "licensed under the eupl"),
+    ("cecill", "ce logiciel est", "ce logiciel est régi par la licence cecill"),
+    ("ms-pl", "any portion of the software in source", "if you distribute any portion of the software in source code form you may do so only under this license"),
+    ("upl-1", "subject to the condition set forth", "subject to the condition set forth below permission is hereby granted"),
+    ("odbl-1", "made available under the open database", "is made available under the open database license"),
+    ("openssl", "developed by the openssl", "this product includes software developed by the openssl project"),
+    ("openssl", "openssl license", f"openssl {LIC}"),
+    ("vim", "charityware", "vim is charityware"),
+    ("beerware", "beer ware", f"the beer ware {LIC}"),
+    ("json", "used for good", "the software shall be used for good not evil"),
+    ("elastic-2", "elastic license", "elastic license(?: version)?(?: v)? ?2(?: 0)?"),
+    ("sspl-1", "server side public", f"server side public {LIC}(?: version 1| v1)?"),
+    ("busl-1.1", "business source license", "business source license(?: version)?(?: 1 1)?"),
+    ("cc0", "associated a work with this deed", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by-sa", "under the same license as the", "you must distribute your contributions under the same license as the original"),
+    ("cc-by-nc", "for commercial purposes", "you may not use the material for commercial purposes"),
+    ("cc-by-nd", "build upon the material you may not", "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("proprietary", "unauthorized copying of this", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "proprietary and confidential", "proprietary and confidential"),
+    ("proprietary", "may be reproduced", "no part of this (?:publication|document|work|book) may be reproduced"),
 ]
 #: The parts of Creative Commons licenses in words.
 CC_WORDS = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative|ativ)?(?:e?s)?(?: works)?"}
