@@ -221,9 +221,11 @@ def repeated(docs: DataFrame, search: Search, matcher: Callable, earlier: bool)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     hashed = docs.select("doc_id", F.xxhash64("text").alias("th"), F.md5(F.col("text").cast("binary")).alias("sum"), F.octet_length("text").alias("size"))
     rows = written(hashed.where(F.col("size") >= search.length), "rows")
-    copies = rows.groupBy("sum", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    whole = (F.col("doc_id") > F.col("first")) if earlier else (F.col("copies") > 1)
-    known = written(rows.join(copies, ["sum", "size"]).select("doc_id", "th", whole.alias("whole"), (F.col("doc_id") == F.col("first")).alias("head")), "known")
+    # Written, so that the join may split a large group of copies.
+    copies = written(rows.groupBy("sum", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "copies")
+    first = F.coalesce("first", "doc_id")
+    whole = (F.col("doc_id") > first) if earlier else F.col("copies").isNotNull()
+    known = written(rows.join(copies, ["sum", "size"], "left").select("doc_id", "th", whole.alias("whole"), (F.col("doc_id") == first).alias("head")), "known")
     places = written(search.minimizers(docs), "minimizers")
     several = places.groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where("texts > 1" if earlier else "n > 1").select("h", (F.col("n") > search.most).alias("busy"))
     lists = places.join(several, "h").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("busy"), F.col("h"))).alias("few"), F.collect_set(F.when(F.col("busy"), F.col("h"))).alias("many"))
@@ -231,7 +233,7 @@ def repeated(docs: DataFrame, search: Search, matcher: Callable, earlier: bool)
     heads = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     moved = written(search.travelling(heads, lists), "stretches")
     del several, lists, heads
-    done_with(docs.sparkSession, places, rows)
+    done_with(docs.sparkSession, places, rows, copies)
     single = moved.select("crowded", "h", "doc_id", "th", F.array("start").alias("starts"), "n", "body", F.lit(1).cast("long").alias("w"))
     shards, ranges = [single.where("not crowded").select(*SHARD)], []
     crowded = single.where("crowded").select(*SHARD)
