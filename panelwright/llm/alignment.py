@@ -99,6 +99,8 @@ def terminals(end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
 def _digest_bytes(ids: tuple[np.ndarray, np.ndarray], group: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray], forms) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, their ends by text) of `a1,a2|b1;a3|b2,b3` for all texts; `own` are the tokens' texts."""
     (a, b), (ga, gb), (da, db) = ids, group, own
+    if not len(a):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
     # In the text a group's tokens of the first side come first.
     at_a = np.arange(len(a)) + np.searchsorted(gb, ga, side="left")
     at_b = np.arange(len(b)) + np.searchsorted(ga, gb, side="right")

@@ -24,6 +24,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -284,7 +285,7 @@ def search(index: DataFrame, items: DataFrame, k: int = K, most_terms: int = MOS
             own = np.sort(own.to_numpy())
             own = own[weights[own] > 0]
             if len(own):
-                queries.append((None if item is None or item != item or str(item) == "<NA>" else int(item), terms[own], weights[own]))
+                queries.append((None if pd.isna(item) else int(item), terms[own], weights[own]))
         part = _search(index, queries, n_docs, n_terms, k)
         found = part if found is None else found.union(part)
     order = W.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
