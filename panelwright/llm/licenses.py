@@ -3,7 +3,7 @@
 A text's words are joined by one space, so that a rule sees words and not punctuation.  A rule has a
 label, a keyword that must begin a word of the text before its regex is tried, a priority and the regex.
 Detections are intervals of words; one that lies within another of at least its priority (and is not
-that other) is suppressed.  Base phrases are counted apart and their labels are always kept.  A null
+that other) is suppressed, which a sweep over the sorted intervals finds.  Base phrases are counted apart and their labels are always kept.  A null
 text has no words.  A family's rules name it in full, by its short form, glued to its version or after it,
 and by sentences of its body or notice.  Everything happens in one row's projection: no shuffle, no group.
 """
@@ -199,6 +199,36 @@ def _detected(s: Column, groups: list[tuple[str, list[tuple[str, str, int]]]]) -
     return F.flatten(found)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def surviving(found: Column, levels: list[int]) -> Column:
+    """The detections that lie in no other of at least their priority, each once; of the same words and priority the least label stays.
+
+    `levels` are all priorities, ascending.  By start, falling end, falling priority and label, whatever
+    suppresses a detection stands before it, so one pass that keeps the farthest end for each priority and
+    those above decides.  The pass goes through parts of the square root's length, as appending copies an array.
+    """
+    ordered = F.array_sort(F.transform(found, lambda d: F.struct(d["first"].alias("first"), (-d["last"]).alias("end"), (-d["priority"]).alias("rank"), d["label"].alias("label"))))
+    cut = lambda a: _let(F.ceil(F.sqrt(F.size(a))).cast("int"), lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / c).cast("int")), lambda k: F.slice(a, k * c + 1, c)))
+    kind = "array<struct<first:long,end:long,rank:int,label:string>>"
+    ranks = F.array(*(F.lit(-p) for p in levels))
+
+    def step(state: Column, d: Column) -> Column:
+        reach, out = state["reach"], state["out"]
+        at = (F.array_position(ranks, d["rank"]) - 1).cast("int")
+        further = F.transform(reach, lambda x, i: F.when(i <= at, F.greatest(x, -d["end"])).otherwise(x))
+        return F.struct(further.alias("reach"), F.when(F.get(reach, at) >= -d["end"], out).otherwise(F.array_append(out, d)).alias("out"))
+
+    start = F.array_repeat(F.lit(-1).cast("long"), len(levels)).alias("reach")
+    whole = lambda state, part: _let(F.aggregate(part, F.struct(state["reach"].alias("reach"), F.array().cast(kind).alias("out")), step), lambda x: F.struct(x["reach"].alias("reach"), F.array_append(state["out"], x["out"]).alias("out")))
+    kept = F.flatten(F.aggregate(_let(ordered, cut), F.struct(start, F.array().cast(f"array<{kind}>").alias("out")), whole, lambda state: state["out"]))
+    named = F.transform(kept, lambda d: F.struct(d["label"].alias("label"), d["first"].alias("first"), (-d["end"]).alias("last"), (-d["rank"]).alias("priority")))
+    return F.when(F.size(found) < 2, found).otherwise(named)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base (places with labels), detections (label, first, last, priority) and score.
 
@@ -214,9 +244,8 @@ def scan(docs: DataFrame) -> DataFrame:
     base = _detected(s, [(p, [(label, f" {p}(?= )", int(top))]) for p, label in BASE.items()])
     # One look for any keyword decides for most texts; each base phrase begins with one or follows "under the".
     any_key = s.rlike(" (?:" + "|".join(f"{c}(?:{'|'.join(k[1:] for k in keys if k[0] == c)})" for c in sorted({k[0] for k in keys})) + ")")
-    both = F.when(any_key, F.struct(base.alias("base"), F.array_distinct(_detected(s, groups)).alias("found"))).otherwise(F.struct(none.alias("base"), none.alias("found")))
+    both = F.when(any_key, F.struct(base.alias("base"), _detected(s, groups).alias("found"))).otherwise(F.struct(none.alias("base"), none.alias("found")))
     rows = words.withColumn("_f", both).select("doc_id", "n_words", "_f.base", "_f.found")
-    within = lambda d, e: (e["first"] <= d["first"]) & (e["last"] >= d["last"]) & (e["priority"] >= d["priority"]) & ((e["last"] - e["first"] > d["last"] - d["first"]) | (e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (e["label"] < d["label"])))
-    rows = rows.withColumn("detections", F.filter("found", lambda d: ~F.exists(F.col("found"), lambda e: within(d, e))))
+    rows = rows.withColumn("detections", surviving(F.col("found"), sorted({r[3] for r in table})))
     best = F.coalesce(F.array_max(F.transform(F.concat("detections", "base"), lambda d: d["priority"])), F.lit(0)) / top
     return rows.select("doc_id", "n_words", "base", "detections", best.cast("double").alias("score"))
