@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PIECE_BYTES = 2 << 20
 
@@ -72,7 +73,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(lo)
 
 
-def per_piece(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
+def per_piece(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, column: str = "text") -> DataFrame:
     """`work` on each piece of the table, inside Spark's tasks; the columns follow `schema`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -279,9 +279,9 @@ def covered(ranges: list[tuple[int, int]], length: int, n: int) -> np.ndarray:
 
 
 def marked(docs: DataFrame, rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """docs with whole and spans (its ranges), null where there is none; extra columns `_whole`, `_spans`."""
-    gathered = ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    info = rows.join(gathered, ["doc_id", "th"], "left").where("whole or _spans is not null").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("whole").alias("_whole"), "_spans")
-    hashed = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    keyed = docs.withColumn("_key", hashed)
-    return keyed.join(info, (keyed["doc_id"].cast("long") == info["_id"]) & (keyed["_key"] == info["_th"]), "left").drop("_id", "_th", "_key")
+    """row (a struct of docs' columns but text), text, whole and spans (its ranges; both null where there is none)."""
+    gathered = ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    info = rows.join(gathered, ["doc_id", "th"], "left").where("whole or spans is not null").select(F.col("doc_id").alias("id"), "th", "whole", "spans")
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns if c != "text"))
+    keyed = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("own_id")).withColumn("own_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(info, (F.col("own_id") == F.col("id")) & (F.col("own_th") == F.col("th")), "left").select("row", "text", "whole", "spans")

@@ -18,8 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import passages
 from .common import per_piece
@@ -134,20 +135,19 @@ def _match(batches: Iterator[pa.RecordBatch], search: passages.Search) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "th", "lo", "hi"])
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, most: int = MOST) -> DataFrame:
-    """docs with n_words, n_removed, spans (removed words, [from, to)), kept (the rest, one space between).
+NEW = ["n_words", "n_removed", "spans", "kept"]
 
-    The columns of docs stay; those of the same names are replaced.
-    """
+
+def _cut(docs: DataFrame, length: int, grams: tuple[int, ...], most: int) -> DataFrame:
+    """row (a struct of docs' columns but text), text, n_words, n_removed, spans (removed words, [from, to)) and kept (the rest, one space between)."""
     search = passages.Search(passages.words, length, grams, b" ", False, most)
     rows, ranges = passages.repeated(docs.select("doc_id", "text"), search, _match, True)
-    new = ["n_words", "n_removed", "spans", "kept"]
-    docs = docs.drop(*new)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_words long, n_removed long, spans array<struct<from:long,to:long>>, kept string"
+    own = passages.marked(docs, rows, ranges)
+    schema = StructType([own.schema["row"], *StructType.fromDDL("text string, n_words long, n_removed long, spans array<struct<from:long,to:long>>, kept string").fields])
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, list, list, list] = ([], [], [], [])
-        for text, whole, spans in zip(piece.column("text").cast(pa.binary()).to_pylist(), piece.column("_whole").to_pylist(), piece.column("_spans").to_pylist(), strict=True):
+        for text, whole, spans in zip(piece.column("text").cast(pa.binary()).to_pylist(), piece.column("whole").to_pylist(), piece.column("spans").to_pylist(), strict=True):
             words = (text or b"").split()
             gone: list[dict] = []
             n = len(words)
@@ -161,10 +161,21 @@ def dedup(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS,
             for o, v in zip(out, (n, n - len(words), gone, b" ".join(words).decode(errors="replace")), strict=True):
                 o.append(v)
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])), pa.string())
-        keep = [c for c in piece.schema.names if c not in ("_whole", "_spans")]
-        return pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], [*keep, *new])
+        return pa.RecordBatch.from_arrays([piece.column("row"), piece.column("text"), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], ["row", "text", *NEW])
+
+    return per_piece(own, work, schema)
 
-    return per_piece(passages.marked(docs, rows, ranges), work, schema)
+
+def _again(cut: DataFrame, docs: DataFrame, names: list[str], changed: dict[str, Column]) -> list[Column]:
+    """The named columns of docs from what _cut() made of it, some of them changed."""
+    same = {"text": F.col("text").cast(docs.schema["text"].dataType)} | changed
+    return [same.get(c, F.col("row").getField(c)).alias(c) for c in names]
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, most: int = MOST) -> DataFrame:
+    """docs with n_words, n_removed, spans and kept; the columns of docs stay, those of these names are replaced."""
+    cut = _cut(docs, length, grams, most)
+    return cut.select(*_again(cut, docs, [c for c in docs.columns if c not in NEW], {}), *NEW)
 
 
 def against(docs: DataFrame, reference: DataFrame, length: int = LENGTH, most_words: int = MAX_REFERENCE_WORDS) -> DataFrame:
@@ -189,8 +200,8 @@ def against(docs: DataFrame, reference: DataFrame, length: int = LENGTH, most_wo
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of docs with repeated passages taken out of their texts; untouched texts stay as they are."""
-    cut = dedup(docs, length)
+    """The rows of docs, whatever their columns, with repeated passages taken out of their texts; untouched texts stay as they are."""
+    cut = _cut(docs, length, GRAMS, MOST)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
-    return cut.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+    new = {"text": text.cast(docs.schema["text"].dataType), "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
+    return cut.select(*_again(cut, docs, docs.columns, new))

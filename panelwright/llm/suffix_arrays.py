@@ -251,7 +251,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS,
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, list, list, list] = ([], [], [], [])
-        for text, whole, spans in zip(piece.column("text").to_pylist(), piece.column("_whole").to_pylist(), piece.column("_spans").to_pylist(), strict=True):
+        for text, whole, spans in zip(piece.column("text").to_pylist(), piece.column("whole").to_pylist(), piece.column("spans").to_pylist(), strict=True):
             raw = text or b""
             gone: list[dict] = []
             n = len(raw)
@@ -268,5 +268,5 @@ def dedup(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS,
         return pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = passages.marked(plain, rows, ranges).withColumn("text", F.col("text").cast("binary"))
+    marked = passages.marked(plain, rows, ranges).select("row.doc_id", F.col("text").cast("binary").alias("text"), "whole", "spans")
     return per_piece(marked, work, "doc_id long, n_bytes long, n_removed long, spans array<struct<from:long,to:long>>, kept binary")

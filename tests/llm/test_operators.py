@@ -439,3 +439,47 @@ def test_chat_keeps_every_turn(spark):
 def test_chat_query_keeps_every_turn(spark):
     turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     assert queries.op5_chat_formatting(spark, "/root/testdata/sf0.01").count() == turns.count()
+
+
+def test_suppression_against_brute_force(spark):
+    rng, levels = np.random.default_rng(3), [10, 20, 25, 40]
+    rows = []
+    for size in (0, 1, 2, 3, 10, 60, 200):
+        first = rng.integers(0, 40, size)
+        rows.append([(f"l{rng.integers(0, 4)}", int(f), int(f + rng.integers(0, 9)), int(rng.choice(levels))) for f in first])
+    found = spark.createDataFrame(list(enumerate(rows)), "i int, found array<struct<label:string,first:long,last:long,priority:int>>")
+    for r in found.select("found", licenses.surviving(F.col("found"), levels).alias("kept")).collect():
+        own = {tuple(d) for d in r.found}
+        over = lambda d, e: e != d and e[1] <= d[1] and e[2] >= d[2] and e[3] >= d[3] and (e[2] - e[1] > d[2] - d[1] or e[3] > d[3] or e[0] < d[0])
+        assert sorted(tuple(d) for d in r.kept) == sorted(d for d in own if not any(over(d, e) for e in own))
+
+
+def test_licenses_of_a_text_with_100000_detections(spark):
+    text = "cc by 4 0 zlib license " * 50_000
+    row = licenses.scan(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).select("n_words", F.size("detections").alias("n"), "score").collect()
+    assert [(r.n_words, r.n) for r in row] == [(300_000, 100_000)] * 2
+
+
+CLASHES = ["_key", "_id", "_th", "_whole", "_spans", "_size", "_nth", "_c", "_row", "_order", "row", "whole", "spans", "kept", "n_words", "size", "nth", "p_size", "own_id", "th", "id", "a.b", "taken", "copies", "sid", "rest"]
+
+
+def test_clashing_columns(spark, docs):
+    """Columns of any name and type come through each operator of the pipeline as they were."""
+    extra = {c: (F.col("doc_id") * 10 + i) for i, c in enumerate(CLASHES)}
+    wide = docs.select("doc_id", "text", "lang", "source", "n_chars", *(v.alias(c) for c, v in extra.items()), F.create_map(F.lit("k"), F.col("doc_id")).alias("m"))
+    for name, result in (("near", jaccard.representatives(wide)), ("cut", substrings.deduplicated(wide)), ("mix", mixing.mixed_documents(wide))):
+        assert result.columns == wide.columns and result.dtypes == wide.dtypes, name
+        rows = result.collect()
+        assert rows, name
+        for r in rows:
+            if r.doc_id is not None:
+                assert [r[c] for c in CLASHES] == [r.doc_id * 10 + i for i in range(len(CLASHES))] and r.m == {"k": r.doc_id}, name
+
+
+def test_mixing_points_and_many_sources(spark):
+    far = spark.range(2**33, 2**33 + 4).select(mixing.point(F.col("id")).alias("u")).distinct()
+    assert far.count() == 4
+    assert [r.u for r in spark.range(4).select(mixing.point(F.col("id")).alias("u")).orderBy("id").collect()] == [0, 0.5, 0.25, 0.75]
+    many = spark.range(100_000).select("id", F.concat(F.lit("s"), F.col("id")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 5 + 1).cast("int")).alias("text")).union(spark.range(200).select("id", F.lit("huge"), F.repeat(F.lit("w "), F.lit(2000)))).withColumnRenamed("id", "doc_id")
+    rows = mixing.mix(many).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+    assert rows.count() == 100_001 and rows.where("abs(taken - target) > 0.5000001").count() == 0
