@@ -129,7 +129,8 @@ def lots(shares: Column) -> Column:
 
 
 def affordable(cash: Column, price: Column, commission: float = 0.0003, least: float = 5.0) -> Column:
-    """The largest number of shares, in lots, whose amount and fee fit the cash."""
+    """The largest number of shares, in lots, whose amount and fee fit the cash; none at a price of 0."""
+    price = F.nullif(price, F.lit(0.0))
     by_rate = F.floor(cash / (LOT * price * (1 + commission)))
     by_least = F.floor((cash - least) / (LOT * price))
     return (F.greatest(F.lit(0), F.least(by_rate, by_least)) * LOT).cast("long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -29,26 +30,49 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, right_time
     return both.where("_side = 1").select(*left.columns, *(F.col(f"_m.{c}").alias(c) for c in cols))
 
 
-def affine_scan(df: DataFrame, by: str, order: str, steps: dict[str, Column], k: float) -> DataFrame:
+def affine_scan(df: DataFrame, by: str | list[str], order: str, steps: dict[str, Column], k: float | str, most: float | None = None) -> DataFrame:
     """For each column y of `steps` and its b: y = k * previous y + b along each key, from the first row; b is never null and 0 < k < 1.
 
     In blocks of 64 rows y is k^i * sum(b_j * k^-j); what a block inherits is a short sum over the ends of
-    the blocks before it, back to where k^(64 n) vanishes.
+    the blocks before it, back to where k^(64 n) vanishes.  k may be a column that is one value in each key, at most `most`.
     """
-    block = 64
-    numbered = df.withColumns({f"_b_{c}": b for c, b in steps.items()}).withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(order)) - 1)
+    block, keys = 64, [by] if isinstance(by, str) else by
+    factor, top = (F.lit(k), k) if isinstance(k, float) else (F.col(k), most)
+    numbered = df.withColumns({f"_b_{c}": b for c, b in steps.items()}).withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1)
     numbered = numbered.withColumn("_block", F.floor(F.col("_n") / block)).withColumn("_i", F.col("_n") % block)
-    inside = W.partitionBy(by, "_block").orderBy("_i")
-    partial = numbered.withColumns({f"_y_{c}": F.pow(F.lit(k), F.col("_i")) * F.sum(F.col(f"_b_{c}") * F.pow(F.lit(k), -F.col("_i"))).over(inside) for c in steps})
-    reach = max(1, math.ceil(math.log(1e-18) / (block * math.log(k))))
-    ends = partial.where(F.col("_i") == block - 1).select(F.col(by).alias("_by"), (F.col("_block") + 1).alias("_at"), *(F.col(f"_y_{c}").alias(f"_end_{c}") for c in steps))
-    w = W.partitionBy("_by").orderBy("_at").rowsBetween(-reach + 1, 0)
-    carry = ends.select("_by", "_at", *(F.aggregate(F.collect_list(f"_end_{c}").over(w), F.lit(0.0), lambda a, x: a * (k**block) + x).alias(f"_c_{c}") for c in steps))
-    joined = partial.join(carry, (F.col(by) == F.col("_by")) & (F.col("_block") == F.col("_at")), "left").drop("_by", "_at")
-    joined = joined.withColumns({c: F.col(f"_y_{c}") + F.coalesce(F.col(f"_c_{c}"), F.lit(0.0)) * F.pow(F.lit(k), F.col("_i") + 1) for c in steps})
+    inside = W.partitionBy(*keys, "_block").orderBy("_i")
+    partial = numbered.withColumns({f"_y_{c}": F.pow(factor, F.col("_i")) * F.sum(F.col(f"_b_{c}") * F.pow(factor, -F.col("_i"))).over(inside) for c in steps})
+    reach = max(1, math.ceil(math.log(1e-18) / (block * math.log(top))))
+    ends = partial.where(F.col("_i") == block - 1).select(*(F.col(c).alias(f"_by_{c}") for c in keys), (F.col("_block") + 1).alias("_at"), F.pow(factor, F.lit(block)).alias("_whole"), *(F.col(f"_y_{c}").alias(f"_end_{c}") for c in steps))
+    w = W.partitionBy(*(f"_by_{c}" for c in keys)).orderBy("_at").rowsBetween(-reach + 1, 0)
+    carry = ends.select(*ends.columns[: len(keys) + 2], *(F.collect_list(f"_end_{c}").over(w).alias(f"_ends_{c}") for c in steps))
+    carry = carry.select(*ends.columns[: len(keys) + 1], *(F.aggregate(f"_ends_{c}", F.lit(0.0), lambda a, x: a * F.col("_whole") + x).alias(f"_c_{c}") for c in steps))
+    same = F.col("_block") == F.col("_at")
+    for c in keys:
+        same &= F.col(c) == F.col(f"_by_{c}")
+    joined = partial.join(carry, same, "left").drop(*(f"_by_{c}" for c in keys), "_at")
+    joined = joined.withColumns({c: F.col(f"_y_{c}") + F.coalesce(F.col(f"_c_{c}"), F.lit(0.0)) * F.pow(factor, F.col("_i") + 1) for c in steps})
     return joined.select(*df.columns, *steps)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def scanned(steps: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The array of states (of the SQL type `kind`) after each of an array's steps, from `start`, by step(state, step).
+
+    An aggregate that appends copies what it has so far, so it goes through parts of the square root's length.
+    """
+    cut = lambda a: _let(F.ceil(F.sqrt(F.size(a))).cast("int"), lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / c).cast("int")), lambda k: F.slice(a, k * c + 1, c)))
+    empty = lambda of: F.array().cast(f"array<{of}>").alias("out")
+    one = lambda s, x: _let(step(s["now"], x), lambda y: F.struct(y.alias("now"), F.array_append(s["out"], y).alias("out")))
+    part = lambda s, p: _let(F.aggregate(p, F.struct(s["now"].alias("now"), empty(kind)), one), lambda y: F.struct(y["now"].alias("now"), F.array_append(s["out"], y["out"]).alias("out")))
+    whole = F.flatten(F.aggregate(_let(steps, cut), F.struct(start.cast(kind).alias("now"), empty(f"array<{kind}>")), part, lambda s: s["out"]))
+    return F.when(F.size(steps) > 0, whole).otherwise(F.array().cast(f"array<{kind}>"))
+
+
 def running_product(ratio: Column, w) -> Column:
     """The product of positive ratios over a window; null counts as 1."""
     return F.exp(F.sum(F.coalesce(F.ln(ratio), F.lit(0.0))).over(w))

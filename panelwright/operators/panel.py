@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,8 +51,9 @@ def align(bars: DataFrame, calendar: DataFrame, start: str | None = None, end: s
     missing = F.col("close").isNull()
     source = F.coalesce("source", F.lit("feed")) if "source" in bars.columns else F.lit("feed")
     w = W.partitionBy("code").orderBy("date")
-    before, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    name = [F.coalesce(F.last("name", ignorenulls=True).over(before), F.first("name", ignorenulls=True).over(after)).alias("name")] if "name" in bars.columns else []
+    back = W.partitionBy("code").orderBy(F.desc("date"))
+    filled = [F.last("name", ignorenulls=True).over(x.rowsBetween(W.unboundedPreceding, 0)) for x in (w, back)]
+    name = [F.coalesce(*filled).alias("name")] if "name" in bars.columns else []
     return rows.select("code", "date", *name, *PRICES, "volume", "amount", (missing | F.coalesce("is_suspended", F.lit(False))).alias("is_suspended"), F.when(missing, "aligned").otherwise(source).alias("source"))
 
 
@@ -174,15 +175,47 @@ def schema_findings(df: DataFrame, expected: dict[str, str]) -> list[tuple[str,
     return [(c, "missing" if c not in have else f"{have[c]} instead of {t}") for c, t in expected.items() if have.get(c) != t]
 
 
-def wide(bars: DataFrame, codes: list[str], field: str = "close") -> DataFrame:
-    """One column for each listed code on a common date index; of rows that repeat a key one counts."""
-    return bars.groupBy("date").pivot("code", codes).agg(F.max(field))
+def _last(field: str, bars: DataFrame, seq: str) -> Column:
+    """A field's value in the row that arrived last; without an arrival column keys don't repeat, or their largest value counts."""
+    return F.max_by(field, seq) if seq in bars.columns else F.max(field)
 
 
-def panel(bars: DataFrame, field: str = "close") -> DataFrame:
-    """(date, values): for each date a map from every code with a row to its value; a map, since a market's codes are too many for columns."""
-    one = bars.groupBy("date", "code").agg(F.max(field).alias("v"))
-    return one.groupBy("date").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("code", "v")))).alias("values"))
+def _index(bars: DataFrame, calendar: DataFrame | None) -> DataFrame:
+    """The common dates: the calendar's from the first to the last bar, or all that have a bar."""
+    if calendar is None:
+        return bars.select("date").distinct()
+    ends = bars.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))  # one row
+    return calendar.select("date").distinct().join(ends, F.col("date").between(F.col("_lo"), F.col("_hi"))).select("date")
+
+
+def wide(bars: DataFrame, codes: list[str], field: str = "close", calendar: DataFrame | None = None, seq: str = "ingest_seq") -> DataFrame:
+    """One column for each listed code on a common date index, nothing filled; of rows that repeat a key the last to arrive counts."""
+    return _index(bars, calendar).join(bars.groupBy("date").pivot("code", codes).agg(_last(field, bars, seq)), "date", "left")
+
+
+def code_places(codes: DataFrame, block: int = 256) -> DataFrame:
+    """(code, block, place): all codes in order, dealt to blocks of fixed size; one row a code, so the window has one task."""
+    at = F.row_number().over(W.orderBy("code")) - 1
+    return codes.select("code").where("code is not null").distinct().select("code", F.floor(at / block).cast("int").alias("block"), (at % block).cast("int").alias("place"))
+
+
+def matrix(bars: DataFrame, places: DataFrame, field: str = "close", calendar: DataFrame | None = None, seq: str = "ingest_seq") -> DataFrame:
+    """(date, block, values): for each date of the index and block of code_places() an array with each place's value, null where there is none.
+
+    However many codes a market has, a row holds one block of them.
+    """
+    one = bars.groupBy("date", "code").agg(_last(field, bars, seq).alias("v")).join(places, "code")
+    rows = one.groupBy("date", "block").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("m"))
+    sizes = places.groupBy("block").agg(F.max("place").alias("last"))
+    grid = _index(bars, calendar).crossJoin(sizes)  # the result's own rows: days and blocks
+    value = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.try_element_at("m", i))
+    return grid.join(rows, ["date", "block"], "left").select("date", "block", value.alias("values"))
+
+
+def unpacked(blocks: DataFrame, places: DataFrame) -> DataFrame:
+    """(date, code, value) of every cell of matrix()."""
+    cells = blocks.select("date", "block", F.posexplode("values").alias("place", "value"))
+    return cells.join(places, ["block", "place"]).select("date", "code", "value")
 
 
 def minute_schema(raw: DataFrame, source: str) -> DataFrame:

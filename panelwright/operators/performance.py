@@ -27,7 +27,7 @@ def drawdown(equity: DataFrame, key: list[str], limit: float | None = None) -> D
 
 
 def day_stop(equity: DataFrame, key: list[str], limit: float) -> DataFrame:
-    change = F.col("equity") / F.lag("equity").over(_by(key)) - 1
+    change = F.col("equity") / F.nullif(F.lag("equity").over(_by(key)), F.lit(0.0)) - 1
     return equity.withColumn("change", change).withColumn("stopped", F.coalesce(F.col("change") <= -limit + 1e-9, F.lit(False)))
 
 
@@ -49,7 +49,8 @@ def clip(orders: DataFrame, held: DataFrame, industries: DataFrame, total: float
 
 
 def returns(equity: DataFrame, key: list[str]) -> DataFrame:
-    return equity.withColumn("ret", F.col("equity") / F.lag("equity").over(_by(key)) - 1)
+    """Each row's change over the one before; null at the first row and after an equity of 0."""
+    return equity.withColumn("ret", F.col("equity") / F.nullif(F.lag("equity").over(_by(key)), F.lit(0.0)) - 1)
 
 
 def summary(equity: DataFrame, key: list[str], risk_free: float = 0.0, year: float | str = YEAR) -> DataFrame:
@@ -61,7 +62,7 @@ def summary(equity: DataFrame, key: list[str], risk_free: float = 0.0, year: flo
     often = F.rint(year)
     rows = drawdown(returns(equity, key), key)
     agg = rows.groupBy(*key).agg(
-        (F.max_by("equity", "date") / F.min_by("equity", "date")).alias("growth"), F.count("*").alias("n"),
+        (F.max_by("equity", "date") / F.nullif(F.min_by("equity", "date"), F.lit(0.0))).alias("growth"), F.count("*").alias("n"),
         F.avg("ret").alias("_r"), F.stddev_samp("ret").alias("_s"), F.min("drawdown").alias("max_drawdown"), year.alias("_year"), often.alias("_often"),
     )
     annual = F.when(F.col("growth") <= 0, -1.0).when(F.col("n") > 1, F.pow("growth", F.col("_year") / (F.col("n") - 1)) - 1).otherwise(0.0)
@@ -77,17 +78,28 @@ def trade_statistics(trades: DataFrame, key: list[str]) -> DataFrame:
 
 
 def against(equity: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row: annual returns of both, alpha and beta; the benchmark is filled forward onto the equity's days.
+    """One row: annual_return, benchmark_return (total), benchmark_annual, alpha and beta.
 
+    The equity's annual return is that of its whole curve.  The benchmark is filled forward onto the equity's
+    days and measured over those it reaches, by its own length; beta is over the days on which both have a
+    return.  A benchmark of fewer than two rows, given or reached, has zeros, and beta is 0 where it never moves.
     Both series hold one row a day, so their windows have one task.
     """
-    w = W.orderBy("date").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = equity.select("date", "equity").join(benchmark.select("date", F.col("equity").alias("b")), "date", "left").withColumn("b", F.last("b", ignorenulls=True).over(w)).where("b is not null")
+    whole = summary(equity.select(F.lit(1).alias("id"), "date", "equity"), ["id"]).select("annual_return")
     o = W.orderBy("date")
-    r = rows.select("date", "equity", "b", (F.col("equity") / F.lag("equity").over(o) - 1).alias("x"), (F.col("b") / F.lag("b").over(o) - 1).alias("y"))
-    annual = lambda c: F.pow(F.max_by(c, "date") / F.min_by(c, "date"), YEAR / (F.count("*") - 1)) - 1
-    out = r.agg(annual("equity").alias("annual_return"), annual("b").alias("benchmark_return"), (F.covar_samp("x", "y") / F.var_samp("y")).alias("beta"))
-    return out.select("annual_return", "benchmark_return", (F.col("annual_return") - F.col("benchmark_return")).alias("alpha"), "beta")
+    given = benchmark.agg(F.count("*").alias("given"))
+    rows = equity.select("date", "equity").join(benchmark.select("date", F.col("equity").alias("b")), "date", "left").withColumn("b", F.last("b", ignorenulls=True).over(o.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    change = lambda c: F.col(c) / F.nullif(F.lag(c).over(o), F.lit(0.0)) - 1
+    r = rows.select("date", "b", change("equity").alias("x"), change("b").alias("y"))
+    held = F.col("b").isNotNull()
+    total = F.max_by("b", F.when(held, F.col("date"))) / F.nullif(F.min_by("b", F.when(held, F.col("date"))), F.lit(0.0)) - 1
+    y = F.when(F.col("x").isNotNull(), F.col("y"))
+    own = r.agg(F.count("b").alias("n"), total.alias("total"), F.covar_samp("x", "y").alias("cov"), F.var_samp(y).alias("var"))
+    some = (F.col("n") >= 2) & (F.col("given") >= 2)
+    zero = lambda c: F.coalesce(F.when(some, c), F.lit(0.0))
+    annual = F.when(F.col("total") <= -1, -1.0).otherwise(F.pow(1 + F.col("total"), F.lit(float(YEAR)) / F.greatest(F.lit(1), F.col("n") - 1)) - 1)
+    out = own.crossJoin(given).crossJoin(whole)  # one row each
+    return out.select("annual_return", zero(F.col("total")).alias("benchmark_return"), zero(annual).alias("benchmark_annual"), zero(F.col("annual_return") - annual).alias("alpha"), zero(F.when(F.col("var") > 0, F.col("cov") / F.col("var"))).alias("beta"))
 
 
 def bars_per_year(stamps: DataFrame) -> DataFrame:
@@ -107,6 +119,12 @@ def intraday_summary(equity: DataFrame, key: list[str]) -> DataFrame:
     return summary(rows, key, year="bars_per_year")
 
 
+def intraday_result(equity: DataFrame, trades: DataFrame, key: list[str]) -> DataFrame:
+    """intraday_summary() with trade_statistics() of the run's trades; zeros without a trade."""
+    rows = intraday_summary(equity, key).join(trade_statistics(trades, key), key, "left")
+    return rows.withColumns({"n_trades": F.coalesce("n_trades", F.lit(0)).cast("long")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("win_rate", "profit_loss", "mean_days")})
+
+
 def folds(calendar: DataFrame, n: int) -> DataFrame:
     """(fold, train_start, train_end, test_start, test_end): growing training spans, equal tests, the last takes the rest."""
     days = calendar.select("date").distinct().select("date", (F.row_number().over(W.orderBy("date")) - 1).alias("i"), F.count("*").over(W.partitionBy()).alias("total"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 from pyspark.sql import functions as F
 
 from . import technical
+from .custom import Bar
 
 def _by() -> WindowSpec:
     return W.partitionBy("code").orderBy("date")
@@ -24,6 +25,18 @@ def ma_rsi(bars: DataFrame, fast: int = 10, slow: int = 30, rsi_period: int = 14
     return m.select("code", "date", F.when(sell, -1).when(buy, 1).otherwise(0).alias("signal"))
 
 
+def ma_rsi_rule(bar: Bar) -> Column:
+    """ma_rsi() for any parameters fast, slow, rsi_period and upper."""
+    fast, slow, was_fast, was_slow = (bar.mean(n, back=back) for back in (0, 1) for n in ("fast", "slow"))
+    strength, upper = bar.strength("rsi_period"), bar.parameter("upper")
+    return bar.signal((fast > slow) & (was_fast < was_slow) & (strength < upper), F.coalesce((fast < slow) & (was_fast > was_slow), F.lit(False)) | F.coalesce(strength > upper, F.lit(False)))
+
+
+def close_vs_means_rule(bar: Bar) -> Column:
+    """close_vs_means() for any parameters fast and slow."""
+    return bar.signal(bar.value() > bar.mean("fast"), bar.value() < bar.mean("slow"))
+
+
 def close_vs_means(bars: DataFrame, fast: int = 10, slow: int = 30, keep: tuple[str, ...] = ()) -> DataFrame:
     """Buy above the fast mean; selling below the slow one overrides.  Columns of bars named in `keep` stay."""
     mean = lambda n: F.when(F.count("close").over(_by().rowsBetween(-n + 1, 0)) == n, F.avg("close").over(_by().rowsBetween(-n + 1, 0)))
@@ -36,10 +49,14 @@ def invalid(signals: DataFrame) -> DataFrame:
     return signals.where(~F.coalesce("signal", F.lit(0)).isin(-1, 0, 1))
 
 
+def skeleton(days: DataFrame, codes: DataFrame) -> DataFrame:
+    """(code, date, signal): hold on every day and code; the result itself is their product."""
+    return days.select("date").distinct().crossJoin(codes.select("code").distinct()).select("code", "date", F.lit(0).alias("signal"))
+
+
 def align(signals: DataFrame, days: DataFrame, codes: DataFrame) -> DataFrame:
     """Signals on every (day, code), hold where there is none; others go."""
-    grid = days.select("date").distinct().crossJoin(codes.select("code").distinct())  # the result itself is every day and code
-    return grid.join(signals.select("code", "date", "signal"), ["code", "date"], "left").select("code", "date", F.coalesce("signal", F.lit(0)).alias("signal"))
+    return skeleton(days, codes).drop("signal").join(signals.select("code", "date", "signal"), ["code", "date"], "left").select("code", "date", F.coalesce("signal", F.lit(0)).alias("signal"))
 
 
 def executable(aligned: DataFrame) -> DataFrame:

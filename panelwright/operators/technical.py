@@ -51,6 +51,16 @@ def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
     return bars.select("code", "date").join(both.select("code", "date", value.alias("value")), ["code", "date"], "left")
 
 
+def rsi_of(bars: DataFrame, periods: list[int]) -> DataFrame:
+    """(code, date, period, value): rsi() of several periods as rows, in one scan whose factor is a column."""
+    change = F.col("close") - F.lag("close").over(_by())
+    used = bars.select("code", "date", change.alias("_c")).where("_c is not null").withColumn("_k", F.row_number().over(_by()))
+    rows = used.select("*", F.explode(F.array(*(F.lit(int(n)) for n in sorted(periods)))).alias("period")).withColumn("_f", 1 - 1 / F.col("period"))
+    both = affine_scan(rows, ["code", "period"], "date", {"_up": F.greatest("_c", F.lit(0.0)), "_down": F.greatest(-F.col("_c"), F.lit(0.0))}, "_f", 1 - 1 / max(periods))
+    value = F.when((F.col("_k") >= F.col("period")) & (F.col("_up") + F.col("_down") > 0), 100 * F.col("_up") / (F.col("_up") + F.col("_down")))
+    return both.select("code", "date", "period", value.alias("value"))
+
+
 def atr(bars: DataFrame, period: int = 14) -> DataFrame:
     pc = F.lag("close").over(_by())
     true_range = F.when(pc.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(pc - F.col("low"))))

@@ -6,14 +6,13 @@ independent and windows by code suffice; the portfolio is the sum of its sleeves
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import affordable, fee, fill_price, locked, lots, tradable, volume_cap
+from .asof import scanned
 from .panel import shift_days
 
 def _by() -> WindowSpec:
@@ -90,26 +89,34 @@ def sleeve_trades(held: DataFrame, budget: float, key: tuple[str, ...] = ("code"
     return sized.withColumns({"cost": spent, "pnl": got - spent, "days": F.datediff("exit_date", "entry_date")}).withColumn("pnl_pct", F.col("pnl") / F.col("cost"))
 
 
+CHUNK = 256
+
+
 def ledger(fills: DataFrame, fee_rate: float = 0.0) -> DataFrame:
     """fills (code, seq, side, shares, price) with held, average cost and realised profit after each.
 
-    Cost follows C = m * C + b with m = 1 - sold / held within an episode, a running product and sum.
+    The cost follows C = m * C + b with m = 1 - sold / held (0 when all is sold) and b = what a purchase costs.
+    A code's fills go in chunks: what a chunk does to any cost is one such step, so the cost with which each
+    chunk begins is folded from the chunks before it, and within a chunk from fill to fill.
     """
     w = W.partitionBy("code").orderBy("seq")
-    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = fills.withColumn("held", F.sum(F.col("side") * F.col("shares")).over(upto))
+    rows = fills.select("code", "seq", F.struct(*(fills[f"`{c}`"] for c in fills.columns)).alias("_fill"), "side", "shares", "price", F.sum(F.col("side") * F.col("shares")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("held"), (F.row_number().over(w) - 1).alias("_n"))
     before = F.col("held") - F.col("side") * F.col("shares")
-    rows = rows.withColumn("_before", before).withColumn("episode", F.count_if((F.col("_before") == 0)).over(upto))
-    m = F.when(F.col("side") < 0, 1 - F.col("shares") / F.col("_before")).otherwise(F.lit(1.0))
-    rows = rows.withColumn("_m", m)
-    e = W.partitionBy("code", "episode").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("_p", F.exp(F.sum(F.ln(F.when(F.col("_m") > 0, F.col("_m")).otherwise(1.0))).over(e)))
-    b = F.when(F.col("side") > 0, F.col("shares") * F.col("price") * (1 + fee_rate)).otherwise(0.0)
-    rows = rows.withColumn("_c", F.sum(b / F.col("_p")).over(e) * F.col("_p"))
+    keep = F.when(F.col("side") > 0, 1.0).otherwise(F.coalesce(1 - F.col("shares") / F.nullif(before, F.lit(0)), F.lit(0.0)))
+    spent = F.when(F.col("side") > 0, F.col("shares") * F.col("price") * (1 + fee_rate)).otherwise(0.0)
+    steps = rows.select("code", F.floor(F.col("_n") / CHUNK).alias("chunk"), F.struct("_n", "held", before.alias("before"), keep.cast("double").alias("m"), spent.cast("double").alias("b"), "_fill").alias("x"))
+    chunks = steps.groupBy("code", "chunk").agg(F.array_sort(F.collect_list("x"), lambda p, q: (p["_n"] - q["_n"]).cast("int")).alias("xs"))
+    whole = F.aggregate("xs", F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("b")), lambda s, x: F.struct((s["m"] * x["m"]).alias("m"), (s["b"] * x["m"] + x["b"]).alias("b")))
+    earlier = F.collect_list("whole").over(W.partitionBy("code").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
+    begun = chunks.withColumn("whole", whole).withColumn("earlier", earlier)
+    start = F.aggregate("earlier", F.lit(0.0), lambda c, x: c * x["m"] + x["b"])
+    costs = begun.select("code", "xs", start.alias("start")).withColumn("costs", scanned(F.col("xs"), F.col("start"), lambda c, x: c * x["m"] + x["b"], "double"))
+    each = costs.select("xs", "costs", F.concat(F.array("start"), "costs").alias("prior"))
+    cells = each.select(F.explode(F.arrays_zip("xs", "costs", F.slice("prior", F.lit(1), F.size("costs")).alias("prior"))).alias("z")).select("z.xs.*", F.col("z.costs").alias("_c"), F.col("z.prior").alias("_prior"))
+    f = lambda c: F.col("_fill").getField(c)
     cost = F.when(F.col("held") > 0, F.col("_c")).otherwise(0.0)
-    prior = F.coalesce(F.lag("_c").over(W.partitionBy("code", "episode").orderBy("seq")), F.lit(0.0))
-    realised = F.when(F.col("side") < 0, F.col("shares") * F.col("price") - prior * F.col("shares") / F.col("_before")).otherwise(0.0)
-    return rows.withColumns({"cost": cost, "realised": realised, "average": F.when(F.col("held") > 0, cost / F.col("held"))}).drop("_before", "_m", "_p", "_c")
+    realised = F.when(f("side") < 0, f("shares") * f("price") - F.coalesce(F.col("_prior") * f("shares") / F.nullif(F.col("before"), F.lit(0)), F.lit(0.0))).otherwise(0.0)
+    return cells.select(*(f(c).alias(c) for c in fills.columns), "held", cost.alias("cost"), realised.alias("realised"), F.when(F.col("held") > 0, cost / F.col("held")).alias("average"))
 
 
 def sellable(fills: DataFrame) -> DataFrame:
@@ -160,14 +167,9 @@ def apply_splits(held: DataFrame, ratios: DataFrame) -> DataFrame:
     rows = held.select("code", "date", net.cast("long").alias("net")).join(ratios.select("code", "date", "ratio"), ["code", "date"], "left")
     steps = rows.where("net <> 0 or ratio > 1").select("code", "date", "net", F.coalesce("ratio", F.lit(1.0)).alias("ratio"))
 
-    def walk(days: pd.DataFrame) -> pd.DataFrame:
-        days, shares, out = days.sort_values("date"), 0, []
-        for net, ratio in zip(days["net"], days["ratio"], strict=True):
-            shares = int(np.floor(shares * max(ratio, 1.0) + 1e-9)) + int(net)
-            out.append(shares)
-        return days[["code", "date"]].assign(shares=out)
-
-    after = steps.groupBy("code").applyInPandas(walk, "code string, date date, shares long")
+    each = steps.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("date", "net", "ratio"))).alias("xs"))
+    left = scanned(F.col("xs"), F.lit(0), lambda shares, x: F.floor(shares * F.greatest(x["ratio"], F.lit(1.0)) + 1e-9).cast("bigint") + x["net"], "bigint")
+    after = each.select("code", F.explode(F.arrays_zip(F.col("xs.date").alias("date"), left.alias("shares"))).alias("z")).select("code", "z.date", "z.shares")
     days = held.select("code", "date").join(after, ["code", "date"], "left")
     return days.select("code", "date", F.coalesce(F.last("shares", ignorenulls=True).over(_upto()), F.lit(0)).cast("long").alias("shares"))
 
@@ -202,7 +204,7 @@ def force_close(held: DataFrame, bars: DataFrame, days: DataFrame) -> DataFrame:
 
 def order_size(value: Column, weight: float, price: Column) -> Column:
     """Shares, in lots, for a share of a portfolio's value; 0 below one lot."""
-    return lots(value * weight / price)
+    return F.coalesce(lots(value * weight / F.nullif(price, F.lit(0.0))), F.lit(0).cast("long"))
 
 
 def intents(held: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -303,9 +304,19 @@ def _(t: Views) -> DataFrame:
     return panel.align(rows, t("calendar"), "1995-03-01", "1995-09-30").select("code", "date", "close", "name")
 
 
-@query("cln7_wide", "select date, code, close as value from bars", "value")
+DAYS = "(select date from calendar where date between (select min(date) from bars) and (select max(date) from bars))"
+
+
+@query("cln7_wide", f"select d.date, c.code, l.close as value from {DAYS} d cross join (select distinct code from bars_dirty) c left join (select * from bars_dirty qualify row_number() over (partition by code, date order by ingest_seq desc) = 1) l using (code, date)", "value")
+def _(t: Views) -> DataFrame:
+    places = panel.code_places(t("bars_dirty"), 64)
+    return panel.unpacked(panel.matrix(t("bars_dirty"), places, calendar=t("calendar")), places)
+
+
+@query("cln7_columns", """select date, max(close) filter (code = '600005.SH') as a, max(close) filter (code = '000001.SZ') as b
+  from (select distinct date from bars_dirty) left join (select * from bars_dirty qualify row_number() over (partition by code, date order by ingest_seq desc) = 1) using (date) group by date""", "a b")
 def _(t: Views) -> DataFrame:
-    return panel.panel(t("bars")).select("date", F.explode("values").alias("code", "value"))
+    return panel.wide(t("bars_dirty"), ["600005.SH", "000001.SZ"]).toDF("date", "a", "b")
 
 
 @query("dq2_null_audit", f"select code, {', '.join(f'count(*) filter ({c} is null) as {c}_nulls' for c in P.split())} from ({CLEAN}) group by code")
@@ -734,7 +745,7 @@ LEDGER = """with recursive r(code, seq, held, cost, realised) as (
   select code, seq, held, case when held > 0 then cost else 0.0 end as cost, realised, case when held > 0 then cost / held end as average from r"""
 
 
-@query("pos4_ledger", LEDGER, "cost realised average", 4)
+@query("pos4_ledger", LEDGER, "cost realised average", 9)
 def _(t: Views) -> DataFrame:
     return trading.ledger(t("fills")).select("code", "seq", F.col("held").cast("long").alias("held"), "cost", "realised", "average")
 
@@ -784,10 +795,16 @@ def _(t: Views) -> DataFrame:
     return performance.summary(t("equity").withColumn("id", F.lit(1)), ["id"]).drop("id")
 
 
-@query("prf7_benchmark", """select a - b as alpha, a as annual_return, b as benchmark_return, beta from (select pow(max_by(equity, date) / min_by(equity, date), 252.0 / (count(*) - 1)) - 1 as a, pow(max_by(b, date) / min_by(b, date), 252.0 / (count(*) - 1)) - 1 as b, covar_samp(x, y) / var_samp(y) as beta from (
-  select *, equity / lag(equity) over (order by date) - 1 as x, b / lag(b) over (order by date) - 1 as y from (select * from (select e.date, e.equity, last_value(k.b ignore nulls) over (order by e.date) as b from equity e left join (select date, avg(close) as b from bars where day(date) % 2 = 0 group by date) k using (date)) where b is not null)))""", "alpha annual_return benchmark_return beta")
+@query("prf7_benchmark", """with k as (select date, avg(close) as b from bars where day(date) % 2 = 0 and date >= date '1995-01-10' group by date),
+  j as (select e.date, e.equity, k.b from equity e left join k using (date)),
+  r as (select date, equity, last_value(b ignore nulls) over (order by date) as b, equity / lag(equity) over (order by date) - 1 as x from j),
+  y as (select *, b / lag(b) over (order by date) - 1 as y from r),
+  s as (select pow(max_by(equity, date) / min_by(equity, date), 252.0 / (count(*) - 1)) - 1 as a from equity),
+  t as (select max_by(b, date) / min_by(b, date) - 1 as total, count(*) - 1 as n from y where b is not null),
+  v as (select covar_samp(x, y) / var_samp(y) as beta from y where x is not null and y is not null)
+  select a as annual_return, total as benchmark_return, pow(1 + total, 252.0 / n) - 1 as benchmark_annual, a - (pow(1 + total, 252.0 / n) - 1) as alpha, beta from s, t, v""", "alpha annual_return benchmark_return benchmark_annual beta")
 def _(t: Views) -> DataFrame:
-    index = t("bars").where("day(date) % 2 = 0").groupBy("date").agg(F.avg("close").alias("equity"))
+    index = t("bars").where("day(date) % 2 = 0 and date >= '1995-01-10'").groupBy("date").agg(F.avg("close").alias("equity"))
     return performance.against(t("equity"), index)
 
 
@@ -977,9 +994,10 @@ def _(t: Views) -> DataFrame:
     return pit.rename_history(t("renames")).withColumn("nth", F.col("nth").cast("long"))
 
 
-@query("tec9_panel", f"select date, code, case when n >= 20 then avg(close) over (partition by code order by date rows between 19 preceding and current row) end as value from ({NUM})", "value")
+@query("tec9_panel", f"select d.date, c.code, v.value from {DAYS} d cross join (select distinct code from bars) c left join (select date, code, case when n >= 20 then avg(close) over (partition by code order by date rows between 19 preceding and current row) end as value from ({NUM})) v using (code, date)", "value")
 def _(t: Views) -> DataFrame:
-    return panel.panel(technical.sma(t("bars")), "value").select("date", F.explode("values").alias("code", "value"))
+    places = panel.code_places(t("bars"))
+    return panel.unpacked(panel.matrix(technical.sma(t("bars")), places, "value", t("calendar")), places)
 
 
 @query("ext1_by_code", "select code, date, max(high) over (partition by code order by date rows between 4 preceding and current row) as value, null as error from bars where k % 5 > 0 union all select distinct code, cast(null as date), null, 'ValueError: no' from bars where k % 5 = 0", "value")
@@ -1171,58 +1189,130 @@ def _(t: Views) -> DataFrame:
 MINUTE_EQUITY = "(select datetime, 1.0 + cast(cast(sum(volume) as bigint) // 100 % 7 as double) / 400 as equity from minute_bars group by datetime)"
 
 
-@query("prf9_intraday", f"""select n, g - 1 as total_return, pow(g, y / (n - 1)) - 1 as annual_return, m / s * sqrt(round(y)) as sharpe, mdd as max_drawdown, (pow(g, y / (n - 1)) - 1) / abs(mdd) as calmar from (
+@query("prf9_intraday", f"""with bars as (select code, datetime as date, open, high, low, close, volume, amount, false as is_suspended from minute_bars) select * from (select n, g - 1 as total_return, pow(g, y / (n - 1)) - 1 as annual_return, m / s * sqrt(round(y)) as sharpe, mdd as max_drawdown, (pow(g, y / (n - 1)) - 1) / abs(mdd) as calmar from (
   select count(*) as n, max_by(equity, datetime) / min_by(equity, datetime) as g, avg(r) as m, stddev_samp(r) as s, min(equity / peak - 1) as mdd from (select *, max(equity) over (order by datetime) as peak, equity / lag(equity) over (order by datetime) - 1 as r from {MINUTE_EQUITY})),
-  (select greatest(1.0, quantile_cont(c, 0.5) * 252) as y from (select count(*) as c from {MINUTE_EQUITY} group by cast(datetime as date)))""", "total_return annual_return sharpe max_drawdown calmar")
+  (select greatest(1.0, quantile_cont(c, 0.5) * 252) as y from (select count(*) as c from {MINUTE_EQUITY} group by cast(datetime as date)))),
+  (select count(*) as n_trades, count(*) filter (pnl > 0) * 1.0 / count(*) as win_rate, coalesce(avg(pnl) filter (pnl > 0) / abs(avg(pnl) filter (pnl < 0)), 0.0) as profit_loss, avg(days) as mean_days from ({TRADES}))""", "total_return annual_return sharpe max_drawdown calmar win_rate profit_loss mean_days")
 def _(t: Views) -> DataFrame:
+    minutes = t("minute_bars").withColumnRenamed("datetime", "date").withColumn("is_suspended", F.lit(False))
+    trades = backtest.sleeves(minutes, signals.close_vs_means(minutes)).withColumn("id", F.lit(1))
     equity = t("minute_bars").groupBy("datetime").agg((1.0 + (F.sum("volume").cast("long") / 100 % 7) / 400).alias("equity"))
-    return performance.intraday_summary(equity.withColumn("id", F.lit(1)), ["id"]).drop("id")
+    return performance.intraday_result(equity.withColumn("id", F.lit(1)), trades, ["id"]).drop("id")
+
+
+def _grid(name: str, *space: tuple) -> list[tuple]:
+    """(param_id, values...) of every valid setting, in the order of the space."""
+    valid = custom.strategy(name).valid if name in custom.STRATEGIES else lambda s: True
+    names = list(custom.strategy(name).space) if name in custom.STRATEGIES else [str(i) for i in range(len(space))]
+    return [(i, *v) for i, v in enumerate(v for v in product(*space) if valid(dict(zip(names, v, strict=True))))]
+
 
+BARS_SRC = "select code as id, code, date, open, high, low, close, is_suspended from bars"
 
-SETTINGS = [(i, f, s, u) for i, (f, s, u) in enumerate((f, s, u) for f in (5, 10, 20) for s in (30, 60) for u in (65.0, 80.0))]
-MEANS = (5, 10, 20, 30, 60)
-#: Trades of every setting: crossings of two means under a strength bound, filled at the open of the market's next day.
-SWEPT = f"""with x as materialized {RSI},
-  m as (select code, date, {', '.join(f'case when n >= {p} then avg(close) over (partition by code order by date rows between {p - 1} preceding and current row) end as m{p}' for p in MEANS)} from ({NUM})),
-  l as materialized (select m.*, x.value as x, {', '.join(f'lag(m{p}) over (partition by m.code order by m.date) as p{p}' for p in MEANS)} from m join x using (code, date)),
-  sig as ({' union all '.join(f"select {i} as param_id, code, date, case when coalesce(m{f} < m{s} and p{f} > p{s}, false) or coalesce(x > {u}, false) then -1 when coalesce(m{f} > m{s} and p{f} < p{s} and x < {u}, false) then 1 else 0 end as signal from l" for i, f, s, u in SETTINGS)}),
+
+def _swept(src: str, columns: list[str], strengths: list[int], signals: dict[int, str]) -> str:
+    """Trades of every setting over the rows (id, code, date...) of src: each setting's signal filled at the open of the market's next day.
+
+    `columns` are windows by id; strengths are periods; signals are expressions of them.
+    """
+    rsi = ", ".join(f"case when a.n >= {r} and sum((b.g + b.l) * pow({1 - 1 / r!r}, a.n - b.n)) > 0 then 100 * sum(b.g * pow({1 - 1 / r!r}, a.n - b.n)) / sum((b.g + b.l) * pow({1 - 1 / r!r}, a.n - b.n)) end as x{r}" for r in strengths)
+    strength = f"""chg as materialized (select id, date, n - 1 as n, greatest(close - pc, 0) as g, greatest(pc - close, 0) as l from (select id, date, close, row_number() over w as n, lag(close) over w as pc from src window w as (partition by id order by date)) where n > 1),
+  rsi as materialized (select a.id, a.date, {rsi} from chg a join chg b on a.id = b.id and b.n <= a.n group by a.id, a.date, a.n),""" if strengths else ""
+    joined = "left join rsi using (id, date)" if strengths else ""
+    return f"""with src as materialized ({src}), {strength}
+  m as materialized (select *, row_number() over (partition by id order by date) as n, {', '.join(columns)} from src),
+  l as materialized (select * from m {joined}),
+  sig as ({' union all '.join(f"select {i} as param_id, id, code, date, {c} as signal from l" for i, c in signals.items())}),
   following as (select date, lead(date) over (order by date) as next from (select distinct date from bars)),
-  told as (select g.param_id, g.code, n.next as date, b.open, g.signal, lag(g.signal) over (partition by g.param_id, g.code order by n.next) as old from sig g join following n using (date) join bars b on b.code = g.code and b.date = n.next where g.signal <> 0 and b.open > 0 and not b.is_suspended),
-  turns as (select *, lead(date) over (partition by param_id, code order by date) as exit_date, lead(open) over (partition by param_id, code order by date) as x from told where signal = 1 and coalesce(old, -1) = -1 or signal = -1 and old = 1),
-  priced as (select param_id, code, date as entry_date, exit_date, {BUY} as ep, {SELL} as xp from (select *, open as o from turns) where signal = 1 and exit_date is not null),
+  told as (select g.param_id, g.id, n.next as date, b.open, g.signal, lag(g.signal) over (partition by g.param_id, g.id order by n.next) as old from sig g join following n using (date) join src b on b.id = g.id and b.date = n.next where g.signal <> 0 and b.open > 0 and not b.is_suspended),
+  turns as (select *, lead(date) over (partition by param_id, id order by date) as exit_date, lead(open) over (partition by param_id, id order by date) as x from told where signal = 1 and coalesce(old, -1) = -1 or signal = -1 and old = 1),
+  priced as (select param_id, id, date as entry_date, exit_date, {BUY} as ep, {SELL} as xp from (select *, open as o from turns) where signal = 1 and exit_date is not null),
   sized as (select *, cast(greatest(0, least(floor(100000.0 / (100 * ep * 1.0003)), floor((100000.0 - 5) / (100 * ep)))) * 100 as bigint) as shares from priced),
-  swept as materialized (select param_id, code, entry_date, exit_date, shares * xp - greatest(shares * xp * 0.0013, 5.0) - shares * ep - greatest(shares * ep * 0.0003, 5.0) as pnl from sized where shares > 0)"""
+  swept as materialized (select param_id, id, entry_date, exit_date, shares * xp - greatest(shares * xp * 0.0013, 5.0) - shares * ep - greatest(shares * ep * 0.0003, 5.0) as pnl from sized where shares > 0)"""
+
+
+def _mean(n: int, back: int = 0) -> str:
+    """The mean of n closes of an id, null before there are so many."""
+    return f"case when row_number() over (partition by id order by date) >= {n + back} then avg(close) over (partition by id order by date rows between {n - 1 + back} preceding and {back} preceding) end"
+
+
+def _extreme(f: str, of: str, n: int) -> str:
+    """The highest or lowest of the n rows of an id before this one, null before there are so many."""
+    return f"case when row_number() over (partition by id order by date) > {n} then {f}({of}) over (partition by id order by date rows between {n} preceding and 1 preceding) end"
 
 
 def _scored(key: str, days: str, trades: str) -> str:
-    """Performance by key of the equity that the trades leave on the days (key, date)."""
+    """Performance by key of the equity that the trades leave on the days (key, capital, date)."""
     return f"""select {key}, g - 1 as total_return, a as annual_return, case when n > 2 and s >= 1e-12 then m / s * sqrt(252.0) else 0.0 end as sharpe, mdd as max_drawdown, case when mdd < -1e-12 then a / abs(mdd) else 0.0 end as calmar, coalesce(n_trades, 0) as n_trades, coalesce(pnl, 0.0) as pnl from (
       select *, case when g <= 0 then -1.0 when n > 1 then pow(g, 252.0 / (n - 1)) - 1 else 0.0 end as a from (
         select {key}, count(*) as n, max_by(equity, date) / min_by(equity, date) as g, avg(r) as m, stddev_samp(r) as s, min(equity / peak - 1) as mdd from (
           select *, equity / lag(equity) over w - 1 as r, max(equity) over w as peak from (
-            select {key}, date, 1 + sum(coalesce(p, 0.0)) over (partition by {key} order by date) / (select count(distinct code) * 100000.0 from bars) as equity
+            select {key}, date, 1 + sum(coalesce(p, 0.0)) over (partition by {key} order by date) / capital as equity
             from {days} left join (select {key}, exit_date as date, sum(pnl) as p from {trades} group by all) using ({key}, date)) window w as (partition by {key} order by date)) group by {key})) left join (select {key}, count(*) as n_trades, sum(pnl) as pnl from {trades} group by {key}) using ({key})"""
 
 
-OPT2 = f"{SWEPT} {_scored('param_id', '(select * from (select distinct param_id from sig) cross join (select distinct date from bars))', 'swept')}"
+MA_GRID = _grid("ma_rsi", (3, 10, 20), (25, 60, 120), (6, 14, 30), (65.0, 80.0))
+MA_SIGNALS = {i: f"case when coalesce(m{f} < m{s} and p{f} > p{s}, false) or coalesce(x{r} > {u}, false) then -1 when coalesce(m{f} > m{s} and p{f} < p{s} and x{r} < {u}, false) then 1 else 0 end" for i, f, s, r, u in MA_GRID}
+MA_COLUMNS = [f"{_mean(n, back)} as {c}{n}" for n in (3, 10, 20, 25, 60, 120) for c, back in (("m", 0), ("p", 1))]
+TWO_GRID = _grid("close_vs_means", (5, 10), (20, 30))
+TWO_SIGNALS = {i: f"case when coalesce(close < m{s}, false) then -1 when coalesce(close > m{f}, false) then 1 else 0 end" for i, f, s in TWO_GRID}
+OUT_GRID = _grid("breakout", (10, 40), (5, 20))
+OUT_SIGNALS = {i: f"case when coalesce(close < l{q}, false) then -1 when coalesce(close > h{e}, false) then 1 else 0 end" for i, e, q in OUT_GRID}
+OUT_COLUMNS = [f"{_extreme('max', 'high', n)} as h{n}" for n in (10, 40)] + [f"{_extreme('min', 'low', n)} as l{n}" for n in (5, 20)]
+#: A user's own strategy: buy above the highest high of so many bars before, sell below the lowest low.
+BREAKOUT = custom.Strategy(None, {"enter": 20, "leave": 10}, {"enter": [10, 40], "leave": [5, 20]}, rule=lambda bar: bar.signal(bar.value() > bar.highest("enter", back=1), bar.value() < bar.lowest("leave", back=1)))
+
 MEASURES = "total_return annual_return sharpe max_drawdown calmar"
 
 
-@query("opt2_sweep", OPT2, MEASURES + " pnl", 5)
+def _sweep(columns: list[str], strengths: list[int], signals: dict[int, str]) -> str:
+    days = f"(select * from (select unnest({list(signals)}) as param_id) cross join (select distinct date from bars) cross join (select count(distinct code) * 100000.0 as capital from bars))"
+    return f"{_swept(BARS_SRC, columns, strengths, signals)} {_scored('param_id', days, 'swept')}"
+
+
+@query("opt2_sweep", _sweep(MA_COLUMNS, [6, 14, 30], MA_SIGNALS), MEASURES + " pnl", 5)
 def _(t: Views) -> DataFrame:
     return backtest.sweep(t("bars"), custom.strategy("ma_rsi").settings(t.spark))
 
 
-def _span(kind: str) -> str:
-    days = f"(select f.fold, p.param_id, d.date from folded f join (select distinct date from bars) d on d.date between f.{kind}_start and f.{kind}_end cross join (select distinct param_id from sig) p)"
-    return _scored("fold, param_id", days, f"(select fold, w.* from swept w join folded f on w.entry_date >= f.{kind}_start and w.exit_date <= f.{kind}_end)")
+@query("opt2_sweep_two_means", _sweep([f"{_mean(n)} as m{n}" for n in (5, 10, 20, 30)], [], TWO_SIGNALS), MEASURES + " pnl", 5)
+def _(t: Views) -> DataFrame:
+    return backtest.sweep(t("bars"), custom.strategy("close_vs_means").settings(t.spark), "close_vs_means")
 
 
-OPT3 = f"""{SWEPT}, folded as ({FOLDS.replace('from calendar', 'from (select distinct date from bars)')}), train as ({_span('train')}), test as ({_span('test')}),
-  best as (select * from train qualify row_number() over (partition by fold order by round(sharpe, 9) desc nulls last, param_id) = 1)
-  select b.fold, b.param_id, b.sharpe as train_metric, t.sharpe as test_metric, avg(t.sharpe) over () as mean_test, t.n_trades = 0 as no_trades from best b join test t using (fold, param_id)"""
+@query("ext3_sweep_own", _sweep(OUT_COLUMNS, [], OUT_SIGNALS), MEASURES + " pnl", 5)
+def _(t: Views) -> DataFrame:
+    return backtest.sweep(t("bars"), BREAKOUT.settings(t.spark), BREAKOUT)
 
 
-@query("opt3_selection", OPT3, "train_metric test_metric mean_test", 5)
+@query("ext3_own_signals", f"select code, date, case when close < l then -1 when close > h then 1 end as signal from (select *, {_extreme('max', 'high', 20)} as h, {_extreme('min', 'low', 10)} as l from ({BARS_SRC})) where close < l or close > h")
+def _(t: Views) -> DataFrame:
+    return BREAKOUT.run(t("bars"))
+
+
+def _forward(columns: list[str], strengths: list[int], signals: dict[int, str]) -> str:
+    """Every span is a source of its own, so that each of its runs begins flat and without history."""
+    folded = FOLDS.replace("from calendar", "from (select distinct date from bars)")
+    kinds = " union all ".join(f"select fold, '{k}' as kind, {k}_start as lo, {k}_end as hi from ({folded})" for k in ("train", "test"))
+    src = f"select k.fold || '|' || k.kind || '|' || b.code as id, b.code, b.date, b.open, b.high, b.low, b.close, b.is_suspended from bars b join ({kinds}) k on b.date between k.lo and k.hi"
+    trades = "(select cast(split_part(id, '|', 1) as int) as fold, split_part(id, '|', 2) as kind, * from swept)"
+    capital = "(select cast(split_part(id, '|', 1) as int) as fold, split_part(id, '|', 2) as kind, count(distinct code) * 100000.0 as capital from src group by all)"
+    days = f"(select c.fold, c.kind, p.param_id, c.capital, d.date from {capital} c join ({kinds}) k using (fold, kind) join (select distinct date from bars) d on d.date between k.lo and k.hi cross join (select unnest({list(signals)}) as param_id) p)"
+    return f"""{_swept(src, columns, strengths, signals)}, measured as materialized ({_scored('fold, kind, param_id', days, trades)}),
+  best as (select * from measured where kind = 'train' qualify row_number() over (partition by fold order by round(sharpe, 9) desc nulls last, param_id) = 1)
+  select b.fold, b.param_id, b.sharpe as train_metric, t.sharpe as test_metric, avg(t.sharpe) over () as mean_test, t.n_trades = 0 as no_trades from best b join measured t on t.fold = b.fold and t.param_id = b.param_id and t.kind = 'test'"""
+
+
+@query("opt3_selection", _forward(MA_COLUMNS, [6, 14, 30], MA_SIGNALS), "train_metric test_metric mean_test", 5)
 def _(t: Views) -> DataFrame:
     return backtest.walk_forward(t("bars"), custom.strategy("ma_rsi").settings(t.spark), panel.calendar_of(t("bars")), 4)
+
+
+@query("opt3_selection_own", _forward(OUT_COLUMNS, [], OUT_SIGNALS), "train_metric test_metric mean_test", 5)
+def _(t: Views) -> DataFrame:
+    return backtest.walk_forward(t("bars"), BREAKOUT.settings(t.spark), panel.calendar_of(t("bars")), 4, strategy=BREAKOUT)
+
+
+@query("sig4_skeleton", "select date, code, 0 as signal from (select distinct date from calendar) cross join (select distinct code from codes)")
+def _(t: Views) -> DataFrame:
+    return signals.skeleton(t("calendar"), t("codes"))

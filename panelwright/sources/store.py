@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.types import StructType
 
 from ..functions.columns import standard_code
 
@@ -16,6 +21,8 @@ from ..functions.columns import standard_code
 DAY = np.dtype([("date", "<u4"), ("open", "<u4"), ("high", "<u4"), ("low", "<u4"), ("close", "<u4"), ("amount", "<f4"), ("volume", "<u4"), ("pad", "<u4")])
 MINUTE = np.dtype([("date", "<u2"), ("time", "<u2"), ("open", "<f4"), ("high", "<f4"), ("low", "<f4"), ("close", "<f4"), ("amount", "<f4"), ("volume", "<u4"), ("pad", "<u4")])
 
+EPOCH = dt.date(1970, 1, 1)
+
 #: Security classes by exchange and the two digits after it.
 CLASSES = {
     "sz": {"A_STOCK": ["00", "30"], "B_STOCK": ["20"], "INDEX": ["39"], "FUND": ["15", "16"], "BOND": ["10", "11", "12", "13", "14"]},
@@ -55,10 +62,30 @@ def effective_factors(own: DataFrame, external: DataFrame) -> DataFrame:
     return own.unionByName(external.join(own.select("code").distinct(), "code", "left_anti"))
 
 
+def _snapshot(file_name: Column) -> Column:
+    """The day that a membership file's name YYYYMMDD.* says; null for other names."""
+    return F.try_to_timestamp(F.regexp_extract(file_name, r"^(\d{8})\.", 1), F.lit("yyyyMMdd")).cast("date")
+
+
 def index_members(spark: SparkSession, path: str) -> DataFrame:
-    """Membership files named YYYYMMDD.parquet, with their date; other files are ignored."""
-    day = F.try_to_timestamp(F.regexp_extract("_metadata.file_name", r"^(\d{8})\.", 1), F.lit("yyyyMMdd")).cast("date")
-    return spark.read.parquet(path).select("*", day.alias("snapshot_date")).where("snapshot_date is not null")
+    """Membership files named YYYYMMDD.parquet, with their date; other files are ignored, and a filter on the date leaves the others unread."""
+    name = F.col("_metadata.file_name")
+    return spark.read.parquet(path).where(_snapshot(name).isNotNull()).select("*", _snapshot(name).alias("snapshot_date"))
+
+
+def index_members_at(spark: SparkSession, path: str, day: str) -> DataFrame:
+    """The whole latest snapshot up to a day, empty before the first: the listing names it and only its file is read."""
+    listed = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    last = listed.select(_snapshot(F.col("file")).alias("d")).where(F.col("d") <= F.lit(day).cast("date")).agg(F.max("d")).first()[0]
+    stem = last.strftime("%Y%m%d") if last else ""
+    return spark.read.parquet(path).where(F.col("_metadata.file_name").startswith(f"{stem}.")).select("*", F.lit(last).cast("date").alias("snapshot_date"))
+
+
+def read_arrivals(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Bars with `ingest_seq`, the order in which their rows arrived: by their file's time, its name and their place in it."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    rows = reader.parquet(path)
+    return rows.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_name", "_metadata.row_index").alias("ingest_seq"))
 
 
 def security_class(file_name: Column) -> Column:
@@ -75,39 +102,134 @@ def security_class(file_name: Column) -> Column:
 UNITS = {"": (0.01, 1.0), "SH_B_STOCK": (0.001, 1.0), "SH_FUND": (0.001, 1.0), "SH_BOND": (0.001, 1.0), "SZ_FUND": (0.001, 0.01), "SZ_BOND": (0.001, 0.01)}
 
 
-def read_binary(spark: SparkSession, path: str, rates: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """Bars of all `.day` files under a path; a file is decoded by one task, in one pass over its records."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.day").load(path)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    named = named.select("file", security_class(F.col("file")).alias("class"), "content").where("class is not null")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, kind, raw in zip(*(batch.column(c).to_pylist() for c in ("file", "class", "content")), strict=True):
-                a = np.frombuffer(raw[: len(raw) // 32 * 32], DAY)
-                price, volume = (rates or {}).get(kind) or UNITS.get(kind, UNITS[""])
-                cols = [a[c].astype(float) * price for c in ("open", "high", "low", "close")] + [a["amount"].astype(float), a["volume"].astype(float) * volume]
-                yield pa.RecordBatch.from_arrays([pa.array([name[:8]] * len(a), pa.string()), pa.array(a["date"].astype(np.int32)), *(pa.array(c) for c in cols)], ["raw_code", "ymd", "open", "high", "low", "close", "amount", "volume"])
-
-    rows = named.mapInArrow(run, "raw_code string, ymd int, open double, high double, low double, close double, amount double, volume double")
-    return rows.select(standard_code(F.col("raw_code")).alias("code"), F.try_to_timestamp(F.col("ymd").cast("string"), F.lit("yyyyMMdd")).cast("date").alias("date"), "open", "high", "low", "close", "amount", "volume").where("date is not null")
-
-
-def read_binary_minutes(spark: SparkSession, path: str) -> DataFrame:
-    """Minute bars of all `.lc1` and `.lc5` files under a path, in real prices and shares; stamps that are no date go."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lc[15]").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    fields = ["open", "high", "low", "close", "amount", "volume"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, raw in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                a = np.frombuffer(raw[: len(raw) // 32 * 32], MINUTE)
-                yield pa.RecordBatch.from_arrays([pa.array([name[:8]] * len(a), pa.string()), pa.array(a["date"].astype(np.int32)), pa.array(a["time"].astype(np.int32)), *(pa.array(a[c].astype(float)) for c in fields)], ["raw_code", "d", "t", *fields])
-
-    rows = files.mapInArrow(run, "raw_code string, d int, t int, " + ", ".join(f"{c} double" for c in fields))
-    stamp = F.expr("try_to_timestamp(concat(year_, '-', month_, '-', day_, ' ', t div 60, ':', t % 60), 'y-M-d H:m')")
-    parts = rows.withColumns({"year_": F.floor(F.col("d") / 2048) + 2004, "month_": F.floor(F.col("d") % 2048 / 100), "day_": F.col("d") % 2048 % 100})
-    return parts.select(standard_code(F.col("raw_code")).alias("code"), stamp.alias("datetime"), *fields).where("datetime is not null")
+def class_of(file_name: str) -> str | None:
+    """security_class() of one name."""
+    ex, head = file_name[:2].lower(), file_name[2:4]
+    if ex == "bj":
+        return "BJ_A_STOCK"
+    return next((f"{ex.upper()}_{c}" for c, heads in CLASSES.get(ex, {}).items() if head in heads), None)
+
+
+class FixedWidthBars(DataSource):
+    """`fixed_width_bars`: files of 32-byte records under `path`, cut into ranges of `records` records, each read by a task of its own.
+
+    Options: path (a local one or a URI that Arrow's file systems open), kind (`day` or `minute`), records, rates
+    (JSON of price and volume units by class).  Only the columns of the schema asked for are decoded, and
+    filters on `date` are applied to the raw records.  Records without a real date, other files and
+    what is left behind the last whole record are passed over.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "fixed_width_bars"
+
+    def schema(self) -> str:
+        return BINARY_SCHEMA
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _FixedWidthReader(schema, dict(self.options))
+
+
+BINARY_SCHEMA = "raw_code string, date date, minute int, open double, high double, low double, close double, amount double, volume double"
+
+
+@dataclass
+class _Range(InputPartition):
+    path: str
+    first: int
+    count: int
+
+
+class _FixedWidthReader(DataSourceReader):
+    def __init__(self, schema: StructType, options: dict):
+        self.columns, self.options, self.bounds = schema.fieldNames(), options, []
+        self.kind = options.get("kind", "day")
+        self.record = DAY if self.kind == "day" else MINUTE
+
+    def pushFilters(self, filters: list) -> Iterator:  # noqa: N802 - the interface's name
+        held = {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        for f in filters:
+            if type(f) in held and f.attribute == ("date",):
+                self.bounds.append((held[type(f)], (f.value - EPOCH).days))
+            else:
+                yield f
+
+    def _open(self) -> tuple:
+        from pyarrow import fs
+
+        path = self.options["path"]
+        return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+    def partitions(self) -> list[_Range]:
+        from pyarrow import fs
+
+        where, root = self._open()
+        info = where.get_file_info(root)
+        files = [info] if info.type == fs.FileType.File else where.get_file_info(fs.FileSelector(root, recursive=True))
+        ends = (".day",) if self.kind == "day" else (".lc1", ".lc5")
+        step, out = int(self.options.get("records", 1 << 20)), []
+        for f in sorted(files, key=lambda f: f.path):
+            if f.type == fs.FileType.File and f.path.endswith(ends) and (self.kind == "minute" or class_of(f.base_name)):
+                n = f.size // self.record.itemsize
+                out += [_Range(f.path, at, min(step, n - at)) for at in range(0, n, step)]
+        return out or [_Range("", 0, 0)]
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        if not partition.count:
+            return
+        where, _ = self._open()
+        with where.open_input_file(partition.path) as f:
+            f.seek(partition.first * self.record.itemsize)
+            a = np.frombuffer(f.read(partition.count * self.record.itemsize), self.record)
+        d = a["date"].astype(np.int64)
+        year, month, day = (d // 10000, d // 100 % 100, d % 100) if self.kind == "day" else (d // 2048 + 2004, d % 2048 // 100, d % 2048 % 100)
+        month0 = (year - 1970) * 12 + np.clip(month, 1, 12) - 1
+        start, after = (m.astype("datetime64[M]").astype("datetime64[D]").astype(np.int64) for m in (month0, month0 + 1))
+        days = start + day - 1
+        ok = (year >= 1) & (year <= 9999) & (month >= 1) & (month <= 12) & (day >= 1) & (days < after)
+        if self.kind == "minute":
+            ok &= a["time"] < 1440
+        for how, bound in self.bounds:
+            ok &= {"==": np.equal, ">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal}[how](days, bound)
+        a, days = a[ok], days[ok]
+        name = partition.path.rsplit("/", 1)[-1]
+        price, volume = self._units(name)
+        make = {"raw_code": lambda: pa.array([name[:8]] * len(a), pa.string()), "date": lambda: pa.array(days.astype(np.int32), pa.int32()).cast(pa.date32())}
+        make["minute"] = lambda: pa.array(a["time"].astype(np.int32) if self.kind == "minute" else np.zeros(len(a), np.int32))
+        for c, unit in [(c, price) for c in ("open", "high", "low", "close")] + [("amount", 1.0), ("volume", volume)]:
+            make[c] = lambda c=c, unit=unit: pa.array(a[c].astype(float) * unit)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([make[c]() for c in self.columns], self.columns)
+
+    def _units(self, name: str) -> tuple[float, float]:
+        if self.kind == "minute":
+            return 1.0, 1.0
+        kind = class_of(name)
+        rates = json.loads(self.options.get("rates", "{}"))
+        return rates.get(kind) or UNITS.get(kind, UNITS[""])
+
+
+def _fixed_width(spark: SparkSession, path: str, kind: str, columns: list[str], records: int, **options: str) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(FixedWidthBars)
+    all_of = {f.name: f for f in StructType.fromDDL(BINARY_SCHEMA)}
+    return spark.read.format("fixed_width_bars").schema(StructType([all_of[c] for c in columns])).options(path=path, kind=kind, records=records, **options).load()
+
+
+FIELDS = ["open", "high", "low", "close", "amount", "volume"]
+
+
+def read_binary(spark: SparkSession, path: str, rates: dict[str, tuple[float, float]] | None = None, fields: list[str] = FIELDS, records: int = 1 << 20) -> DataFrame:
+    """Bars (code, date and the fields asked for) of all `.day` files under a path; a task reads `records` records of a file at most."""
+    rows = _fixed_width(spark, path, "day", ["raw_code", "date", *fields], records, rates=json.dumps(rates or {}))
+    return rows.select(standard_code(F.col("raw_code")).alias("code"), "date", *fields)
+
+
+def read_binary_minutes(spark: SparkSession, path: str, fields: list[str] = FIELDS, records: int = 1 << 20) -> DataFrame:
+    """Minute bars of all `.lc1` and `.lc5` files under a path, in real prices and shares."""
+    rows = _fixed_width(spark, path, "minute", ["raw_code", "date", "minute", *fields], records)
+    stamp = F.expr("cast(date as timestamp) + make_dt_interval(0, minute div 60, minute % 60)")
+    return rows.select(standard_code(F.col("raw_code")).alias("code"), stamp.alias("datetime"), *fields)
 
 
 #: A feed's columns by ours, and its units.

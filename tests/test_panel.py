@@ -230,7 +230,9 @@ def test_user_factors(spark):
         technical.register("code", technical.sma)
     assert "bollinger" in technical.names() and technical.factor("bollinger", bars, period=2, output="middle").where("value is not null").count() == 4
     s = custom.strategy("ma_rsi")
-    assert s.settings(spark).count() == 12 and s.settings(spark).agg(F.max("param_id")).first()[0] == 11
+    # The registered space spans fast 3 to 20, slow up to 120, strength periods 6 to 30 and bounds 65 and 80.
+    wide = [(f, w, r, u) for f in (3, 10, 20) for w in (25, 60, 120) for r in (6, 14, 30) for u in (65.0, 80.0) if w >= f + 5]
+    assert [tuple(r) for r in s.settings(spark).orderBy("param_id").select("param_id", "fast", "slow", "rsi_period", "upper").collect()] == [(i, *x) for i, x in enumerate(wide)]
     with pytest.raises(KeyError):
         s.run(bars, speed=1)
     with pytest.raises(KeyError):
@@ -256,3 +258,138 @@ def test_signals_lost_without_a_bar_on_the_next_day(spark):
 def test_unknown_factor():
     with pytest.raises(KeyError):
         technical.factor("nothing", None)
+
+
+def test_benchmark_that_begins_late(spark):
+    dates = [dt.date(2024, 1, d) for d in (1, 2, 3, 4, 5, 8)]
+    equity = [1.0]
+    for r in (0.05, -0.02, 0.10, -0.03, 0.04):
+        equity.append(equity[-1] * (1 + r))
+    own = spark.createDataFrame(list(zip(dates, equity, strict=True)), "date date, equity double")
+    index = spark.createDataFrame(list(zip(dates[2:], [100.0, 110.0, 110 * 0.97, 110 * 0.97 * 1.04], strict=True)), "date date, equity double")
+    got = performance.against(own, index).first()
+    annual, total = equity[-1] ** (252 / 5) - 1, 1.10 * 0.97 * 1.04 - 1
+    assert got.beta == pytest.approx(1.0) and got.benchmark_return == pytest.approx(total)
+    assert got.annual_return == pytest.approx(annual) and got.benchmark_annual == pytest.approx((1 + total) ** (252 / 3) - 1) and got.alpha == pytest.approx(annual - got.benchmark_annual)
+    # One day of overlap, one row, none: zeros.  A benchmark that never moves has no beta.
+    for few in (index.limit(0), index.limit(1), index.where("date = '2024-01-08'").union(index.limit(1).withColumn("date", F.lit("2024-03-01").cast("date")))):
+        assert tuple(performance.against(own, few).first())[1:] == (0, 0, 0, 0)
+    flat = performance.against(own, index.withColumn("equity", F.lit(5.0))).first()
+    assert (flat.beta, flat.benchmark_return) == (0.0, 0.0) and flat.alpha == pytest.approx(annual)
+
+
+def test_nothing_divides_by_zero(spark):
+    curve = spark.createDataFrame([(1, d, e) for d, e in zip(days(4), (1.0, 0.0, 0.0, 2.0), strict=True)], "id int, date date, equity double")
+    assert [r.ret for r in performance.returns(curve, ["id"]).orderBy("date").collect()] == [None, -1.0, None, None]
+    assert [r.stopped for r in performance.day_stop(curve, ["id"], 0.5).orderBy("date").collect()] == [False, True, False, False]
+    assert performance.summary(curve.where("date > '2024-01-01'"), ["id"]).first().total_return is None
+    assert one(spark, C.affordable(F.col("c"), F.col("p")), c=1000.0, p=0.0) == 0 and one(spark, trading.order_size(F.col("v"), 0.5, F.col("p")), v=1000.0, p=0.0) == 0
+
+
+def test_matrix_keeps_the_last_arrival_on_the_calendar(spark):
+    d = days(4)
+    rows = [("A", d[0], 9.0, 1), ("A", d[0], 5.0, 2), ("B", d[2], 1.0, 3), ("C", d[2], 2.0, 5), ("C", d[2], None, 6), ("A", d[3], 4.0, 1)]
+    bars = spark.createDataFrame(rows, "code string, date date, close double, ingest_seq int")
+    calendar = spark.createDataFrame([(x,) for x in (d[0], d[1], d[2], DAY - dt.timedelta(9))], "date date")
+    places = panel.code_places(bars, 2)
+    assert sorted(map(tuple, places.collect())) == [("A", 0, 0), ("B", 0, 1), ("C", 1, 0)]
+    blocks = panel.matrix(bars, places, calendar=calendar)
+    assert sorted((r.date, r.block, r["values"]) for r in blocks.collect()) == [(d[0], 0, [5.0, None]), (d[0], 1, [None]), (d[1], 0, [None, None]), (d[1], 1, [None]), (d[2], 0, [None, 1.0]), (d[2], 1, [None])]
+    assert {(r.code, r.date): r.value for r in panel.unpacked(blocks, places).where("value is not null").collect()} == {("A", d[0]): 5.0, ("B", d[2]): 1.0}
+    assert sorted(map(tuple, panel.wide(bars, ["A", "C"]).collect())) == [(d[0], 5.0, None), (d[2], None, None), (d[3], 4.0, None)]
+    assert [tuple(r) for r in panel.wide(bars, ["A"], calendar=calendar).orderBy("date").collect()] == [(d[0], 5.0), (d[1], None), (d[2], None)]
+
+
+def test_folds_over_ordered_steps(spark):
+    import random
+
+    rng = random.Random(1)
+    fills, held, cost, want = [], 0, 0.0, []
+    for i in range(700):
+        sell = held > 0 and rng.random() < 0.5
+        shares, price = (rng.choice([held, max(1, held // 3)]) if sell else rng.randrange(1, 900)), rng.uniform(1, 50)
+        prior = cost
+        cost = prior * (1 - shares / held) if sell else prior + shares * price
+        gain = shares * price - prior * shares / held if sell else 0.0
+        held += -shares if sell else shares
+        want.append((i, held, cost if held else 0.0, gain))
+        fills.append(("A", i, -1 if sell else 1, shares, price, "kept"))
+    df = spark.createDataFrame(fills, "code string, seq int, side int, shares long, price double, note string").repartition(3)
+    got = trading.ledger(df)
+    assert got.columns == [*df.columns, "held", "cost", "realised", "average"]
+    for r, w in zip(got.orderBy("seq").collect(), want, strict=True):
+        assert (r.seq, r.held, r.note) == (w[0], w[1], "kept") and r.cost == pytest.approx(w[2], rel=1e-11, abs=1e-7) and r.realised == pytest.approx(w[3], rel=1e-11, abs=1e-7)
+    ratios = spark.createDataFrame([("A", days(9)[i], 1.5) for i in (2, 5)], "code string, date date, ratio double")
+    own = spark.createDataFrame([("A", x, s) for x, s in zip(days(9), (0, 101, 101, 101, 0, 0, 7, 7, 7), strict=True)], "code string, date date, shares long")
+    split = trading.apply_splits(own, ratios)
+    assert [r.shares for r in split.orderBy("date").collect()] == [0, 101, 151, 151, 50, 75, 82, 82, 82]
+    for df in (got, split):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def random_bars(spark, n=90, codes=("A", "B", "C|D")):
+    import random
+
+    rng, rows = random.Random(4), []
+    for c in codes:
+        price = 20.0
+        for i in range(n):
+            price = round(max(1.0, price * (1 + rng.uniform(-0.06, 0.06))), 2) if i % 11 else price
+            if rng.random() < 0.9:
+                rows.append((c, days(n)[i], price, round(price * 1.02, 2), round(price * 0.98, 2), price, 1000.0, rng.random() < 0.03))
+    return spark.createDataFrame(rows, "code string, date date, open double, high double, low double, close double, volume double, is_suspended boolean")
+
+
+OWN = custom.Strategy(None, {"enter": 10, "leave": 5, "n": 6}, {"enter": [5, 12], "leave": [4], "n": [3, 6]}, rule=lambda bar: bar.signal((bar.value() > bar.highest("enter", back=1)) & (bar.strength("n") < 95), bar.value() < bar.mean("leave")))
+
+
+def test_windows_whose_length_is_a_column(spark):
+    from panelwright.operators import signals
+
+    bars = random_bars(spark)
+    for name, setting in (("ma_rsi", {"fast": 3, "slow": 9, "rsi_period": 5, "upper": 75.0}), ("close_vs_means", {"fast": 4, "slow": 11})):
+        made = custom.strategy(name)
+        want = {tuple(r) for r in made.run(bars, **setting).where("signal <> 0").select("code", "date", "signal").collect()}
+        other = [{"param_id": 1} | setting, {"param_id": 2} | setting | {"fast": 2}]
+        got = made.run_all(bars, other)
+        assert want and {tuple(r) for r in got.where("param_id = 1").select("code", "date", "signal").collect()} == want
+    # Means of one price are equal whatever their lengths, so nothing crosses.
+    flat = bars.withColumn("close", F.lit(0.1) + F.lit(0.2))
+    assert custom.Strategy(None, {}, rule=lambda bar: bar.signal(bar.mean(3) > bar.mean(7), bar.mean(3) < bar.mean(7))).run_all(flat, [{"param_id": 0}]).isEmpty()
+    gaps = spark.createDataFrame([("A", d, x) for d, x in zip(days(6), (1.0, 2.0, None, 4.0, 5.0, 6.0), strict=True)], "code string, date date, close double")
+    bar = custom.Bar([{"n": 2}, {"n": 3}])
+    cells = [bar.mean("n"), bar.mean("n", back=1), bar.highest("n", of="close"), bar.value(back=1)]
+    rows = bar.prepared(gaps).withColumn("_p", F.struct(F.lit(2).alias("n"))).select("date", *(c.alias(f"c{i}") for i, c in enumerate(cells))).orderBy("date").collect()
+    assert [tuple(r)[1:] for r in rows] == [(None, None, None, None), (1.5, None, 2.0, 1.0), (None, 1.5, None, 2.0), (None, None, None, None), (4.5, None, 5.0, 4.0), (5.5, 4.5, 6.0, 5.0)]
+    assert signals.skeleton(gaps, gaps).count() == 6
+
+
+def test_strategies_with_and_without_a_rule_are_swept_alike(spark):
+    bars = random_bars(spark)
+    made = custom.strategy("close_vs_means")
+    plain = custom.Strategy(made.signals, made.defaults, made.space, made.valid)
+    params = made.settings(spark)
+    a, b = (sorted(map(tuple, backtest.sweep(bars, params, s).select("param_id", "n_trades", F.round("pnl", 6), F.round("sharpe", 9)).collect())) for s in (made, plain))
+    assert a == b and any(r[1] for r in a)
+    with pytest.raises(ValueError):
+        plain.run_all(bars, [{"param_id": i, "fast": 1, "slow": 2} for i in range(custom.MOST_BRANCHES + 1)])
+    with pytest.raises(ValueError):
+        backtest.sweep(bars, spark.range(backtest.MOST_PARAMETERS + 1).select(F.col("id").alias("param_id"), F.lit(1).alias("fast"), F.lit(2).alias("slow")), made)
+
+
+@pytest.mark.parametrize("strategy", [OWN, "close_vs_means"])
+def test_each_span_is_a_run_of_its_own(spark, strategy):
+    bars, n = random_bars(spark), 2
+    params = (OWN if strategy is OWN else custom.strategy(strategy)).settings(spark)
+    calendar = panel.calendar_of(bars)
+    cols = ["param_id", "n_trades", *(F.round(c, 9) for c in ("pnl", "total_return", "sharpe", "max_drawdown"))]
+    spans = backtest.span_scores(bars, params, calendar, n, strategy)
+    got = {(k, f): sorted(map(tuple, spans.where((F.col("kind") == k) & (F.col("fold") == f)).select(*cols).collect())) for k in ("train", "test") for f in (1, 2)}
+    for f in performance.folds(calendar, n).collect():
+        for k in ("train", "test"):
+            alone = backtest.sweep(bars.where(F.col("date").between(f[f"{k}_start"], f[f"{k}_end"])), params, strategy)
+            assert got[k, f.fold] == sorted(map(tuple, alone.select(*cols).collect()))
+    assert any(r[1] for rows in got.values() for r in rows)
+    best = backtest.walk_forward(bars, params, calendar, n, strategy=strategy).collect()
+    assert [r.fold for r in sorted(best)] == [1, 2]
