@@ -18,9 +18,11 @@ PIECE_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one of the machine only where the setting is unset (tests)."""
+    """The cluster's shared folder; a temporary one only where the setting is unset and everything runs in one process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = getattr(spark, "_shared_folder_for_tests", None) or tempfile.mkdtemp(prefix="shared-")
         spark._shared_folder_for_tests = where
         if not spark.sparkContext.getCheckpointDir():

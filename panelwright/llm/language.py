@@ -2,29 +2,34 @@
 
 A known word scores its log frequency in each language; an unseen one is cut into the longest known
 n-grams (falling back from `MAX_N` to single characters) and scores their mean log frequency.  A text's
-language is the one of highest sum, ties going to the first by code point.  The model is fitted on at
-most about `TRAIN_ROWS` labelled rows and keeps at most `MAX_WORDS` words and `MAX_GRAMS` n-grams (the
-most frequent), so what is broadcast is bounded.  Words are runs of ASCII letters, lower-cased, and
-characters beyond ASCII.  Null texts and texts without a letter get `und` and score 0, and so does every
-text when nothing could be learned.  Each row is judged by its text alone.
+language is the one of highest sum, ties going to the first by code point.  Learning and prediction cut
+texts alike: words are runs of ASCII letters, A-Z lower-cased, and characters beyond ASCII.
+
+The model is fitted on a sample of labelled rows: about `TRAIN_ROWS` rows and `TRAIN_BYTES` of text, of
+texts up to `TRAIN_TEXT_BYTES`.  It keeps every word and n-gram of them, so what is broadcast is bounded by
+the sample.  Null texts and texts without a letter get `und` and score 0, and so does every text when
+nothing could be learned.  Each row is judged by its text alone, so rows that repeat are judged alike;
+texts of any length are read whole.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_piece
+from .licenses import LOWER as LOW
+from .licenses import UPPER as UP
 from .tokens import LOWER, hashes, spans, texts
 
-TRAIN_ROWS, MAX_WORDS, MAX_GRAMS, MAX_N = 6_000, 40_000, 40_000, 4
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT_BYTES, MAX_N = 6_000, 32 << 20, 1 << 20, 4
 
 GAP = np.ones(256, bool)
 GAP[65:91] = GAP[97:123] = GAP[128:] = False
+#: The same words as GAP's, as a pattern.
+WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -32,76 +37,55 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def _grams(word: str) -> list[str]:
-    w = f"^{word}$"
-    return [w[i : i + n] for n in range(1, MAX_N + 1) for i in range(len(w) - n + 1)]
+def sample(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(text, lang) of the labelled rows to learn from: those that `held_out` does not keep out, as many by a hash of doc_id as the bounds let in."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    rows = rows.where(F.octet_length("text") <= TRAIN_TEXT_BYTES)
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    part = min(1.0, train_rows / max(1, n), train_bytes / max(1, size))
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(part * (1 << 30))).select("text", "lang")
+
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(lang, gram, n): how often each word stands in the texts of each language."""
+    words = F.regexp_extract_all(F.translate("text", UP, LOW), F.lit(WORD), F.lit(0))
+    return rows.select("lang", F.explode(words).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
 
-def _count(rows: DataFrame) -> DataFrame:
-    """(lang, kind, gram, n) over all rows given: kind 0 for words, 1 for n-grams."""
 
-    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        words: dict[str, Counter] = {}
-        for text, lang in zip(piece.column("text").to_pylist(), piece.column("lang").to_pylist(), strict=True):
-            raw = np.frombuffer(text.encode(), np.uint8)
-            words.setdefault(lang, Counter()).update(np.where(GAP[raw], 32, LOWER[raw]).astype(np.uint8).tobytes().decode(errors="replace").split())
-        out = []
-        for lang, seen in words.items():
-            grams: Counter = Counter()
-            for w, n in seen.items():
-                for g in _grams(w):
-                    grams[g] += n
-            out += [(lang, 0, w, n) for w, n in seen.items()] + [(lang, 1, g, n) for g, n in grams.items()]
-        return pa.RecordBatch.from_pylist([{"lang": a, "kind": k, "gram": g, "n": n} for a, k, g, n in out], pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("gram", pa.string()), ("n", pa.int64())]))
-
-    return per_piece(rows, work, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-
-
-def _most(total: DataFrame, kind: int, most: int) -> int:
-    """The least count at which at most `most` entries of the kind remain."""
-    kept = 0
-    for n, k in total.where(F.col("kind") == kind).groupBy(F.least("total", F.lit(100_000)).alias("t")).count().orderBy(F.desc("t")).collect():
-        kept += k
-        if kept > most:
-            return n + 1
-    return 1
+def gram_counts(words: DataFrame) -> DataFrame:
+    """(lang, gram, n): the n-grams, up to MAX_N, of words between `^` and `$`, counted as often as the words stand."""
+    w = F.concat(F.lit("^"), "gram", F.lit("$"))
+
+    def cut(size: int) -> Column:
+        own = F.transform(F.sequence(F.lit(1), F.length(w) - size + 1), lambda i: F.substring(w, i, F.lit(size)))
+        return F.when(F.length(w) >= size, own).otherwise(F.array().cast("array<string>"))
+
+    some = F.flatten(F.array(*(cut(size) for size in range(1, MAX_N + 1))))
+    return words.select("lang", F.explode(some).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
-    """The model, from rows with text and lang that `held_out` does not keep out."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    n = rows.count()
-    part = 1.0 if n <= train_rows else train_rows / n
-    some = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(part * (1 << 30)))).select("text", "lang")
-    counts = _count(some).cache()
-    total = counts.groupBy("kind", "gram").agg(F.sum("n").alias("total")).cache()
-    least = [_most(total, 0, MAX_WORDS), _most(total, 1, MAX_GRAMS)]
-    kept = total.where(F.col("total") >= F.when(F.col("kind") == 0, least[0]).otherwise(least[1])).drop("total")
-    got = counts.join(kept, ["kind", "gram"], "left_semi").toPandas()
-    sizes = {(r["kind"], r["lang"]): r["n"] for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
-    counts.unpersist()
-    total.unpersist()
-    langs = sorted(set(got["lang"]))
-    model: dict = {"langs": langs}
-    for kind, name in ((0, "words"), (1, "grams")):
-        part_of = got[got["kind"] == kind]
-        names = sorted(set(part_of["gram"]))
-        at = {g: i for i, g in enumerate(names)}
+    """The model, from sample(): for words and n-grams their names and log frequencies by language."""
+    words = word_counts(sample(docs, train_rows)).persist()
+    model: dict = {}
+    for name, counts in (("words", words), ("grams", gram_counts(words))):
+        got = counts.orderBy("gram", "lang").toArrow()
+        langs = sorted(set(got.column("lang").unique().to_pylist()))
+        names = got.column("gram").unique()
+        at = np.searchsorted(langs, np.array(got.column("lang").to_pylist(), object)) if langs else np.zeros(0, int)
+        row = got.column("gram").combine_chunks().dictionary_encode().indices.to_numpy() if len(got) else np.zeros(0, int)
         c = np.zeros((len(names), len(langs)))
-        for lang, g, k in zip(part_of["lang"], part_of["gram"], part_of["n"], strict=True):
-            c[at[g], langs.index(lang)] = k
-        size = np.array([sizes.get((kind, a), 0) for a in langs], float)
-        model[name] = names
-        model[f"{name}_log"] = np.log((c + 0.5) / (size + 0.5 * len(names) + 1)).astype(np.float32)
+        c[row, at] = got.column("n").to_numpy()
+        model |= {"langs": langs, name: names.to_pylist(), f"{name}_log": np.log((c + 0.5) / (c.sum(0) + 0.5 * len(names) + 1)).astype(np.float32)}
+    words.unpersist()
     return model
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred and score (the share of the best language among all, by probability) for each row."""
     langs = model["langs"]
-    raw = [w.encode() for w in model["words"]]
-    data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(w) for w in raw]).astype(np.int64)
-    known = hashes(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if raw else np.zeros(0, np.uint64)
+    data, ends, _ = texts(pa.array(model["words"], pa.string()))
+    known = hashes(data, ends[:-1], ends[1:])
     order = np.argsort(known)
     known, known_log = known[order], model["words_log"][order]
     grams, gram_log = {g: i for i, g in enumerate(model["grams"])}, model["grams_log"]

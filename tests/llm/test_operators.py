@@ -483,3 +483,42 @@ def test_mixing_points_and_many_sources(spark):
     many = spark.range(100_000).select("id", F.concat(F.lit("s"), F.col("id")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 5 + 1).cast("int")).alias("text")).union(spark.range(200).select("id", F.lit("huge"), F.repeat(F.lit("w "), F.lit(2000)))).withColumnRenamed("id", "doc_id")
     rows = mixing.mix(many).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
     assert rows.count() == 100_001 and rows.where("abs(taken - target) > 0.5000001").count() == 0
+
+
+def test_language_learns_the_words_it_looks_up(spark):
+    """Letters beyond ASCII, among them spaces, belong to a word on both sides; long texts, ties and repeated rows."""
+    words = {"en": "a\u00a0b\u3000c", "de": "Ä\u2003ö"}
+    train = [(200 + i, f"{t} {t}", a) for i in range(12) for a, t in words.items()]
+    table = spark.createDataFrame([(i, t, a) for i, (_, t, a) in enumerate(train)], "doc_id long, text string, lang string")
+    counted = {(r.lang, r.gram) for r in language.word_counts(language.sample(table)).collect()}
+    assert counted == {("en", "a\u00a0b\u3000c"), ("de", "Ä\u2003ö")}
+    model = language.fit(table)
+    texts = ["A\u00a0B\u3000C", "Ä\u2003ö", "Ä\u2003ö", "Ä\u2003ö " * 300_000, "a\u00a0b\u3000c Ä\u2003ö"]
+    got = [r.lang_pred for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert got[:4] == ["en", "de", "de", "de"]
+    own = {w: model["words_log"][i] for i, w in enumerate(model["words"])}
+    total = sum(own[w] for w in texts[4].split(" "))
+    assert got[4] == model["langs"][int(np.argmax(total))]
+
+
+def test_language_grams_against_a_loop(spark):
+    rows = [("en", "abc", 3), ("en", "é", 2), ("de", "abc", 1)]
+    want: dict = {}
+    for lang, w, n in rows:
+        for k in range(1, language.MAX_N + 1):
+            for i in range(len(w) + 2 - k + 1):
+                key = (lang, f"^{w}$"[i : i + k])
+                want[key] = want.get(key, 0) + n
+    got = language.gram_counts(spark.createDataFrame(rows, "lang string, gram string, n long"))
+    assert {(r.lang, r.gram): r.n for r in got.collect()} == want
+
+
+def test_a_cluster_needs_its_shared_folder(spark, monkeypatch):
+    from panelwright.llm import common
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda key, other: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Cluster())
