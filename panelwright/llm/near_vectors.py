@@ -17,6 +17,7 @@ and are otherwise all linked under that id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from .common import components, per_piece, written
 COSINE, BLOCK_DIMS, CHUNK, SEED, SLACK = 0.95, 16, 1024, 3, 1e-6
 
 
+@lru_cache(maxsize=16)
 def rotation(dims: int, seed: int = SEED) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, dims)))
     return q * np.sign(np.diag(r))

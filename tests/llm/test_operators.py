@@ -522,3 +522,93 @@ def test_a_cluster_needs_its_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         common.shared_folder(Cluster())
+
+
+def plain_best_fit(lengths, capacities, openings, overhead):
+    """(room left, size opened) of each bin: the fullest open bin that takes the item, of equal ones the last touched."""
+    bins, fill, closed, clock = [], 0.9, 1, 0
+    for n in lengths:
+        clock += 1
+        fit = [b for b in bins if b["room"] >= n]
+        if fit:
+            b = min(fit, key=lambda b: (b["room"], -b["touched"]))
+        else:
+            may = [c for c in openings if c >= n] or [capacities[-1]]
+            b = {"size": min(may, key=lambda c: ((c + overhead) / (n + (c - n) * fill), c))}
+            b["room"] = b["size"]
+            bins.append(b)
+        b["room"] -= n
+        b["touched"] = clock
+        if not b["room"]:
+            closed += 1
+            fill += (1.0 - fill) / closed
+    used = [b["size"] - b["room"] for b in bins]
+    return sorted((u, min(c for c in capacities if c >= u)) for u in used)
+
+
+def test_packing_against_brute_force(spark):
+    rng, sizes, overhead = np.random.default_rng(8), (64, 128, 512), 16
+    n = [int(x) for x in rng.integers(0, 300, 150)] + [513, 1500, 64, 64, 64]
+    docs = spark.createDataFrame([(i, "w " * k) for i, k in enumerate(n)], "doc_id long, text string")
+    rows = packing.pack(docs, capacities=sizes, overhead=overhead).collect()
+    pieces = sorted((min(512, k - at) for k in n for at in range(0, k, 512)), reverse=True)
+    ways = [plain_best_fit(pieces, sizes, sizes[k:], overhead) for k in range(len(sizes))]
+    best = min(ways, key=lambda w: sum(c + overhead for _, c in w))
+    bins: dict = {}
+    for r in rows:
+        if r.bin_id is not None:
+            bins.setdefault((r.bin_id, r.capacity), []).append(r.length)
+    assert sorted((sum(own), c) for (_, c), own in bins.items()) == best
+    # Ties: documents of one length and repeated rows fill bins alike, whatever their order.
+    ties = spark.createDataFrame([(i % 7, "w " * 100) for i in range(30)], "doc_id long, text string")
+    a, b = (sorted(map(tuple, packing.pack(x, capacities=sizes).collect())) for x in (ties, ties.repartition(5)))
+    assert a == b and len(a) == 30
+
+
+def test_chat_statuses_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    pick = lambda *xs: xs[int(rng.integers(0, len(xs)))]
+    calls = [(pick(1, 2, None), int(t), pick("a", "b", "c", "d", "e", "f", None), "f", "{}", []) for t in rng.integers(0, 40, 25)]
+    results = [(pick(1, 2, None), int(t), pick("a", "b", "c", "d", "x", None), pick("r", "s", None)) for t in rng.integers(0, 40, 40)]
+    want = []
+    for conv, turn, call, *_ in calls:
+        first = min((c[1] for c in calls if c[:1] == (conv,) and c[2] == call), default=None)
+        own = sorted((r[1], r[3] is not None, r[3] or "") for r in results if r[0] == conv and r[2] == call)
+        if conv is None or call is None:
+            status = "unlinked"
+        elif turn > first:
+            status = "repeated call"
+        elif not own:
+            status = "unanswered"
+        else:
+            status = "answered early" if own[0][0] < turn else "answered again" if len(own) > 1 else "linked"
+        want.append((conv, turn, call, "call", status))
+    told = set()
+    for conv, turn, call, text in results:
+        own = sorted((r[1], r[3] is not None, r[3] or "") for r in results if r[0] == conv and r[2] == call)
+        if conv is None or call is None or not any(c[0] == conv and c[2] == call for c in calls):
+            status = "orphan result"
+        else:
+            here = (turn, text is not None, text or "")
+            status = "result" if here == own[0] and (conv, call) not in told else "repeated result"
+            told |= {(conv, call)} if status == "result" else set()
+        want.append((conv, turn, call, "result", status))
+    got = chat.link(spark.createDataFrame(calls, chat.CALL), spark.createDataFrame(results, chat.RESULT), {"f": {}}).collect()
+    kind = lambda r: "call" if '"arguments"' in r.json else "result"
+    assert sorted(((r.conv_id, r.turn, r.call_id, kind(r), r.status) for r in got), key=repr) == sorted(want, key=repr)
+    empty = chat.link(spark.createDataFrame([], chat.CALL), spark.createDataFrame([], chat.RESULT), {})
+    assert empty.count() == 0
+
+
+def test_mixing_takes_against_brute_force(spark):
+    """What a document gives is its share of the blocks that its source's stream gives, read from the stream word by word."""
+    rows = [(i, "w " * int(k), f"s{i % 3}") for i, k in enumerate(np.random.default_rng(2).integers(0, 90, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = mixing.targets(docs.groupBy("source").agg(F.sum(F.size(F.filter(F.split("text", " "), lambda w: w != ""))).cast("long").alias("source_size")))
+    slots, size = mixing.schedule(target)
+    blocks: dict = {}
+    for r in mixing.completed(slots, target, size).join(target, "sid").collect():
+        blocks.setdefault(r.source, set()).update(range(r.block * size, min((r.block + 1) * size, r["limit"])))
+    for r in mixing.mix(docs).collect():
+        at = [e * r.source_size + r.start + k for e in range(2) for k in range(r.size)]
+        assert r.taken == sum(x in blocks[r.source] for x in at)
