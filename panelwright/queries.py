@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 from itertools import product
 
@@ -15,7 +17,7 @@ from .functions import columns as C
 from .operators import asof as A
 from .operators import custom, fundamental, limits, master, panel, performance, pit, resample, signals, technical, trading
 from .plans import backtest
-from .sources import store
+from .sources import scan, store
 from .streaming import upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1316,3 +1318,70 @@ def _(t: Views) -> DataFrame:
 @query("sig4_skeleton", "select date, code, 0 as signal from (select distinct date from calendar) cross join (select distinct code from codes)")
 def _(t: Views) -> DataFrame:
     return signals.skeleton(t("calendar"), t("codes"))
+
+
+# --- files that Spark writes from the tables and reads again ----------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; where that is unset and all runs in one process, in a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="files-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("src2_written_bars", "select code, date, close, year(date) as year, 'legacy' as source from bars", "close")
+def _(t: Views) -> DataFrame:
+    where = _folder(t.spark, "bars")
+    store.write_bars(t("bars").select("code", "date", "close"), where)
+    return store.read_bars(t.spark, where).withColumn("year", F.col("year").cast("long"))
+
+
+@query("src5_snapshot_at", "select index_code, code, weight, date '1998-01-01' as snapshot_date from index_members where snapshot_date = date '1998-01-01'", "weight")
+def _(t: Views) -> DataFrame:
+    where = _folder(t.spark, "members")
+    store.write_files(t("index_members").select(F.date_format("snapshot_date", "yyyyMMdd").alias("file"), "index_code", "code", "weight"), where)
+    return store.index_members_at(t.spark, where, "1999-06-30")
+
+
+@query("src6_binary_bars", "select code, date, floor(open / 0.01 + 0.5) * 0.01 as open, floor(high / 0.01 + 0.5) * 0.01 as high, floor(low / 0.01 + 0.5) * 0.01 as low, floor(close / 0.01 + 0.5) * 0.01 as close, cast(cast(amount as float) as double) as amount, volume from bars where date >= date '1995-01-01'", P)
+def _(t: Views) -> DataFrame:
+    where = _folder(t.spark, "binary")
+    store.write_binary(t("bars"), where)
+    return store.read_binary(t.spark, where, records=200).where("date >= date'1995-01-01'")
+
+
+@query("inc3_stream_upsert", "select code, date, close, ingest_seq from bars_dirty qualify row_number() over (partition by code, date order by ingest_seq desc) = 1", "close")
+def _(t: Views) -> DataFrame:
+    where = _folder(t.spark, "stream")
+    rows = t("bars_dirty").select("code", "date", "close", "ingest_seq")
+    for seq in (2, 1):  # late bars come first
+        rows.where(F.col("ingest_seq") == seq).coalesce(1).write.mode("append").parquet(f"{where}/in")
+    return upsert.stream_upsert(t.spark, f"{where}/in", f"{where}/store", f"{where}/checkpoint", rows.schema)
+
+
+FILES = "select * from (select b.*, c.k from bars_dirty b join codes c using (code))"
+
+
+@query("dq1_file_scan", f"""with f as ({FILES})
+  select code as file, 'schema' as "check", 'amount missing' as detail, cast(1 as bigint) as n from f where k % 7 = 0 group by code
+  union all select code, 'schema', 'close is string instead of number', 1 from f where k % 7 = 1 group by code
+  union all select code, 'code', 'code 600000.SH', 1 from f where k % 7 = 2 group by code
+  union all select * from (select code, 'price logic' as "check", 'prices' as detail, count(*) filter (high < greatest(low, open, close) or low > least(high, open, close)) as n from f group by code
+    union all select code, 'price logic', 'negative', count(*) filter (volume < 0 or amount < 0) from f group by code
+    union all select code, 'repeats', 'date', count(*) - count(distinct date) from f group by code
+    union all select code, 'continuity', 'off the calendar', count(distinct date) filter (date not in (select date from calendar)) from f group by code
+    union all select code, 'continuity', 'longest gap', case when max(gap) > 60 then max(gap) else 0 end from (select code, r - lag(r) over (partition by code order by r) - 1 as gap from (select distinct code, date from f) join (select date, row_number() over (order by date) as r from calendar) using (date)) group by code) where n > 0""")
+def _(t: Views) -> DataFrame:
+    where = _folder(t.spark, "codes")
+    rows = t("bars_dirty").join(t("codes").select("code", "k"), "code").withColumn("file", F.col("code"))
+    own = [*scan.DAILY]
+    part = lambda *rests: rows.where((F.col("k") % 7).isin(*rests))
+    store.write_files(part(0).select("file", *(c for c in own if c != "amount")), where)
+    store.write_files(part(1).select("file", *own).withColumn("close", F.col("close").cast("string")), where)
+    store.write_files(part(2).withColumn("code", F.lit("600000.SH")).select("file", *own), where)
+    store.write_files(part(3, 4, 5, 6).select("file", *own), where)
+    return scan.findings(t.spark, where, t("calendar"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import panel
+from .store import file_system
 
 #: The columns of each frequency and their classes.
 DAILY = {"date": "date", "code": "string", "open": "number", "high": "number", "low": "number", "close": "number", "volume": "number", "amount": "number", "is_suspended": "boolean"}
@@ -39,14 +40,13 @@ def footers(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
-        from pyarrow import fs
         from pyspark.sql.pandas.types import from_arrow_schema
 
         for batch in batches:
             out = []
             for p in batch.column("path").to_pylist():
                 try:
-                    where, name = fs.FileSystem.from_uri(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file://") else p)
+                    where, name = file_system(p)
                     with where.open_input_file(name) as f:
                         meta = pq.ParquetFile(f)
                         own = meta.schema_arrow

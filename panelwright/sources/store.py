@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +44,61 @@ def write_bars(bars: DataFrame, path: str, mode: str = "append") -> None:
     bars.withColumn("year", F.year("date")).repartition("year").write.partitionBy("year").mode(mode).option("compression", "snappy").parquet(path)
 
 
+def file_system(path: str) -> tuple:
+    """Arrow's file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    uri = path if "://" in path else f"file://{path.removeprefix('file:')}"
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_files(rows: DataFrame, path: str, file: str = "file", column_types: dict[str, pa.DataType] | None = None) -> None:
+    """A store of one parquet file for each value of the column `file` (which is left out), each written by one task.
+
+    Arrow opens the path; a file holds one code's rows, whose number follows the calendar.  A file appears by a rename.
+    """
+
+    def put(part: pa.Table) -> pa.Table:
+        import pyarrow.parquet as pq
+
+        name = part.column(file)[0].as_py()
+        own = part.drop_columns([file])
+        for c, kind in (column_types or {}).items():
+            own = own.set_column(own.schema.get_field_index(c), c, own.column(c).cast(kind))
+        where, root = file_system(path)
+        where.create_dir(root, recursive=True)
+        draft = f"{root}/.{name}-{uuid.uuid4().hex}"
+        with where.open_output_stream(draft) as out:
+            pq.write_table(own, out)
+        where.move(draft, f"{root}/{name}.parquet")
+        return pa.table({"file": [name], "n": pa.array([part.num_rows], pa.int64())})
+
+    rows.groupBy(file).applyInArrow(put, "file string, n long").write.format("noop").mode("overwrite").save()
+
+
+def write_binary(bars: DataFrame, path: str) -> None:
+    """Daily bars as files of 32-byte records, one for each code, in date order: read_binary() reads them."""
+
+    def put(part: pa.Table) -> pa.Table:
+        part = part.sort_by("date")
+        name = part.column("name")[0].as_py()
+        price, volume = UNITS.get(class_of(name), UNITS[""])
+        a = np.zeros(part.num_rows, DAY)
+        a["date"] = [d.year * 10000 + d.month * 100 + d.day for d in part.column("date").to_pylist()]
+        for c, unit in [(c, price) for c in ("open", "high", "low", "close")] + [("amount", None), ("volume", volume)]:
+            x = part.column(c).to_numpy()
+            a[c] = x if unit is None else np.floor(x / unit + 0.5)
+        where, root = file_system(path)
+        where.create_dir(root, recursive=True)
+        with where.open_output_stream(f"{root}/{name}.day") as out:
+            out.write(a.tobytes())
+        return pa.table({"name": [name], "n": pa.array([len(a)], pa.int64())})
+
+    halves = F.split("code", r"\.")
+    named = bars.where(halves[1].isin("SH", "SZ", "BJ")).select(F.concat(F.lower(halves[1]), halves[0]).alias("name"), "date", *FIELDS)
+    named.groupBy("name").applyInArrow(put, "name string, n long").write.format("noop").mode("overwrite").save()
+
+
 def tidy_factors(raw: DataFrame) -> DataFrame:
     """Factor rows with date and number; others go."""
     return raw.select("code", F.expr("try_cast(date as date)").alias("date"), F.expr("try_cast(cum_factor as double)").alias("cum_factor")).dropna(subset=["date", "cum_factor"])
@@ -155,10 +211,7 @@ class _FixedWidthReader(DataSourceReader):
                 yield f
 
     def _open(self) -> tuple:
-        from pyarrow import fs
-
-        path = self.options["path"]
-        return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        return file_system(self.options["path"])
 
     def partitions(self) -> list[_Range]:
         from pyarrow import fs
