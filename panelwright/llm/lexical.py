@@ -15,7 +15,9 @@ the ranges of highest bound are opened first, in small batches, until none can e
 - An empty table on either side gives an empty result; further columns are not looked at.
 
 A shard is bounded in bytes of text (`SHARD_BYTES`, or one longer text).  The queries' terms are sent to all
-tasks in blocks of about `MOST_TERMS`; a task keeps `k` documents of each item over all its shards.
+tasks in blocks of about `MOST_TERMS`; a task keeps `k` documents of each item over all its shards.  A few
+shards are searched first: what is below their k-th score can't be among the k best, so that the other tasks
+leave it unopened and unsaid.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .common import per_piece, pieces, written
 from .tokens import LOWER, hashes, spans, texts
 
 K, SHARD_BYTES, MOST_TERMS, BATCH, CELLS = 50, 16 << 20, 1_000_000, 128, 1 << 19
+#: Shards that are searched first for a floor of each item's scores: a SEED_PART-th of all, at most SEEDS.
+SEEDS, SEED_PART = 64, 16
 NO_ID = np.iinfo(np.int64).max
 
 GAP = np.ones(256, bool)
@@ -170,8 +174,8 @@ class Treap:
         at = CHILD[self.bits[node], quarter]
         return np.where(at < 0, self.empty, self.first[node] + at)
 
-    def best(self, rows: np.ndarray, weights: np.ndarray, ids: np.ndarray, k: int, top: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of `top` (scores, ids) and all columns, a column's score being the sum of its weighted cells in `rows`."""
+    def best(self, rows: np.ndarray, weights: np.ndarray, ids: np.ndarray, k: int, top: tuple[np.ndarray, np.ndarray], floor: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of `top` (scores, ids) and all columns of at least `floor`, a column's score being the sum of its weighted cells in `rows`."""
         scores, owners = top
         level, place = np.array([self.height]), np.array([0])
         node = np.full((1, len(rows)), self.root)
@@ -196,7 +200,7 @@ class Treap:
             both = [(lev, 2 * place[take] + h, self.children(node[take], 2 * half + h)) for h in (0, 1)]
             lev, at, child = (np.concatenate([b[i] for b in both]) for i in range(3))
             most = (self.peak[child] * weights).sum(1)
-            some = most > 0
+            some = most >= floor
             lev, at, child, most = lev[some], at[some], child[some], most[some]
             done = lev == 0
             if done.any():
@@ -240,8 +244,8 @@ def document_frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
     return out
 
 
-def _search(index: DataFrame, queries: list[tuple[int | None, np.ndarray, np.ndarray]], n_docs: int, n_terms: int, k: int) -> DataFrame:
-    """(item_id, doc_id, score): each task's k best documents of each query (item_id, terms, weights)."""
+def _search(index: DataFrame, queries: list[tuple[int | None, np.ndarray, np.ndarray, int]], n_docs: int, n_terms: int, k: int) -> DataFrame:
+    """(item_id, doc_id, score): each task's k best documents of each query (item_id, terms, weights, least score)."""
     shared = index.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,24 +259,29 @@ def _search(index: DataFrame, queries: list[tuple[int | None, np.ndarray, np.nda
                 grid = Treap(np.repeat(np.arange(n_rows), _unpacked(df, n_rows)), doc, value)
                 by_hash = np.argsort(terms)
                 known = terms[by_hash]
-                for q, (_, own, weights) in enumerate(shared.value):
+                for q, (_, own, weights, floor) in enumerate(shared.value):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     hit = known[at] == own
                     if hit.any():
-                        top[q] = grid.best(by_hash[at[hit]], weights[hit], ids, k, top[q])
-        for (item, _, _), (scores, owners) in zip(shared.value, top, strict=True):
+                        top[q] = grid.best(by_hash[at[hit]], weights[hit], ids, k, top[q], floor)
+        for (item, *_), (scores, owners) in zip(shared.value, top, strict=True):
             if len(scores):
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(scores), pa.int64()), pa.array(owners, mask=owners == NO_ID), pa.array(scores)], ["item_id", "doc_id", "score"])
 
     return index.mapInArrow(run, "item_id long, doc_id long, score long")
 
 
-def search(index: DataFrame, items: DataFrame, k: int = K, most_terms: int = MOST_TERMS) -> DataFrame:
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def search(index: DataFrame, items: DataFrame, k: int = K, most_terms: int = MOST_TERMS, seed_part: int = SEED_PART) -> DataFrame:
     """item_id, rank, doc_id and score: the k best documents of each item with a score above 0."""
-    spark = index.sparkSession
-    n_docs, n_terms = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
+    n_docs, n_terms, shards = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0)), F.count("*")).first()
     asked = written(item_terms(items), "terms")
     blocks = max(1, -(-asked.count() // most_terms))
+    seeds = index.where(F.pmod(F.xxhash64("ids"), F.lit(max(1, shards))) < min(SEEDS, shards // seed_part))
     found = None
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas()
@@ -285,8 +294,10 @@ def search(index: DataFrame, items: DataFrame, k: int = K, most_terms: int = MOS
             own = np.sort(own.to_numpy())
             own = own[weights[own] > 0]
             if len(own):
-                queries.append((None if pd.isna(item) else int(item), terms[own], weights[own]))
+                queries.append((None if pd.isna(item) else int(item), terms[own], weights[own], 1))
+        if shards >= seed_part:
+            floors = {r.item_id: r.score for r in _ranked(_search(seeds, queries, n_docs, n_terms, k), k).where(F.col("rank") == k).select("item_id", "score").collect()}  # one row for each item of the block
+            queries = [(*q[:3], floors.get(q[0], 1)) for q in queries]
         part = _search(index, queries, n_docs, n_terms, k)
         found = part if found is None else found.union(part)
-    order = W.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    return _ranked(found, k).select("item_id", "rank", "doc_id", "score")

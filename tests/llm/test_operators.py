@@ -1,6 +1,7 @@
-"""The ten operators on small tables with nulls, empty and long texts, ties, repeated rows and extra columns."""
+"""The operators on small tables with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import json
 import re
 
 import numpy as np
@@ -612,3 +613,28 @@ def test_mixing_takes_against_brute_force(spark):
     for r in mixing.mix(docs).collect():
         at = [e * r.source_size + r.start + k for e in range(2) for k in range(r.size)]
         assert r.taken == sum(x in blocks[r.source] for x in at)
+
+
+def test_vectors_with_further_columns(spark):
+    """Columns of the operator's own names, repeated rows and null ids change nothing."""
+    rows = [(1, [1.0, 0.0], 7, "x", 3, {"a": "b"}), (2, [1.0, 0.001], 8, None, 4, None), (2, [1.0, 0.001], 8, None, 4, None), (None, [1.0, 0.0], 9, "y", 5, None), (3, [0.0, 1.0], 1, "z", 6, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, v string, n long, block map<string,string>")
+    got = sorted(map(tuple, near_vectors.near_duplicates(table).collect()), key=repr)
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (3, 0, 3, True), (None, 0, None, False)], key=repr)
+
+
+def test_chat_of_long_texts(spark):
+    long = "é" * 3_000_000
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long + '"\\'), (2, 0, "system", long)], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in chat.link(*chat.from_turns(turns), chat.REPLY, chat.other_turns(turns)).collect()}
+    assert got[1, 0].status == "linked" and got[1, 1].status == "result" and got[2, 0].status == "system turn"
+    assert json.loads(got[1, 0].json)["result"] == long + '"\\' and json.loads(got[1, 0].json)["arguments"]["text"] == long
+
+
+def test_quality_of_long_texts(spark):
+    words = sentence(1, 200_000)
+    texts = [words, "a b c d e " * 100_000, "line of words here now\n" * 50_000, "#" * 2_000_000]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "doc_id long, text string"), {"forest": [], "threshold": 2.0}).collect()}
+    assert (got[0].n_words, got[0].n_dup_lines, got[0].n_repeat_words, got[0].base_failed) == (200_000, 0, 0, False)
+    assert (got[1].n_words, got[1].n_repeat_words, got[1].base_failed) == (500_000, 500_000, True)
+    assert (got[2].n_dup_lines, got[2].base_failed) == (49_999, True) and (got[3].n_symbols, got[3].n_words) == (2_000_000, 1)
