@@ -142,6 +142,58 @@ def test_jaccard(spark, docs, none, size, percent, monkeypatch):
         assert jaccard.near_duplicates(none, size, percent).count() == 0
 
 
+@pytest.mark.parametrize("percent", [90, 60])
+def test_large_families(spark, percent, monkeypatch):
+    """Pivots, homes and the rest against brute force: tight groups, a chain, loose copies of one text, unrelated sets, equal distances."""
+    monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", 1500)
+    monkeypatch.setattr(jaccard, "PIVOTS", 4)
+    rng = np.random.default_rng(percent)
+    new = iter(rng.permutation(1 << 20).tolist())
+    fresh = lambda k: [next(new) for _ in range(k)]
+    sets = {}
+    for group in range(3):
+        base = fresh(60)
+        for i in range(80 >> group):
+            sets[1000 * group + i] = base[i % 3 :] + fresh(i % 4)
+    walk = fresh(50)
+    for i in range(40):
+        walk = walk[2:] + fresh(2)
+        sets[4000 + i] = list(walk)
+    loose = fresh(100)
+    for i in range(40):
+        sets[5000 + i] = rng.permutation(loose).tolist()[6:] + fresh(3)
+    for i in range(60):
+        sets[6000 + i] = [7, *fresh(1 + i)]
+    family = {k: (1 if k < 7000 else 2) for k in sets}
+    for i in range(5):
+        sets[8000 + i], family[8000 + i] = sets[i], 2
+    nodes = spark.createDataFrame([(k, len(set(v)), family[k]) for k, v in sets.items()], "rep long, n long, family long")
+    table = spark.createDataFrame([(k, len(set(v)), bytearray(np.sort(np.array(list(set(v)), np.uint64)).tobytes())) for k, v in sets.items()], "rep long, n long, keys binary")
+    last = []
+    within = jaccard._within
+    monkeypatch.setattr(jaccard, "_within", lambda rows, *more: last.append(rows.count()) or within(rows, *more))
+    got = {tuple(r) for r in jaccard._families(nodes, table, percent).collect()}
+
+    def components_of(edges):
+        root = {k: k for k in sets}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+        return {k: top(k) for k in sets}
+
+    whole = {k: set(v) for k, v in sets.items()}
+    links = {(a, b) for a in sets for b in sets if a < b and family[a] == family[b] and 100 * len(whole[a] & whole[b]) >= percent * len(whole[a] | whole[b])}
+    assert {tuple(sorted(e)) for e in got} <= links
+    assert components_of(got) == components_of(links)
+    assert last[0] < len(sets) - 80
+
+
 def test_representatives(spark):
     near = BASE.rsplit(" ", 2)[0]
     rows = [(5, BASE, "b"), (5, BASE, "a"), (5, SHARED, "a"), (2, near, None), (7, SHARED, "a"), (8, None, "x"), (8, None, "x"), (None, BASE, "n"), (None, BASE, "n"), (9, "one two", "q")]
