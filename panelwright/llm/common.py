@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 PIECE_BYTES = 2 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_open: dict[int, list[list[str]]] = {}  # of each thread, the folders written in each settled() it is in
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,32 +32,61 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Spark drops the shuffle files of each action inside when it ends; the session's own setting returns afterwards."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.folder = path
+    _owned(path)
     return out
 
 
+def _owned(path: str) -> None:
+    if scopes := _open.get(threading.get_ident()):
+        scopes[-1].append(path)
+
+
+def _delete(spark: SparkSession, *folders: str) -> None:
+    for folder in folders:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        where = context._jvm.org.apache.hadoop.fs.Path(table.folder)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def done_with(spark: SparkSession, *tables: DataFrame) -> None:
-    """drop(), and Spark's cleaner is let drop the shuffle files of finished jobs."""
-    drop(*tables)
-    jvm = spark.sparkContext._jvm
-    for _ in range(2):  # Spark's listeners hold the last plan for a moment
-        time.sleep(0.5)
-        gc.collect()
-        jvm.System.gc()
+        _delete(table.sparkSession, table.folder)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() gives, written; the tables that were written to make it are dropped, also where it fails."""
+    scopes = _open.setdefault(threading.get_ident(), [])
+    mine: list[str] = []
+    scopes.append(mine)
+    out = None
+    try:
+        out = written(make(), name)
+    finally:
+        scopes.pop()
+        if not scopes:
+            del _open[threading.get_ident()]
+        _delete(SparkSession.active(), *(f for f in mine if out is None or f != out.folder))
+    _owned(out.folder)
+    return out
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -97,16 +128,17 @@ def components(edges: DataFrame) -> DataFrame:
     shared_folder(spark)
     ordered = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    now = ordered(edges).checkpoint()
-    seen = mark(now)
-    while seen[0]:
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = ordered(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = ordered(small.union(low.select("a", F.col("m").alias("b")))).checkpoint()
-        before, seen = seen, mark(now)
-        if before == seen:
-            break
+    with tidy(spark):
+        now = ordered(edges).checkpoint()
+        seen = mark(now)
+        while seen[0]:
+            both = now.union(now.select("b", "a"))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = ordered(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+            low = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            now = ordered(small.union(low.select("a", F.col("m").alias("b")))).checkpoint()
+            before, seen = seen, mark(now)
+            if before == seen:
+                break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

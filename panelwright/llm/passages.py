@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import done_with, pieces, written
+from .common import drop, pieces, settled, written
 from .tokens import hashes, inner, mix, spans, texts
 
 BLOCK_UNITS = 1 << 19
@@ -220,20 +220,29 @@ def repeated(docs: DataFrame, search: Search, matcher: Callable, earlier: bool)
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     hashed = docs.select("doc_id", F.xxhash64("text").alias("th"), F.md5(F.col("text").cast("binary")).alias("sum"), F.octet_length("text").alias("size"))
-    rows = written(hashed.where(F.col("size") >= search.length), "rows")
-    # Written, so that the join may split a large group of copies.
-    copies = written(rows.groupBy("sum", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "copies")
-    first = F.coalesce("first", "doc_id")
-    whole = (F.col("doc_id") > first) if earlier else F.col("copies").isNotNull()
-    known = written(rows.join(copies, ["sum", "size"], "left").select("doc_id", "th", whole.alias("whole"), (F.col("doc_id") == first).alias("head")), "known")
+
+    def copied() -> DataFrame:
+        rows = written(hashed.where(F.col("size") >= search.length), "rows")
+        # Written, so that the join may split a large group of copies.
+        copies = written(rows.groupBy("sum", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "copies")
+        first = F.coalesce("first", "doc_id")
+        whole = (F.col("doc_id") > first) if earlier else F.col("copies").isNotNull()
+        return rows.join(copies, ["sum", "size"], "left").select("doc_id", "th", whole.alias("whole"), (F.col("doc_id") == first).alias("head"))
+
+    known = settled(copied, "known")
+    found = settled(lambda: _found(docs, known, search, matcher, earlier), "ranges")
+    return known.select("doc_id", "th", "whole").groupBy("doc_id", "th").agg(F.max("whole").alias("whole")), found
+
+
+def _found(docs: DataFrame, known: DataFrame, search: Search, matcher: Callable, earlier: bool) -> DataFrame:
+    """doc_id, th, lo, hi: the repeated windows of the first copies of known (doc_id, th, head)."""
     places = written(search.minimizers(docs), "minimizers")
     several = places.groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where("texts > 1" if earlier else "n > 1").select("h", (F.col("n") > search.most).alias("busy"))
     lists = places.join(several, "h").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("busy"), F.col("h"))).alias("few"), F.collect_set(F.when(F.col("busy"), F.col("h"))).alias("many"))
     lists = lists.join(known.where("head").select("doc_id", "th").distinct(), "doc_id")
     heads = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     moved = written(search.travelling(heads, lists), "stretches")
-    del several, lists, heads
-    done_with(docs.sparkSession, places, rows, copies)
+    drop(places)
     single = moved.select("crowded", "h", "doc_id", "th", F.array("start").alias("starts"), "n", "body", F.lit(1).cast("long").alias("w"))
     shards, ranges = [single.where("not crowded").select(*SHARD)], []
     crowded = single.where("crowded").select(*SHARD)
@@ -247,7 +256,7 @@ def repeated(docs: DataFrame, search: Search, matcher: Callable, earlier: bool)
     found = near.mapInArrow(lambda batches: matcher(batches, search), "doc_id long, th long, lo long, hi long")
     for other in ranges:
         found = found.union(other)
-    return known.select("doc_id", "th", "whole").groupBy("doc_id", "th").agg(F.max("whole").alias("whole")), found
+    return found
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

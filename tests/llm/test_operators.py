@@ -3,12 +3,13 @@
 import hashlib
 import json
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.llm import chat, jaccard, language, licenses, mixing, near_vectors, packing, passages, quality, queries, substrings, suffix_arrays
+from panelwright.llm import chat, common, jaccard, language, licenses, mixing, near_vectors, packing, passages, quality, queries, substrings, suffix_arrays
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, n long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -690,3 +691,24 @@ def test_quality_of_long_texts(spark):
     assert (got[0].n_words, got[0].n_dup_lines, got[0].n_repeat_words, got[0].base_failed) == (200_000, 0, 0, False)
     assert (got[1].n_words, got[1].n_repeat_words, got[1].base_failed) == (500_000, 500_000, True)
     assert (got[2].n_dup_lines, got[2].base_failed) == (49_999, True) and (got[3].n_symbols, got[3].n_words) == (2_000_000, 1)
+
+
+def test_tables_of_a_job_are_dropped_with_it(spark, tmp_path):
+    """What near_duplicates() wrote on the way goes, what its result reads stays; so too where a job fails."""
+    folder = Path(common.shared_folder(spark))
+    before = {p.name for p in folder.iterdir()}
+    words = " ".join(f"w{i}" for i in range(40))
+    out = jaccard.near_duplicates(spark.createDataFrame([(1, words), (2, words + " more"), (3, "other text")], "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in out.collect()} == {1: 1, 2: 1, 3: 3}
+    new = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before}
+    assert {"prefixes", "classes", "links"} <= new
+    assert not new & {"heads", "busy", "members", "pairs", "nodes", "sets"}
+
+    def fails():
+        common.written(spark.range(3), "unused")
+        raise ValueError("stop")
+
+    with pytest.raises(ValueError, match="stop"):
+        common.settled(fails, "never")
+    assert not [p for p in folder.iterdir() if p.name.startswith(("unused", "never"))]
+    assert not common._open
