@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.llm import jaccard, mixing, packing, quality, substrings
-from panelwright.llm.common import written
+from panelwright.llm.common import drop, settled
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -53,8 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each one's result written to the shared folder for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`, each one's result written to the shared folder for the next and dropped after it."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), "stage")
+        if last is not None:
+            drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
