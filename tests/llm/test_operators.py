@@ -6,6 +6,7 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -440,6 +441,55 @@ def test_quality_of_documents_odd_in_one_statistic(spark):
     assert {r.doc_id for r in quality.keep_good(docs, model).collect()} == {i for i, r in rows.items() if r.kept}
 
 
+def test_quality_is_fitted_on_all_labelled_rows(spark):
+    # 24,000 good rows; the 2,000 of greatest hash are of another kind, which a sample by hash doesn't show.
+    ids = [r.id for r in spark.range(24_000).orderBy(F.xxhash64("id"), "id").collect()]
+    kinds = dict.fromkeys(ids, " ".join(f"word{i}" for i in range(40))) | dict.fromkeys(ids[-2000:], " ".join(f"#w{i}" for i in range(40)))
+    docs = spark.createDataFrame([*kinds.items(), (30_000, "#" * 3000 + " w1 w2 w3 w4 w5 w6 w7 w8 w9")], "doc_id long, text string")
+    model = quality.fit(docs, spark.range(24_000).selectExpr("id as doc_id", "1 as quality"))
+    gone = [r.doc_id for r in quality.judge(docs, model).where("not kept").collect()]
+    assert gone == [30_000]
+
+
+def test_quality_forest_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(sentence(1000 + 3 * i + j, int(rng.integers(12, 90))) + str(rng.choice(["", "\n", " # ", "\nab cd\nab cd\n"])) for j in range(3)) for i in range(400)]
+    labels = [int(rng.random() < 0.8) for _ in texts]
+    docs = spark.createDataFrame([*enumerate(texts), (1, texts[1])], "doc_id long, text string")
+    known = spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int")
+    model = quality.fit(docs.repartition(7), known, max_loss=0.05)
+    again = quality.fit(docs.coalesce(1), known.repartition(3), max_loss=0.05)
+    assert all((a == b).all() for one, other in zip(model["forest"]["splits"], again["forest"]["splits"]) for a, b in zip(one, other)) and (model["forest"]["path"] == again["forest"]["path"]).all() and model["threshold"] == again["threshold"]
+    rows = {r.doc_id: r for r in quality.judge(docs, model).collect()}
+    fine = [i for i, r in rows.items() if not r.base_failed]
+    good = [i for i in fine if labels[i]]
+    x = quality.features(quality.counts(pa.array(texts)))
+    splits, deep = model["forest"]["splits"], {}
+
+    def walk(tree, level, node, inside):
+        """The path length of each good row, and of each place below the splits, by recursion."""
+        feature, cut = (int(splits[level][0][tree, node]), splits[level][1][tree, node]) if level < len(splits) else (0, np.inf)
+        if cut == np.inf:
+            n = len(inside)
+            deep[tree, node << (len(splits) - level)] = level + (0 if n < 2 else 1 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n)
+            return
+        assert len(inside) > 1 and quality.USES[tree, feature]
+        values = [x[feature, i] for i in inside]
+        assert min(values) - quality.MARGIN[feature] <= cut <= max(values) + quality.MARGIN[feature]
+        walk(tree, level + 1, 2 * node, [i for i in inside if x[feature, i] < cut])
+        walk(tree, level + 1, 2 * node + 1, [i for i in inside if x[feature, i] >= cut])
+
+    for tree in range(len(quality.PART_OF)):
+        walk(tree, 0, 0, good)
+    assert model["forest"]["rows"] == len(good) and all(np.isclose(model["forest"]["path"][tree, node], path) for (tree, node), path in deep.items())
+    odd = quality.oddness(model["forest"], x[:, good])
+    assert [np.quantile(o, 1 - quality.PART_LOSS * 0.05, method="higher") for o in odd] == model["forest"]["reach"].tolist()
+    # No threshold within the loss has a better balance over all labelled rows.
+    score, bad = np.array([rows[i].score for i in good]), np.array([rows[i].score for i in fine if not labels[i]])
+    balance = lambda cut: (bad > cut).mean() - quality.LOSS_WEIGHT * (score > cut).mean() if (score > cut).mean() <= 0.05 else -1
+    assert np.isclose(balance(model["threshold"]), max(balance(c) for c in {*score[score < 1], *bad[bad < 1], 1.0}))
+
+
 def test_chat(spark):
     calls = spark.createDataFrame([(9, 0, "s", "f", '{"a":"\\ud800"}', []), (1, 0, "a", "f", '{"x": 1, "a": "é"}', ["b"]), (1, 1, "b", "f", '{"a": 2}', []), (1, 2, "c", "g", "{", ["d"]), (1, 3, "d", "f", '{"a":"z"}', ["c"]), (None, 4, "e", "f", None, []), (1, 5, "b", "f", '{"a":"z"}', None)], chat.CALL)
     results = spark.createDataFrame([(1, 9, "a", "r"), (1, 10, "a", "s"), (1, 11, "zz", "?")], chat.RESULT)
