@@ -7,6 +7,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,9 @@ def write_binary(bars: DataFrame, path: str) -> None:
         name = part.column("name")[0].as_py()
         price, volume = UNITS.get(class_of(name), UNITS[""])
         a = np.zeros(part.num_rows, DAY)
-        a["date"] = [d.year * 10000 + d.month * 100 + d.day for d in part.column("date").to_pylist()]
+        days = part.column("date").to_numpy().astype("datetime64[D]")
+        month = days.astype("datetime64[M]").astype(np.int64)
+        a["date"] = (1970 + month // 12) * 10000 + (month % 12 + 1) * 100 + (days - days.astype("datetime64[M]")).astype(np.int64) + 1
         for c, unit in [(c, price) for c in ("open", "high", "low", "close")] + [("amount", None), ("volume", volume)]:
             x = part.column(c).to_numpy()
             a[c] = x if unit is None else np.floor(x / unit + 0.5)
@@ -169,6 +172,8 @@ def class_of(file_name: str) -> str | None:
 class FixedWidthBars(DataSource):
     """`fixed_width_bars`: files of 32-byte records under `path`, cut into ranges of `records` records, each read by a task of its own.
 
+    Where there are more than MOST_TASKS ranges, those beside each other share a task, up to TASK_RECORDS records.
+
     Options: path (a local one or a URI that Arrow's file systems open), kind (`day` or `minute`), records, rates
     (JSON of price and volume units by class).  Only the columns of the schema asked for are decoded, and
     filters on `date` are applied to the raw records.  Records without a real date, other files and
@@ -189,11 +194,15 @@ class FixedWidthBars(DataSource):
 BINARY_SCHEMA = "raw_code string, date date, minute int, open double, high double, low double, close double, amount double, volume double"
 
 
+#: Ranges that each have a task of their own, and records of neighbouring ones that share a task.
+MOST_TASKS, TASK_RECORDS = 64, 1 << 18
+
+
 @dataclass
-class _Range(InputPartition):
-    path: str
-    first: int
-    count: int
+class _Ranges(InputPartition):
+    """(path, first record, records) of each range."""
+
+    ranges: list[tuple[str, int, int]]
 
 
 class _FixedWidthReader(DataSourceReader):
@@ -213,7 +222,7 @@ class _FixedWidthReader(DataSourceReader):
     def _open(self) -> tuple:
         return file_system(self.options["path"])
 
-    def partitions(self) -> list[_Range]:
+    def partitions(self) -> list[_Ranges]:
         from pyarrow import fs
 
         where, root = self._open()
@@ -224,16 +233,19 @@ class _FixedWidthReader(DataSourceReader):
         for f in sorted(files, key=lambda f: f.path):
             if f.type == fs.FileType.File and f.path.endswith(ends) and (self.kind == "minute" or class_of(f.base_name)):
                 n = f.size // self.record.itemsize
-                out += [_Range(f.path, at, min(step, n - at)) for at in range(0, n, step)]
-        return out or [_Range("", 0, 0)]
+                out += [(f.path, at, min(step, n - at)) for at in range(0, n, step)]
+        each = max(1, min(-(-len(out) // MOST_TASKS), TASK_RECORDS // step))
+        return [_Ranges(out[at : at + each]) for at in range(0, len(out), each)] or [_Ranges([])]
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        if not partition.count:
-            return
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
         where, _ = self._open()
-        with where.open_input_file(partition.path) as f:
-            f.seek(partition.first * self.record.itemsize)
-            a = np.frombuffer(f.read(partition.count * self.record.itemsize), self.record)
+        for path, ranges in groupby(partition.ranges, key=lambda r: r[0]):
+            with where.open_input_file(path) as f:
+                for _, first, count in ranges:
+                    f.seek(first * self.record.itemsize)
+                    yield from self._decoded(path, np.frombuffer(f.read(count * self.record.itemsize), self.record))
+
+    def _decoded(self, path: str, a: np.ndarray) -> Iterator[pa.RecordBatch]:
         d = a["date"].astype(np.int64)
         year, month, day = (d // 10000, d // 100 % 100, d % 100) if self.kind == "day" else (d // 2048 + 2004, d % 2048 // 100, d % 2048 % 100)
         month0 = (year - 1970) * 12 + np.clip(month, 1, 12) - 1
@@ -245,7 +257,7 @@ class _FixedWidthReader(DataSourceReader):
         for how, bound in self.bounds:
             ok &= {"==": np.equal, ">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal}[how](days, bound)
         a, days = a[ok], days[ok]
-        name = partition.path.rsplit("/", 1)[-1]
+        name = path.rsplit("/", 1)[-1]
         price, volume = self._units(name)
         make = {"raw_code": lambda: pa.array([name[:8]] * len(a), pa.string()), "date": lambda: pa.array(days.astype(np.int32), pa.int32()).cast(pa.date32())}
         make["minute"] = lambda: pa.array(a["time"].astype(np.int32) if self.kind == "minute" else np.zeros(len(a), np.int32))
@@ -273,7 +285,7 @@ FIELDS = ["open", "high", "low", "close", "amount", "volume"]
 
 
 def read_binary(spark: SparkSession, path: str, rates: dict[str, tuple[float, float]] | None = None, fields: list[str] = FIELDS, records: int = 1 << 20) -> DataFrame:
-    """Bars (code, date and the fields asked for) of all `.day` files under a path; a task reads `records` records of a file at most."""
+    """Bars (code, date and the fields asked for) of all `.day` files under a path; a batch holds `records` records of a file at most."""
     rows = _fixed_width(spark, path, "day", ["raw_code", "date", *fields], records, rates=json.dumps(rates or {}))
     return rows.select(standard_code(F.col("raw_code")).alias("code"), "date", *fields)
 

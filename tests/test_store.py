@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelwright.operators import panel
 from panelwright.sources import scan, store
@@ -52,6 +53,22 @@ def test_one_binary_file_is_read_by_several_tasks(spark, tmp_path):
     assert store.read_binary(spark, str(empty)).count() == 0
 
 
+def test_binary_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    """Many small ranges and files are few tasks, and every record comes once."""
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(50)]
+    rows = [(f"6000{k:02d}.SH", d, *[1.0 + k] * 4, 10.0, float(i)) for k in range(12) for i, d in enumerate(days)]
+    bars = spark.createDataFrame(rows, "code string, date date, open double, high double, low double, close double, amount double, volume double")
+    store.write_binary(bars, str(tmp_path))
+    got = store.read_binary(spark, str(tmp_path), records=7)
+    assert sorted((r.code, r.date, r.close, r.volume) for r in got.collect()) == sorted((r[0], r[1], r[5], r[7]) for r in rows)
+    assert got.rdd.getNumPartitions() == 48  # of 96 ranges
+    reader = store._FixedWidthReader(StructType.fromDDL(store.BINARY_SCHEMA), {"path": str(tmp_path), "records": "7"})
+    monkeypatch.setattr(store, "TASK_RECORDS", 20)
+    monkeypatch.setattr(store, "MOST_TASKS", 4)
+    sizes = [sum(n for _, _, n in p.ranges) for p in reader.partitions()]
+    assert sum(sizes) == 600 and max(sizes) <= 20
+
+
 def test_only_the_snapshot_needed_is_read(spark, tmp_path):
     for name, code in (("20240102", "A"), ("20240105", "B"), ("20240109", "C"), ("notes", "D")):
         pq.write_table(pa.table({"code": [code]}), tmp_path / f"{name}.parquet")
