@@ -393,3 +393,33 @@ def test_each_span_is_a_run_of_its_own(spark, strategy):
     assert any(r[1] for rows in got.values() for r in rows)
     best = backtest.walk_forward(bars, params, calendar, n, strategy=strategy).collect()
     assert [r.fold for r in sorted(best)] == [1, 2]
+
+
+def test_macd_of_repeated_dates(spark):
+    """Bars that repeat a code and date: each has one mean, and lines meet by code and date once, as in SQL, however often that is done."""
+    rows = [("A", dt.date(2024, 1, 1) + dt.timedelta(days=i), 10.0 + i % 5) for i in range(60)]
+    rows += [("A", dt.date(2024, 2, 20), 12.0)] * 2  # three bars
+    bars = spark.createDataFrame(rows, "code string, date date, close double")
+    assert technical.factor("ema", bars, period=20).count() == 62
+    assert technical.factor("macd", bars).count() == 59 + 9
+    assert [technical.factor("macd", bars, output=o).count() for o in ("signal", "hist")] == [59 + 81] * 2
+
+
+def test_strengths_in_one_scan(spark):
+    """Several periods in one scan equal rsi() of each, also with missing closes, over several blocks of rows."""
+    rows = [(c, dt.date(2024, 1, 1) + dt.timedelta(days=i), None if i % 17 == 3 else 10.0 + (i * 7 + k) % 11) for k, c in enumerate("AB") for i in range(200)]
+    bars = spark.createDataFrame(rows, "code string, date date, close double")
+    got = {(r.code, r.date): r.s for r in technical.with_strengths(bars, [6, 14], "s").collect()}
+    for at, n in enumerate((6, 14)):
+        for r in technical.rsi(bars, n).collect():
+            mine = got[r.code, r.date][at]
+            assert (mine is None) == (r.value is None) and (mine is None or abs(mine - r.value) < 1e-9)
+
+
+def test_sweep_moves_bars_once(spark):
+    """The bars of a sweep are shuffled by code only, strengths and fills included."""
+    bars = spark.createDataFrame([("A", dt.date(2024, 1, 1), *[1.0] * 4, 1.0, False)], "code string, date date, open double, high double, low double, close double, volume double, is_suspended boolean")
+    trades = backtest.sweep_trades(bars, custom.strategy("ma_rsi").settings(spark))
+    plan = trades._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(code" in line for line in plan.splitlines()) == 1
+    assert "SortMergeJoin" not in plan
