@@ -131,7 +131,7 @@ def findings(spark: SparkSession, path: str, calendar: DataFrame | None = None,
         grades = panel.minute_grades(by_file.where("datetime is not null"), period).where("grade in ('suspect', 'bad')").groupBy("code").agg(F.count("*").alias("n"))
         return out.union(tell(sessions, "sessions", "outside", F.col("outside"))).union(tell(sessions, "order", "inversions", F.col("inversions"))).union(tell(grades, "grades", "days", F.col("n")))
     if calendar is not None:
-        gaps = panel.continuity(by_file.where("date is not null"), calendar)
+        gaps = panel.continuity(by_file.where("date is not null").select("code", "date").distinct(), calendar)
         out = out.union(tell(gaps, "continuity", "off the calendar", F.col("off_calendar"))).union(tell(gaps, "continuity", "longest gap", F.when(F.col("flagged"), F.col("longest_gap")).otherwise(0)))
     return out
 

@@ -423,3 +423,10 @@ def test_sweep_moves_bars_once(spark):
     plan = trades._jdf.queryExecution().executedPlan().toString()
     assert sum("Exchange hashpartitioning(code" in line for line in plan.splitlines()) == 1
     assert "SortMergeJoin" not in plan
+
+
+def test_continuity_counts_rows(spark):
+    """Rows that repeat a day count each time off the calendar; a code of one repeated day has a gap of -1, as in SQL."""
+    bars = spark.createDataFrame([("A", DAY), ("A", DAY), ("B", DAY), ("B", DAY + dt.timedelta(1)), ("B", DAY + dt.timedelta(1))], "code string, date date")
+    calendar = spark.createDataFrame([(DAY,), (DAY + dt.timedelta(2),)], "date date")
+    assert sorted((r.code, r.off_calendar, r.longest_gap) for r in panel.continuity(bars, calendar).collect()) == [("A", 0, -1), ("B", 2, 0)]
