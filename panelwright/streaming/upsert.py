@@ -5,13 +5,20 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.panel import last_arrived
 
 
-def upsert(stored: DataFrame, arrived: DataFrame, keys: tuple[str, ...] = ("code", "date"), seq: str = "ingest_seq") -> DataFrame:
-    """Stored and new rows, one for each key: the last to arrive; of rows with the same arrival number the new one, then the one of largest hash."""
+def upsert(stored: DataFrame, arrived: DataFrame, keys: tuple[str, ...] = ("code", "date"), seq: str = "ingest_seq", ties: bool = False) -> DataFrame:
+    """Stored and new rows, one for each key: the last to arrive; of rows with the same arrival number the new one, then the one of largest hash.
+
+    With `ties` all rows of a key's highest arrival number stay.
+    """
+    if ties:
+        last = F.max(seq).over(W.partitionBy(*keys))
+        return stored.unionByName(arrived).withColumn("_last", last).where(F.col(seq) == F.col("_last")).drop("_last")
     other = [F.col(f"`{c}`") for c in arrived.columns]
     rows = stored.withColumn("_new", F.lit(0)).unionByName(arrived.withColumn("_new", F.lit(1)))
     order = F.struct(F.col(seq), F.col("_new"), F.xxhash64(F.to_json(F.struct(*other))))

@@ -430,3 +430,9 @@ def test_continuity_counts_rows(spark):
     bars = spark.createDataFrame([("A", DAY), ("A", DAY), ("B", DAY), ("B", DAY + dt.timedelta(1)), ("B", DAY + dt.timedelta(1))], "code string, date date")
     calendar = spark.createDataFrame([(DAY,), (DAY + dt.timedelta(2),)], "date date")
     assert sorted((r.code, r.off_calendar, r.longest_gap) for r in panel.continuity(bars, calendar).collect()) == [("A", 0, -1), ("B", 2, 0)]
+
+
+def test_upsert_keeps_ties(spark):
+    rows = spark.createDataFrame([("A", DAY, 1.0, 1), ("A", DAY, 2.0, 2), ("A", DAY, 3.0, 2), ("B", DAY, 4.0, 1), ("B", DAY, 4.0, 1)], "code string, date date, close double, ingest_seq int")
+    got = upsert.upsert(rows.where("ingest_seq = 1"), rows.where("ingest_seq = 2"), ties=True)
+    assert sorted(r.close for r in got.collect()) == [2.0, 3.0, 4.0, 4.0]
